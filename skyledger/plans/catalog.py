@@ -1,4 +1,4 @@
 """Imports every plan module so that all queries are registered."""
 
-from . import telemetry  # noqa: F401
+from . import sources, telemetry  # noqa: F401
 from .registry import COVERS, ORACLES, QUERIES  # noqa: F401

@@ -11,6 +11,20 @@ ORACLES: dict[str, str] = {}
 COVERS: dict[str, str] = {}
 
 
+def unsigned_zero(sql: str) -> str:
+    """Add zero to every rounded value, so that a negative zero prints as zero, as in Spark."""
+    out, at = [], 0
+    while (found := sql.find("round(", at)) >= 0:
+        depth, end = 1, found + len("round(")
+        while depth:
+            depth += {"(": 1, ")": -1}.get(sql[end], 0)
+            end += 1
+        inner = unsigned_zero(sql[found + len("round(") : end - 1])
+        out += [sql[at:found], f"(round({inner}) + 0.0e0)"]
+        at = end
+    return "".join(out) + sql[at:]
+
+
 def query(name: str, covers: str, oracle: str | None = None):
     """Register ``fn(spark, sf_dir)`` under ``name``; ``covers`` lists survey operator ids."""
 
@@ -20,7 +34,7 @@ def query(name: str, covers: str, oracle: str | None = None):
         QUERIES[name] = fn
         COVERS[name] = covers
         if oracle is not None:
-            ORACLES[name] = oracle
+            ORACLES[name] = unsigned_zero(oracle)
         return fn
 
     return keep

@@ -200,13 +200,13 @@ def frame_positions(spark, sf_dir):
     "J1",
     with_views("telemetry frames", "WITH " + _ASOF + """
     SELECT flight_id, frame_id, round(time_s, 6) AS time_s, round(latitude, 9) AS latitude,
-        round(longitude, 9) AS longitude, round(altitude_m, 6) AS altitude_m,
+        round(longitude, 9) AS longitude, round(altitude_m, 10) AS altitude_m,
         round(horizontal_accuracy_m, 6) AS horizontal_accuracy_m, round(vertical_accuracy_m, 6) AS vertical_accuracy_m,
         position_source, altitude_datum FROM mixed"""),
 )
 def frame_position_interpolation(spark, sf_dir):
     out = r(frame_positions(spark, sf_dir), "latitude longitude", 9)
-    return r(out, "time_s altitude_m horizontal_accuracy_m vertical_accuracy_m")
+    return r(r(out, "altitude_m", 10), "time_s horizontal_accuracy_m vertical_accuracy_m")
 
 
 @query(
