@@ -9,14 +9,14 @@ from ..operators import asof, resample
 from ..operators import telemetry as ops
 from ..scale import Quantile, grouped, is_hot, lag, ordered
 from . import sqltext as q
-from .registry import query
+from .registry import fixed_digits, query
 from .views import view, with_views
 
 
 def r(df, names: str, digits: int = 6):
     """Round the named columns, as the checking SQL does."""
     wanted = set(names.split())
-    return df.select(*[F.round(c, digits).alias(c) if c in wanted else F.col(c) for c in df.columns])
+    return df.select(*[fixed_digits(F.col(c), digits).alias(c) if c in wanted else F.col(c) for c in df.columns])
 
 
 _DIFF = f"""
@@ -200,13 +200,13 @@ def frame_positions(spark, sf_dir):
     "J1",
     with_views("telemetry frames", "WITH " + _ASOF + """
     SELECT flight_id, frame_id, round(time_s, 6) AS time_s, round(latitude, 9) AS latitude,
-        round(longitude, 9) AS longitude, round(altitude_m, 10) AS altitude_m,
+        round(longitude, 9) AS longitude, round(altitude_m, 6) AS altitude_m,
         round(horizontal_accuracy_m, 6) AS horizontal_accuracy_m, round(vertical_accuracy_m, 6) AS vertical_accuracy_m,
         position_source, altitude_datum FROM mixed"""),
 )
 def frame_position_interpolation(spark, sf_dir):
     out = r(frame_positions(spark, sf_dir), "latitude longitude", 9)
-    return r(r(out, "altitude_m", 10), "time_s horizontal_accuracy_m vertical_accuracy_m")
+    return r(r(out, "altitude_m", 6), "time_s horizontal_accuracy_m vertical_accuracy_m")
 
 
 @query(
