@@ -84,6 +84,31 @@ VIEWS = {
         SELECT event_id AS stage_id, user_id % 5 AS host_id, event_type AS category, event_id * 2.0e0 AS start_s,
                event_id * 2.0e0 + 10.0e0 + event_id % 50 AS end_s, value AS seconds
         FROM events WHERE event_id % 20 = 0""",
+    # Flattened run reports; runs of one customer form a benchmark whose first run is the reference.
+    "reports": """
+        SELECT o_orderkey AS run_id, o_custkey AS benchmark_id,
+               CASE WHEN o_orderkey % 37 = 0 THEN NULL ELSE o_totalprice / 100.0e0 END AS runtime_s,
+               80.0e0 + o_orderkey % 200 / 10.0e0 AS registration_percent, (o_orderkey % 60) / 25.0e0 AS reprojection_px,
+               CASE WHEN o_orderkey % 23 = 0 THEN NULL ELSE (o_orderkey % 40) / 20.0e0 END AS gps_rmse_m,
+               900 + o_orderkey % 5000 AS points, 450 + o_orderkey % 900 AS mesh_vertices, 480 + o_orderkey % 1000 AS mesh_faces,
+               500 + o_orderkey % 3000 AS dsm_cells, 20 + o_orderkey % 60 AS registered_images,
+               0.6e0 + (o_orderkey % 40) / 100.0e0 AS dsm_fraction, o_orderkey % 24 AS mesh_components,
+               (o_orderkey % 5) / 2500.0e0 AS oversized_fraction, o_orderkey % 6 <> 0 AS textured,
+               CASE WHEN o_orderkey % 29 = 0 THEN NULL ELSE 'clip-' || CAST(o_custkey % 5 AS STRING) END AS video_id,
+               100.0e0 + o_custkey % 50 + (o_orderkey % 3) / 5.0e0 AS duration_s,
+               CASE WHEN o_orderkey % 2 = 0 THEN 100.0e0 + o_custkey % 50 + (o_orderkey % 7) / 7.0e0 END AS duration_b_s,
+               120 AS target_frames, CASE WHEN o_orderkey % 3 = 0 THEN 120 + o_orderkey % 2 * 8 END AS target_frames_b,
+               110 AS selected_frames, CASE WHEN o_orderkey % 4 = 3 THEN 110 + o_orderkey % 3 END AS selected_frames_b,
+               md5(CAST(o_custkey AS STRING)) AS manifest_digest,
+               '1920x' || CASE WHEN o_orderkey % 11 = 0 THEN '1088' ELSE '1080' END AS resolution,
+               CASE WHEN o_orderkey % 4 = 0 THEN o_orderkey % 20 END AS dense_checks, (o_orderkey % 9) / 10.0e0 AS dense_f1,
+               CASE WHEN o_orderkey % 3 <> 0 THEN o_custkey % 8 END AS checkpoint_checks,
+               (o_orderkey % 30) / 25.0e0 AS checkpoint_rmse_m, (o_orderkey % 30) / 20.0e0 AS checkpoint_max_m,
+               CASE WHEN o_orderkey % 2 = 0 THEN 4 END AS distance_checks, (o_orderkey % 25) / 20.0e0 AS distance_rmse_m,
+               (o_orderkey % 25) / 15.0e0 AS distance_max_m,
+               o_orderkey % 8 <> 0 AS capture_ready, o_orderkey % 16 <> 0 AS telemetry_passed, o_orderkey % 9 <> 0 AS verified_ready,
+               o_orderstatus AS device, o_orderpriority AS dataset
+        FROM orders""",
 }
 
 
