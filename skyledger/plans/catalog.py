@@ -1,4 +1,4 @@
 """Imports every plan module so that all queries are registered."""
 
-from . import reports, scalars, sources, telemetry  # noqa: F401
+from . import reports, scalars, sources, telemetry, validation  # noqa: F401
 from .registry import COVERS, ORACLES, QUERIES  # noqa: F401
