@@ -74,3 +74,31 @@ def interpolate(
     return line.filter(left.isNotNull() | right.isNotNull()).select(
         *keys, F.col("_id").alias(probe_id), F.col("_t").alias(probe_time), *out
     )
+
+
+def last_before(
+    probes: DataFrame,
+    table: DataFrame,
+    keys: list[str],
+    probe_at: str,
+    probe_id: list[str],
+    table_at: str,
+    fields: list[str],
+    hot: bool | None = None,
+) -> DataFrame:
+    """Each probe with ``fields`` of the last table row at or before it (null when none)."""
+    left = table.select(
+        *keys, F.col(table_at).cast("double").alias("_t"), F.lit(0).alias("_kind"),
+        F.lit(None).cast(probes.select(F.struct(*probes.columns)).schema[0].dataType).alias("_probe"),
+        F.struct(*fields).alias("_row"),
+    )
+    right = probes.select(
+        *keys, F.col(probe_at).cast("double").alias("_t"), F.lit(1).alias("_kind"),
+        F.struct(*probes.columns).alias("_probe"),
+        F.lit(None).cast(left.schema["_row"].dataType).alias("_row"),
+    )
+    line = left.unionByName(right).withColumn(
+        "_tie", F.to_json(F.struct(*[F.col("_probe")[c] for c in probe_id]))
+    )
+    found = ordered(line, keys, ["_t", "_kind", "_tie"], {"_last": last_known(F.col("_row"))}, hot=hot)
+    return found.filter("_kind = 1").select("_probe.*", *[F.col("_last")[f].alias(f) for f in fields])
