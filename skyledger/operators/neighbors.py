@@ -38,6 +38,13 @@ def _shape(targets: DataFrame, by: list[str], dims: list[str]) -> tuple[int, lis
 
 def _first_k(rows: DataFrame, source: list[str], k: int, tie: list[str]) -> DataFrame:
     """Rows until ``k`` neighbours are counted, nearest first; ``_upto`` is the running count."""
+    if k == 1 and "_items" not in rows.columns:
+        # a plain minimum hashes with map-side combine; which copy was nearest is not asked
+        best = rows.groupBy(*source).agg(F.min("_d2").alias("_d2"))
+        return best.select(
+            *source, *[F.lit(None).cast("double").alias(d) for d in tie], F.lit(1).cast("bigint").alias("_n"), "_d2",
+            F.lit(1).cast("bigint").alias("_upto"),
+        )
     w = W.partitionBy(*source).orderBy("_d2", *tie)
     counted = rows.withColumn("_upto", F.sum("_n").over(w.rowsBetween(W.unboundedPreceding, 0)))
     return counted.filter(F.col("_upto") - F.col("_n") < k)
@@ -100,7 +107,7 @@ def neighbours(
 def _descend(src, tgt, by, dims, s_dims, k, radius, low, longest, width) -> DataFrame:
     """Join open sources with the leaf cells that can hold one of their k nearest."""
     span = longest * (1 + 1e-9)
-    depth = max(1, min(DEEPEST, math.ceil(math.log2(span / width))))
+    depth = max(2, min(DEEPEST, 2 * math.ceil(math.log2(span / width) / 2)))  # two levels per step
     index = [f"_i_{d}" for d in dims]
 
     def leaf_index(d: str, lo: float, levels: int) -> Column:
@@ -114,13 +121,13 @@ def _descend(src, tgt, by, dims, s_dims, k, radius, low, longest, width) -> Data
         depth = min(DEEPEST, depth + 2)
     open_cells = src.select("*", *[F.lit(0).cast("bigint").alias(i) for i in index])
     source = [*by, *s_dims]
-    for level in range(1, depth + 1):
+    for level in range(2, depth + 1, 2):
         size = span / 2**level
         parents = [f"_p_{d}" for d in dims]
         level_cells = counts.groupBy(
             *by, *[F.shiftright(F.col(i), depth - level).alias(i) for i in index]
         ).agg(F.sum("_c").alias("_c"))
-        children = level_cells.select("*", *[F.shiftright(F.col(i), 1).alias(p) for i, p in zip(index, parents)])
+        children = level_cells.select("*", *[F.shiftright(F.col(i), 2).alias(p) for i, p in zip(index, parents)])
         down = open_cells.select(*source, *[F.col(i).alias(p) for i, p in zip(index, parents)]).join(children, [*by, *parents])
         nearest = farthest = F.lit(0.0)
         for d, s, i, lo in zip(dims, s_dims, index, low):
@@ -189,7 +196,7 @@ def thin_by_radius(points: DataFrame, by: list[str], item: str, radius: float, s
     """Points a sequential pass keeps when each kept point blocks the others within ``radius``.
 
     The pass order is a seeded hash. In cells so small that any two points block each other
-    only the first open point can be kept; it is, once no nearby cell holds an earlier one.
+    only the first open point can be kept; it is, once no earlier open point is near it.
     Each round then drops the points near the newly kept, at most one per cell.
     """
     dims = list(dims)
@@ -203,6 +210,7 @@ def thin_by_radius(points: DataFrame, by: list[str], item: str, radius: float, s
     )
     open_points = cut_lineage(open_points)
     offsets = range(-ring, ring + 1)
+    gap = sum(((F.col(d) - F.col(f"_k_{d}")) * (F.col(d) - F.col(f"_k_{d}")) for d in dims), F.lit(0.0))
     kept_parts = []
 
     def spread(df: DataFrame) -> DataFrame:
@@ -214,13 +222,13 @@ def thin_by_radius(points: DataFrame, by: list[str], item: str, radius: float, s
         leaders = open_points.groupBy(*by, *cells).agg(
             F.min("_first").alias("_first"), F.min_by(F.struct(item, *dims), "_first").alias("_p")
         )
-        rivals = spread(leaders.select(*by, *cells, "_first")).groupBy(*by, *cells).agg(F.min("_first").alias("_best"))
-        kept = cut_lineage(
-            leaders.join(rivals, [*by, *cells]).filter(F.col("_best") == F.col("_first")).select(*by, *cells, "_p.*")
-        )
+        # a leader waits while an earlier open point of a nearby cell lies within the radius
+        asking = spread(leaders.select(*by, *cells, F.col("_first").alias("_mine"), *[F.col("_p")[d].alias(f"_k_{d}") for d in dims]))
+        waiting = open_points.join(asking, [*by, *cells]).filter((F.col("_first") < F.col("_mine")) & (gap <= radius * radius))
+        waiting = waiting.select(*by, F.col("_mine").alias("_first")).distinct()
+        kept = cut_lineage(leaders.join(waiting, [*by, "_first"], "left_anti").select(*by, *cells, "_p.*"))
         kept_parts.append(kept.select(*by, item))
         near = spread(kept.select(*by, *cells, *[F.col(d).alias(f"_k_{d}") for d in dims]))
-        gap = sum(((F.col(d) - F.col(f"_k_{d}")) * (F.col(d) - F.col(f"_k_{d}")) for d in dims), F.lit(0.0))
         blocked = open_points.join(near, [*by, *cells]).filter(gap <= radius * radius).select(*by, item).distinct()
         open_points = cut_lineage(open_points.join(blocked, [*by, item], "left_anti"))
     out = kept_parts[0] if kept_parts else points.select(*by, item).limit(0)

@@ -5,14 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..scale import Quantile, grouped
+from ..session import cut_lineage
 from .neighbors import mean_neighbour_distance, nearest_distance
 
 
 def both_ways(points: DataFrame, by: list[str], a: str = "reconstruction", b: str = "reference") -> DataFrame:
-    """Nearest distances in both directions, tagged ``forward`` and ``reverse``."""
-    first, second = points.filter(F.col("cloud") == a), points.filter(F.col("cloud") == b)
-    out = nearest_distance(first, second, by).withColumn("direction", F.lit("forward"))
-    return out.unionByName(nearest_distance(second, first, by).withColumn("direction", F.lit("reverse")))
+    """Nearest distances in both directions, tagged ``forward`` and ``reverse``, in one join."""
+    pair = points.filter(F.col("cloud").isin(a, b))
+    forward = F.col("cloud") == a
+    sources = pair.withColumn("direction", F.when(forward, "forward").otherwise("reverse"))
+    targets = pair.withColumn("direction", F.when(forward, "reverse").otherwise("forward"))
+    return cut_lineage(nearest_distance(sources, targets, [*by, "direction"]))
 
 
 def distance_summary(distances: DataFrame, keys: list[str]) -> DataFrame:
@@ -73,7 +76,7 @@ def voxel_means(points: DataFrame, by: list[str], size: float) -> DataFrame:
 def outlier_limits(points: DataFrame, by: list[str], neighbours: int = 12, multiplier: float = 4.0) -> DataFrame:
     """Points with their mean neighbour distance, the group's limit and whether they stay."""
     d = F.col("mean_distance")
-    measured = mean_neighbour_distance(points, by, neighbours)
+    measured = cut_lineage(mean_neighbour_distance(points, by, neighbours))  # read four times below
     middle = grouped(measured, by, [F.count(F.lit(1)).alias("_n")], [Quantile("median_m", d, 0.5), Quantile("_far", d, 0.995)])
     joined = measured.join(middle, by)
     spread = grouped(joined, by, [], [Quantile("_mad", F.abs(d - F.col("median_m")), 0.5)])

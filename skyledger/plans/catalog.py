@@ -1,4 +1,4 @@
 """Imports every plan module so that all queries are registered."""
 
-from . import clouds, reports, scalars, selection, sources, telemetry, validation  # noqa: F401
+from . import camera, clouds, reports, scalars, selection, sources, telemetry, validation  # noqa: F401
 from .registry import COVERS, ORACLES, QUERIES  # noqa: F401

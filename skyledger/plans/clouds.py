@@ -120,5 +120,6 @@ def masked_points(spark, sf_dir):
 
 @query("radius_thinning", "J9")
 def radius_thinning(spark, sf_dir):
-    points = clouds(spark, sf_dir).groupBy("scan_id", "x", "y", "z").agg(F.min("point_id").alias("point_id"))
-    return neighbors.thin_by_radius(points, ["scan_id"], "point_id", 3.0)
+    # point ids repeat in the derived cloud, so a distinct coordinate is its own id
+    points = clouds(spark, sf_dir).select("scan_id", "x", "y", "z").distinct().withColumn("place", F.concat_ws(",", "x", "y", "z"))
+    return neighbors.thin_by_radius(points, ["scan_id"], "place", 3.0)
