@@ -12,28 +12,31 @@ from .neighbors import nearest_distance
 def components(nodes: DataFrame, edges: DataFrame, by: list[str], node: str) -> DataFrame:
     """Each node with the smallest node of its component as ``label``.
 
-    ``edges`` has columns a and b. Each round takes the least label around every node and
-    then jumps to that label's own label, so rounds grow with the logarithm of the longest
-    chain. All steps are joins and map-side combined minima.
+    ``edges`` has columns a and b. Each round offers the least label seen through any
+    neighbour to the node and to the node's current label, and shortcuts labels of labels,
+    so rounds grow with the logarithm of the longest chain. Every step is a join or a
+    map-side combined minimum.
     """
-    both = edges.select(*by, F.col("a").alias(node), F.col("b").alias("_other")).unionByName(
+    both = cut_lineage(edges.select(*by, F.col("a").alias(node), F.col("b").alias("_other")).unionByName(
         edges.select(*by, F.col("b").alias(node), F.col("a").alias("_other"))
-    ).distinct()
-    both = cut_lineage(both)
+    ).distinct())
     labels = cut_lineage(nodes.select(*by, node).distinct().withColumn("label", F.col(node)))
     while True:
-        around = both.join(labels.select(*by, F.col(node).alias("_other"), "label"), [*by, "_other"])
-        least = around.groupBy(*by, node).agg(F.min("label").alias("_near"))
-        lowered = labels.join(least, [*by, node], "left").select(
-            *by, node, F.col("label").alias("_old"), F.least("label", F.coalesce("_near", "label")).alias("_mid")
-        )
-        jump = lowered.select(*by, F.col(node).alias("_mid"), F.col("_mid").alias("_far"))
-        fresh = cut_lineage(lowered.join(jump, [*by, "_mid"], "left").select(
-            *by, node, "_old", F.least("_mid", F.coalesce("_far", "_mid")).alias("label")
+        above = labels.select(*by, F.col(node).alias("label"), F.col("label").alias("_top"))
+        known = labels.join(above, [*by, "label"])
+        near = both.join(known.select(*by, F.col(node).alias("_other"), "_top"), [*by, "_other"])
+        least = near.groupBy(*by, node).agg(F.min("_top").alias("_near"))
+        offers = known.join(least, [*by, node], "left").select(*by, F.explode(F.array(
+            F.struct(F.col(node).alias("n"), F.least("_top", F.coalesce("_near", "_top")).alias("v")),
+            F.struct(F.col("label").alias("n"), F.coalesce("_near", "_top").alias("v")),
+        )).alias("_o"))
+        lowered = offers.groupBy(*by, F.col("_o.n").alias(node)).agg(F.min("_o.v").alias("_new"))
+        fresh = cut_lineage(labels.join(lowered, [*by, node]).select(
+            *by, node, F.col("label").alias("_old"), F.least("label", "_new").alias("label")
         ))
-        changed = not fresh.filter("_old <> label").isEmpty()
+        settled = fresh.filter("_old <> label").isEmpty()
         labels = fresh.drop("_old")
-        if not changed:
+        if settled:
             return labels
 
 
@@ -91,6 +94,7 @@ def supported(measured: DataFrame, support: DataFrame, limits: DataFrame, by: li
 
 def drop_fragments(faces: DataFrame, by: list[str]) -> DataFrame:
     """Faces of components at least a thousandth of the largest, held between 2 and 100 faces."""
+    faces = cut_lineage(faces)
     labels = components(faces, face_adjacency(faces, by), by, "face_id")
     sizes = labels.groupBy(*by, "label").agg(F.count(F.lit(1)).alias("size"))
     largest = sizes.groupBy(*by).agg(F.max("size").alias("_largest"))
