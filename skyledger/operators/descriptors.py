@@ -135,12 +135,12 @@ def feature_colours(features: DataFrame, item: str, column: str) -> DataFrame:
     vectors = features.select(item, array_to_vector(F.col(column).cast("array<double>")).alias("_v"))
     centred = StandardScaler(withMean=True, withStd=False, inputCol="_v", outputCol="_c").fit(vectors).transform(vectors)
     scored = PCA(k=3, inputCol="_c", outputCol="_p").fit(centred).transform(centred).select(item, vector_to_array("_p").alias("_p"))
-    axes = scored.select(item, *[F.col("_p")[i].alias(f"p{i}") for i in range(3)])
-    signs = axes.groupBy().agg(*[F.when(F.avg(F.pow(f"p{i}", F.lit(3))) < 0, -1.0).otherwise(1.0).alias(f"_s{i}") for i in range(3)])
-    axes = axes.crossJoin(F.broadcast(signs))  # the single row of signs
-    axes = axes.select(item, *[(F.col(f"p{i}") * F.col(f"_s{i}")).alias(f"p{i}") for i in range(3)])
-    spans = grouped(axes, [], [], [Quantile(f"_{n}{i}", F.col(f"p{i}"), q) for i in range(3) for n, q in (("lo", 0.1), ("hi", 0.9))])
-    clipped = axes.crossJoin(F.broadcast(spans))  # the single row of limits
+    axes = scored.select(item, F.lit(1).alias("_all"), *[F.col("_p")[i].alias(f"p{i}") for i in range(3)])
+    signs = axes.groupBy("_all").agg(*[F.when(F.avg(F.pow(f"p{i}", F.lit(3))) < 0, -1.0).otherwise(1.0).alias(f"_s{i}") for i in range(3)])
+    axes = axes.join(F.broadcast(signs), "_all")  # one row of signs
+    axes = axes.select(item, "_all", *[(F.col(f"p{i}") * F.col(f"_s{i}")).alias(f"p{i}") for i in range(3)])
+    spans = grouped(axes, ["_all"], [], [Quantile(f"_{n}{i}", F.col(f"p{i}"), q) for i in range(3) for n, q in (("lo", 0.1), ("hi", 0.9))])
+    clipped = axes.join(F.broadcast(spans), "_all")  # one row of limits
     return clipped.select(item, *[
         F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col(f"p{i}") - F.col(f"_lo{i}")) / (F.col(f"_hi{i}") - F.col(f"_lo{i}")))).alias(c)
         for i, c in enumerate(("red", "green", "blue"))

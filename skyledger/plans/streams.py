@@ -110,8 +110,8 @@ def recording_sessions_stream(spark, sf_dir):
     ).withWatermark("ts", "1 minute")
     out = jobs.drain(jobs.session_stream(feed, 40.0), "sessions")
     # sessions the watermark has not surely passed are left out on both sides
-    last = view(spark, sf_dir, "telemetry").agg(F.max("time_s").alias("_last"))
-    closed = out.crossJoin(F.broadcast(last)).filter(F.col("end_s") + 41 < F.col("_last") - 60).drop("_last")  # one row
+    last = view(spark, sf_dir, "telemetry").agg(F.max("time_s")).first()[0]
+    closed = out.filter(F.col("end_s") + 41 < last - 60)
     return r(closed, "start_s end_s")
 
 

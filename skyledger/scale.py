@@ -1,4 +1,4 @@
-"""Skew-safe ordered scans, exact quantiles and size-checked broadcasts.
+"""Skew-safe ordered scans and exact quantiles.
 
 One flight, sensor or raster may hold a third of all rows. Window functions and exact
 percentiles put one group in one task, so each helper first measures the largest group
@@ -19,7 +19,6 @@ from .session import cut_lineage
 
 MAX_GROUP_ROWS = 2_000_000
 PART_ROWS = 1_000_000
-BROADCAST_ROWS = 200_000
 
 
 def largest_group(df: DataFrame, keys: list[str]) -> int:
@@ -31,11 +30,6 @@ def is_hot(df: DataFrame, keys: list[str]) -> bool:
     return largest_group(df, keys) > MAX_GROUP_ROWS
 
 
-def checked_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast only after counting at most ``limit`` rows; otherwise a shuffled join stays."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
-
-
 @dataclass(frozen=True)
 class Ordered:
     """One ordered output: lag, lead, total, peak, known, upcoming or rank."""
@@ -204,6 +198,9 @@ def grouped(
     hot: bool | None = None,
 ) -> DataFrame:
     """Aggregate with exact linear-interpolated quantiles, also for groups too big for one task."""
+    if not keys:
+        whole = df.withColumn("_whole", F.lit(1))
+        return grouped(whole, ["_whole"], aggregates, quantiles, hot).drop("_whole")
     if hot is None:
         hot = is_hot(df, keys)
     if not hot:
@@ -218,12 +215,9 @@ def grouped(
         columns[str(q.value)] = q.value
     for text, wanted in by_value.items():
         part = _split_quantiles(df, keys, columns[text], wanted)
-        if keys:
-            renamed = part.select(*[F.col(k).alias(f"_q_{k}") for k in keys], *[w.name for w in wanted])
-            on = [F.col(k).eqNullSafe(F.col(f"_q_{k}")) for k in keys]
-            result = result.join(renamed, on, "left").drop(*[f"_q_{k}" for k in keys])
-        else:
-            result = result.crossJoin(F.broadcast(part))  # one row beside one row
+        renamed = part.select(*[F.col(k).alias(f"_q_{k}") for k in keys], *[w.name for w in wanted])
+        on = [F.col(k).eqNullSafe(F.col(f"_q_{k}")) for k in keys]
+        result = result.join(renamed, on, "left").drop(*[f"_q_{k}" for k in keys])
     return result
 
 
@@ -236,11 +230,8 @@ def _split_quantiles(df: DataFrame, keys: list[str], value: Column, wanted: list
     )
     upto = ordered(counts, keys, ["_v"], {"_upto": running_sum(F.col("_n"))}, hot=True)
     totals = counts.groupBy(*keys).agg(F.sum("_n").alias("_total"))
-    if keys:
-        ranked = upto.join(totals.select(*[F.col(k).alias(f"_t_{k}") for k in keys], "_total"),
-                           [F.col(k).eqNullSafe(F.col(f"_t_{k}")) for k in keys])
-    else:
-        ranked = upto.crossJoin(F.broadcast(totals))  # the single total row
+    renamed = totals.select(*[F.col(k).alias(f"_t_{k}") for k in keys], "_total")
+    ranked = upto.join(renamed, [F.col(k).eqNullSafe(F.col(f"_t_{k}")) for k in keys])
     picks = []
     for w in wanted:
         spot = F.lit(w.q) * (F.col("_total") - 1)
