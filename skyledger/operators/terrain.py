@@ -175,14 +175,14 @@ def path_length(ring: Column = None, horizontal: bool = True) -> Column:
     return _sum(path_legs(ring), _flat if horizontal else _solid)
 
 
-def inside_ring(x: Column, y: Column, ring: Column = None) -> Column:
-    """Even-odd rule over the outline's edges."""
+def inside_ring(x: Column, y: Column, edges: Column) -> Column:
+    """Even-odd rule over an outline's edges, built once per outline by ``ring_edges``."""
 
     def crosses(e):
         a, b = e["a"], e["b"]
         return ((a["y"] > y) != (b["y"] > y)) & (x < (b["x"] - a["x"]) * (y - a["y"]) / (b["y"] - a["y"]) + a["x"])
 
-    return F.size(F.filter(ring_edges(ring), crosses)) % 2 == 1
+    return F.size(F.filter(edges, crosses)) % 2 == 1
 
 
 def ring_cells(outlines: DataFrame, res: float, x0: float = 0.0, y0: float = 0.0) -> DataFrame:
@@ -193,9 +193,9 @@ def ring_cells(outlines: DataFrame, res: float, x0: float = 0.0, y0: float = 0.0
         lo, hi = F.floor((F.array_min(values) - origin) / res), F.floor((F.array_max(values) - origin) / res)
         return F.explode(F.sequence(lo, hi))
 
-    grid = outlines.withColumn("col", span("x", x0)).withColumn("row", span("y", y0))
+    grid = outlines.withColumn("_edges", ring_edges()).withColumn("col", span("x", x0)).withColumn("row", span("y", y0)).drop("ring")
     grid = grid.withColumn("cx", x0 + (F.col("col") + 0.5) * res).withColumn("cy", y0 + (F.col("row") + 0.5) * res)
-    return grid.filter(inside_ring(F.col("cx"), F.col("cy")))
+    return grid.filter(inside_ring(F.col("cx"), F.col("cy"), F.col("_edges"))).drop("_edges")
 
 
 def sample(places: DataFrame, cells: DataFrame, by: list[str], ids: list[str], res: float, x0: float = 0.0, y0: float = 0.0) -> DataFrame:

@@ -216,6 +216,6 @@ def pose_accuracy_area(spark, sf_dir):
             a.s * n.tz + a.tz, a.s * n.s FROM ac a JOIN ix n ON n.seq_id = a.seq_id AND n.k = a.k + 1)
     SELECT seq_id, frame_id, round(qw, 5) AS qw, round(qz, 5) AS qz, round(tx, 7) AS tx, round(ty, 7) AS ty, round(tz, 7) AS tz, round(s, 6) AS s FROM ac"""))
 def accumulated_transforms(spark, sf_dir):
-    out = ops.prefix_products(view(spark, sf_dir, "poses"), "seq_id", "frame_id", block=16)
+    out = ops.prefix_products(view(spark, sf_dir, "poses"), "seq_id", "frame_id")
     out = out.select("seq_id", "frame_id", "qw", "qz", "tx", "ty", "tz", "s")
     return r(r(r(out, "qw qz", 5), "tx ty tz", 7), "s")
