@@ -9,7 +9,7 @@ from ..operators import windows as win
 from .camera import CX, CY, FX, FY, posed_pixels
 from .registry import query
 from .telemetry import _ASOF, frame_positions, r
-from .terrain import ground_cells
+from .terrain import GROUND_CELLS, ground_cells
 from .views import source, view, with_views
 
 # Second visits: every vector again, slightly disturbed, at a later position.
@@ -224,7 +224,10 @@ def _seen(spark, sf_dir):
     return ground_cells(spark, sf_dir).select((F.col("view_id") % 4).alias("site"), "view_id", (F.col("row") * 100000 + F.col("col")).alias("cell"))
 
 
-@query("coverage_first_pick", "G53")
+@query("coverage_first_pick", "G53", GROUND_CELLS + """,
+    sn AS (SELECT id % 4 AS site, id, "row" * 100000 + col AS cell FROM i),
+    gn AS (SELECT site, id, count(*) AS gain FROM sn GROUP BY site, id)
+    SELECT site, arg_min(id, (-gain, id)) AS view_id, max(gain) AS gain FROM gn GROUP BY site""")
 def coverage_first_pick(spark, sf_dir):
     seen = _seen(spark, sf_dir)
     return coverage.best_view(seen, coverage.coverage_needs(seen, ["site"], 6), ["site"])

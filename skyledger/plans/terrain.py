@@ -160,11 +160,11 @@ def outline_measures(spark, sf_dir):
     a AS (SELECT outline_id, count(*) AS total, count(z) AS valid, sum(CASE WHEN z IS NOT NULL THEN sqrt(1 + gx * gx + gy * gy) END) AS s, min(z) AS z_min, max(z) AS z_max, avg(z) AS z_mean
         FROM ins LEFT JOIN gg USING (scan_id, col, "row") GROUP BY outline_id),
     p AS (SELECT outline_id, abs(sum(ax * "by" - bx * ay)) / 2 AS planar, sum(sqrt((bx - ax) * (bx - ax) + ("by" - ay) * ("by" - ay))) AS perimeter FROM ed GROUP BY outline_id)
-    SELECT outline_id, {q.rounded('planar perimeter', 5)}, round(s * total / valid, 5) AS surface, {q.rounded('z_min z_max z_mean', 5)},
+    SELECT outline_id, {q.rounded('planar perimeter', 5)}, round(s * total / valid, 5) AS surface, {q.rounded('z_min z_max z_mean', 9)},
         round(coalesce(valid / total, 0), 6) AS coverage FROM p LEFT JOIN a USING (outline_id)"""))
 def area_statistics(spark, sf_dir):
     out = ops.area_statistics(_outlines(spark, sf_dir), _field(spark, sf_dir), ["scan_id"], "outline_id", RES)
-    return r(r(out, "planar perimeter surface z_min z_max z_mean", 5), "coverage")
+    return r(r(r(out, "planar perimeter surface", 5), "z_min z_max z_mean", 9), "coverage")
 
 
 def _sampled(src, keys):
@@ -184,7 +184,7 @@ def bilinear_heights(spark, sf_dir):
     return r(ops.sample(places, _field(spark, sf_dir), ["scan_id"], ["outline_id", "k"], RES).select("outline_id", "k", "h"), "h")
 
 
-@query("cut_and_fill", "G44", with_views("points corners", f"""WITH {_CELLS}, {_INSIDE},
+_CUT_FILL = with_views("points corners", f"""WITH {_CELLS}, {_INSIDE},
     ns AS (SELECT *, greatest(1, CAST(ceil(sqrt((bx - ax) * (bx - ax) + ("by" - ay) * ("by" - ay))) AS BIGINT)) AS nn FROM ed),
     bs AS (SELECT outline_id, scan_id, i AS leg, k, ax + (bx - ax) * (k / nn) AS x, ay + ("by" - ay) * (k / nn) AS y FROM (SELECT *, unnest(range(nn)) AS k FROM ns)),
     {_sampled('bs', 'outline_id, leg, k, x, y')},
@@ -197,13 +197,20 @@ def bilinear_heights(spark, sf_dir):
         LEFT JOIN pn USING (outline_id))
     SELECT outline_id, round(coalesce(sum(d) FILTER (d > 0), 0), 4) AS fill, round(coalesce(sum(-d) FILTER (d <= 0), 0), 4) AS cut,
         round(coalesce(sum(d) FILTER (d > 0), 0) - coalesce(sum(-d) FILTER (d <= 0), 0), 4) AS net, round(count(z) / count(*), 6) AS coverage, max(n) AS edge_samples
-    FROM dd GROUP BY outline_id"""))
+    FROM dd GROUP BY outline_id""")
+
+
+@query("cut_and_fill", "G44", _CUT_FILL)
 def cut_and_fill(spark, sf_dir):
     out = ops.cut_fill(_outlines(spark, sf_dir), _field(spark, sf_dir), ["scan_id"], "outline_id", RES)
     return r(r(out, "fill cut net", 4), "coverage")
 
 
-@query("cut_and_fill_lowest", "G44")
+_PLANE = "z - (coalesce(a, 0) * cx + coalesce(b, 0) * cy + coalesce(mz - a * mx - b * my, 0)) AS d"
+_LOWEST = _CUT_FILL.replace(_PLANE, "z - coalesce(lowest, 0) AS d").replace("any_value(mz) AS mz,", "any_value(mz) AS mz, any_value(lowest) AS lowest,")
+
+
+@query("cut_and_fill_lowest", "G44", _LOWEST)
 def cut_and_fill_lowest(spark, sf_dir):
     out = ops.cut_fill(_outlines(spark, sf_dir), _field(spark, sf_dir), ["scan_id"], "outline_id", RES, base="lowest")
     return r(r(out, "fill cut net", 4), "coverage")
@@ -300,7 +307,7 @@ def ground_cells(spark, sf_dir):
     return ops.ring_cells(outlines, 5.0).select("view_id", "col", "row")
 
 
-@query("ground_footprints", "J15 P18", """
+GROUND_CELLS = """
     WITH v AS (SELECT c_custkey AS id, c_custkey % 90 * 5.0e0 AS cx, c_custkey * 7 % 90 * 5.0e0 AS cy, 30.0e0 + c_custkey % 5 AS cz,
         2 * (1.5707963e0 + c_custkey % 12 * 0.02e0) AS t FROM customer),
     b AS (SELECT k AS i, k / 12.0e0 AS u, 0.0e0 AS w FROM range(13) r(k) UNION ALL SELECT 13 + k, 1.0e0, k / 12.0e0 FROM range(13) r(k)
@@ -313,7 +320,10 @@ def ground_cells(spark, sf_dir):
     bo AS (SELECT id, CAST(floor(min(x) / 5) AS BIGINT) AS c0, CAST(floor(max(x) / 5) AS BIGINT) AS c1, CAST(floor(min(y) / 5) AS BIGINT) AS r0, CAST(floor(max(y) / 5) AS BIGINT) AS r1 FROM ou GROUP BY id),
     g AS (SELECT id, col, unnest(range(r0, r1 + 1)) AS "row" FROM (SELECT *, unnest(range(c0, c1 + 1)) AS col FROM bo)),
     i AS (SELECT g.id, col, "row" FROM g JOIN ee ON ee.id = g.id WHERE (ay > ("row" + 0.5e0) * 5) <> (byy > ("row" + 0.5e0) * 5)
-        AND (col + 0.5e0) * 5 < (bx - ax) * (("row" + 0.5e0) * 5 - ay) / (byy - ay) + ax GROUP BY ALL HAVING count(*) % 2 = 1)
+        AND (col + 0.5e0) * 5 < (bx - ax) * (("row" + 0.5e0) * 5 - ay) / (byy - ay) + ax GROUP BY ALL HAVING count(*) % 2 = 1)"""
+
+
+@query("ground_footprints", "J15 P18", GROUND_CELLS + """
     SELECT id AS view_id, count(*) AS cells, min(col) AS first_col, max(col) AS last_col, CAST(sum("row") AS BIGINT) AS row_sum FROM i GROUP BY id""")
 def ground_footprints(spark, sf_dir):
     return ground_cells(spark, sf_dir).groupBy("view_id").agg(

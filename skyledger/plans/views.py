@@ -122,6 +122,8 @@ VIEWS["corners"] = " UNION ALL ".join(
 
 
 def source(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    # zone-less event times are read as UTC, so that time windows start at whole UTC hours
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 

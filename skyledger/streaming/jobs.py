@@ -24,16 +24,24 @@ def folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/streams/{name}-{uuid.uuid4().hex}"
 
 
+def _finish(spark: SparkSession, writer) -> None:
+    """Run a stream to the end of its source. A local run opens one state store per core, not 200."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    if spark.sparkContext.master.startswith("local"):
+        spark.conf.set("spark.sql.shuffle.partitions", str(min(int(before), spark.sparkContext.defaultParallelism)))
+    try:
+        running = writer.trigger(availableNow=True).start()
+        running.awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def drain(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """Run a stream over what its source holds now and read the sink back."""
     spark = stream.sparkSession
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     path, log = folder(spark, name), folder(spark, f"{name}-log")
-    running = (
-        stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", log)
-        .outputMode(mode).trigger(availableNow=True).start()
-    )
-    running.awaitTermination()
+    _finish(spark, stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", log).outputMode(mode))
     return spark.read.schema(stream.schema).parquet(path)
 
 
@@ -303,13 +311,11 @@ def raster_stream(points: DataFrame, by: str, res: float) -> DataFrame:
 def drain_updates(stream: DataFrame, name: str, keys: list[str]) -> DataFrame:
     """Keep the latest state of every key: each batch overwrites only its own folder, so a retry is harmless."""
     spark = stream.sparkSession
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     path, log = folder(spark, name), folder(spark, f"{name}-log")
 
     def put(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
-    running = stream.writeStream.foreachBatch(put).option("checkpointLocation", log).outputMode("update").trigger(availableNow=True).start()
-    running.awaitTermination()
+    _finish(spark, stream.writeStream.foreachBatch(put).option("checkpointLocation", log).outputMode("update"))
     rest = [c for c in stream.columns if c not in keys]
     return spark.read.parquet(path).groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_r")).select(*keys, "_r.*")
