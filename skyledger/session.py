@@ -29,13 +29,13 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8) -> Spar
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder the cluster names in ``spark.checkpoint.dir``; a scratch one only where unset."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
     sc = spark.sparkContext
-    configured = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not configured:
-        configured = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(configured)
-    return configured
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+    return sc.getCheckpointDir()
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
