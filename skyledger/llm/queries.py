@@ -7,10 +7,13 @@ import uuid
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import shared_folder
-from .common import table, workers_find_package
+from .common import n_words, table, workers_find_package
+from .chat import chat_digests, format_chats
+from .mixing import cycle_weights, mix_sources
+from .packing import pack_documents
 from .token_counts import token_counts
 from .token_store import store_digests, write_store
 
@@ -32,6 +35,12 @@ def scratch(spark: SparkSession, what: str) -> str:
     return f"{shared_folder(spark)}/{what}/{uuid.uuid4().hex}"
 
 
+@_query
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document, of its words and an end mark, packed into sequences of 512 to 8192."""
+    return pack_documents(table(spark, sf_dir, "documents"), n_words(F.col("text")) + 1)
+
+
 @_query
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
@@ -42,3 +51,24 @@ def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch(spark, "token_store")
     write_store(table(spark, sf_dir, "documents"), folder, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
     return store_digests(spark, folder)
+
+
+@_query
+def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", n_words(F.col("text")).alias("words"))
+    mixed = mix_sources(docs, F.col("words"), F.array("source"), cycle_weights(5, 2, 1), share=1.5, copies=2)
+    part = F.col("parts")[0]
+    return mixed.select(
+        "doc_id", "size", "source", part["source_size"].alias("source_size"), part["target"].alias("target"), "taken"
+    )
+
+
+@_query
+def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    said = "</s>[INST] ok [/INST]"
+    chats = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    probe = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], chats.schema)
+    folder = scratch(spark, "chats")
+    format_chats(chats.unionByName(probe), path).write.parquet(folder)
+    return chat_digests(spark.read.parquet(folder), path)

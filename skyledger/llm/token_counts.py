@@ -29,7 +29,7 @@ from ..session import cut_lineage
 from .common import part_count, sliced
 from .pieces import FieldCounter, load_tokenizer
 
-CHUNK_CHARS = 1 << 16
+CHUNK_CHARS = 1 << 15
 OVERLAP_CHARS = 256
 WIDEN = 8
 MARGIN_CHARS = 32
