@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import shared_folder
 from .common import n_words, table, workers_find_package
+from .block_topk import block_topk
 from .chat import chat_digests, format_chats
 from .mixing import cycle_weights, mix_sources
 from .packing import pack_documents
@@ -35,6 +36,24 @@ def scratch(spark: SparkSession, what: str) -> str:
     return f"{shared_folder(spark)}/{what}/{uuid.uuid4().hex}"
 
 
+@_query
+def op2_block_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return block_topk(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
+ORACLES["op2_block_topk"] = """
+with v as (
+    select vec_id, [floor(256 * x::double)::bigint for x in embedding] as q from embeddings
+    where embedding is not null and len([x for x in embedding if x is null or not isfinite(x)]) = 0
+), s as (
+    select a.vec_id as query_id, b.vec_id, list_sum([a.q[i] * b.q[i] for i in range(1, 1 + len(a.q))])::bigint as score
+    from v a join v b on b.vec_id <> a.vec_id where a.vec_id % 50 = 0
+)
+select query_id, row_number() over (partition by query_id order by score desc, vec_id)::integer as rank, vec_id, score
+from s qualify rank <= 5
+"""
+
+
 @_query
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document, of its words and an end mark, packed into sequences of 512 to 8192."""
