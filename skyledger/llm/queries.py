@@ -13,6 +13,7 @@ from ..session import shared_folder
 from .common import n_words, table, workers_find_package
 from .block_topk import block_topk
 from .chat import chat_digests, format_chats
+from .imatch import build_lexicon, compare_with_edits
 from .mixing import cycle_weights, mix_sources
 from .packing import pack_documents
 from .token_counts import token_counts
@@ -91,3 +92,9 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch(spark, "chats")
     format_chats(chats.unionByName(probe), path).write.parquet(folder)
     return chat_digests(spark.read.parquet(folder), path)
+
+
+@_query
+def op9_imatch_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return compare_with_edits(docs, build_lexicon(docs))
