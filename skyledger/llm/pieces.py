@@ -13,11 +13,9 @@ import os
 import re
 import sys
 from array import array
-from itertools import chain
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: Two white-space characters in a row: the byte-level pattern then looks ahead, so such texts are encoded whole.
 DOUBLE_SPACE = re.compile(r"\s\s")
 LATIN_END, DOTTED_I = 0x180, "İ"
 
@@ -34,28 +32,21 @@ def load_tokenizer(path: str, plain_specials: bool = False):
 
 
 class TwoAges(dict):
-    """A dictionary that keeps what the present or the last age of ``age`` entries used."""
+    """Computes missing values and keeps what the present or the last age of ``age`` entries used."""
 
-    def __init__(self, age: int = 400_000):
+    def __init__(self, make, age: int = 300_000):
         super().__init__()
-        self.age, self.old = age, {}
-
-    def settle(self, wanted: set, make) -> None:
-        """Have every key of ``wanted`` in place; ``make(list)`` gives the values of unknown ones."""
-        missing = [k for k in wanted if k not in self]
-        if len(self) + len(missing) > self.age:
-            kept = {k: self[k] for k in wanted if k in self}
-            self.old = dict(self)
+        self.make, self.age, self.old = make, age, {}
+
+    def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(self) >= self.age:
+            self.old = self.copy()
             self.clear()
-            self.update(kept)
-        unknown = []
-        for k in missing:
-            value = self.old.get(k)
-            if value is None:
-                unknown.append(k)
-            else:
-                self[k] = value
-        self.update(zip(unknown, make(unknown)))
+        self[key] = value
+        return value
 
 
 def _byte_chars() -> str:
@@ -70,13 +61,11 @@ _SPACE = _BYTES[32]
 
 
 def _model_text(piece: str) -> str:
-    return piece.encode().decode("latin-1").translate(_BYTES)
+    return piece if piece.isascii() else piece.encode().decode("latin-1").translate(_BYTES)
 
 
 def _latin_word(piece: str) -> bool:
-    return piece.isascii() and piece.isalpha() or (
-        piece.isalpha() and max(map(ord, piece)) < LATIN_END and DOTTED_I not in piece
-    )
+    return piece.isalpha() and (piece.isascii() or (max(map(ord, piece)) < LATIN_END and DOTTED_I not in piece))
 
 
 class FieldCounter:
@@ -84,29 +73,20 @@ class FieldCounter:
 
     def __init__(self, path: str):
         self.tok = load_tokenizer(path)
-        self.counts = TwoAges()
+        self.counts = TwoAges(self._make)
         self.tails = {c: len(self.tok.encode(c, add_special_tokens=False)) for c in ".,"}
 
-    def _word(self, word: str) -> int:
-        return len(self.tok.model.tokenize(_model_text(word.lower())))
-
-    def _make(self, fields: list[bytes]) -> list[int]:
-        out = []
-        for field in fields:
-            piece = field.decode()
-            if _latin_word(piece):
-                out.append(self._word(piece))
-            elif piece[-1:] in self.tails and _latin_word(piece[:-1]):
-                out.append(self._word(piece[:-1]) + self.tails[piece[-1]])
-            else:
-                out.append(len(self.tok.encode(piece, add_special_tokens=False)))
-        return out
+    def _make(self, field: bytes) -> int:
+        piece = field.decode()
+        if _latin_word(piece):
+            return len(self.tok.model.tokenize(_model_text(piece.lower())))
+        if piece[-1:] in self.tails and _latin_word(piece[:-1]):
+            return self.counts[field[:-1]] + self.tails[piece[-1]]
+        return len(self.tok.encode(piece, add_special_tokens=False))
 
     def count(self, texts: list[str]) -> list[int]:
-        fields = [t.encode().split() for t in texts]
-        self.counts.settle(set(chain.from_iterable(fields)), self._make)
         get = self.counts.__getitem__
-        return [sum(map(get, f)) for f in fields]
+        return [sum(map(get, t.encode().split())) for t in texts]
 
 
 class ByteLevelEncoder:
@@ -118,7 +98,8 @@ class ByteLevelEncoder:
     def __init__(self, path: str, width: int = 2, plain_specials: bool = False):
         self.tok = load_tokenizer(path, plain_specials)
         self.code = {2: "H", 4: "I"}[width]
-        self.first, self.rest = TwoAges(), TwoAges()
+        self.first = TwoAges(lambda p: self._make(p, "", self.first))
+        self.rest = TwoAges(lambda p: self._make(p, " ", self.rest))
         self.newline = self._whole("\n")
         self.tails = {c: self._whole(c) for c in ".,"}
 
@@ -131,38 +112,25 @@ class ByteLevelEncoder:
     def _whole(self, text: str) -> bytes:
         return self._bytes(self.tok.encode(text, add_special_tokens=False).ids)
 
-    def _word(self, word: str, lead: str) -> bytes:
-        return self._bytes([t.id for t in self.tok.model.tokenize(lead + _model_text(word))])
-
-    def _make(self, pieces: list[str], space: bool) -> list[bytes]:
-        out = []
-        for piece in pieces:
-            if _latin_word(piece):
-                out.append(self._word(piece, _SPACE if space else ""))
-            elif piece[-1:] in self.tails and _latin_word(piece[:-1]):
-                out.append(self._word(piece[:-1], _SPACE if space else "") + self.tails[piece[-1]])
-            else:
-                out.append(self._whole(" " + piece if space else piece))
-        return out
+    def _make(self, piece: str, lead: str, cache: TwoAges) -> bytes:
+        if _latin_word(piece):
+            start = _SPACE if lead else ""
+            return self._bytes([t.id for t in self.tok.model.tokenize(start + _model_text(piece))])
+        if piece[-1:] in self.tails and _latin_word(piece[:-1]):
+            return cache[piece[:-1]] + self.tails[piece[-1]]
+        return self._whole(lead + piece)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut: list[list[list[str]] | None] = []
-        first, rest = set(), set()
+        start, after = self.first.__getitem__, self.rest.__getitem__
+        out = []
         for text in texts:
             if DOUBLE_SPACE.search(text):
-                cut.append(None)
-                continue
-            lines = [line.split(" ") for line in text.split("\n")]
-            cut.append(lines)
-            for pieces in lines:
-                first.add(pieces[0])
-                rest.update(pieces[1:])
-        self.first.settle(first, lambda p: self._make(p, False))
-        self.rest.settle(rest, lambda p: self._make(p, True))
-        start, after, out = self.first.__getitem__, self.rest.__getitem__, []
-        for text, lines in zip(texts, cut):
-            if lines is None:
+                # The byte-level pattern looks ahead in white-space runs, so such a text is encoded whole.
                 out.append(self._whole(text))
-            else:
-                out.append(self.newline.join(start(p[0]) + b"".join(map(after, p[1:])) for p in lines))
+                continue
+            lines = []
+            for line in text.split("\n"):
+                begin, *rest = line.split(" ")
+                lines.append(start(begin) + b"".join(map(after, rest)))
+            out.append(self.newline.join(lines))
         return out
