@@ -7,8 +7,8 @@ offset of each frame, so one document is read without decompressing its neighbou
 
 Layout of a store folder, all written by Spark's own writer:
 ``dictionary`` one row (sha256, content, width, end_id); ``segments`` rows (bucket, segment,
-dict_sha256, doc_ids, n_tokens, offsets, payload), in ascending order of ids; ``starts`` rows
-(bucket, tokens before the bucket).
+before, dict_sha256, doc_ids, n_tokens, offsets, payload), in ascending order of ids, where
+``before`` counts the tokens earlier in the bucket; ``starts`` rows (bucket, tokens before it).
 """
 
 from __future__ import annotations
@@ -28,10 +28,11 @@ from .pieces import ByteLevelEncoder
 
 DICT_BYTES = 64 << 10
 SAMPLE_DOCS = 2_000
+BUCKET_DOCS = 8_192
 SAMPLE_CHARS = 4_096
 SEGMENT_BYTES = 2 << 20
 SEGMENT_DOCS = 4_096
-LEVEL = 3
+LEVEL = 1
 
 
 def train_dictionary(encoded: list[bytes], size: int = DICT_BYTES) -> bytes:
@@ -67,23 +68,23 @@ def _encode(path: str, end_id: int, width: int, content: bytes, bounds: list):
 
 
 _SEGMENT = pa.schema([
-    ("bucket", pa.int32()), ("segment", pa.int32()), ("dict_sha256", pa.string()), ("doc_ids", pa.list_(pa.int64())),
+    ("bucket", pa.int32()), ("segment", pa.int32()), ("before", pa.int64()), ("dict_sha256", pa.string()), ("doc_ids", pa.list_(pa.int64())),
     ("n_tokens", pa.list_(pa.int64())), ("offsets", pa.list_(pa.int64())), ("payload", pa.binary()),
 ])
 SEGMENT = (
-    "bucket int, segment int, dict_sha256 string, doc_ids array<long>, n_tokens array<long>, "
+    "bucket int, segment int, before long, dict_sha256 string, doc_ids array<long>, n_tokens array<long>, "
     "offsets array<long>, payload binary"
 )
 
 
 def _segments(digest: str):
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bucket, number, ids, sizes, frames, held = None, 0, [], [], [], 0
+        bucket, number, before, ids, sizes, frames, held = None, 0, 0, [], [], [], 0
 
         def flush():
             offsets = np.concatenate([[0], np.cumsum([len(f) for f in frames])]).tolist()
             return pa.RecordBatch.from_pylist([{
-                "bucket": bucket, "segment": number, "dict_sha256": digest, "doc_ids": ids, "n_tokens": sizes,
+                "bucket": bucket, "segment": number, "before": before, "dict_sha256": digest, "doc_ids": ids, "n_tokens": sizes,
                 "offsets": offsets, "payload": b"".join(frames),
             }], _SEGMENT)
 
@@ -91,9 +92,9 @@ def _segments(digest: str):
             for b, i, n, frame in zip(*(batch.column(c).to_pylist() for c in ("bucket", "id", "n", "frame"))):
                 if frames and (b != bucket or held + len(frame) > SEGMENT_BYTES or len(frames) >= SEGMENT_DOCS):
                     yield flush()
-                    number, ids, sizes, frames, held = number + 1, [], [], [], 0
+                    number, before, ids, sizes, frames, held = number + 1, before + sum(sizes), [], [], [], 0
                 if b != bucket:
-                    bucket, number = b, 0
+                    bucket, number, before = b, 0, 0
                 ids.append(i), sizes.append(n), frames.append(frame)
                 held += len(frame)
         if frames:
@@ -110,20 +111,17 @@ def write_store(
     Ids are written ascending, null ids first; repeated ids follow one another in order of
     length, then content. A null text is empty and holds the end id alone; an empty table
     gives a store without segments. ``width`` is the bytes of an id (2 up to 65,536 ids).
-    The dictionary is trained on at most about ``SAMPLE_DOCS`` documents, ``SAMPLE_CHARS``
+    The dictionary is trained on the first ``SAMPLE_DOCS`` documents that the table gives, ``SAMPLE_CHARS``
     characters of each; every document is encoded and written whole.
     """
     spark = df.sparkSession
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    size = rows.agg(F.count(F.lit(1)), F.sum(F.octet_length("text"))).first()
-    parts = part_count(size[1] or 0)
+    parts = part_count(rows.count(), BUCKET_DOCS)
     bounds = []
     if parts > 1:
         steps = [i / parts for i in range(1, parts)]
         bounds = rows.agg(F.percentile_approx("id", steps, max(10_000, 20 * parts))).first()[0] or []
-    every = max(1, size[0] // SAMPLE_DOCS)
-    sample = rows.filter(F.pmod(F.xxhash64("id"), F.lit(every)) == 0).select(F.substring("text", 1, SAMPLE_CHARS))
-    sample_texts = [r[0] for r in sample.limit(4 * SAMPLE_DOCS).collect()]
+    sample_texts = [r[0] for r in rows.select(F.substring("text", 1, SAMPLE_CHARS)).limit(SAMPLE_DOCS).collect()]
     content = train_dictionary(ByteLevelEncoder(path, width).encode(sample_texts))
     digest = hashlib.sha256(content).hexdigest()
     frames = rows.mapInArrow(_encode(path, end_id, width, content, bounds), "bucket int, id long, n long, frame binary")
@@ -139,43 +137,46 @@ def write_store(
     totals.select("bucket", F.coalesce(before, F.lit(0)).alias("start")).write.parquet(f"{folder}/starts")
 
 
-def _decode(content: bytes, width: int):
+def _crc(raw: bytes, width: int) -> int:
+    return zlib.crc32(np.frombuffer(raw, f"<u{width}").astype("<u4").tobytes())
+
+
+def _decode(content: bytes, width: int, digest: bool):
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpacker = zstandard.ZstdDecompressor(dict_data=_shared(content))
         for batch in batches:
-            for s in batch.to_pylist():
+            for s in (batch.slice(i, 1).to_pylist()[0] for i in range(batch.num_rows)):
                 payload = memoryview(s["payload"])
                 raw = [unpacker.decompress(payload[a:b]) for a, b in zip(s["offsets"], s["offsets"][1:])]
                 n = np.array(s["n_tokens"], dtype="int64")
+                first = s["start"] + s["before"]
                 yield pa.RecordBatch.from_pydict({
-                    "id": pa.array(s["doc_ids"], pa.int64()), "bucket": pa.array([s["bucket"]] * len(n), pa.int32()),
-                    "start": pa.array(s["before"] + np.cumsum(n) - n, pa.int64()), "n_tokens": pa.array(n, pa.int64()),
-                    "ids": pa.array(raw, pa.binary()),
+                    "id": pa.array(s["doc_ids"], pa.int64()),
+                    "start": pa.array(first + np.cumsum(n) - n, pa.int64()), "n_tokens": pa.array(n, pa.int64()),
+                    **(
+                        {"ids_crc32": pa.array([_crc(r, width) for r in raw], pa.int64())}
+                        if digest else {"ids": pa.array(raw, pa.binary())}
+                    ),
                 })
 
     return decode
 
 
-def read_store(spark: SparkSession, folder: str) -> tuple[DataFrame, int]:
-    """Rows (id, start, n_tokens, ids as little-endian bytes) of a store, and the bytes of an id."""
+def read_store(spark: SparkSession, folder: str, digest: bool = False) -> DataFrame:
+    """Rows (id, start, n_tokens, ids) of a store, ids as little-endian numbers of the store's width.
+
+    With ``digest`` the CRC-32 of the ids as 32-bit numbers, ``ids_crc32``, takes their place.
+    """
     head = spark.read.parquet(f"{folder}/dictionary").first()
     content, width = bytes(head["content"]), head["width"]
     if hashlib.sha256(content).hexdigest() != head["sha256"]:
         raise ValueError(f"{folder}: the dictionary does not match its hash")
     segments = spark.read.parquet(f"{folder}/segments").filter(F.col("dict_sha256") == head["sha256"])
-    tokens = F.aggregate("n_tokens", F.lit(0).cast("long"), lambda a, x: a + x)
-    within = W.partitionBy("bucket").orderBy("segment").rowsBetween(W.unboundedPreceding, -1)
-    # The running sum is over bare totals; payloads join it by segment.
-    sums = segments.select("bucket", "segment", tokens.alias("t")).select(
-        "bucket", "segment", F.coalesce(F.sum("t").over(within), F.lit(0)).alias("in_bucket")
-    )
-    before = sums.join(spark.read.parquet(f"{folder}/starts"), "bucket").select(
-        "bucket", "segment", (F.col("in_bucket") + F.col("start")).alias("before")
+    # One short row per bucket; the payloads stay where they are unless that table is large.
+    last = "ids_crc32 long" if digest else "ids binary"
+    return segments.join(spark.read.parquet(f"{folder}/starts"), "bucket").mapInArrow(
+        _decode(content, width, digest), f"id long, start long, n_tokens long, {last}"
     )
-    rows = segments.join(before, ["bucket", "segment"]).mapInArrow(
-        _decode(content, width), "id long, bucket int, start long, n_tokens long, ids binary"
-    )
-    return rows, width
 
 
 def read_document(spark: SparkSession, folder: str, doc_id: int) -> list[list[int]]:
@@ -191,18 +192,6 @@ def read_document(spark: SparkSession, folder: str, doc_id: int) -> list[list[in
     return [np.frombuffer(unpacker.decompress(bytes(r[0])), dtype=f"<u{head['width']}").tolist() for r in frames.collect()]
 
 
-def _digests(width: int):
-    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sums = [zlib.crc32(np.frombuffer(i, f"<u{width}").astype("<u4").tobytes()) for i in batch.column("ids").to_pylist()]
-            kept = batch.select(["id", "start", "n_tokens"])
-            yield kept.append_column("ids_crc32", pa.array(sums, pa.int64()))
-
-    return digests
-
-
 def store_digests(spark: SparkSession, folder: str, id_col: str = "doc_id") -> DataFrame:
     """Per document of the store: start, n_tokens and the CRC-32 of its ids as 32-bit words."""
-    rows, width = read_store(spark, folder)
-    out = rows.mapInArrow(_digests(width), "id long, start long, n_tokens long, ids_crc32 long")
-    return out.withColumnRenamed("id", id_col)
+    return read_store(spark, folder, digest=True).withColumnRenamed("id", id_col)
