@@ -15,6 +15,7 @@ from .block_topk import block_topk
 from .chat import chat_digests, format_chats
 from .imatch import build_lexicon, compare_with_edits
 from .mixing import cycle_weights, mix_sources
+from .overlap_join import Rule, overlap_join
 from .packing import pack_documents
 from .token_counts import token_counts
 from .token_store import store_digests, write_store
@@ -61,6 +62,11 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), n_words(F.col("text")) + 1)
 
 
+@_query
+def op4_overlap_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return overlap_join(table(spark, sf_dir, "documents"), Rule(words=4, percent=85))
+
+
 @_query
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
