@@ -14,6 +14,7 @@ from .common import n_words, table, workers_find_package
 from .block_topk import block_topk
 from .chat import chat_digests, format_chats
 from .imatch import build_lexicon, compare_with_edits
+from .kneser_ney import quality
 from .mixing import cycle_weights, mix_sources
 from .overlap_join import Rule, overlap_join
 from .packing import pack_documents
@@ -104,3 +105,11 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_imatch_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return compare_with_edits(docs, build_lexicon(docs))
+
+
+@_query
+def op10_kneser_ney_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's perplexity under the trusted text, its language's limit and the verdict."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    judged = quality(docs, table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", "lang", "perplexity", "limit", "keep")
