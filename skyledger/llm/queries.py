@@ -18,6 +18,7 @@ from .kneser_ney import quality
 from .mixing import cycle_weights, mix_sources
 from .overlap_join import Rule, overlap_join
 from .packing import pack_documents
+from .site_templates import main_texts
 from .token_counts import token_counts
 from .token_store import store_digests, write_store
 
@@ -39,6 +40,11 @@ def scratch(spark: SparkSession, what: str) -> str:
     return f"{shared_folder(spark)}/{what}/{uuid.uuid4().hex}"
 
 
+@_query
+def op1_site_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_texts(table(spark, sf_dir, "pages"))
+
+
 @_query
 def op2_block_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return block_topk(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
