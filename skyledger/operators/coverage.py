@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Window as W
 
 from ..functions import camera
 from ..scale import last_known, next_known, ordered
@@ -58,54 +58,88 @@ def visual_support(candidates: DataFrame, pairs: DataFrame, by: str) -> DataFram
     return out.withColumn("supported", ok).drop("_before", "_after", "_by_before", "_by_after")
 
 
+#: A pick may lie up to two frames before the frame that asked for it.
+BACK = 2
+
+
+def _jumps(candidates: DataFrame, pairs: DataFrame, by: str, motion: float, path_m: float, time_s: float) -> DataFrame:
+    """Where the selection goes from every state (anchor, lag): next anchor and lag, and why.
+
+    In a state the frame ``anchor`` was picked last and the frames up to ``anchor + lag`` are
+    behind. What comes next depends on the anchor's own links only: the first frame beyond
+    whose link is not verified, or the first before that with enough motion, path or time.
+    """
+    frame = candidates.select(by, "idx", "time_s", "path_m", "sharpness")
+    low = lambda c: frame.select(by, F.col("idx").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in ("time_s", "path_m", "sharpness")])
+    links = pairs.filter("verified").select(
+        by, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("i"), F.coalesce("motion", F.lit(0.0)).alias("motion")
+    ).filter("a < i").groupBy(by, "a", "i").agg(F.max("motion").alias("motion"))
+    links = links.join(low("a"), [by, "a"]).join(low("i"), [by, "i"])
+    reason = (
+        F.when(F.col("motion") >= motion, "visual_motion")
+        .when(F.col("path_m_i") - F.col("path_m_a") >= path_m, "trajectory_gap")
+        .when(F.col("time_s_i") - F.col("time_s_a") >= time_s, "temporal_guard")
+    )
+    # Weights of the frames that a request at i may pick: i and the BACK frames before it.
+    worth = F.transform(
+        F.sequence(F.lit(0), F.lit(BACK)),
+        lambda k: F.col("sharpness_i") * (0.85 + 0.15 * (F.col("i") - F.col("a")) / (F.col("i") - F.col("a") + k)),
+    )
+    links = links.select(by, "a", "i", reason.alias("reason"), worth.alias("worth"))
+    lagged = links.withColumn("lag", F.explode(F.sequence(F.lit(0), F.lit(BACK)))).filter("i > a + lag")
+    state = W.partitionBy(by, "a", "lag").orderBy("i")
+    # Verified without a hole since the state began.
+    run = lagged.withColumn("_n", F.row_number().over(state)).filter("i = a + lag + _n")
+    ends = run.groupBy(by, "a", "lag").agg(
+        F.max("i").alias("last"), F.min(F.when(F.col("reason").isNotNull(), F.col("i"))).alias("ask"),
+        F.min_by("reason", F.when(F.col("reason").isNotNull(), F.col("i"))).alias("why"),
+    )
+    asked = ends.filter("ask is not null").select(by, "a", "lag", "ask", "why")
+    near = asked.join(links.select(by, "a", "i", "worth"), [by, "a"]).filter(F.col("i").between(F.col("ask") - BACK, F.col("ask")))
+    value = F.element_at("worth", (F.col("ask") - F.col("i") + 1).cast("int"))
+    best = near.groupBy(by, "a", "lag", "ask").agg(F.first("why").alias("why"), F.min_by("i", F.struct(-value, "i")).alias("to"))
+    sizes = candidates.groupBy(by).agg((F.max("idx") + 1).alias("n"))
+    states = frame.select(by, F.col("idx").alias("a")).withColumn("lag", F.explode(F.sequence(F.lit(0), F.lit(BACK))))
+    states = states.join(sizes, by).join(ends.select(by, "a", "lag", "last"), [by, "a", "lag"], "left").join(
+        best, [by, "a", "lag"], "left"
+    )
+    kept = F.coalesce("last", F.col("a") + F.col("lag"))  # the last frame that still holds on to the anchor
+    lost = kept + 1 < F.col("n")
+    step = F.when(
+        F.col("to").isNotNull(), F.struct(F.col("to").alias("to"), (F.col("ask") - F.col("to")).cast("int").alias("to_lag"), F.col("why").alias("reason"))
+    ).when(
+        lost & (kept > F.col("a")), F.struct(kept.alias("to"), F.lit(0).alias("to_lag"), F.lit("bridge_before_overlap_loss").alias("reason"))
+    ).when(lost, F.struct((F.col("a") + 1).alias("to"), F.lit(0).alias("to_lag"), F.lit("unresolved_visual_break").alias("reason")))
+    return states.select(by, "a", "lag", step.alias("s")).filter("s is not null").select(by, "a", "lag", "s.*")
+
+
 def bridge_selection(
     candidates: DataFrame, pairs: DataFrame, by: str, motion: float = 0.06, path_m: float = 16.25, time_s: float = 4.0
 ) -> DataFrame:
     """Frames that keep verified links: last good bridge before a loss, real breaks kept as breaks.
 
-    A clip has a fixed candidate budget, so one clip's frames and pairs fit its own group;
-    clips run in parallel. A missing pair counts as unverified.
+    ``idx`` counts a clip's frames from 0; a missing pair counts as unverified. Every state's
+    next pick is worked out on its own, and the chain from a clip's start is followed by
+    doubling, so a clip of any length takes a logarithmic number of joins and no task holds it.
     """
-    kind = dict(candidates.dtypes)[by]
-
-    def select(frames: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
-        frames = frames.sort_values("idx", ignore_index=True)
-        if frames.empty:
-            return pd.DataFrame(columns=[by, "idx", "reason"])
-        known = {(int(a), int(b)): (bool(v), float(m)) for a, b, v, m in zip(links["a"], links["b"], links["verified"], links["motion"])}
-
-        def link(a: int, b: int) -> tuple[bool, float]:
-            return known.get((min(a, b), max(a, b)), (False, 0.0))
-
-        at, along, sharp = frames["time_s"].to_list(), frames["path_m"].to_list(), frames["sharpness"].to_list()
-        picked, good = [(0, "start")], 0
-        for i in range(1, len(frames)):
-            anchor = picked[-1][0]
-            ok, shift = link(anchor, i)
-            if not ok and good > anchor:
-                picked.append((good, "bridge_before_overlap_loss"))
-                anchor = good
-                ok, shift = link(anchor, i)
-            good = i
-            if not ok:
-                picked.append((i, "unresolved_visual_break"))
-                continue
-            if shift >= motion:
-                why = "visual_motion"
-            elif along[i] - along[anchor] >= path_m:
-                why = "trajectory_gap"
-            elif at[i] - at[anchor] >= time_s:
-                why = "temporal_guard"
-            else:
-                continue
-            near = [c for c in range(max(anchor + 1, i - 2), i + 1) if link(anchor, c)[0]]
-            picked.append((max(near, key=lambda c: sharp[c] * (0.85 + 0.15 * (c - anchor) / (i - anchor))), why))
-        if picked[-1][0] != len(frames) - 1:
-            picked.append((len(frames) - 1, "end"))
-        return pd.DataFrame({by: frames[by].iloc[0], "idx": [p for p, _ in picked], "reason": [w for _, w in picked]})
-
     pairs = pairs.select(*[F.col(c).alias(c) for c in pairs.columns])  # its own columns, also when both come from one table
-    return candidates.groupBy(by).cogroup(pairs.groupBy(by)).applyInPandas(select, f"{by} {kind}, idx bigint, reason string")
+    jumps = cut_lineage(_jumps(candidates, pairs, by, motion, path_m, time_s))
+    reached = cut_lineage(candidates.groupBy(by).agg(F.min("idx").alias("a")).withColumn("lag", F.lit(0)))
+    leap = jumps.select(by, "a", "lag", "to", "to_lag")
+    while True:
+        ahead = reached.join(leap, [by, "a", "lag"]).select(by, F.col("to").alias("a"), F.col("to_lag").alias("lag"))
+        more = cut_lineage(reached.unionByName(ahead).distinct())
+        if more.count() == reached.count():
+            break
+        reached = more
+        onward = leap.select(by, F.col("a").alias("to"), F.col("lag").alias("to_lag"), F.col("to").alias("_to"), F.col("to_lag").alias("_lag"))
+        leap = cut_lineage(leap.join(onward, [by, "to", "to_lag"]).select(by, "a", "lag", F.col("_to").alias("to"), F.col("_lag").alias("to_lag")))
+    picks = reached.join(jumps, [by, "a", "lag"]).select(by, F.col("to").alias("idx"), "reason")
+    start = candidates.groupBy(by).agg(F.min("idx").alias("idx")).withColumn("reason", F.lit("start"))
+    picks = cut_lineage(start.unionByName(picks))
+    ends = candidates.groupBy(by).agg(F.max("idx").alias("idx"))
+    rest = ends.join(picks.select(by, "idx"), [by, "idx"], "left_anti").withColumn("reason", F.lit("end"))
+    return picks.unionByName(rest)
 
 
 def consistent_points(world: DataFrame, views: DataFrame, fx: float, fy: float, cx: float, cy: float, size: int, limit: float, least: int) -> DataFrame:

@@ -263,7 +263,26 @@ def visual_support(spark, sf_dir):
     return r(out, "support_fraction")
 
 
-@query("bridge_selection", "W9")
+@query("bridge_selection", "W9", with_views("frames", """
+    WITH RECURSIVE ix AS (SELECT flight_id, row_number() OVER (PARTITION BY flight_id ORDER BY time_s, frame_id) - 1 AS idx, count(*) OVER (PARTITION BY flight_id) AS n,
+        time_s, sharpness, frame_id * 0.05e0 AS path_m FROM frames),
+    pr AS (SELECT flight_id, a, b, (a * 7 + b * 3 + flight_id) % 3 <> 0 AS v, (a * 7 + b * 3 + flight_id) % 11 / 100.0e0 AS m
+        FROM (SELECT flight_id, n, idx AS a, unnest(range(idx + 1, least(idx + 4, n - 1) + 1)) AS b FROM ix WHERE idx < n - 1)),
+    st AS (SELECT flight_id, n, 0 AS i, 0 AS anchor, 0 AS p1, 'start' AS w1, NULL::BIGINT AS p2, NULL::VARCHAR AS w2 FROM ix WHERE idx = 0
+        UNION ALL
+        SELECT flight_id, n, i, coalesce(p2, held) AS anchor, CASE WHEN bridged THEN held END AS p1, CASE WHEN bridged THEN 'bridge_before_overlap_loss' END AS w1, p2,
+            CASE WHEN p2 IS NOT NULL THEN why END AS w2 FROM (
+            SELECT *, CASE why WHEN 'unresolved_visual_break' THEN i ELSE (SELECT arg_min(c.idx, (-c.sharpness * (0.85e0 + 0.15e0 * (c.idx - t.held) / (t.i - t.held)), c.idx))
+                FROM ix c JOIN pr q ON q.flight_id = c.flight_id AND q.b = c.idx WHERE t.why IS NOT NULL AND c.flight_id = t.flight_id AND q.a = t.held AND q.v AND c.idx BETWEEN t.i - 2 AND t.i) END AS p2 FROM (
+            SELECT s.flight_id, s.n, s.i, s.held, s.bridged, CASE WHEN NOT coalesce(q.v, false) THEN 'unresolved_visual_break' WHEN q.m >= 0.06e0 THEN 'visual_motion'
+                WHEN now.path_m - was.path_m >= 16.25e0 THEN 'trajectory_gap' WHEN now.time_s - was.time_s >= 4.0e0 THEN 'temporal_guard' END AS why FROM (
+                SELECT st.flight_id, st.n, st.i + 1 AS i, NOT coalesce(p.v, false) AND st.i > st.anchor AS bridged,
+                    CASE WHEN NOT coalesce(p.v, false) AND st.i > st.anchor THEN st.i ELSE st.anchor END AS held
+                FROM st LEFT JOIN pr p ON p.flight_id = st.flight_id AND p.a = st.anchor AND p.b = st.i + 1 WHERE st.i + 1 < st.n) s
+            LEFT JOIN pr q ON q.flight_id = s.flight_id AND q.a = s.held AND q.b = s.i
+            JOIN ix now ON now.flight_id = s.flight_id AND now.idx = s.i JOIN ix was ON was.flight_id = s.flight_id AND was.idx = s.held) t)),
+    pk AS (SELECT flight_id, p1 AS idx, w1 AS reason FROM st WHERE p1 IS NOT NULL UNION ALL SELECT flight_id, p2, w2 FROM st WHERE p2 IS NOT NULL)
+    SELECT * FROM pk UNION ALL SELECT flight_id, n - 1, 'end' FROM (SELECT DISTINCT flight_id, n FROM ix) e WHERE NOT EXISTS (SELECT 1 FROM pk WHERE pk.flight_id = e.flight_id AND pk.idx = e.n - 1)"""))
 def bridge_selection(spark, sf_dir):
     frames, pairs = _candidates(spark, sf_dir)
     return coverage.bridge_selection(frames, pairs, "flight_id")

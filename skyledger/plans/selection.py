@@ -107,7 +107,18 @@ def anchor_seeds(spark, sf_dir):
     return _anchors(spark, sf_dir)[1]
 
 
-@query("hybrid_anchors", "W6")
+@query("hybrid_anchors", "W6", with_views("telemetry", "WITH RECURSIVE " + _SEEDS + """,
+    cl AS (SELECT flight_id, total, least(24, total) AS want FROM clips),
+    pool AS (SELECT DISTINCT flight_id, CAST(round_even(i * CASE WHEN p > 1 THEN (total - 1) / (p - 1) ELSE 0 END, 0) AS BIGINT) AS f
+             FROM (SELECT *, unnest(range(p)) AS i FROM (SELECT *, least(total, want * 8) AS p FROM cl))),
+    base AS (SELECT flight_id, want, list_sort(list_distinct(list(anchor))) AS chosen FROM seeds JOIN cl USING (flight_id) GROUP BY flight_id, want),
+    far AS (SELECT flight_id, want, chosen FROM base
+        UNION ALL
+        SELECT flight_id, want, list_append(chosen, f) FROM (
+            SELECT g.flight_id, g.want, g.chosen, p.f, row_number() OVER (PARTITION BY g.flight_id ORDER BY list_min([abs(c - p.f) for c in g.chosen]) DESC, p.f) AS k
+            FROM far g JOIN pool p ON p.flight_id = g.flight_id AND NOT list_contains(g.chosen, p.f) WHERE len(g.chosen) < g.want) WHERE k = 1),
+    done AS (SELECT flight_id, want, arg_max(chosen, len(chosen)) AS chosen FROM far GROUP BY flight_id, want)
+    SELECT flight_id, unnest(list_sort(chosen)[1:want]) AS anchor FROM done"""))
 def hybrid_anchors(spark, sf_dir):
     clips, seeds = _anchors(spark, sf_dir)
     return ops.fill_anchors(seeds, clips, "flight_id", 24)
