@@ -65,11 +65,16 @@ def reconstruction_score(distances: DataFrame, by: list[str], threshold: float,
 
 
 def voxel_means(points: DataFrame, by: list[str], size: float) -> DataFrame:
-    """One mean point per voxel, on a grid starting half a voxel below each group's minimum."""
+    """One mean point per voxel, on a grid starting half a voxel below each group's minimum.
+
+    Coordinates are summed as whole nanometres, so the mean is the same in whatever order
+    tasks deliver the rows; float sums would differ in the last digit from one read to the next.
+    """
     corner = points.groupBy(*by).agg(*[(F.min(d) - size / 2).alias(f"_o_{d}") for d in ("x", "y", "z")])
     cells = [F.floor((F.col(d) - F.col(f"_o_{d}")) / size).alias(f"v{d}") for d in ("x", "y", "z")]
     return points.join(corner, by).groupBy(*by, *cells).agg(
-        F.avg("x").alias("x"), F.avg("y").alias("y"), F.avg("z").alias("z"), F.count(F.lit(1)).alias("points")
+        *[(F.sum(F.rint(F.col(d) * 1e9).cast("bigint")) / F.count(F.lit(1)) / 1e9).alias(d) for d in ("x", "y", "z")],
+        F.count(F.lit(1)).alias("points"),
     )
 
 

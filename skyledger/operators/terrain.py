@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..scale import Quantile, grouped, next_known, ordered
 from .graphs import components
 
-MOST_CELLS = 100_000_000
 AROUND = [(dc, dr) for dc in (-1, 0, 1) for dr in (-1, 0, 1) if (dc, dr) != (0, 0)]
 
 
@@ -21,10 +20,6 @@ def surface(points: DataFrame, by: list[str], res: float) -> tuple[DataFrame, Da
     width = F.greatest(F.lit(1), F.ceil((F.col("x_max") - F.col("x_min")) / res) + 1)
     height = F.greatest(F.lit(1), F.ceil((F.col("y_max") - F.col("y_min")) / res) + 1)
     grids = grids.withColumn("width", width).withColumn("height", height)
-    too_big = F.col("width") * F.col("height") > MOST_CELLS
-    grids = grids.withColumn(
-        "width", F.when(too_big, F.raise_error(F.lit("grid exceeds 100 million cells; use a coarser resolution")).cast("bigint")).otherwise(F.col("width"))
-    )
     col = F.least(F.floor((F.col("x") - F.col("x_min")) / res), F.col("width") - 1)
     row = F.least(F.floor((F.col("y_max") - F.col("y")) / res), F.col("height") - 1)
     cells = points.join(grids, by).groupBy(*by, col.alias("col"), row.alias("row")).agg(

@@ -175,11 +175,11 @@ def _pose_pairs(spark, sf_dir):
         "seq_id", "frame_id", "qw", "qx", "qy", "qz", "tx", "ty", "tz", F.cos(e).alias("p_qw"), F.lit(0.0).alias("p_qx"), F.lit(0.0).alias("p_qy"),
         F.sin(e).alias("p_qz"), (F.col("tx") + k % 5 * 0.05).alias("p_tx"), (F.col("ty") + k % 3 * 0.05).alias("p_ty"), F.col("tz").alias("p_tz"),
     )
-    return ops.frame_pairs(ops.frame_sample(poses, "seq_id", "frame_id", 40), "seq_id", "frame_id")
+    return ops.frame_pairs(ops.frame_sample(poses, "seq_id", "frame_id", 100), "seq_id", "frame_id")
 
 
 _SAMPLE = """
-    sp AS (SELECT * FROM poses QUALIFY row_number() OVER (PARTITION BY seq_id ORDER BY md5('43-' || CAST(seq_id AS STRING) || '-' || CAST(frame_id AS STRING)), frame_id) <= 40),
+    sp AS (SELECT * FROM poses QUALIFY row_number() OVER (PARTITION BY seq_id ORDER BY md5('43-' || CAST(seq_id AS STRING) || '-' || CAST(frame_id AS STRING)), frame_id) <= 100),
     ps AS (SELECT seq_id, frame_id, qw AS w, qz AS z, tx, ty, tz, cos(frame_id * 0.01e0 + frame_id % 7 * 0.004e0) AS pw, sin(frame_id * 0.01e0 + frame_id % 7 * 0.004e0) AS pz,
         tx + frame_id % 5 * 0.05e0 AS px, ty + frame_id % 3 * 0.05e0 AS py FROM sp)"""
 

@@ -139,7 +139,7 @@ def monitor_stages_stream(spark, sf_dir):
 
     samples = _stream(spark, sf_dir, "monitor").select("sample_id", "host_id", at("at_s").alias("ts"), "utilization_gpu_percent")
     stages = _stream(spark, sf_dir, "stages").select("stage_id", "host_id", at("start_s").alias("start_ts"), at("end_s").alias("end_ts"))
-    joined = jobs.drain(jobs.stage_samples(samples, stages, "5 minutes", "60 SECONDS"), "stages")
+    joined = jobs.drain(jobs.stage_samples(samples, stages, "5 minutes"), "stages")
     out = joined.groupBy("stage_id").agg(F.count(F.lit(1)).alias("samples"), F.avg(F.col("utilization_gpu_percent").try_cast("double")).alias("utilization_mean"))
     return r(out, "utilization_mean")
 

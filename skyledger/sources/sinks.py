@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..scale import is_hot, ordered, rank
+from ..scale import ordered, rank
+
+BLOCK_ENTRIES = 100_000
 
 
 def plain_number(v: Column, digits: int) -> Column:
@@ -99,21 +101,21 @@ def telemetry_entry() -> Column:
 def fingerprint(rows: DataFrame, key: str, order: list[str], entry: Column, joint: str = "", start: str = "", end: str = "", hot: bool | None = None) -> DataFrame:
     """SHA-256 of a key's ordered entries, with their count and the method.
 
-    One byte stream cannot be hashed in parts, so a key beyond the group bound gets the
-    digest of its blocks' digests instead (method ``blocks``): still whole and order-sensitive.
+    Entries are cut into blocks of ``BLOCK_ENTRIES`` at every size and however the ranks are
+    computed. A key of one block has that block's digest, the SHA-256 of its byte stream
+    (method ``stream``); a longer one the digest of its blocks' digests (method ``blocks``),
+    as one byte stream cannot be hashed in parts.
     """
-    if hot is None:
-        hot = is_hot(rows, [key])
     lines = rows.select(key, *order, entry.alias("_e"))
-    position = F.struct(*order)
-
-    def stream(group: list[str]) -> Column:
-        parts = F.transform(F.array_sort(F.collect_list(F.struct(*order, "_e"))), lambda s: s["_e"])
-        return F.sha2(F.concat(F.lit(start), F.array_join(parts, joint), F.lit(end)), 256)
-
-    if not hot:
-        return lines.groupBy(key).agg(F.count(F.lit(1)).alias("entries"), stream([key]).alias("sha256"), F.lit("stream").alias("method"))
-    placed = ordered(lines, [key], order, {"_rank": rank()}, hot=True).withColumn("_block", F.floor((F.col("_rank") - 1) / 100000))
-    blocks = placed.groupBy(key, "_block").agg(F.count(F.lit(1)).alias("_n"), stream([key, "_block"]).alias("_d"))
+    placed = ordered(lines, [key], order, {"_rank": rank()}, hot=hot)
+    placed = placed.withColumn("_block", F.floor((F.col("_rank") - 1) / BLOCK_ENTRIES))
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("_rank", "_e"))), lambda s: s["_e"])
+    stream = F.sha2(F.concat(F.lit(start), F.array_join(parts, joint), F.lit(end)), 256)
+    blocks = placed.groupBy(key, "_block").agg(F.count(F.lit(1)).alias("_n"), stream.alias("_d"))
     digests = F.transform(F.array_sort(F.collect_list(F.struct("_block", "_d"))), lambda s: s["_d"])
-    return blocks.groupBy(key).agg(F.sum("_n").alias("entries"), F.sha2(F.array_join(digests, ""), 256).alias("sha256"), F.lit("blocks").alias("method"))
+    several = F.count(F.lit(1)) > 1
+    return blocks.groupBy(key).agg(
+        F.sum("_n").alias("entries"),
+        F.when(several, F.sha2(F.array_join(digests, ""), 256)).otherwise(F.first("_d")).alias("sha256"),
+        F.when(several, "blocks").otherwise("stream").alias("method"),
+    )

@@ -281,12 +281,16 @@ def defects(steps: DataFrame) -> DataFrame:
     return steps.filter("p_t is not null").select("flight_id", "sample_id", F.explode(names).alias("defect"))
 
 
-def stage_samples(samples: DataFrame, stages: DataFrame, delay: str, longest: str) -> DataFrame:
-    """Stream-stream interval join; both sides and the longest stage bound the state."""
+def stage_samples(samples: DataFrame, stages: DataFrame, delay: str) -> DataFrame:
+    """Stream-stream interval join of stages of any length.
+
+    A stage leaves the state once the samples' watermark has passed its end. A sample stays,
+    as a stage that is reported when it ends may have begun at any time before.
+    """
     s = samples.withWatermark("ts", delay)
-    g = stages.select(F.col("host_id").alias("_host"), "stage_id", "start_ts", "end_ts").withWatermark("start_ts", delay)
-    near = (F.col("host_id") == F.col("_host")) & (F.col("ts") >= F.col("start_ts")) & (F.col("ts") <= F.col("start_ts") + F.expr(f"INTERVAL {longest}"))
-    return s.join(g, near).filter(F.col("ts") <= F.col("end_ts")).select("stage_id", "sample_id", "utilization_gpu_percent")
+    g = stages.select(F.col("host_id").alias("_host"), "stage_id", "start_ts", "end_ts").withWatermark("end_ts", delay)
+    within = (F.col("host_id") == F.col("_host")) & (F.col("ts") >= F.col("start_ts")) & (F.col("ts") <= F.col("end_ts"))
+    return s.join(g, within).select("stage_id", "sample_id", "utilization_gpu_percent")
 
 
 def first_runs(requests: DataFrame, delay: str) -> DataFrame:

@@ -6,17 +6,18 @@ import pytest
 
 import __spark_entry__ as entry
 from skyledger import scale
+from skyledger.plans import catalog
 from tests.oracle import compare
 
 SF_DIR = "/root/testdata/sf0.001"
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+QUERIES, ORACLES = catalog.QUERIES, catalog.ORACLES
 
 # Queries whose operators switch to the split path for a group beyond the bound.
 SPLIT = [
     "telemetry_quality", "telemetry_preflight", "flight_classifier", "frame_position_interpolation", "flown_path",
     "selected_frame_gaps", "flight_record_clip_match", "longest_recording", "image_gps_assembly", "pose_clock",
     "checkpoint_error_statistics", "even_frame_picks", "loop_window_lookup", "depth_alignment_mask", "point_budget",
-    "scale_ratios", "scene_scale", "height_colour_range", "visual_support", "vibration_alarms", "accumulated_transforms",
+    "scale_ratios", "manifest_fingerprints", "telemetry_fingerprints", "scene_scale", "height_colour_range", "visual_support", "vibration_alarms", "accumulated_transforms",
 ]
 
 
