@@ -135,40 +135,73 @@ def quantile_fit(pairs: DataFrame, by: list[str], share: float = 0.7, rounds: in
     return fits
 
 
-def consensus_fit(pairs: DataFrame, by: list[str], item: str, threshold: float, subsets: int = 256, pool: int = 64) -> DataFrame:
+#: Groups of up to so many pairs have at most 256 triples, and all of them are tried.
+FEW_PAIRS = 12
+
+
+def _triples(sizes: DataFrame, by: list[str], subsets: int) -> DataFrame:
+    """(by, subset, _r): rank triples out of 1..n per group, all of them for few pairs, else seeded draws of distinct ones."""
+    n = F.col("n")
+    one = lambda c: F.explode(F.sequence(F.lit(1).cast("bigint"), n)).alias(c)
+    few = sizes.filter((n >= 3) & (n <= FEW_PAIRS))
+    every = few.select(*by, "n", one("_i")).select(*by, "n", "_i", one("_j")).filter("_i < _j").select(*by, "_i", "_j", one("_k")).filter("_j < _k")
+    every = every.withColumn("subset", (F.col("_i") * 256 + F.col("_j") * 16 + F.col("_k")).cast("bigint"))
+    # More draws than wanted, so that enough stay when equal ones are dropped.
+    drawn = sizes.filter(n > FEW_PAIRS).select(*by, "n", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(4 * subsets - 1).cast("bigint"))).alias("subset"))
+    pick = lambda k, size: F.pmod(F.xxhash64(F.lit(26158), F.lit(k), "subset", *by), size) + 1
+    drawn = drawn.withColumn("_i", pick(1, n)).withColumn("_j", pick(2, n - 1)).withColumn("_k", pick(3, n - 2))
+    drawn = drawn.withColumn("_j", F.col("_j") + (F.col("_j") >= F.col("_i")).cast("bigint"))
+    low, high = F.least("_i", "_j"), F.greatest("_i", "_j")
+    drawn = drawn.withColumn("_k", F.col("_k") + (F.col("_k") >= low).cast("bigint"))
+    drawn = drawn.withColumn("_k", F.col("_k") + (F.col("_k") >= high).cast("bigint"))
+    distinct = drawn.groupBy(*by, F.array_sort(F.array("_i", "_j", "_k")).alias("_t")).agg(F.min("subset").alias("subset"))
+    order = W.partitionBy(*by).orderBy("subset")
+    kept = distinct.withColumn("_p", F.row_number().over(order)).filter(F.col("_p") <= subsets)
+    both = every.select(*by, "subset", F.array("_i", "_j", "_k").alias("_t")).unionByName(kept.select(*by, "subset", "_t"))
+    return both.select(*by, "subset", F.explode("_t").alias("_r"))
+
+
+def consensus_fit(pairs: DataFrame, by: list[str], item: str, threshold: float, subsets: int = 256) -> DataFrame:
     """Best of many three-point fits by inlier count, then error; refit on its inliers.
 
-    Subsets come from a seeded pool of at most ``pool`` pairs per group, picked by hash; every
-    candidate is scored on all pairs by one combined aggregate.
+    Subsets are drawn from all pairs of a group; every candidate is scored on all pairs by one
+    combined aggregate. ``inlier`` and ``inliers`` are judged under the final fit. A group
+    without a candidate of three inliers has no consensus: no fit, and no inliers.
     """
-    seeded = W.partitionBy(*by).orderBy(F.xxhash64(F.lit(7), item), item)
+    base = cut_lineage(pairs)
     coords = [f"{a}_{s}" for s in "ab" for a in AXES]
-    drawn = pairs.withColumn("_r", F.row_number().over(seeded)).filter(F.col("_r") <= pool).select(*by, "_r", *coords)
-    types = dict(pairs.dtypes)
-    schema = ", ".join(f"{k} {types[k]}" for k in by) + f", subset int, _r int, {', '.join(c + ' double' for c in coords)}"
-
-    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
-        from itertools import combinations
-
-        pdf = pdf.sort_values("_r", ignore_index=True)
-        triples = list(combinations(range(len(pdf)), 3))
-        if len(triples) > subsets:
-            picked = np.random.default_rng(26158).choice(len(triples), subsets, replace=False)
-            triples = [triples[i] for i in picked]
-        parts = [pdf.iloc[list(t)].assign(subset=i) for i, t in enumerate(triples)]
-        return pd.concat(parts) if parts else pdf.iloc[:0].assign(subset=0)
-
-    triples = drawn.groupBy(*by).applyInPandas(lambda p: choose(p)[[*by, "subset", "_r", *coords]], schema)
+    seeded = base.select(*by, item, *coords, F.xxhash64(F.lit(7), item).alias("_h"))
+    ranked = ordered(seeded, by, ["_h", item], {"_r": rank()})
+    sizes = base.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
+    triples = _triples(sizes, by, subsets).join(ranked, [*by, "_r"])
     candidates = cut_lineage(fit(triples, [*by, "subset"]).drop("n").filter("fit.ok"))
     res = residual()
-    scores = pairs.join(candidates, by).groupBy(*by, "subset").agg(
+    scores = base.join(candidates, by).groupBy(*by, "subset").agg(
         F.count_if(res <= threshold).alias("_in"), F.sqrt(F.avg(F.when(res <= threshold, res * res))).alias("_rmse")
-    )
+    ).filter("_in >= 3")
     best = scores.groupBy(*by).agg(F.min_by("subset", F.struct(-F.col("_in"), "_rmse", "subset")).alias("subset"))
     chosen = candidates.join(best, [*by, "subset"]).drop("subset")
-    flagged = cut_lineage(pairs.join(chosen, by).withColumn("inlier", residual() <= threshold).drop("fit"))
-    final = fit(flagged.filter("inlier"), by).withColumnRenamed("n", "inliers")
-    return flagged.join(final, by)
+    near = base.join(chosen, by).filter(residual() <= threshold).drop("fit")
+    final = cut_lineage(fit(near, by).drop("n"))
+    judged = cut_lineage(base.join(final, by, "left").withColumn("inlier", F.coalesce(residual() <= threshold, F.lit(False))))
+    counts = judged.groupBy(*by).agg(F.count_if("inlier").alias("inliers"))
+    return judged.join(counts, by)
+
+
+def consensus_report(flagged: DataFrame, by: list[str], threshold: float) -> DataFrame:
+    """One row per group of consensus_fit(): how many agree, how well, and whether that passes."""
+    scored = flagged.withColumn("_res", F.when(F.col("inlier"), residual()))
+    out = grouped(
+        scored, by,
+        [
+            F.count(F.lit(1)).alias("control_points"), F.count_if("inlier").alias("inliers"), F.count_if(~F.col("inlier")).alias("outliers"),
+            F.sqrt(F.avg(F.col("_res") * F.col("_res"))).alias("fit_rmse_m"), F.max("_res").alias("maximum_inlier_error_m"),
+            (F.abs(F.first("fit")["s"] - 1.0) * 100.0).alias("scale_change_percent"),
+        ],
+        [Quantile("fit_median_error_m", F.col("_res"), 0.5)],
+    )
+    passes = (F.col("inliers") >= 3) & (F.col("maximum_inlier_error_m") <= threshold)
+    return out.withColumn("passes_fit_gate", F.coalesce(passes, F.lit(False)))
 
 
 def half_sample_fit(pairs: DataFrame, by: list[str], item: str, draws: int = 10) -> DataFrame:

@@ -14,14 +14,14 @@ from .telemetry import r
 from .views import view, with_views
 
 
-def _pairs(spark, sf_dir):
+def _pairs(spark, sf_dir, wild: float = 60.0):
     """Known transform per run (scale 1.25, quarter turns, shift) with one wild pair in 31."""
     k, g = F.col("checkpoint_id"), F.col("run_id") % 4
     c, s = F.element_at(F.array(*map(F.lit, (1.0, 0.0, -1.0, 0.0))), (g + 1).cast("int")), F.element_at(F.array(*map(F.lit, (0.0, 1.0, 0.0, -1.0))), (g + 1).cast("int"))
     x, y, z = F.col("known_x_m"), F.col("known_y_m"), (k % 17).cast("double")
     return view(spark, sf_dir, "checkpoints").select(
         "run_id", "checkpoint_id", x.alias("x_a"), y.alias("y_a"), z.alias("z_a"),
-        (1.25 * (c * x - s * y) + 4.0 + F.when(k % 31 == 0, 60.0).otherwise(0.0)).alias("x_b"),
+        (1.25 * (c * x - s * y) + 4.0 + F.when(k % 31 == 0, wild).otherwise(0.0)).alias("x_b"),
         (1.25 * (s * x + c * y) - 2.0).alias("y_b"), (1.25 * z + 7.0 + (k % 3 - 1) / 100.0).alias("z_b"), (1.0 + k % 5 / 10.0).alias("weight"),
     )
 
@@ -48,11 +48,19 @@ def _shown(df, *keep):
     return df.select(*keep, f["ok"].alias("ok"), f["s"].alias("s"), *[f["r"][i].alias(f"r{i}") for i in (0, 1, 3)], *[f["t"][i].alias(f"t{i}") for i in range(3)])
 
 
-@query("similarity_fits", "G10 X2")
+# The transform each run was made with: what an exact or robust fit must find again, to the size of the z noise.
+_TRUTH = "round(c, 2) AS r0, round(-s, 2) AS r1, round(s, 2) AS r3"
+
+
+@query("similarity_fits", "G10 X2", with_views("checkpoints", f"""WITH {_PAIRS},
+    m AS (SELECT run_id, c, s, sum(w * xa) / sum(w) AS ax, sum(w * ya) / sum(w) AS ay, sum(w * za) / sum(w) AS az, sum(w * xb) / sum(w) AS bx, sum(w * yb) / sum(w) AS bb,
+        sum(w * zb) / sum(w) AS bz FROM (SELECT * REPLACE (xb - CASE WHEN checkpoint_id % 31 = 0 THEN 60 ELSE 0 END AS xb) FROM pq) GROUP BY run_id, c, s)
+    SELECT run_id, true AS ok, k AS s, {_TRUTH}, round(bx - k * (c * ax - s * ay), 1) AS t0, round(bb - k * (s * ax + c * ay), 1) AS t1, round(bz - k * az, 1) AS t2, mode
+    FROM m, (VALUES ('umeyama', 1.25e0), ('rms', 1.25e0), ('rigid', 1.0e0)) t(mode, k)"""))
 def similarity_fits(spark, sf_dir):
-    pairs = _pairs(spark, sf_dir).filter("checkpoint_id % 31 <> 0")
+    pairs = _pairs(spark, sf_dir, wild=0.0)
     parts = [_shown(ops.fit(pairs, ["run_id"], F.col("weight"), mode), "run_id").withColumn("mode", F.lit(mode)) for mode in ("umeyama", "rms", "rigid")]
-    return r(parts[0].unionByName(parts[1]).unionByName(parts[2]), "s r0 r1 r3 t0 t1 t2", 4)
+    return r(r(parts[0].unionByName(parts[1]).unionByName(parts[2]), "s r0 r1 r3", 2), "t0 t1 t2", 1)
 
 
 @query("trimmed_similarity", "G11")
@@ -76,15 +84,31 @@ def huber_similarity(spark, sf_dir):
     return r(_shown(ops.huber_fit(_pairs(spark, sf_dir), ["run_id"], 0.5), "run_id"), "s r0 r1 r3 t0 t1 t2", 3)
 
 
-@query("quantile_similarity", "G11")
+@query("quantile_similarity", "G11", with_views("checkpoints", f"""WITH {_PAIRS}
+    SELECT DISTINCT run_id, true AS ok, 1.25e0 AS s, {_TRUTH}, 4.0e0 AS t0, -2.0e0 AS t1, 7.0e0 AS t2 FROM pq"""))
 def quantile_similarity(spark, sf_dir):
-    return r(_shown(ops.quantile_fit(_pairs(spark, sf_dir), ["run_id"]), "run_id"), "s r0 r1 r3 t0 t1 t2", 4)
+    out = _shown(ops.quantile_fit(_pairs(spark, sf_dir), ["run_id"]), "run_id")
+    return r(r(out, "s r0 r1 r3", 2), "t0 t1 t2", 1)
 
 
-@query("control_point_consensus", "G11")
+@query("control_point_consensus", "G11", with_views("checkpoints", f"""WITH {_PAIRS}
+    SELECT run_id, checkpoint_id, checkpoint_id % 31 <> 0 AS inlier, count(*) FILTER (checkpoint_id % 31 <> 0) OVER (PARTITION BY run_id) AS inliers,
+        true AS ok, 1.25e0 AS s, {_TRUTH}, 4.0e0 AS t0, -2.0e0 AS t1, 7.0e0 AS t2 FROM pq"""))
 def control_point_consensus(spark, sf_dir):
     out = ops.consensus_fit(_pairs(spark, sf_dir), ["run_id"], "checkpoint_id", 1.0)
-    return r(_shown(out, "run_id", "checkpoint_id", "inlier", "inliers"), "s r0 r1 r3 t0 t1 t2", 4)
+    return r(r(_shown(out, "run_id", "checkpoint_id", "inlier", "inliers"), "s r0 r1 r3", 2), "t0 t1 t2", 1)
+
+
+@query("control_point_report", "G11 G6", with_views("checkpoints", f"""WITH {_PAIRS},
+    i AS (SELECT * FROM pq WHERE checkpoint_id % 31 <> 0),
+    e AS (SELECT run_id, abs(zb - 1.25e0 * za - 7) AS d FROM i)
+    SELECT run_id, any_value(n) AS control_points, count(*) AS inliers, any_value(n) - count(*) AS outliers, round(sqrt(avg(d * d)), 2) AS fit_rmse_m,
+        round(max(d), 1) AS maximum_inlier_error_m, 25.0e0 AS scale_change_percent, count(*) >= 3 AS passes_fit_gate
+    FROM e JOIN (SELECT run_id, count(*) AS n FROM pq GROUP BY run_id) USING (run_id) GROUP BY run_id"""))
+def control_point_report(spark, sf_dir):
+    flagged = ops.consensus_fit(_pairs(spark, sf_dir), ["run_id"], "checkpoint_id", 1.0)
+    out = ops.consensus_report(flagged, ["run_id"], 1.0).drop("fit_median_error_m")
+    return r(r(r(out, "fit_rmse_m", 2), "maximum_inlier_error_m", 1), "scale_change_percent", 1)
 
 
 @query("half_sample_similarity", "G11")
