@@ -41,7 +41,7 @@ HEADLINE = (
 
 def main() -> None:
     from skyledger.plans import catalog
-    from skyledger.session import build_session
+    from skyledger.session import build_session, drop_steps
 
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
@@ -52,6 +52,7 @@ def main() -> None:
         start = time.perf_counter()
         catalog.QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         times[name] = round(time.perf_counter() - start, 3)
+        drop_steps(spark)
     print(json.dumps({
         "metric": "headline_query_seconds", "value": round(sum(times.values()), 3), "unit": "sec", "queries": times,
         "sf": os.path.basename(sf_dir.rstrip("/")).removeprefix("sf"),

@@ -180,15 +180,26 @@ def inside_ring(x: Column, y: Column, edges: Column) -> Column:
     return F.size(F.filter(edges, crosses)) % 2 == 1
 
 
-def ring_cells(outlines: DataFrame, res: float, x0: float = 0.0, y0: float = 0.0) -> DataFrame:
-    """Grid cells whose centre lies inside each outline."""
+def raster_extent(cells: DataFrame, by: list[str]) -> DataFrame:
+    """First and last column and row of each raster."""
+    return cells.groupBy(*by).agg(*[f(c).alias(f"_{f.__name__}_{c}") for c in ("col", "row") for f in (F.min, F.max)])
 
-    def span(axis: str, origin: float) -> Column:
+
+def ring_cells(
+    outlines: DataFrame, res: float, x0: float = 0.0, y0: float = 0.0, cells: DataFrame | None = None, by: list[str] | None = None
+) -> DataFrame:
+    """Grid cells whose centre lies inside each outline; with ``cells``, only those within their raster."""
+
+    def span(axis: str, origin: float, name: str) -> Column:
         values = F.transform("ring", lambda p: p[axis])
         lo, hi = F.floor((F.array_min(values) - origin) / res), F.floor((F.array_max(values) - origin) / res)
-        return F.explode(F.sequence(lo, hi))
+        if cells is not None:
+            lo, hi = F.greatest(lo, f"_min_{name}"), F.least(hi, f"_max_{name}")
+        return F.explode(F.when(lo <= hi, F.sequence(lo, hi)))
 
-    grid = outlines.withColumn("_edges", ring_edges()).withColumn("col", span("x", x0)).withColumn("row", span("y", y0)).drop("ring")
+    if cells is not None:
+        outlines = outlines.join(raster_extent(cells, by), by)
+    grid = outlines.withColumn("_edges", ring_edges()).withColumn("col", span("x", x0, "col")).withColumn("row", span("y", y0, "row")).drop("ring")
     grid = grid.withColumn("cx", x0 + (F.col("col") + 0.5) * res).withColumn("cy", y0 + (F.col("row") + 0.5) * res)
     return grid.filter(inside_ring(F.col("cx"), F.col("cy"), F.col("_edges"))).drop("_edges")
 
@@ -230,7 +241,7 @@ def _slopes(cells: DataFrame, by: list[str], res: float) -> DataFrame:
 
 
 def area_statistics(outlines: DataFrame, cells: DataFrame, by: list[str], key: str, res: float) -> DataFrame:
-    inside = ring_cells(outlines, res).select(*by, key, "col", "row")
+    inside = ring_cells(outlines, res, cells=cells, by=by).select(*by, key, "col", "row")
     h = F.col("z")
     rough = res * res * F.sqrt(1 + F.col("gx") * F.col("gx") + F.col("gy") * F.col("gy"))
     got = inside.join(_slopes(cells, by, res), [*by, "col", "row"], "left").groupBy(key).agg(
@@ -276,7 +287,7 @@ def cut_fill(outlines: DataFrame, cells: DataFrame, by: list[str], key: str, res
     planes = fit_planes(boundary_samples(outlines, cells, by, key, res), key)
     if base == "lowest":
         planes = planes.withColumn("a", F.lit(0.0)).withColumn("b", F.lit(0.0)).withColumn("c", F.col("lowest"))
-    inside = ring_cells(outlines, res).select(*by, key, "col", "row", "cx", "cy")
+    inside = ring_cells(outlines, res, cells=cells, by=by).select(*by, key, "col", "row", "cx", "cy")
     # an outline without boundary data measures from zero
     joined = inside.join(cells.select(*by, "col", "row", "z"), [*by, "col", "row"], "left").join(planes, key, "left").fillna(0.0, ["a", "b", "c"])
     d = F.col("z") - (F.col("a") * F.col("cx") + F.col("b") * F.col("cy") + F.col("c"))

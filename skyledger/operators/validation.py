@@ -20,6 +20,19 @@ def rms(v: Column) -> Column:
     return F.sqrt(F.avg(v * v))
 
 
+def geodetic_known(points: DataFrame, origin: tuple[float, float, float]) -> DataFrame:
+    """Fill blank known coordinates from ``known_latitude``, ``known_longitude``, ``known_altitude_m``, local to ``origin``.
+
+    A point with all three local coordinates keeps them; one with neither form stays blank and
+    is left out by measured_checkpoints().
+    """
+    local = [F.col(f"known_{a}_m") for a in "xyz"]
+    whole = local[0].isNotNull() & local[1].isNotNull() & local[2].isNotNull()
+    place = [F.col(f"known_{c}") for c in ("latitude", "longitude", "altitude_m")]
+    found = enu(*place, *map(F.lit, origin))
+    return points.withColumns({f"known_{a}_m": F.when(whole, v).otherwise(e) for a, v, e in zip("xyz", local, found)})
+
+
 def measured_checkpoints(points: DataFrame) -> DataFrame:
     """Signed, horizontal and 3-D errors; rows with a blank coordinate are left out."""
     needed = [f"{side}_{a}_m" for side in ("known", "reconstructed") for a in "xyz"]

@@ -19,8 +19,9 @@ _EDGES = """
         coalesce(lead(y) OVER w, first(y) OVER w) AS "by", coalesce(lead(z) OVER w, first(z) OVER w) AS bz
         FROM corners WINDOW w AS (PARTITION BY outline_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))"""
 _INSIDE = _EDGES + """,
-    bx AS (SELECT outline_id, scan_id, CAST(floor(min(x)) AS BIGINT) AS c0, CAST(floor(max(x)) AS BIGINT) AS c1, CAST(floor(min(y)) AS BIGINT) AS r0,
-        CAST(floor(max(y)) AS BIGINT) AS r1 FROM corners GROUP BY outline_id, scan_id),
+    ex AS (SELECT scan_id, min(col) AS cl, max(col) AS ch, min("row") AS rl, max("row") AS rh FROM cells GROUP BY scan_id),
+    bx AS (SELECT outline_id, scan_id, greatest(any_value(cl), CAST(floor(min(x)) AS BIGINT)) AS c0, least(any_value(ch), CAST(floor(max(x)) AS BIGINT)) AS c1,
+        greatest(any_value(rl), CAST(floor(min(y)) AS BIGINT)) AS r0, least(any_value(rh), CAST(floor(max(y)) AS BIGINT)) AS r1 FROM corners JOIN ex USING (scan_id) GROUP BY outline_id, scan_id),
     gr AS (SELECT outline_id, scan_id, col, unnest(range(r0, r1 + 1)) AS "row" FROM (SELECT *, unnest(range(c0, c1 + 1)) AS col FROM bx)),
     ins AS (SELECT g.outline_id, g.scan_id, g.col, g."row", g.col + 0.5e0 AS cx, g."row" + 0.5e0 AS cy FROM gr g JOIN ed e USING (outline_id)
         WHERE (ay > g."row" + 0.5e0) <> ("by" > g."row" + 0.5e0) AND g.col + 0.5e0 < (bx - ax) * (g."row" + 0.5e0 - ay) / ("by" - ay) + ax

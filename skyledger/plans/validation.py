@@ -44,6 +44,30 @@ def checkpoint_report(spark, sf_dir):
     return r(ops.checkpoint_report(view(spark, sf_dir, "checkpoints"), "run_id"), _CP)
 
 
+# Two thirds of the known points are given on the globe, a few of those without their height.
+_ON_GLOBE = """
+    SELECT run_id, checkpoint_id, CASE WHEN checkpoint_id % 3 = 0 THEN known_x_m END AS known_x_m, CASE WHEN checkpoint_id % 3 = 0 THEN known_y_m END AS known_y_m,
+        CASE WHEN checkpoint_id % 3 < 2 THEN known_z_m END AS known_z_m, 12.001e0 + known_y_m / 111000.0e0 AS known_latitude,
+        77.002e0 + known_x_m / 108000.0e0 AS known_longitude, CASE WHEN checkpoint_id % 17 <> 1 THEN 100.0e0 + known_z_m END AS known_altitude_m,
+        reconstructed_x_m, reconstructed_y_m, reconstructed_z_m FROM checkpoints"""
+_KNOWN = f"""gp AS ({_ON_GLOBE}),
+    gx AS (SELECT *, {", ".join(f"{e} AS x{i}" for i, e in enumerate(q.ecef('known_latitude', 'known_longitude', 'known_altitude_m')))},
+        {", ".join(f"{e} AS o{i}" for i, e in enumerate(q.ecef('12.001e0', '77.002e0', '100.0e0')))} FROM gp),
+    ge AS (SELECT *, {", ".join(f"{e} AS l{i}" for i, e in enumerate(q.enu_from_ecef('(x0 - o0)', '(x1 - o1)', '(x2 - o2)', '12.001e0', '77.002e0')))} FROM gx),
+    kp AS (SELECT run_id, checkpoint_id, {", ".join(f"CASE WHEN checkpoint_id % 3 = 0 THEN known_{a}_m ELSE l{i} END AS k{a}, reconstructed_{a}_m AS r{a}" for i, a in enumerate("xyz"))} FROM ge),
+    ke AS (SELECT *, rx - kx AS ex, ry - ky AS ey, rz - kz AS ez FROM kp WHERE kx + ky + kz + rx + ry + rz IS NOT NULL)"""
+
+
+@query("geodetic_checkpoint_report", "G6 P4", with_views("checkpoints", f"""WITH {_KNOWN}
+    SELECT run_id, count(*) AS checks, round(sqrt(avg(ex * ex + ey * ey + ez * ez)), 4) AS rmse_3d_m, round(avg(ex), 4) AS bias_x_m, round(avg(ey), 4) AS bias_y_m,
+        round(avg(ez), 4) AS bias_z_m, round(max(sqrt(ex * ex + ey * ey + ez * ez)), 4) AS maximum_3d_error_m FROM ke GROUP BY run_id"""))
+def geodetic_checkpoint_report(spark, sf_dir):
+    view(spark, sf_dir, "checkpoints").createOrReplaceTempView("checkpoints")
+    known = ops.geodetic_known(spark.sql(_ON_GLOBE), (12.001, 77.002, 100.0))
+    out = ops.checkpoint_report(known, "run_id")
+    return r(out.select("run_id", "checks", "rmse_3d_m", "bias_x_m", "bias_y_m", "bias_z_m", "maximum_3d_error_m"), "rmse_3d_m bias_x_m bias_y_m bias_z_m maximum_3d_error_m", 4)
+
+
 @query("checkpoint_uncertainty", "G6", with_views("checkpoints", """
     WITH u AS (SELECT run_id, CASE WHEN checkpoint_id % 3 = 0 THEN NULL ELSE (checkpoint_id % 10) / 100.0e0 END AS a,
         (checkpoint_id % 7) / 50.0e0 AS b, CASE WHEN checkpoint_id % 4 = 0 THEN (checkpoint_id % 9) / 40.0e0 END AS v FROM checkpoints)

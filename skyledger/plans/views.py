@@ -114,8 +114,8 @@ VIEWS = {
 # Drawn five-corner outlines, one per customer, over the four rasters of ``points``.
 VIEWS["corners"] = " UNION ALL ".join(
     f"""SELECT c_custkey AS outline_id, c_custkey % 4 AS scan_id, {i} AS i,
-        10.0e0 + c_custkey % 80 + (2.0e0 + c_custkey % 5) * {1.3 if i % 2 else 1.0}e0 * cos({i} * 1.25e0 + 0.1e0) AS x,
-        10.0e0 + c_custkey * 7 % 80 + (2.0e0 + c_custkey % 5) * {1.3 if i % 2 else 1.0}e0 * sin({i} * 1.25e0 + 0.1e0) AS y,
+        4.0e0 + c_custkey % 92 + (2.0e0 + c_custkey % 5) * {1.3 if i % 2 else 1.0}e0 * cos({i} * 1.25e0 + 0.1e0) AS x,
+        4.0e0 + c_custkey * 7 % 92 + (2.0e0 + c_custkey % 5) * {1.3 if i % 2 else 1.0}e0 * sin({i} * 1.25e0 + 0.1e0) AS y,
         c_acctbal / 1000.0e0 + {i} AS z FROM customer"""
     for i in range(5)
 )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -28,16 +30,35 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8) -> Spar
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names in ``spark.checkpoint.dir``; a scratch one only where unset."""
+    """The folder the cluster names in ``spark.checkpoint.dir``.
+
+    Where it is unset, a local session gets a scratch folder that goes with the process; any
+    other session is refused, as its executors would not see one another's files.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        sc.setCheckpointDir(folder)
     return sc.getCheckpointDir()
 
 
+def steps_folder(spark: SparkSession) -> str:
+    """Where this application keeps the steps of its iterations."""
+    return f"{shared_folder(spark)}/steps/{spark.sparkContext.applicationId}"
+
+
+def drop_steps(spark: SparkSession) -> None:
+    """Delete this application's steps, once nothing reads results that build on them."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(steps_folder(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write the rows to the shared folder and read them back.
 
@@ -45,6 +66,6 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     starts afresh with real file sizes, so later joins are sized well.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/steps/{uuid.uuid4().hex}"
+    path = f"{steps_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
