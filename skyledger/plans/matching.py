@@ -122,13 +122,13 @@ def gps_revisits(spark, sf_dir):
 
 
 @query("verified_components", "G23 U3", with_views("edges", """
-    WITH RECURSIVE n AS (SELECT a AS v FROM edges UNION SELECT b FROM edges), e AS (SELECT a, b FROM edges WHERE verified AND a % 7 <> 0 AND b % 7 <> 0 AND abs(a - b) < 12 UNION SELECT b, a FROM edges WHERE verified AND a % 7 <> 0 AND b % 7 <> 0 AND abs(a - b) < 12),
+    WITH RECURSIVE n AS (SELECT a AS v FROM edges UNION SELECT b FROM edges), e AS (SELECT a, b FROM edges WHERE verified UNION SELECT b, a FROM edges WHERE verified),
     r AS (SELECT v, v AS w FROM n UNION SELECT r.v, e.b FROM r JOIN e ON e.a = r.w)
     SELECT v AS node, min(w) AS label FROM r GROUP BY v"""))
 def verified_components(spark, sf_dir):
     edges = view(spark, sf_dir, "edges")
     nodes = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
-    links = edges.filter("verified and a % 7 <> 0 and b % 7 <> 0 and abs(a - b) < 12").select("a", "b")
+    links = edges.filter("verified").select("a", "b")
     return graphs.components(nodes, links, [], "node")
 
 
@@ -158,13 +158,13 @@ def match_graph_subset(spark, sf_dir):
 
 
 def mesh(spark, sf_dir):
-    """Triangles of a 15 x 15 sheet per 450 keys, with a ninth of the faces missing."""
+    """Triangles of a 15 x 15 sheet per 450 keys, with holes where keys are missing."""
     k = F.col("o_orderkey")
     f = k % 450
     q = F.floor(f / 2)
     corner = q % 15 + F.floor(q / 15) * 16
     upper = f % 2 == 1
-    faces = source(spark, sf_dir, "orders").filter("o_custkey % 9 <> 0").select(
+    faces = source(spark, sf_dir, "orders").select(
         F.floor(k / 450).alias("mesh_id"), k.alias("face_id"), F.when(upper, corner + 1).otherwise(corner).alias("a"),
         F.when(upper, corner + 17).otherwise(corner + 1).alias("b"), (corner + 16).alias("c"),
     )
@@ -177,7 +177,7 @@ def mesh(spark, sf_dir):
 
 _MESH = """
     fc AS (SELECT CAST(floor(o_orderkey / 450) AS BIGINT) AS mesh_id, o_orderkey AS face_id, o_orderkey % 2 AS up,
-        CAST(floor(o_orderkey % 450 / 2) AS BIGINT) % 15 + CAST(floor(floor(o_orderkey % 450 / 2) / 15) AS BIGINT) * 16 AS c FROM orders WHERE o_custkey % 9 <> 0),
+        CAST(floor(o_orderkey % 450 / 2) AS BIGINT) % 15 + CAST(floor(floor(o_orderkey % 450 / 2) / 15) AS BIGINT) * 16 AS c FROM orders),
     fa AS (SELECT mesh_id, face_id, CASE up WHEN 1 THEN c + 1 ELSE c END AS a, CASE up WHEN 1 THEN c + 17 ELSE c + 1 END AS b, c + 16 AS c FROM fc),
     vt AS (SELECT mesh_id, v, v % 16 + v % 3 * 0.05e0 AS x, floor(v / 16) AS y, v * 7 % 11 / 10.0e0 + CASE WHEN (v + mesh_id) % 97 = 0 THEN 30 ELSE 0 END AS z
         FROM (SELECT mesh_id, a AS v FROM fa UNION SELECT mesh_id, b FROM fa UNION SELECT mesh_id, c FROM fa)),

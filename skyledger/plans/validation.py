@@ -106,7 +106,7 @@ _GPS = _ASOF + f""",
     o AS (SELECT flight_id, arg_min(latitude, time_s) AS la, arg_min(longitude, time_s) AS lo, arg_min(altitude_m, time_s) AS al
           FROM mixed GROUP BY flight_id),
     xyz AS (SELECT mixed.*, la, lo, {", ".join(f"{e} AS x{i}" for i, e in enumerate(_ECEF))},
-        {", ".join(f"{e} AS o{i}" for i, e in enumerate(_ECEF0))} FROM mixed JOIN o USING (flight_id) WHERE frame_id % 7 <> 0),
+        {", ".join(f"{e} AS o{i}" for i, e in enumerate(_ECEF0))} FROM mixed JOIN o USING (flight_id)),
     res AS (SELECT flight_id, frame_id, horizontal_accuracy_m AS h, vertical_accuracy_m AS v,
         (frame_id % 613) * 1.08e0 - {_E} AS e, (frame_id % 997) * 1.1e0 - {_N} AS n, (frame_id % 17) * 1.0e0 - {_U} AS u FROM xyz),
     rs AS (SELECT *, sqrt(e * e + n * n + u * u) AS d,
@@ -116,7 +116,7 @@ _GPS = _ASOF + f""",
 
 def _residuals(spark, sf_dir):
     k = F.col("frame_id")
-    cameras = view(spark, sf_dir, "frames").filter("frame_id % 7 <> 0").select(
+    cameras = view(spark, sf_dir, "frames").select(
         "flight_id", "frame_id", (k % 613 * 1.08).alias("cx"), (k % 997 * 1.1).alias("cy"), (k % 17 * 1.0).alias("cz")
     )
     return ops.camera_residuals(frame_positions(spark, sf_dir), cameras, "flight_id")

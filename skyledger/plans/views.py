@@ -18,7 +18,7 @@ VIEWS = {
         SELECT user_id AS flight_id, event_id AS sample_id,
                (event_id * 37 + user_id * 11) % 7200 / 10.0e0 AS time_s_raw,
                CAST(event_id AS DOUBLE) / 10.0e0 AS time_s,
-               12.0e0 + (event_id % 997) * 0.00001e0 + (user_id % 7) * 0.001e0 AS latitude,
+               12.0e0 + (event_id % 997) * 0.00001e0 + (user_id % 7) * 0.001e0 + CASE WHEN event_id % 499 = 7 THEN 0.05e0 ELSE 0.0e0 END AS latitude,
                77.0e0 + (event_id % 613) * 0.00001e0 + (user_id % 5) * 0.001e0 AS longitude,
                100.0e0 + value / 10.0e0 AS altitude_m,
                CASE WHEN event_id % 4 = 0 THEN NULL ELSE (event_id % 50 + 1) / 20.0e0 END AS horizontal_accuracy_m,
@@ -32,7 +32,7 @@ VIEWS = {
         SELECT user_id AS flight_id, event_id AS frame_id, CAST(event_id AS DOUBLE) / 10.0e0 + 0.35e0 AS time_s,
                value AS sharpness, (event_id % 100) / 100.0e0 AS tracked_fraction,
                (event_id % 37) / 4.0e0 AS parallax_px, (event_id % 11) / 100.0e0 AS motion_fraction
-        FROM events WHERE event_id % 3 = 0""",
+        FROM events""",
     "points": """
         SELECT l_orderkey * 10 + l_linenumber AS point_id, l_suppkey % 4 AS scan_id,
                CASE WHEN l_linenumber % 2 = 1 THEN 'reconstruction' ELSE 'reference' END AS cloud,
@@ -83,7 +83,7 @@ VIEWS = {
     "stages": """
         SELECT event_id AS stage_id, user_id % 5 AS host_id, event_type AS category, event_id * 2.0e0 AS start_s,
                event_id * 2.0e0 + 10.0e0 + event_id % 50 AS end_s, value AS seconds
-        FROM events WHERE event_id % 20 = 0""",
+        FROM events""",
     # Flattened run reports; runs of one customer form a benchmark whose first run is the reference.
     "reports": """
         SELECT o_orderkey AS run_id, o_custkey AS benchmark_id,
