@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .common import sliced
-from .pieces import _BYTES, ByteLevelEncoder, load_tokenizer
+from .pieces import _BYTES, byte_encoder, load_tokenizer
 
 ESCAPE = "\x1b"
 BLOCK_TOKENS = 1 << 16
@@ -63,7 +63,7 @@ class ChatTemplate:
 
 def _encode(path: str, template: ChatTemplate):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = ByteLevelEncoder(path, plain_specials=True)
+        encoder = byte_encoder(path, plain_specials=True)
         for batch, texts in sliced(batches, "text"):
             roles = [r or "" for r in batch.column("role").to_pylist()]
             yield pa.RecordBatch.from_pydict({

@@ -134,3 +134,15 @@ class ByteLevelEncoder:
                 lines.append(start(begin) + b"".join(map(after, rest)))
             out.append(self.newline.join(lines))
         return out
+
+
+@functools.lru_cache(maxsize=1)
+def field_counter(path: str) -> FieldCounter:
+    """The worker's counter; its cache outlives a task."""
+    return FieldCounter(path)
+
+
+@functools.lru_cache(maxsize=1)
+def byte_encoder(path: str, width: int = 2, plain_specials: bool = False) -> ByteLevelEncoder:
+    """The worker's encoder; its caches outlive a task."""
+    return ByteLevelEncoder(path, width, plain_specials)

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..session import cut_lineage
 from .common import part_count, sliced
-from .pieces import FieldCounter, load_tokenizer
+from .pieces import field_counter, load_tokenizer
 
 CHUNK_CHARS = 1 << 15
 OVERLAP_CHARS = 256
@@ -146,7 +146,7 @@ def _huge_counts(huge: DataFrame, path: str, step: int, overlap: int) -> DataFra
 
 def _small_counts(path: str):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = FieldCounter(path)
+        counter = field_counter(path)
         for batch, texts in sliced(batches, "text"):
             out = batch.drop_columns(["text"])
             yield out.append_column("n_tokens", pa.array(counter.count(texts), pa.int64()))

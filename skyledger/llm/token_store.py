@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql import Window as W
 
 from .common import part_count, sliced
-from .pieces import ByteLevelEncoder
+from .pieces import byte_encoder
 
 DICT_BYTES = 64 << 10
 SAMPLE_DOCS = 2_000
@@ -52,7 +52,7 @@ def _encode(path: str, end_id: int, width: int, content: bytes, bounds: list):
     edges = np.array(bounds, dtype="int64")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = ByteLevelEncoder(path, width)
+        encoder = byte_encoder(path, width)
         packer = zstandard.ZstdCompressor(level=LEVEL, dict_data=_shared(content))
         for batch, texts in sliced(batches, "text"):
             ids = batch.column("id")
@@ -122,7 +122,7 @@ def write_store(
         steps = [i / parts for i in range(1, parts)]
         bounds = rows.agg(F.percentile_approx("id", steps, max(10_000, 20 * parts))).first()[0] or []
     sample_texts = [r[0] for r in rows.select(F.substring("text", 1, SAMPLE_CHARS)).limit(SAMPLE_DOCS).collect()]
-    content = train_dictionary(ByteLevelEncoder(path, width).encode(sample_texts))
+    content = train_dictionary(byte_encoder(path, width).encode(sample_texts))
     digest = hashlib.sha256(content).hexdigest()
     frames = rows.mapInArrow(_encode(path, end_id, width, content, bounds), "bucket int, id long, n long, frame binary")
     ordered = frames.repartition(2 * parts, "bucket").sortWithinPartitions("bucket", "id", "n", "frame")
