@@ -97,8 +97,7 @@ def last_before(
         F.struct(*probes.columns).alias("_probe"),
         F.lit(None).cast(left.schema["_row"].dataType).alias("_row"),
     )
-    line = left.unionByName(right).withColumn(
-        "_tie", F.to_json(F.struct(*[F.col("_probe")[c] for c in probe_id]))
-    )
-    found = ordered(line, keys, ["_t", "_kind", "_tie"], {"_last": last_known(F.col("_row"))}, hot=hot)
+    ties = {f"_tie_{i}": F.col("_probe")[c] for i, c in enumerate(probe_id)}
+    line = left.unionByName(right).withColumns(ties)
+    found = ordered(line, keys, ["_t", "_kind", *ties], {"_last": last_known(F.col("_row"))}, hot=hot)
     return found.filter("_kind = 1").select("_probe.*", *[F.col("_last")[f].alias(f) for f in fields])

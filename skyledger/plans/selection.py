@@ -197,12 +197,31 @@ def _loop_pairs(spark, sf_dir):
     ).filter("j - i > 10").groupBy("seq_id", "i", "j").agg(F.max("score").alias("score"))
 
 
-@query("loop_pair_suppression", "W12")
+_LOOPS = """
+    pr AS (SELECT seq_id, i, j, max(score) AS score FROM (SELECT l_orderkey % 8 AS seq_id, least(l_partkey % 500, l_suppkey * 17 % 500) AS i,
+        greatest(l_partkey % 500, l_suppkey * 17 % 500) AS j, l_extendedprice AS score FROM lineitem) WHERE j - i > 10 GROUP BY seq_id, i, j)"""
+
+
+@query("loop_pair_suppression", "W12", f"""WITH RECURSIVE {_LOOPS},
+    tp AS (SELECT seq_id, max(j) AS top FROM pr GROUP BY seq_id),
+    s AS (SELECT seq_id, CAST([] AS BIGINT[]) AS taken, CAST(NULL AS BIGINT) AS i, CAST(NULL AS BIGINT) AS j, CAST(NULL AS DOUBLE) AS score FROM tp
+        UNION ALL
+        SELECT seq_id, list_concat(taken, list_concat(range(greatest(0, i - 25), least(i + 25, j - 1) + 1), range(greatest(i + 1, j - 25), least(j + 25, top) + 1))), i, j, score FROM (
+            SELECT s.seq_id, s.taken, tp.top, p.i, p.j, p.score, row_number() OVER (PARTITION BY s.seq_id ORDER BY p.score DESC, p.i, p.j) AS k
+            FROM s JOIN tp USING (seq_id) JOIN pr p ON p.seq_id = s.seq_id WHERE NOT list_contains(s.taken, p.i) AND NOT list_contains(s.taken, p.j)) WHERE k = 1)
+    SELECT seq_id, j AS later, i AS earlier, score FROM s WHERE i IS NOT NULL""")
 def loop_pair_suppression(spark, sf_dir):
     return suppression.suppress_loop_pairs(_loop_pairs(spark, sf_dir), "seq_id", 25)
 
 
-@query("edge_thinning", "W13")
+@query("edge_thinning", "W13", f"""WITH RECURSIVE {_LOOPS},
+    ed AS (SELECT seq_id, i, j, score / 60.0e0 AS flow FROM pr WHERE j - i >= 30 AND score / 60.0e0 < 1000),
+    s AS (SELECT DISTINCT seq_id, j, CAST([] AS BIGINT[]) AS taken, CAST(NULL AS BIGINT) AS i, CAST(NULL AS DOUBLE) AS flow FROM ed
+        UNION ALL
+        SELECT seq_id, j, list_append(taken, i), i, flow FROM (
+            SELECT s.seq_id, s.j, s.taken, e.i, e.flow, row_number() OVER (PARTITION BY s.seq_id, s.j ORDER BY e.flow, e.i) AS k
+            FROM s JOIN ed e ON e.seq_id = s.seq_id AND e.j = s.j WHERE coalesce(list_min([abs(t - e.i) for t in s.taken]), 99) > 5) WHERE k = 1)
+    SELECT seq_id, i, j, flow FROM (SELECT *, row_number() OVER (PARTITION BY seq_id ORDER BY flow, i, j) AS place FROM s WHERE i IS NOT NULL) WHERE place <= 200""")
 def edge_thinning(spark, sf_dir):
     pairs = _loop_pairs(spark, sf_dir).select("seq_id", "i", "j", (F.col("score") / 60.0).alias("flow"))
     return suppression.thin_edges(pairs, "seq_id", 5, 200)

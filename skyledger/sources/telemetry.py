@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from urllib.parse import urlparse
+
 import re
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -55,8 +57,18 @@ def _first_filled(columns: list[str], logical: str) -> Column:
     )
 
 
+def _unreadable(columns: list[str], logical: str) -> Column:
+    """A filled cell of an exact alias that is no number."""
+    cells = [F.when(F.trim(F.col(f"`{c}`")) != "", F.trim(F.col(f"`{c}`"))) for c in _candidates(columns, logical)]
+    exact = len([c for c in columns if c.strip().lower() in ALIASES[logical]])
+    if logical in TEXT_FIELDS or not exact:
+        return F.lit(False)
+    strict = F.coalesce(*cells[:exact])
+    return F.coalesce(strict.isNotNull() & strict.try_cast("double").isNull(), F.lit(False))
+
+
 def read_csv(spark: SparkSession, path: str, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Telemetry rows from CSV; rows whose required fields do not parse are dropped."""
+    """Telemetry rows from CSV; rows with a number that does not parse, required or not, are dropped."""
     raw = spark.read.csv(path, header=True, encoding="UTF-8", quote='"', escape='"')
     for c in raw.columns:
         if c.startswith("﻿"):
@@ -65,6 +77,8 @@ def read_csv(spark: SparkSession, path: str, keep: tuple[str, ...] = ()) -> Data
     altitude = _candidates(columns, "altitude_m")
     datum = altitude_column_datum(F.lit(altitude[0])) if altitude else F.lit(None).cast("string")
     fields = [_first_filled(columns, name).alias(name) for name in ALIASES]
+    for name in ALIASES:
+        raw = raw.filter(~_unreadable(columns, name))
     out = raw.select(*[F.col(f"`{k}`") for k in keep], *fields).dropna(subset=list(REQUIRED))
     return out.withColumn("altitude_datum", F.coalesce("altitude_datum", datum))
 
@@ -107,8 +121,18 @@ def parse_subtitles(blocks: DataFrame, column: str = "block") -> DataFrame:
 
 
 def read_subtitles(spark: SparkSession, path: str) -> DataFrame:
-    """Splittable read at blank lines; a record with other blank-line forms is split again."""
-    lines = spark.read.option("lineSep", "\n\n").text(path)
+    """Splittable read at blank lines, of the ending each file uses; a record with other blank-line forms is split again."""
+    every = spark.read.option("lineSep", "\n").text(path)
+    ended = every.filter(F.col("value").endswith("\r")).select(F.col("_metadata.file_path").alias("f")).distinct().collect()
+    returns = {urlparse(r.f).path for r in ended}
+    lines = None
+    for ending, chosen in (("\n\n", False), ("\r\n\r\n", True)):
+        files = [f for f in every.inputFiles() if (urlparse(f).path in returns) == chosen]
+        if files:
+            part = spark.read.option("lineSep", ending).text(files)
+            lines = part if lines is None else lines.unionByName(part)
+    if lines is None:
+        lines = every.limit(0)
     pieces = F.explode(F.split(F.trim("value"), r"\r?\n\s*\r?\n"))
     return parse_subtitles(lines.select(pieces.alias("block")).filter(F.trim("block") != ""))
 
