@@ -178,7 +178,7 @@ def _mark(lexicon, bounds: list[int]):
                 "bucket": pa.array([s if f is None else f for s, f in zip(spots.tolist(), fixed)], pa.int32()),
                 "extra": pa.array([f is not None for f in fixed]), "at": batch.column("at"), "id": batch.column("id"),
                 "text": pa.array(texts, pa.string()),
-                "marks": pa.array([lexicon.value.signatures(t).tobytes() for t in texts], pa.binary()),
+                "marks": pa.array([lexicon.value.signatures(t).astype("<u2").tobytes() for t in texts], pa.binary()),
             })
 
     return mark
@@ -192,10 +192,10 @@ def _compare(lexicon, id_type: pa.DataType):
             _, i, text, marks = one
             half = len(text) // 2
             edited = text[: len(text) - half] + after[2][:half]
-            own, new = np.frombuffer(marks, "uint32"), lexicon.value.signatures(edited)
+            own, new = np.frombuffer(marks, "<u2"), lexicon.value.signatures(edited)
             return (
                 i, len(text), hashlib.sha256(edited.encode()).hexdigest(), as_text(own), as_text(new),
-                likeness(own, new), likeness(own, np.frombuffer(after[3], "uint32")),
+                likeness(own, new), likeness(own, np.frombuffer(after[3], "<u2")),
             )
 
         for batch in batches:
