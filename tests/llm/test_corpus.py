@@ -61,7 +61,7 @@ def test_components(spark):
     assert components(nothing(df)).count() == 0
 
 
-@pytest.mark.parametrize("rule", [Rule(4, 85), Rule(5, 80, long_list=2, block_nodes=3, frequent=2)])
+@pytest.mark.parametrize("rule", [Rule(4, 85), Rule(5, 80, long_list=2, block_nodes=3, frequent=2, name_bits=8)])
 def test_overlap_join_on_documents(spark, rule):
     rng = random.Random(8)
     base = prose(120, 40, 90).split()
