@@ -35,7 +35,7 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def sliced(batches: Iterator[pa.RecordBatch], text: str, max_chars: int = 4 << 20) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+def sliced(batches: Iterator[pa.RecordBatch], text: str, max_chars: int = 2 << 20) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Cut Arrow batches so that the texts of a slice hold about ``max_chars``; null texts become empty."""
     for batch in batches:
         texts = [t or "" for t in batch.column(text).to_pylist()]
