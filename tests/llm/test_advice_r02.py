@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from skyledger.llm.kneser_ney import thresholds
+from skyledger.llm.kneser_ney import quality, thresholds
+
+from .cases import prose
 
 
 def test_quality_limit_is_a_quantile(spark):
@@ -12,3 +14,13 @@ def test_quality_limit_is_a_quantile(spark):
     assert set(limits) == {"en", None}
     for limit in limits.values():
         assert sum((c + 60 * 0.5005) / (n + 60) > limit for _, c, n in rows) == 5
+
+
+def test_quality_of_a_language_with_few_labels(spark):
+    kinds = "doc_id long, text string, lang string"
+    for given in (1, 2):
+        rows = [(k, prose(40 + k % 30, k), "xx" if k < 300 else "yy") for k in range(340)]
+        labels = [(k, 1, 0) for k in range(300 + given)]
+        judged = quality(spark.createDataFrame(rows, kinds), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+        kept = [r["keep"] for r in judged.filter("lang = 'yy'").collect()]
+        assert len(kept) == 40 and sum(kept) >= 38
