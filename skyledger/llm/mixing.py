@@ -4,8 +4,9 @@ Documents are aggregated by membership pattern (the set of sources they belong t
 network has one node per pattern and per source, however many documents there are. A
 pattern's tokens can be sent once at no cost, a second time at cost 1 a token, and so on
 (convex repetition costs), to any of its sources, up to each source's quota. The flow of a
-pattern is then laid out along its documents in seeded order: whole documents are taken
-while they fit into the flow, and what is left goes to the largest documents beyond that fit.
+pattern is then laid out along its documents in seeded order: each document that fits into
+what is left of the flow is taken whole, any other is passed over, to the end of the order.
+Once few are left that may fit, those that fill the rest best are found by their possible sums.
 """
 
 from __future__ import annotations
@@ -22,7 +23,11 @@ from ..session import cut_lineage
 #: Patterns are metadata, one row each on the driver; more than this is a mistake in the membership column.
 MOST_PATTERNS = 100_000
 DOCS_A_BUCKET = 10_000
-TOP_UPS = 2
+#: So few documents that may still fit are walked through on the driver.
+FEW_DOCS = 20_000
+#: Bytes that the possible sums of them may hold.
+SUM_BYTES = 64 << 20
+FIRST, LAST = -(1 << 63), (1 << 63) - 1
 
 
 def fill_targets(sizes: dict, weights: dict, total: float, most: float) -> dict:
@@ -124,8 +129,8 @@ def _tidy(df: DataFrame, size: Column, members: Column, seed: int) -> DataFrame:
     )
 
 
-def _last_places(places: DataFrame, rest: DataFrame, docs: int) -> dict[str, tuple[int | None, int]]:
-    """Per pattern: the last place whose documents up to it fit into ``rest`` tokens, and what they hold."""
+def _first_misfits(places: DataFrame, rest: DataFrame, docs: int) -> dict[str, tuple[int, int]]:
+    """Per pattern that does not fit into ``rest`` tokens: what the documents before the first that does not fit hold, and its place."""
     bits = max(1, (-(-docs // DOCS_A_BUCKET)).bit_length())
     dealt = places.withColumn("_bucket", F.shiftright("_place", 64 - bits))
     sums = dealt.groupBy("_pattern", "_bucket").agg(F.sum("_size").alias("_sum"))
@@ -140,9 +145,76 @@ def _last_places(places: DataFrame, rest: DataFrame, docs: int) -> dict[str, tup
     upto = by_place.withColumn("_upto", F.col("_before") + F.sum("_sum").over(here))
     fits = F.col("_upto") <= F.col("rest")
     found = upto.groupBy("_pattern").agg(
-        F.max(F.when(fits, F.col("_place"))), F.max(F.when(fits, F.col("_upto"))), F.min("_place"), F.first("_before")
+        F.max(F.when(fits, F.col("_upto"))), F.first("_before"), F.min(F.when(~fits, F.col("_place")))
     )
-    return {r[0]: (r[1], r[2]) if r[1] is not None else (r[3] - 1, r[4]) for r in found.collect()}
+    return {r[0]: (r[2] if r[1] is None else r[1], r[3]) for r in found.collect()}
+
+
+def _best_sum(sizes: list[int], rest: int) -> tuple[list[int], int]:
+    """Positions of the sizes that fill ``rest`` best, and how many were looked at, as far as ``SUM_BYTES`` reach."""
+    sums, below = [1], (1 << (rest + 1)) - 1
+    for size in sizes:
+        if sums[-1] >> rest or len(sums) * (rest // 8 + 1) > SUM_BYTES:
+            break
+        sums.append((sums[-1] | sums[-1] << size) & below)
+    want, chosen = sums[-1].bit_length() - 1, []
+    for k in range(len(sums) - 1, 0, -1):
+        if not sums[k - 1] >> want & 1:
+            chosen.append(k - 1)
+            want -= sizes[k - 1]
+    return chosen, len(sums) - 1
+
+
+def _walk(units: list[tuple[int, int, int]], first: int, rest: int) -> list[tuple[int, int, int]]:
+    """Ranges as in ``fill_rests`` over (place, size of a document, size of all of the place), in order of place."""
+    ranges, gap, k = [], rest, 0
+    while k < len(units) and units[k][2] <= rest:
+        rest -= units[k][2]
+        k += 1
+    if k:
+        ranges.append((first, units[k - 1][0], gap))
+    units = [u for u in units[k:] if u[2] <= rest]
+    chosen, seen = _best_sum([u[2] for u in units], rest)
+    taken = [units[i] for i in chosen]
+    rest -= sum(u[2] for u in taken)
+    for u in units[seen:]:
+        if u[2] <= rest:
+            taken.append(u)
+            rest -= u[2]
+    return ranges + [(place, place, one) for place, one, _ in taken]
+
+
+def fill_rests(places: DataFrame, rest: dict[str, int], docs: int) -> dict[str, list[tuple[int, int, int]]]:
+    """Per pattern the ranges (first place, last place, gap) whose documents of at most ``gap`` tokens are taken.
+
+    Each round takes, of the documents that fit into what is left, all before the first that no
+    longer does; the next goes on behind that one, and what it passes over fits no later gap either.
+    """
+    spark = places.sparkSession
+    ranges: dict = defaultdict(list)
+    left = {p: (FIRST, n) for p, n in rest.items() if n}
+    while left:
+        gaps = spark.createDataFrame([(p, first, n) for p, (first, n) in left.items()], "_pattern string, first long, rest long")
+        fit = places.join(F.broadcast(gaps), "_pattern").filter("_place >= first and _size > 0 and _size <= rest")
+        fit = fit.select("_pattern", "_place", "_size")
+        few = fit.limit(FEW_DOCS + 1).collect()
+        if len(few) <= FEW_DOCS:
+            units: dict = defaultdict(dict)
+            for p, place, size in few:
+                units[p][place] = (size, units[p].get(place, (0, 0))[1] + size)
+            for p, found in units.items():
+                ranges[p] += _walk([(place, *found[place]) for place in sorted(found)], *left[p])
+            break
+        misfits = _first_misfits(fit, gaps.select("_pattern", "rest"), docs)
+        for p, (first, n) in list(left.items()):
+            held, place = misfits.get(p, (n, LAST + 1))
+            if held:
+                ranges[p].append((first, place - 1, n))
+            if held < n and place < LAST:
+                left[p] = (place + 1, n - held)
+            else:
+                del left[p]
+    return ranges
 
 
 def mix_sources(
@@ -180,35 +252,17 @@ def mix_sources(
     flow = {r["_pattern"]: sum(f for _, f in sent.get(tuple(r["m"]), [])) for r in rows}
     every = {r["_pattern"]: flow[r["_pattern"]] // r["n"] if r["n"] else 0 for r in rows}
     rest = {r["_pattern"]: flow[r["_pattern"]] % r["n"] if r["n"] else 0 for r in rows}
-    some = [(p, n) for p, n in rest.items() if n]
-    upto: dict = {}
-    extra: dict = defaultdict(list)
-    if some:
-        upto = _last_places(places, spark.createDataFrame(some, "_pattern string, rest long"), sum(r["docs"] for r in rows))
-        for _ in range(TOP_UPS):
-            # What is still missing goes to the largest document beyond that fits into it.
-            missing = [(p, rest[p] - held, place, extra[p] or [place]) for p, (place, held) in upto.items() if rest[p] > held]
-            if not missing:
-                break
-            gaps = spark.createDataFrame(missing, "_pattern string, gap long, upto long, used array<long>")
-            beyond = places.join(F.broadcast(gaps), "_pattern").filter(
-                (F.col("_place") > F.col("upto")) & ~F.array_contains("used", F.col("_place"))
-            ).groupBy("_pattern", "_place", "gap").agg(F.sum("_size").alias("_size")).filter("_size > 0 and _size <= gap")
-            best = beyond.groupBy("_pattern").agg(F.max(F.struct("_size", "_place")).alias("b")).collect()
-            for r in best:
-                place, held = upto[r["_pattern"]]
-                upto[r["_pattern"]] = (place, held + r["b"][0])
-                extra[r["_pattern"]].append(r["b"][1])
+    ranges = fill_rests(places, rest, sum(r["docs"] for r in rows))
     plan = spark.createDataFrame(
         [
-            (r["_pattern"], every[r["_pattern"]], upto.get(r["_pattern"], (None, 0))[0], extra[r["_pattern"]],
+            (r["_pattern"], every[r["_pattern"]], ranges.get(r["_pattern"], []),
              [(s, sizes[s], float(targets[s])) for s in r["m"]])
             for r in rows
         ],
-        "_pattern string, _every long, _upto long, _extra array<long>, "
+        "_pattern string, _every long, _ranges array<struct<first:long,last:long,gap:long>>, "
         "parts array<struct<source:string,source_size:long,target:double>>",
     )
-    chosen = (F.col("_place") <= F.col("_upto")) | F.array_contains("_extra", F.col("_place"))
+    chosen = F.exists("_ranges", lambda r: F.col("_place").between(r["first"], r["last"]) & (F.col("_size") <= r["gap"]))
     times = F.when(F.col("_size") > 0, F.col("_every") + F.when(chosen, 1).otherwise(0)).otherwise(0)
     new = ("size", "taken", "copies", "parts")
     # One row per pattern, and their number is checked above.

@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import random
+from collections import Counter
+
+from pyspark.sql import functions as F
+
+from skyledger.llm import mixing
 from skyledger.llm.kneser_ney import quality, thresholds
 
 from .cases import prose
@@ -24,3 +30,20 @@ def test_quality_of_a_language_with_few_labels(spark):
         judged = quality(spark.createDataFrame(rows, kinds), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
         kept = [r["keep"] for r in judged.filter("lang = 'yy'").collect()]
         assert len(kept) == 40 and sum(kept) >= 38
+
+
+def test_mix_leaves_no_document_that_fits(spark, monkeypatch):
+    rng = random.Random(5)
+    rows = [(k, "abc"[k % 3], rng.choice((1, 2, 7, 40, 900, 5000))) for k in range(600)]
+    rows += [(k, s, n) for k, s, n in rows[:90]] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, source string, words long")
+    for few in (20_000, 100, 0):
+        monkeypatch.setattr(mixing, "FEW_DOCS", few, raising=False)
+        got = mixing.mix_sources(docs, F.col("words"), F.array("source"), mixing.cycle_weights(5, 2, 1), seed=3).collect()
+        times = Counter(r["doc_id"] for r in got)
+        for s in "abc":
+            mine = [r for r in got if r["source"] == s]
+            gap = round(mine[0]["parts"][0]["target"]) - sum(r["taken"] for r in mine)
+            least = min(r["copies"] for r in mine)
+            open_ = [r["size"] * times[r["doc_id"]] for r in mine if r["copies"] == least < 2]
+            assert gap >= 0 and (not gap or gap < min(open_, default=1 << 60))
