@@ -15,6 +15,7 @@ from .block_topk import block_topk
 from .chat import chat_digests, format_chats
 from .imatch import build_lexicon, compare_with_edits
 from .kneser_ney import quality
+from .merkle import merkle_manifest
 from .mixing import cycle_weights, mix_sources
 from .overlap_join import Rule, overlap_join
 from .packing import pack_documents
@@ -119,3 +120,65 @@ def op10_kneser_ney_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     judged = quality(docs, table(spark, sf_dir, "labels"))
     return judged.select("doc_id", "lang", "perplexity", "limit", "keep")
+
+
+@_query
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document proven by its siblings, half of them from a text without its line ends."""
+    told = F.when(F.crc32(F.col("doc_id").cast("string")) % 2 == 0, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    return merkle_manifest(table(spark, sf_dir, "documents"), {"text": told})
+
+
+def _leaf_sql(text: str) -> str:
+    return "sha256(" + " || ".join(
+        f"case when {c} is null then '-' else strlen({c}::varchar)::varchar || ':' || {c}::varchar end"
+        for c in ("doc_id", "source", "lang", "n_chars", text)
+    ) + ")"
+
+
+ORACLES["op12_merkle_manifest"] = f"""
+with recursive crc as (
+    select list(list_reduce(range(8)::bigint[], lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end, i::bigint)
+                order by i) as t
+    from range(256) r(i)
+), told as (
+    select d.*, case when xor(list_reduce([ord(x)::bigint for x in string_split(doc_id::varchar, '')],
+            lambda c, b: xor(c >> 8, t[1 + (xor(c, b) & 255)]), 4294967295::bigint), 4294967295::bigint) % 2 = 0
+        then replace(text, chr(10), '') else text end as held
+    from documents d, crc
+), leaves as (
+    select doc_id, coalesce('=' || source, '') as g, {_leaf_sql("text")} as leaf, {_leaf_sql("held")} as told from told
+), placed as (
+    select *, row_number() over () as rid, row_number() over (partition by g order by doc_id nulls first, leaf) - 1 as pos,
+           count(*) over (partition by g) as n
+    from leaves
+), tree as (
+    select g, 0 as lvl, pos, n, leaf as h from placed
+    union all
+    select g, lvl + 1, pos // 3, (n + 2) // 3, sha256(string_agg(h, '' order by pos)) from tree where n > 1 group by g, lvl, pos // 3, n
+), tops as (
+    select g, row_number() over (order by g) - 1 as pos, count(*) over () as n, h from tree where n = 1
+), top_tree as (
+    select 0 as lvl, pos, n, h from tops
+    union all
+    select lvl + 1, pos // 3, (n + 2) // 3, sha256(string_agg(h, '' order by pos)) from top_tree where n > 1 group by lvl, pos // 3, n
+), up as (
+    select rid, g, 0 as lvl, pos, n, told as folded, '' as proof from placed
+    union all
+    select u.rid, u.g, u.lvl + 1, u.pos // 3, (u.n + 2) // 3,
+           sha256(string_agg(case when s.pos = u.pos then u.folded else s.h end, '' order by s.pos)),
+           u.proof || coalesce(string_agg(s.h, '' order by s.pos) filter (s.pos <> u.pos), '')
+    from up u join tree s on s.g = u.g and s.lvl = u.lvl and s.pos // 3 = u.pos // 3 where u.n > 1
+    group by u.rid, u.g, u.lvl, u.pos, u.n, u.folded, u.proof
+), top_up as (
+    select u.rid, 0 as lvl, t.pos, t.n, u.folded, u.proof, t.h as subroot from up u join tops t on t.g = u.g where u.n = 1
+    union all
+    select u.rid, u.lvl + 1, u.pos // 3, (u.n + 2) // 3,
+           sha256(string_agg(case when s.pos = u.pos then u.folded else s.h end, '' order by s.pos)),
+           u.proof || coalesce(string_agg(s.h, '' order by s.pos) filter (s.pos <> u.pos), ''), u.subroot
+    from top_up u join top_tree s on s.lvl = u.lvl and s.pos // 3 = u.pos // 3 where u.n > 1
+    group by u.rid, u.lvl, u.pos, u.n, u.folded, u.proof, u.subroot
+)
+select p.doc_id, p.leaf, u.subroot, r.h as root, sha256(u.proof) as proof_sha256, u.folded as folded_root, u.folded = r.h as verified
+from placed p join top_up u on u.rid = p.rid and u.n = 1, (select h from top_tree where n = 1) r
+"""
