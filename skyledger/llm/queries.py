@@ -15,6 +15,8 @@ from .block_topk import block_topk
 from .chat import chat_digests, format_chats
 from .imatch import build_lexicon, compare_with_edits
 from .kneser_ney import quality
+from .language_id import UNKNOWN, identify
+from .lexical import ranked_search
 from .merkle import merkle_manifest
 from .mixing import cycle_weights, mix_sources
 from .overlap_join import Rule, overlap_join
@@ -122,6 +124,17 @@ def op10_kneser_ney_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "lang", "perplexity", "limit", "keep")
 
 
+@_query
+def op11_nearest_centroid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's language; a rejected one keeps its nearest language here and is marked."""
+    docs = table(spark, sf_dir, "documents")
+    held_out = lambda i: F.coalesce(F.crc32(i.cast("string")) % 4 == 2, F.lit(False))
+    found = identify(docs, F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+    return found.select(
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), F.coalesce("nearest", F.lit(UNKNOWN)).alias("lang_pred"), "score", "rejected"
+    )
+
+
 @_query
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document proven by its siblings, half of them from a text without its line ends."""
@@ -182,3 +195,37 @@ with recursive crc as (
 select p.doc_id, p.leaf, u.subroot, r.h as root, sha256(u.proof) as proof_sha256, u.folded as folded_root, u.folded = r.h as verified
 from placed p join top_up u on u.rid = p.rid and u.n = 1, (select h from top_tree where n = 1) r
 """
+
+
+@_query
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents of every benchmark item."""
+    return ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
+_TERMS_SQL = r"""regexp_extract_all(translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"""
+
+ORACLES["op13_ranked_search"] = f"""
+with doc as (
+    select row_number() over () as d, doc_id, {_TERMS_SQL.format(text="text")} as terms from documents
+), sized as (select d, doc_id, len(terms)::bigint as n from doc where len(terms) > 0
+), corpus as (select count(*)::bigint as n_docs, sum(n)::bigint as all_terms from sized
+), occurs as (
+    select d, term, count(*)::bigint as tf from (select d, unnest(terms) as term from doc) group by d, term
+), freq as (select term, count(*)::bigint as df from occurs group by term
+), item as (
+    select row_number() over () as i, item_id, {_TERMS_SQL.format(text="text")} as terms from benchmark
+), asked as (
+    select i, item_id, term, count(*)::bigint as times from (select i, item_id, unnest(terms) as term from item) group by i, item_id, term
+), weights as (
+    select term, floor(1000 * ln((2 * n_docs + 2)::double / (2 * df + 1)))::bigint as w from freq, corpus
+), scored as (
+    select i, item_id, doc_id, d,
+           sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + (75 * n * n_docs) // all_terms))))::bigint as score
+    from asked join occurs using (term) join weights using (term) join sized using (d), corpus
+    group by i, item_id, doc_id, d
+)
+select item_id, row_number() over (partition by i order by score desc, doc_id nulls last)::integer as rank, doc_id, score
+from scored where score > 0 qualify rank <= 10
+"""
