@@ -21,7 +21,7 @@ from pyspark.sql import Window as W
 from ..session import cut_lineage
 
 FANOUT = 3
-PART_ROWS = 500_000
+PART_ROWS = 200_000
 STEP = "array<struct<before: string, after: string>>"
 
 
