@@ -1,263 +1,278 @@
 """Quality by an interpolated modified Kneser-Ney n-gram model of trusted text.
 
-Tokens are character classes, of which there are at most 64, with marks for a word that
-repeats the one before and for a word without lower-case letters. Every trusted text is
-counted; n-gram counts are pre-aggregated in each task, then sharded by hash. All
+Tokens are the characters of the text as they stand, up to 32,766 different ones (the most
+frequent of the trusted texts; others count as one unknown character). Every trusted text is
+counted; n-gram counts are pre-aggregated in each task, then sharded by n-gram. All
 statistics of the model come from joins of the count tables: continuation counts from the
 next longer n-grams, the three discounts of each order from its counts of counts, and the
-interpolation weight of a context from its followers. As the alphabet is bounded, so is the
-finished table (64 to the power of the order at most), whatever the corpus: that is the
-proven bound under which scoring tasks hold it.
+interpolation weight of a context from its followers. No table of the model is collected,
+broadcast or laid out whole; it grows with the trusted text and stays in shards.
+
+Documents meet it by joins too. They are dealt evenly into groups of bounded text, each group
+asks once for every n-gram it holds, the different n-grams asked are priced by joins with the
+probability and back-off shards, order by order, and the prices return to their groups, where
+the documents add them up. The text is shuffled once: both readers share that exchange.
 
 A document's score is its mean negative log-probability per token, drawn towards that of its
 language by a few tokens' worth, as short texts vary more. It is rejected above a threshold
 its language sets itself: a quantile of trusted texts, each scored by a model that has not
-counted it (the trusted texts are dealt into folds, and each fold is held out in turn).
+counted it. Those models are the same counts without one fold's, kept apart by a column.
 """
 
 from __future__ import annotations
 
 import functools
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import cut_lineage
-from .common import sliced
+from .common import part_count, sliced
 
 ORDER = 4
-BITS = 6
+BITS = 15
 PRIOR_TOKENS = 60
-FOLDS = 4
+FOLDS = 2
 QUANTILE = 0.995
 HELD_TOKENS = 1 << 21
+GROUP_BYTES = 16 << 20
+SLICE_CHARS = 1 << 20
 BROADCAST_LABELS = 4_000_000
 
-START, SPACE, NEWLINE, DIGIT, REPEAT, SHOUT, UPPER_OTHER, LOWER_OTHER, MARK_OTHER = range(9)
-_LETTERS = "abcdefghijklmnopqrstuvwxyz"
-_FIRST_LETTER = 9
-_PUNCTUATION = ".,;:!?-'\"()"
-_FIRST_PUNCTUATION = _FIRST_LETTER + 26
-_CAPITAL = _FIRST_PUNCTUATION + len(_PUNCTUATION)
-#: Letters beyond a-z share so many classes by code point.
-_FOREIGN, _FOREIGN_CLASSES = _CAPITAL + 1, 16
-assert _FOREIGN + _FOREIGN_CLASSES <= 1 << BITS
-
-
-@functools.lru_cache(maxsize=1)
-def _class_table() -> np.ndarray:
-    """Class of every code point of the basic plane; capitals have the class of their small letter."""
-    table = np.full(1 << 16, MARK_OTHER, "uint8")
-    for code in range(1 << 16):
-        ch = chr(code)
-        if ch.isalpha():
-            small = ch.lower()
-            if small in _LETTERS:
-                table[code] = _FIRST_LETTER + _LETTERS.index(small)
-            else:
-                table[code] = _FOREIGN + ord(small[0]) % _FOREIGN_CLASSES
-        elif ch.isdigit():
-            table[code] = DIGIT
-        elif ch in _PUNCTUATION:
-            table[code] = _FIRST_PUNCTUATION + _PUNCTUATION.index(ch)
-        elif ch == "\n":
-            table[code] = NEWLINE
-        elif ch.isspace():
-            table[code] = SPACE
-    return table
+#: The model of all folds; model k is without fold k.
+WHOLE = -1
+START, UNKNOWN, FIRST_TOKEN = 0, 1, 2
+_CODES = 0x110000
 
 
-_REPEATED, _SHOUTED = "\ue000", "\ue001"
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
 
 
-def marked(text: str) -> str:
-    """The text with one mark for each word that repeats the one before, its space included, and one before a word of capitals."""
-    words = text.split(" ")
-    out, last = [words[0]], words[0]
-    for w in words[1:]:
-        if w == last and w:
-            out.append(_REPEATED)
-        elif len(w) > 2 and w.isupper():
-            out.append(" " + _SHOUTED + w)
-        else:
-            out.append(" " + w)
-        last = w
-    return "".join(out)
-
-
-def token_ids(text: str) -> np.ndarray:
-    codes = np.frombuffer(marked(text).encode("utf-32-le", "surrogatepass"), "<u4")
-    low = np.minimum(codes, 0xFFFF).astype("uint16")
-    ids = _class_table()[low]
-    ids[low == ord(_REPEATED)] = REPEAT
-    ids[low == ord(_SHOUTED)] = SHOUT
-    return ids
-
-
-def ngram_ids(ids: np.ndarray, order: int) -> np.ndarray:
-    """One number per token: the token and the ``order`` - 1 before it, the text begun by start marks."""
-    padded = np.concatenate([np.full(order - 1, START, "int64"), ids.astype("int64")])
-    out = np.zeros(len(ids), "int64")
-    for k in range(order):
-        out = out << BITS | padded[k : k + len(ids)]
-    return out
+def _character_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held = np.zeros(_CODES, "int64")
+    for _, texts in sliced(batches, "text"):
+        held += np.bincount(_codes("".join(texts)), minlength=_CODES)
+    some = np.flatnonzero(held)
+    yield pa.RecordBatch.from_pydict({"code": pa.array(some, pa.int64()), "n": pa.array(held[some], pa.int64())})
+
+
+def alphabet(texts: DataFrame) -> np.ndarray:
+    """The code points that have tokens of their own, by number; at most 2 to the power of ``BITS``, less two."""
+    counts = texts.select("text").mapInArrow(_character_counts, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    rows = counts.orderBy(F.desc("n"), "code").limit((1 << BITS) - FIRST_TOKEN).collect()
+    return np.array([r["code"] for r in rows], "int64")
+
+
+@functools.lru_cache(maxsize=2)
+def _token_table(letters: bytes) -> np.ndarray:
+    found = np.frombuffer(letters, "<i8")
+    table = np.full(_CODES, UNKNOWN, "int64")
+    table[found] = np.arange(FIRST_TOKEN, FIRST_TOKEN + len(found))
+    return table
 
 
-def _counts(order: int):
-    size = 1 << (BITS * order)
+class Tokens:
+    """Texts as n-gram numbers: the token and those before it, each text begun by start marks."""
 
+    def __init__(self, letters: np.ndarray, order: int):
+        self.letters, self.order = letters.astype("<i8").tobytes(), order
+
+    @property
+    def kinds(self) -> int:
+        """Tokens that may follow: the letters and the unknown one."""
+        return len(self.letters) // 8 + 1
+
+    def grams(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The n-grams of all texts in a row, and how many each has."""
+        lengths = np.array([len(t) for t in texts], "int64")
+        lead = self.order - 1
+        ids = _token_table(self.letters)[_codes("".join(texts))]
+        # Each text stands behind its own start marks; the places of the marks are dropped again.
+        padded = np.full(len(ids) + lead * (len(texts) + 1), START, "int64")
+        owner = np.repeat(np.arange(1, len(texts) + 1), lengths)
+        places = np.arange(len(ids)) + lead * owner
+        padded[places] = ids
+        out = np.zeros(len(ids), "int64")
+        for k in range(lead, -1, -1):
+            out = out << BITS | padded[places - k]
+        return out, lengths
+
+
+def _counts(tokens):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams, totals, held, n = np.zeros(0, "int64"), np.zeros(0, "int64"), [], 0
-
-        def folded():
-            found, counts = np.unique(np.concatenate(held), return_counts=True) if held else (grams[:0], totals[:0])
-            names, at = np.unique(np.concatenate([grams, found]), return_inverse=True)
-            sums = np.bincount(at, weights=np.concatenate([totals, counts]).astype("float64"), minlength=len(names))
-            return names, sums.astype("int64")
-
-        for _, texts in sliced(batches, "text"):
-            for text in texts:
-                held.append(ngram_ids(token_ids(text), order))
-                n += len(held[-1])
+        held, n = defaultdict(list), 0
+
+        def out():
+            for fold, grams in held.items():
+                found, counts = np.unique(np.concatenate(grams), return_counts=True)
+                yield pa.RecordBatch.from_pydict({
+                    "fold": pa.array([fold] * len(found), pa.int32()), "gram": pa.array(found, pa.int64()), "n": pa.array(counts, pa.int64())
+                })
+
+        for batch, texts in sliced(batches, "text", SLICE_CHARS):
+            folds = np.asarray(batch.column("fold"))
+            for fold in np.unique(folds).tolist():
+                held[fold].append(tokens.value.grams([t for t, f in zip(texts, folds) if f == fold])[0])
+                n += len(held[fold][-1])
             if n > HELD_TOKENS:
-                grams, totals = folded()
-                held, n = [], 0
-        grams, totals = folded()
-        assert len(grams) <= size
-        yield pa.RecordBatch.from_pydict({"gram": pa.array(grams, pa.int64()), "n": pa.array(totals, pa.int64())})
+                yield from out()
+                held.clear()
+                n = 0
+        yield from out()
 
     return count
 
 
-def _discounts(counts: DataFrame) -> list[float]:
-    """Discounts of n-grams counted once, twice and more often, from the counts of counts; kept within (0, count)."""
-    seen = {r[0]: r[1] for r in counts.groupBy(F.least("n", F.lit(5)).alias("k")).agg(F.count(F.lit(1))).collect()}
-    n1, n2, n3, n4 = (max(1, seen.get(k, 0)) for k in (1, 2, 3, 4))
-    y = n1 / (n1 + 2 * n2)
-    raw = (1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3)
-    return [min(max(d, 0.1), k - 0.1) for k, d in enumerate(raw, 1)]
+def _counted(texts: DataFrame, tokens) -> DataFrame:
+    """(fold, gram, n) of ``texts`` (fold, text)."""
+    counts = texts.select("fold", "text").mapInArrow(_counts(tokens), "fold int, gram long, n long")
+    return cut_lineage(counts.groupBy("fold", "gram").agg(F.sum("n").alias("n")))
 
 
-def train(texts: DataFrame, order: int = ORDER, text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """The model as (gram, order, p) and (context, order, backoff): probabilities of seen n-grams and weights of contexts.
+def _by_model(counts: DataFrame, folds: list[int]) -> DataFrame:
+    """(model, gram, n): the counts of all folds as one model, and per fold those of the others."""
+    models = F.array(F.lit(WHOLE), *[F.when(F.col("fold") != k, F.lit(k)) for k in folds])
+    each = counts.select(F.explode(F.array_compact(models)).alias("model"), "gram", "n")
+    return cut_lineage(each.groupBy("model", "gram").agg(F.sum("n").alias("n")))
 
-    No trusted text at all gives empty tables, and every token then has the uniform probability.
-    """
-    return _model(_counted(texts.select(F.col(text_col).alias("text")), order), order)
 
+def _discounts(counts: DataFrame) -> dict[int, list[float]]:
+    """Per model the discounts of n-grams counted once, twice and more often, from the counts of counts; kept within (0, count)."""
+    seen: dict[int, dict] = defaultdict(dict)
+    for r in counts.groupBy("model", F.least("n", F.lit(5)).alias("k")).agg(F.count(F.lit(1)).alias("m")).collect():
+        seen[r["model"]][r["k"]] = r["m"]
+    out = {}
+    for model, found in seen.items():
+        n1, n2, n3, n4 = (max(1, found.get(k, 0)) for k in (1, 2, 3, 4))
+        y = n1 / (n1 + 2 * n2)
+        raw = (1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3)
+        out[model] = [min(max(d, 0.1), k - 0.1) for k, d in enumerate(raw, 1)]
+    return out
 
-def _counted(texts: DataFrame, order: int) -> DataFrame:
-    return cut_lineage(_summed(texts.mapInArrow(_counts(order), "gram long, n long")))
 
+def _low(gram: Column, tokens: int) -> Column:
+    return gram.bitwiseAND(F.lit((1 << (BITS * tokens)) - 1))
 
-def _summed(counts: DataFrame) -> DataFrame:
-    return counts.groupBy("gram").agg(F.sum("n").alias("n"))
 
+def train(counts: DataFrame, order: int, kinds: int) -> tuple[DataFrame, DataFrame]:
+    """The models of ``counts`` (model, gram, n) as (model, order, gram, p) and (model, order, context, backoff).
 
-def _model(counts: DataFrame, order: int) -> tuple[DataFrame, DataFrame]:
-    """The two tables of ``train`` from the counts (gram, n) of the highest order."""
+    These are the probabilities of the n-grams seen and the weights of the contexts seen. No
+    counts give empty tables, and every token then has the uniform probability.
+    """
     levels = {order: counts}
     for k in range(order - 1, 0, -1):
         # Below the highest order an n-gram counts the distinct tokens seen before it.
-        shorter = F.col("gram").bitwiseAND(F.lit((1 << (BITS * k)) - 1))
-        levels[k] = cut_lineage(levels[k + 1].groupBy(shorter.alias("gram")).agg(F.count(F.lit(1)).alias("n")))
+        levels[k] = cut_lineage(levels[k + 1].groupBy("model", _low(F.col("gram"), k).alias("gram")).agg(F.count(F.lit(1)).alias("n")))
     probabilities = weights = None
     for k in range(1, order + 1):
-        d1, d2, d3 = _discounts(levels[k])
-        off = F.when(F.col("n") == 1, d1).when(F.col("n") == 2, d2).otherwise(d3)
-        context = F.shiftright("gram", BITS)
-        per = levels[k].groupBy(context.alias("context")).agg(
+        off = F.lit(0.0)
+        for model, (d1, d2, d3) in _discounts(levels[k]).items():
+            off = F.when(F.col("model") == model, F.when(F.col("n") == 1, d1).when(F.col("n") == 2, d2).otherwise(d3)).otherwise(off)
+        per = levels[k].groupBy("model", F.shiftright("gram", BITS).alias("context")).agg(
             F.sum("n").cast("double").alias("total"), F.sum(off).alias("mass")
         )
         per = per.withColumn("backoff", F.col("mass") / F.col("total"))
-        seen = levels[k].withColumn("context", context).join(per, "context")
+        seen = levels[k].withColumn("context", F.shiftright("gram", BITS)).join(per, ["model", "context"])
         own = F.greatest(F.col("n") - off, F.lit(0.0)) / F.col("total")
         if k == 1:
-            level = seen.select("gram", (own + F.col("backoff") / (1 << BITS)).alias("p"))
+            level = seen.select("model", "gram", (own + F.col("backoff") / kinds).alias("p"))
         else:
-            lower = probabilities.filter(F.col("order") == k - 1).select(F.col("gram").alias("tail"), F.col("p").alias("q"))
-            tail = F.col("gram").bitwiseAND(F.lit((1 << (BITS * (k - 1))) - 1))
-            level = seen.withColumn("tail", tail).join(lower, "tail").select("gram", (own + F.col("backoff") * F.col("q")).alias("p"))
+            lower = probabilities.filter(F.col("order") == k - 1).select("model", F.col("gram").alias("tail"), F.col("p").alias("q"))
+            seen = seen.withColumn("own", own).withColumn("tail", _low(F.col("gram"), k - 1)).join(lower, ["model", "tail"])
+            level = seen.select("model", "gram", (F.col("own") + F.col("backoff") * F.col("q")).alias("p"))
         level = cut_lineage(level.withColumn("order", F.lit(k)))
-        per = per.select("context", "backoff", F.lit(k).alias("order"))
+        per = per.select("model", "context", "backoff", F.lit(k).alias("order"))
         probabilities = level if probabilities is None else probabilities.unionByName(level)
         weights = per if weights is None else weights.unionByName(per)
     return probabilities, cut_lineage(weights)
 
 
-class Scorer:
-    """Log-probabilities of every n-gram of the highest order, seen or not.
+def priced(asked: DataFrame, probabilities: DataFrame, weights: DataFrame, order: int, kinds: int) -> DataFrame:
+    """(model, gram, p) of distinct n-grams ``asked`` (model, gram) of ``order``, seen or not.
 
-    Only the model's tables travel; a worker lays them out as one dense table when it first
-    scores a text, level by level and a slice at a time.
+    An unseen n-gram has the weight of its context, 1 if that is unseen too, times the
+    probability of the n-gram without its first token.
     """
-
-    def __init__(self, probabilities, weights, order: int):
-        self.order, self._cost = order, None
-        self.levels = []
-        for k in range(1, order + 1):
-            p, w = probabilities[probabilities["order"] == k], weights[weights["order"] == k]
-            self.levels.append((
-                p["gram"].to_numpy("int64"), p["p"].to_numpy("float32"),
-                w["context"].to_numpy("int64"), w["backoff"].to_numpy("float32"),
-            ))
-
-    def __getstate__(self):
-        return {"order": self.order, "levels": self.levels, "_cost": None}
-
-    @property
-    def cost(self) -> np.ndarray:
-        if self._cost is None:
-            letters = 1 << BITS
-            lower = np.full(letters, 1 / letters, "float32")
-            for k, (grams, p, contexts, backoff) in enumerate(self.levels, 1):
-                weight = np.ones(1 << (BITS * (k - 1)), "float32")
-                weight[contexts] = backoff
-                table = np.empty(1 << (BITS * k), "float32")
-                # Unseen: the weight of the context times the next lower order's probability.
-                step = len(weight) // letters if k > 1 else 1
-                for first in range(letters if k > 1 else 1):
-                    part = weight[first * step : (first + 1) * step]
-                    table[first * step * letters : (first + 1) * step * letters] = np.repeat(part, letters) * lower
-                table[grams] = p
-                lower = table
-            np.maximum(lower, 1e-30, out=lower)
-            np.log(lower, out=lower)
-            self._cost = np.negative(lower, out=lower)
-        return self._cost
-
-    def score(self, text: str) -> tuple[float, int]:
-        """Summed negative log-probability and tokens of a text."""
-        grams = ngram_ids(token_ids(text), self.order)
-        return float(self.cost[grams].sum(dtype="float64")), len(grams)
-
-
-def _scores(scorer):
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in sliced(batches, "text"):
-            found = [scorer.value.score(t) for t in texts]
-            yield batch.drop_columns(["text"]).append_column("cost", pa.array([c for c, _ in found], pa.float64())).append_column(
-                "tokens", pa.array([n for _, n in found], pa.int64())
-            )
-
-    return score
-
-
-def _score(rows: DataFrame, scorer, keep: list[str]) -> DataFrame:
-    kept = rows.select(*keep, "text")
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept.schema.fields if f.name != "text")
-    return kept.mapInArrow(_scores(scorer), f"{kinds}, cost double, tokens long")
-
-
-def thresholds(scored: DataFrame, quantile: float = QUANTILE) -> DataFrame:
+    tail = _low(F.col("gram"), order - 1)
+    known = probabilities.filter(F.col("order") == order).select("model", "gram", F.col("p").alias("_p"))
+    context = weights.filter(F.col("order") == order).select("model", F.col("context").alias("_context"), "backoff")
+    found = asked.join(known, ["model", "gram"], "left").withColumn("_context", F.shiftright("gram", BITS)).join(context, ["model", "_context"], "left")
+    back = F.coalesce("backoff", F.lit(1.0))
+    if order == 1:
+        return found.select("model", "gram", F.coalesce("_p", back / kinds).alias("p"))
+    shorter = priced(asked.select("model", tail.alias("gram")).distinct(), probabilities, weights, order - 1, kinds)
+    shorter = shorter.select("model", F.col("gram").alias("_tail"), F.col("p").alias("_q"))
+    found = found.withColumn("_tail", tail).join(shorter, ["model", "_tail"])
+    return found.select("model", "gram", F.coalesce("_p", back * F.col("_q")).alias("p"))
+
+
+def _asked(tokens):
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[int, int], np.ndarray] = {}
+        for batch, texts in sliced(batches, "_text", SLICE_CHARS):
+            where = list(zip(batch.column("_model").to_pylist(), batch.column("_group").to_pylist()))
+            for key in set(where):
+                grams = pd.unique(tokens.value.grams([t for t, w in zip(texts, where) if w == key])[0])
+                held[key] = pd.unique(np.concatenate([held[key], grams])) if key in held else grams
+        for (model, group), grams in held.items():
+            yield pa.RecordBatch.from_pydict({
+                "group": pa.array([group] * len(grams), pa.int64()), "model": pa.array([model] * len(grams), pa.int32()),
+                "gram": pa.array(grams, pa.int64()),
+            })
+
+    return ask
+
+
+def _added_up(tokens, keep: list[str]):
+    def add(documents: pa.Table, prices: pa.Table) -> pa.Table:
+        grams = np.asarray(prices.column("gram"))
+        by = np.argsort(grams)
+        grams, costs = grams[by], np.asarray(prices.column("cost"))[by]
+        sums, counts = [], []
+        for _, texts in sliced(iter(documents.to_batches()), "_text", SLICE_CHARS):
+            found, lengths = tokens.value.grams(texts)
+            spots, names = pd.factorize(found)
+            cost = costs[np.searchsorted(grams, names)][spots] if len(found) else np.zeros(0)
+            edges = np.concatenate([[0], np.cumsum(lengths)])
+            total = np.concatenate([[0.0], np.cumsum(cost)])
+            sums.append(total[edges[1:]] - total[edges[:-1]])
+            counts.append(lengths)
+        out = documents.select(keep)
+        out = out.append_column("cost", pa.array(np.concatenate(sums) if sums else [], pa.float64()))
+        return out.append_column("tokens", pa.array(np.concatenate(counts) if counts else [], pa.int64()))
+
+    return add
+
+
+def scored(rows: DataFrame, model: Column, text: Column, probabilities: DataFrame, weights: DataFrame, tokens, text_bytes: int) -> DataFrame:
+    """``rows`` with cost (summed negative log-probability of the text under its ``model``) and tokens."""
+    groups = part_count(text_bytes, GROUP_BYTES)
+    order, kinds = tokens.value.order, tokens.value.kinds
+    # Evenly dealt whatever the rows hold, so copies and repeated ids never gather.
+    dealt = rows.withColumn("_text", text).withColumn("_model", model.cast("int")).withColumn(
+        "_group", F.pmod(F.monotonically_increasing_id() + 7919 * F.spark_partition_id(), F.lit(groups)) * (FOLDS + 1) + F.col("_model") + 1
+    ).repartition(groups, "_group")
+    asked = dealt.mapInArrow(_asked(tokens), "group long, model int, gram long").repartition("model", "gram")
+    prices = priced(asked.select("model", "gram").distinct(), probabilities, weights, order, kinds)
+    answers = asked.join(prices, ["model", "gram"]).select("group", "gram", (-F.log("p")).alias("cost"))
+    kinds_ = ", ".join([f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in rows.columns] + ["cost double", "tokens long"])
+    return dealt.groupBy("_group").cogroup(answers.groupBy("group")).applyInArrow(_added_up(tokens, rows.columns), kinds_)
+
+
+def thresholds(scored: DataFrame, quantile: float = QUANTILE, least_texts: float | None = None) -> DataFrame:
     """(lang, mean, limit) per language of held-out trusted texts with cost, tokens; and for the null language, all of them.
 
-    A quantile needs a text beyond it: a language of fewer than 1 / (1 - ``quantile``) texts takes
-    its mean and the quantile of all texts' distances from their languages' means, but no limit
-    below that of all texts, as the mean of a few texts may be far too low.
+    A quantile needs a text beyond it: a language of fewer than ``least_texts``, 1 / (1 - ``quantile``)
+    if not given, takes its mean and the quantile of all texts' distances from their languages'
+    means, but no limit below that of all texts, as the mean of a few texts may be far too low.
     """
+    least_texts = 1 / (1 - quantile) - 1e-6 if least_texts is None else least_texts
     every = scored.filter("tokens > 0")
     both = every.unionByName(every.filter("lang is not null").withColumn("lang", F.lit(None).cast("string")))
     means = both.groupBy("lang").agg((F.sum("cost") / F.sum("tokens")).alias("mean"))
@@ -268,20 +283,12 @@ def thresholds(scored: DataFrame, quantile: float = QUANTILE) -> DataFrame:
     cut = lambda value: F.percentile_approx(value, quantile, 10_000)
     found = joined.groupBy("lang").agg(F.first("mean").alias("mean"), cut("s").alias("own"), F.count(F.lit(1)).alias("texts"))
     # The rows of the null language are those of all texts.
-    pooled = joined.agg(
-        cut(F.when(F.col("lang").isNull(), F.col("s"))).alias("all"),
-        cut(F.when(F.col("lang").isNotNull(), F.col("s") - F.col("mean"))).alias("far"),
-    )
-    shifted = F.greatest("all", F.col("mean") + F.col("far"))
-    enough = F.col("lang").isNull() | (F.col("texts") * (1 - quantile) >= 1 - 1e-9)
-    return found.crossJoin(F.broadcast(pooled)).select("lang", "mean", F.when(enough, F.col("own")).otherwise(shifted).alias("limit"))
-
-
-def _scorer(counts: list[DataFrame], order: int):
-    """The broadcast scorer of counts taken apart; both its tables are bounded by the alphabet to the power of the order."""
-    together = cut_lineage(_summed(functools.reduce(DataFrame.unionByName, counts)))
-    probabilities, weights = _model(together, order)
-    return together.sparkSession.sparkContext.broadcast(Scorer(probabilities.toPandas(), weights.toPandas(), order))
+    most, far = joined.agg(
+        cut(F.when(F.col("lang").isNull(), F.col("s"))), cut(F.when(F.col("lang").isNotNull(), F.col("s") - F.col("mean")))
+    ).first()
+    shifted = F.greatest(F.lit(most), F.col("mean") + F.lit(far))
+    enough = F.col("lang").isNull() | (F.col("texts") >= least_texts)
+    return found.select("lang", "mean", F.when(enough, F.col("own")).otherwise(shifted).alias("limit"))
 
 
 def quality(
@@ -299,43 +306,40 @@ def quality(
     are rejected. Repeated rows are scored each; no row is lost or doubled; columns of the
     same names as the new ones are replaced. An empty table gives no rows.
     """
+    spark = df.sparkSession
     trusted = trusted if trusted is not None else (F.col("quality") == 1) & (F.col("toxic") == 0)
     good = labels.select(F.col(id_col).alias("_label"), F.coalesce(trusted, F.lit(False)).alias("ok")).groupBy("_label").agg(F.min("ok").alias("ok"))
     good = good.filter("ok").select("_label")
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     few = good.limit(BROADCAST_LABELS + 1).count() <= BROADCAST_LABELS
     labelled = rows.join(F.broadcast(good) if few else good, F.col("id") == F.col("_label"), "left_semi")
-    fold = F.pmod(F.xxhash64("id"), F.lit(FOLDS))
-    counts = [_counted(labelled.filter(fold == k).select("text"), order) for k in range(FOLDS)]
-    held = []
-    for k in range(FOLDS):
-        scorer = _scorer(counts[:k] + counts[k + 1 :], order)
-        held.append(cut_lineage(_score(labelled.filter(fold == k), scorer, ["lang"])))
-        scorer.destroy()
-    limits = thresholds(functools.reduce(DataFrame.unionByName, held), quantile).toPandas()
-    scorer = _scorer(counts, order)
-    bounds = {None if r.lang is None or r.lang != r.lang else r.lang: (r.mean, r.limit) for r in limits.itertuples()}
-    everywhere = bounds.get(None, (0.0, float("inf")))
+    labelled = labelled.select(F.pmod(F.xxhash64("id"), F.lit(FOLDS)).cast("int").alias("fold"), "text", "lang")
+    n_bytes = lambda part: part.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    tokens = Tokens(alphabet(labelled), order)
+    shared = spark.sparkContext.broadcast(tokens)
+    counts = _by_model(_counted(labelled, shared), list(range(FOLDS)))
+    probabilities, weights = train(counts, order, tokens.kinds)
+    held = scored(labelled.select("fold", "lang", "text"), F.col("fold"), F.col("text"), probabilities, weights, shared, n_bytes(labelled))
+    limits = thresholds(cut_lineage(held.select("lang", "cost", "tokens")), quantile).collect()
+    bounds = {r["lang"]: (r["mean"], r["limit"]) for r in limits}
     new = ("perplexity", "limit", "keep")
-    kept = [c for c in df.columns if c not in new]
-    return df.select(*kept).mapInArrow(
-        _judge(scorer, text_col, lang_col, bounds, everywhere),
-        ", ".join([*(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in kept), "perplexity double, `limit` double, keep boolean"]),
-    )
+    plain = df.drop(*new)
+    judged = scored(plain, F.lit(WHOLE), F.col(text_col), probabilities, weights, shared, n_bytes(rows))
+    return _judged(judged, plain.columns, lang_col, bounds)
 
 
-def _judge(scorer, text_col: str, lang_col: str, bounds: dict, everywhere: tuple[float, float]):
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in sliced(batches, text_col):
-            perplexity, limits, keep = [], [], []
-            for text, lang in zip(texts, batch.column(lang_col).to_pylist()):
-                mean, limit = bounds.get(lang, everywhere)
-                cost, n = scorer.value.score(text)
-                perplexity.append(float(np.exp(cost / n)) if n else None)
-                limits.append(limit)
-                keep.append(n > 0 and (cost + PRIOR_TOKENS * mean) / (n + PRIOR_TOKENS) <= limit)
-            out = batch.append_column("perplexity", pa.array(perplexity, pa.float64()))
-            out = out.append_column("limit", pa.array(limits, pa.float64()))
-            yield out.append_column("keep", pa.array(keep, pa.bool_()))
-
-    return judge
+def _judged(found: DataFrame, columns: list[str], lang_col: str, bounds: dict) -> DataFrame:
+    """The verdicts; the limits, a row per language of trusted texts, are joined."""
+    everywhere = bounds.get(None, (0.0, float("inf")))
+    table = found.sparkSession.createDataFrame(
+        [(lang, *map(float, b)) for lang, b in bounds.items() if lang is not None], "_lang string, _mean double, _limit double"
+    )
+    joined = found.join(F.broadcast(table), F.col(lang_col) == F.col("_lang"), "left") if len(bounds) <= BROADCAST_LABELS else found.join(
+        table, F.col(lang_col) == F.col("_lang"), "left"
+    )
+    mean, limit = F.coalesce("_mean", F.lit(float(everywhere[0]))), F.coalesce("_limit", F.lit(float(everywhere[1])))
+    drawn = (F.col("cost") + PRIOR_TOKENS * mean) / (F.col("tokens") + PRIOR_TOKENS)
+    return joined.select(
+        *columns, F.when(F.col("tokens") > 0, F.exp(F.col("cost") / F.col("tokens"))).alias("perplexity"), limit.alias("limit"),
+        ((F.col("tokens") > 0) & (drawn <= limit)).alias("keep"),
+    )

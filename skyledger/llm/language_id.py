@@ -32,6 +32,7 @@ SAMPLE = 1_024
 ROUNDS = 8
 REJECTED = 0.001
 BLOCK_LANGUAGES = 128
+BROADCAST_LANGUAGES = 100_000
 UNKNOWN = "und"
 
 _ODD = (np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), np.uint32(0xC2B2AE3D))
@@ -145,8 +146,9 @@ def fit_centroids(learned: DataFrame, k: int = CENTROIDS, sample: int = SAMPLE)
     sizes = learned.groupBy("lang").agg(F.count(F.lit(1)).alias("_n"))
     key = F.xxhash64("text")
     share = F.pmod(key, F.lit(1 << 40)) / float(1 << 40)
-    sizes = sizes.select(F.col("lang").alias("_lang"), "_n")
-    picked = learned.join(sizes, F.col("lang") == F.col("_lang")).filter(share * F.col("_n") < sample)
+    sizes = cut_lineage(sizes.select(F.col("lang").alias("_lang"), "_n"))
+    few = F.broadcast(sizes) if sizes.count() <= BROADCAST_LANGUAGES else sizes
+    picked = learned.join(few, F.col("lang") == F.col("_lang")).filter(share * F.col("_n") < sample)
     picked = picked.groupBy("lang", key.alias("key")).agg(F.first("text").alias("text"))
     vectors_ = cut_lineage(picked.mapInArrow(_sparse(spark.sparkContext.broadcast(idf)), "lang string, key long, at binary, value binary"))
     # Fewer different texts than rows never let through more; chance alone stays far below twice.
