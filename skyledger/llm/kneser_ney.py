@@ -8,10 +8,11 @@ next longer n-grams, the three discounts of each order from its counts of counts
 interpolation weight of a context from its followers. No table of the model is collected,
 broadcast or laid out whole; it grows with the trusted text and stays in shards.
 
-Documents meet it by joins too. They are dealt evenly into groups of bounded text, each group
-asks once for every n-gram it holds, the different n-grams asked are priced by joins with the
-probability and back-off shards, order by order, and the prices return to their groups, where
-the documents add them up. The text is shuffled once: both readers share that exchange.
+Documents meet it by joins too. A first scan asks for every n-gram that occurs, once per task;
+the different n-grams asked are priced by joins with the probability and back-off shards, order
+by order. Documents are then dealt evenly into groups of bounded text, the prices of a group's
+n-grams are joined to it, and its documents add them up. The text is shuffled once: the group's
+request for prices and the adding up share that exchange.
 
 A document's score is its mean negative log-probability per token, drawn towards that of its
 language by a few tokens' worth, as short texts vary more. It is rejected above a threshold
@@ -212,17 +213,20 @@ def priced(asked: DataFrame, probabilities: DataFrame, weights: DataFrame, order
     return found.select("model", "gram", F.coalesce("_p", back * F.col("_q")).alias("p"))
 
 
-def _asked(tokens):
+def _asked(tokens, group: str | None = None):
+    """The different n-grams a task holds per model, or per model and ``group``."""
+
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[int, int], np.ndarray] = {}
+        held: dict[tuple, np.ndarray] = {}
         for batch, texts in sliced(batches, "_text", SLICE_CHARS):
-            where = list(zip(batch.column("_model").to_pylist(), batch.column("_group").to_pylist()))
+            models = batch.column("_model").to_pylist()
+            where = list(zip(models, batch.column(group).to_pylist() if group else [0] * len(models)))
             for key in set(where):
                 grams = pd.unique(tokens.value.grams([t for t, w in zip(texts, where) if w == key])[0])
                 held[key] = pd.unique(np.concatenate([held[key], grams])) if key in held else grams
-        for (model, group), grams in held.items():
+        for (model, of), grams in held.items():
             yield pa.RecordBatch.from_pydict({
-                "group": pa.array([group] * len(grams), pa.int64()), "model": pa.array([model] * len(grams), pa.int32()),
+                "group": pa.array([of] * len(grams), pa.int64()), "model": pa.array([model] * len(grams), pa.int32()),
                 "gram": pa.array(grams, pa.int64()),
             })
 
@@ -254,12 +258,14 @@ def scored(rows: DataFrame, model: Column, text: Column, probabilities: DataFram
     """``rows`` with cost (summed negative log-probability of the text under its ``model``) and tokens."""
     groups = part_count(text_bytes, GROUP_BYTES)
     order, kinds = tokens.value.order, tokens.value.kinds
+    given = rows.withColumn("_text", text).withColumn("_model", model.cast("int"))
+    wants = "group long, model int, gram long"
+    every = given.select("_text", "_model").mapInArrow(_asked(tokens), wants).select("model", "gram").distinct()
+    prices = cut_lineage(priced(cut_lineage(every), probabilities, weights, order, kinds))
     # Evenly dealt whatever the rows hold, so copies and repeated ids never gather.
-    dealt = rows.withColumn("_text", text).withColumn("_model", model.cast("int")).withColumn(
-        "_group", F.pmod(F.monotonically_increasing_id() + 7919 * F.spark_partition_id(), F.lit(groups)) * (FOLDS + 1) + F.col("_model") + 1
-    ).repartition(groups, "_group")
-    asked = dealt.mapInArrow(_asked(tokens), "group long, model int, gram long").repartition("model", "gram")
-    prices = priced(asked.select("model", "gram").distinct(), probabilities, weights, order, kinds)
+    number = F.pmod(F.monotonically_increasing_id() + 7919 * F.spark_partition_id(), F.lit(groups))
+    dealt = given.withColumn("_group", number * (FOLDS + 1) + F.col("_model") + 1).repartition(groups, "_group")
+    asked = dealt.mapInArrow(_asked(tokens, "_group"), wants)
     answers = asked.join(prices, ["model", "gram"]).select("group", "gram", (-F.log("p")).alias("cost"))
     kinds_ = ", ".join([f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in rows.columns] + ["cost double", "tokens long"])
     return dealt.groupBy("_group").cogroup(answers.groupBy("group")).applyInArrow(_added_up(tokens, rows.columns), kinds_)
