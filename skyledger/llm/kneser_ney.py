@@ -1,7 +1,8 @@
 """Quality by an interpolated modified Kneser-Ney n-gram model of trusted text.
 
 Tokens are the characters of the text as they stand, up to 32,766 different ones (the most
-frequent of the trusted texts; others count as one unknown character). Every trusted text is
+frequent of the trusted texts; others count as one unknown character), but a word that repeats
+the one before it is one token of its own, as is usual in text preparation. Every trusted text is
 counted; n-gram counts are pre-aggregated in each task, then sharded by n-gram. All
 statistics of the model come from joins of the count tables: continuation counts from the
 next longer n-grams, the three discounts of each order from its counts of counts, and the
@@ -23,6 +24,8 @@ counted it. Those models are the same counts without one fold's, kept apart by a
 from __future__ import annotations
 
 import functools
+import itertools
+import operator
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -50,6 +53,22 @@ START, UNKNOWN, FIRST_TOKEN = 0, 1, 2
 _CODES = 0x110000
 
 
+#: Stands for a word that repeats the one before it, space included; a noncharacter, so no text should hold it.
+REPEATED = "\uffff"
+
+
+def tokenized(text: str) -> str:
+    """The text with one token in place of each word that repeats the one before it, as no n-gram of letters spans two words."""
+    words = text.split(" ")
+    if not any(map(operator.eq, words, itertools.islice(words, 1, None))):
+        return text
+    out, last = [words[0]], words[0]
+    for w in words[1:]:
+        out.append(REPEATED if w and w == last else " " + w)
+        last = w
+    return "".join(out)
+
+
 def _codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
 
@@ -57,7 +76,7 @@ def _codes(text: str) -> np.ndarray:
 def _character_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held = np.zeros(_CODES, "int64")
     for _, texts in sliced(batches, "text"):
-        held += np.bincount(_codes("".join(texts)), minlength=_CODES)
+        held += np.bincount(_codes("".join(map(tokenized, texts))), minlength=_CODES)
     some = np.flatnonzero(held)
     yield pa.RecordBatch.from_pydict({"code": pa.array(some, pa.int64()), "n": pa.array(held[some], pa.int64())})
 
@@ -90,6 +109,7 @@ class Tokens:
 
     def grams(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The n-grams of all texts in a row, and how many each has."""
+        texts = list(map(tokenized, texts))
         lengths = np.array([len(t) for t in texts], "int64")
         lead = self.order - 1
         ids = _token_table(self.letters)[_codes("".join(texts))]
@@ -330,22 +350,23 @@ def quality(
     bounds = {r["lang"]: (r["mean"], r["limit"]) for r in limits}
     new = ("perplexity", "limit", "keep")
     plain = df.drop(*new)
-    judged = scored(plain, F.lit(WHOLE), F.col(text_col), probabilities, weights, shared, n_bytes(rows))
-    return _judged(judged, plain.columns, lang_col, bounds)
+    # The caller's columns travel under numbers, so that no name of theirs meets one used here.
+    numbered = {c: f"_c{k}" for k, c in enumerate(plain.columns)}
+    inner = plain.toDF(*numbered.values())
+    judged = scored(inner, F.lit(WHOLE), F.col(numbered[text_col]), probabilities, weights, shared, n_bytes(rows))
+    return _judged(judged, numbered, F.col(numbered[lang_col]), bounds)
 
 
-def _judged(found: DataFrame, columns: list[str], lang_col: str, bounds: dict) -> DataFrame:
+def _judged(found: DataFrame, columns: dict[str, str], lang: Column, bounds: dict) -> DataFrame:
     """The verdicts; the limits, a row per language of trusted texts, are joined."""
     everywhere = bounds.get(None, (0.0, float("inf")))
     table = found.sparkSession.createDataFrame(
         [(lang, *map(float, b)) for lang, b in bounds.items() if lang is not None], "_lang string, _mean double, _limit double"
     )
-    joined = found.join(F.broadcast(table), F.col(lang_col) == F.col("_lang"), "left") if len(bounds) <= BROADCAST_LABELS else found.join(
-        table, F.col(lang_col) == F.col("_lang"), "left"
-    )
+    joined = found.join(F.broadcast(table) if len(bounds) <= BROADCAST_LABELS else table, lang == F.col("_lang"), "left")
     mean, limit = F.coalesce("_mean", F.lit(float(everywhere[0]))), F.coalesce("_limit", F.lit(float(everywhere[1])))
     drawn = (F.col("cost") + PRIOR_TOKENS * mean) / (F.col("tokens") + PRIOR_TOKENS)
     return joined.select(
-        *columns, F.when(F.col("tokens") > 0, F.exp(F.col("cost") / F.col("tokens"))).alias("perplexity"), limit.alias("limit"),
+        *[F.col(number).alias(name) for name, number in columns.items()], F.when(F.col("tokens") > 0, F.exp(F.col("cost") / F.col("tokens"))).alias("perplexity"), limit.alias("limit"),
         ((F.col("tokens") > 0) & (drawn <= limit)).alias("keep"),
     )

@@ -9,7 +9,8 @@ import numpy as np
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from skyledger.llm.kneser_ney import BITS, ORDER, REPEAT, START, Scorer, ngram_ids, quality, token_ids, train
+from skyledger.llm import kneser_ney
+from skyledger.llm.kneser_ney import BITS, REPEATED, START, UNKNOWN, WHOLE, Tokens, alphabet, quality, scored, thresholds, tokenized, train
 from skyledger.llm.overlap_join import Rule
 from skyledger.llm.site_templates import Page, main_texts
 
@@ -55,11 +56,11 @@ def test_template_shares_respect_paragraphs():
     assert p.main_text({}) == "said everywhere call to action own"
 
 
-def brute_model(texts, order):
-    """Interpolated modified Kneser-Ney straight from its definition."""
+def brute_model(lists, order, kinds):
+    """Interpolated modified Kneser-Ney straight from its definition, over lists of tokens."""
     top = Counter()
-    for t in texts:
-        ids = [START] * (order - 1) + token_ids(t).tolist()
+    for ids in lists:
+        ids = [START] * (order - 1) + ids
         top.update(tuple(ids[i : i + order]) for i in range(len(ids) - order + 1))
     levels = {order: top}
     for k in range(order - 1, 0, -1):
@@ -77,7 +78,7 @@ def brute_model(texts, order):
 
     def p(g):
         if not g:
-            return 1 / (1 << BITS)
+            return 1 / kinds
         k, lower = len(g), p(g[1:])
         if g[:-1] not in stats[k]:
             return lower
@@ -88,25 +89,54 @@ def brute_model(texts, order):
     return p
 
 
-def test_model_equals_definition(spark):
-    texts = [prose(60, k, 50) for k in range(12)] + ["", "Und Und Und", "SHOUT it 12!"]
-    df = spark.createDataFrame([(t,) for t in [*texts, None]], "text string").repartition(4)
-    for order in (2, 3):
-        probabilities, weights = train(df, order)
-        scorer = Scorer(probabilities.toPandas(), weights.toPandas(), order)
-        p = brute_model([*texts, ""], order)
-        for t in [prose(30, 77, 50), "Unseen Wörds!! 字", "a a a a"]:
-            ids = [START] * (order - 1) + token_ids(t).tolist()
-            want = -sum(math.log(p(tuple(ids[i : i + order]))) for i in range(len(ids) - order + 1))
-            assert math.isclose(scorer.score(t)[0], want, rel_tol=1e-4)
-        tables = np.exp(-scorer.cost.astype("float64")).reshape(-1, 1 << BITS)
-        assert np.allclose(tables.sum(axis=1), 1, atol=1e-3)  # every context is a distribution
-
-
-def test_token_marks():
-    assert (token_ids("For For For x") == REPEAT).sum() == 2
-    assert len(token_ids("")) == 0 and len(ngram_ids(token_ids(""), ORDER)) == 0
-    assert token_ids("𝒳 ퟿ é")[0] >= 0
+def test_costs_equal_definition(spark, monkeypatch):
+    monkeypatch.setattr(kneser_ney, "GROUP_BYTES", 1 << 10)  # several groups
+    monkeypatch.setattr(kneser_ney, "SLICE_CHARS", 300)
+    texts = [prose(60, k, 50) for k in range(12)] + ["", "Und Und Und", "SHOUT it 12! \U0001d4b3 \ud7ff"]
+    given = [(k % 2, t) for k, t in enumerate(texts)]
+    learned = spark.createDataFrame([*given, (0, None)], "fold int, text string").repartition(4)
+    asked = [prose(30, 77, 50), "Unseen Wörds!! 字", "a a a a", "", texts[3]]
+    for order in (2, 3, 4):
+        letters = alphabet(learned)
+        number = {chr(c): k for k, c in enumerate(letters, 2)}
+        assert set(number) == set("".join(map(tokenized, texts))) and REPEATED in number
+        tokens = Tokens(letters, order)
+        shared = spark.sparkContext.broadcast(tokens)
+        counts = kneser_ney._by_model(kneser_ney._counted(learned, shared), [0, 1])
+        probabilities, weights = train(counts, order, tokens.kinds)
+        rows = spark.createDataFrame([(k, m, t) for k, t in enumerate(asked) for m in (WHOLE, 0, 1)], "id long, m int, words string")
+        got = {(r["id"], r["m"]): r for r in scored(rows, F.col("m"), F.col("words"), probabilities, weights, shared, 5_000).collect()}
+        ids = lambda t: [number.get(c, UNKNOWN) for c in tokenized(t)]
+        for m in (WHOLE, 0, 1):
+            p = brute_model([ids(t) for f, t in given if f != m], order, tokens.kinds)
+            for k, t in enumerate(asked):
+                chain = [START] * (order - 1) + ids(t)
+                want = -sum(math.log(p(tuple(chain[i : i + order]))) for i in range(len(tokenized(t))))
+                assert math.isclose(got[k, m]["cost"], want, rel_tol=1e-9, abs_tol=1e-9) and got[k, m]["tokens"] == len(tokenized(t))
+            contexts = {tuple(([START] * (order - 1) + ids(t))[i : i + order - 1]) for t in texts for i in range(len(tokenized(t)))}
+            for c in list(contexts)[:20]:  # a distribution after every context
+                assert math.isclose(sum(p((*c, x)) for x in range(1, tokens.kinds + 1)), 1, rel_tol=1e-9)
+
+
+def test_repeated_words_are_tokens():
+    assert tokenized("For For For x For\nFor  a  b") == f"For{REPEATED}{REPEATED} x For\nFor  a  b"
+    assert tokenized("") == "" and tokenized("a b") == "a b" and tokenized("  ") == "  "
+
+
+def test_ngram_numbers(spark):
+    tokens = Tokens(np.array([ord(c) for c in "abé"]), 3)
+    grams, lengths = tokens.grams(["ab", "", "éz"])
+    join = lambda *ids: sum(i << BITS * k for k, i in enumerate(reversed(ids)))
+    assert grams.tolist() == [join(0, 0, 2), join(0, 2, 3), join(0, 0, 4), join(0, 4, 1)] and lengths.tolist() == [2, 0, 2]
+    assert tokens.grams([])[0].tolist() == [] and tokens.grams(["", ""])[0].tolist() == []
+
+
+def test_limits_of_few_and_many_texts(spark):
+    rows = [("aa", 900.0 + k, 1000) for k in range(300)] + [("bb", 100.0 + k, 1000) for k in range(5)]
+    held = spark.createDataFrame(rows, "lang string, cost double, tokens long")
+    default = {r["lang"]: r["limit"] for r in thresholds(held).collect()}
+    own = {r["lang"]: r["limit"] for r in thresholds(held, least_texts=5).collect()}
+    assert default["bb"] == default[None] and own["bb"] < 0.2 < default["bb"] and own["aa"] == default["aa"]
 
 
 def test_quality_held_out_accuracy(spark):
