@@ -233,12 +233,12 @@ def priced(asked: DataFrame, probabilities: DataFrame, weights: DataFrame, order
     return found.select("model", "gram", F.coalesce("_p", back * F.col("_q")).alias("p"))
 
 
-def _asked(tokens, group: str | None = None):
+def _asked(tokens, text: str, group: str | None = None):
     """The different n-grams a task holds per model, or per model and ``group``."""
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple, np.ndarray] = {}
-        for batch, texts in sliced(batches, "_text", SLICE_CHARS):
+        for batch, texts in sliced(batches, text, SLICE_CHARS):
             models = batch.column("_model").to_pylist()
             where = list(zip(models, batch.column(group).to_pylist() if group else [0] * len(models)))
             for key in set(where):
@@ -253,13 +253,13 @@ def _asked(tokens, group: str | None = None):
     return ask
 
 
-def _added_up(tokens, keep: list[str]):
+def _added_up(tokens, text: str, keep: list[str]):
     def add(documents: pa.Table, prices: pa.Table) -> pa.Table:
         grams = np.asarray(prices.column("gram"))
         by = np.argsort(grams)
         grams, costs = grams[by], np.asarray(prices.column("cost"))[by]
         sums, counts = [], []
-        for _, texts in sliced(iter(documents.to_batches()), "_text", SLICE_CHARS):
+        for _, texts in sliced(iter(documents.to_batches()), text, SLICE_CHARS):
             found, lengths = tokens.value.grams(texts)
             spots, names = pd.factorize(found)
             cost = costs[np.searchsorted(grams, names)][spots] if len(found) else np.zeros(0)
@@ -274,21 +274,21 @@ def _added_up(tokens, keep: list[str]):
     return add
 
 
-def scored(rows: DataFrame, model: Column, text: Column, probabilities: DataFrame, weights: DataFrame, tokens, text_bytes: int) -> DataFrame:
+def scored(rows: DataFrame, model: Column, text: str, probabilities: DataFrame, weights: DataFrame, tokens, text_bytes: int) -> DataFrame:
     """``rows`` with cost (summed negative log-probability of the text under its ``model``) and tokens."""
     groups = part_count(text_bytes, GROUP_BYTES)
     order, kinds = tokens.value.order, tokens.value.kinds
-    given = rows.withColumn("_text", text).withColumn("_model", model.cast("int"))
+    given = rows.withColumn("_model", model.cast("int"))
     wants = "group long, model int, gram long"
-    every = given.select("_text", "_model").mapInArrow(_asked(tokens), wants).select("model", "gram").distinct()
+    every = given.select(text, "_model").mapInArrow(_asked(tokens, text), wants).select("model", "gram").distinct()
     prices = cut_lineage(priced(cut_lineage(every), probabilities, weights, order, kinds))
     # Evenly dealt whatever the rows hold, so copies and repeated ids never gather.
     number = F.pmod(F.monotonically_increasing_id() + 7919 * F.spark_partition_id(), F.lit(groups))
     dealt = given.withColumn("_group", number * (FOLDS + 1) + F.col("_model") + 1).repartition(groups, "_group")
-    asked = dealt.mapInArrow(_asked(tokens, "_group"), wants)
+    asked = dealt.mapInArrow(_asked(tokens, text, "_group"), wants)
     answers = asked.join(prices, ["model", "gram"]).select("group", "gram", (-F.log("p")).alias("cost"))
     kinds_ = ", ".join([f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in rows.columns] + ["cost double", "tokens long"])
-    return dealt.groupBy("_group").cogroup(answers.groupBy("group")).applyInArrow(_added_up(tokens, rows.columns), kinds_)
+    return dealt.groupBy("_group").cogroup(answers.groupBy("group")).applyInArrow(_added_up(tokens, text, rows.columns), kinds_)
 
 
 def thresholds(scored: DataFrame, quantile: float = QUANTILE, least_texts: float | None = None) -> DataFrame:
@@ -345,7 +345,7 @@ def quality(
     shared = spark.sparkContext.broadcast(tokens)
     counts = _by_model(_counted(labelled, shared), list(range(FOLDS)))
     probabilities, weights = train(counts, order, tokens.kinds)
-    held = scored(labelled.select("fold", "lang", "text"), F.col("fold"), F.col("text"), probabilities, weights, shared, n_bytes(labelled))
+    held = scored(labelled.select("fold", "lang", "text"), F.col("fold"), "text", probabilities, weights, shared, n_bytes(labelled))
     limits = thresholds(cut_lineage(held.select("lang", "cost", "tokens")), quantile).collect()
     bounds = {r["lang"]: (r["mean"], r["limit"]) for r in limits}
     new = ("perplexity", "limit", "keep")
@@ -353,7 +353,7 @@ def quality(
     # The caller's columns travel under numbers, so that no name of theirs meets one used here.
     numbered = {c: f"_c{k}" for k, c in enumerate(plain.columns)}
     inner = plain.toDF(*numbered.values())
-    judged = scored(inner, F.lit(WHOLE), F.col(numbered[text_col]), probabilities, weights, shared, n_bytes(rows))
+    judged = scored(inner, F.lit(WHOLE), numbered[text_col], probabilities, weights, shared, n_bytes(rows))
     return _judged(judged, numbered, F.col(numbered[lang_col]), bounds)
 
 

@@ -105,7 +105,7 @@ def test_costs_equal_definition(spark, monkeypatch):
         counts = kneser_ney._by_model(kneser_ney._counted(learned, shared), [0, 1])
         probabilities, weights = train(counts, order, tokens.kinds)
         rows = spark.createDataFrame([(k, m, t) for k, t in enumerate(asked) for m in (WHOLE, 0, 1)], "id long, m int, words string")
-        got = {(r["id"], r["m"]): r for r in scored(rows, F.col("m"), F.col("words"), probabilities, weights, shared, 5_000).collect()}
+        got = {(r["id"], r["m"]): r for r in scored(rows, F.col("m"), "words", probabilities, weights, shared, 5_000).collect()}
         ids = lambda t: [number.get(c, UNKNOWN) for c in tokenized(t)]
         for m in (WHOLE, 0, 1):
             p = brute_model([ids(t) for f, t in given if f != m], order, tokens.kinds)
