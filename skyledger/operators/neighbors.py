@@ -1,152 +1,256 @@
-"""Exact nearest-neighbour joins on grids, and radius thinning.
+"""Exact nearest-neighbour joins over leaves of a space-filling curve, and radius thinning.
 
-No pair of whole groups is ever formed. Copies of a coordinate are folded into one row with
-a count. A first pass joins each source with the grid cells its small search ball touches.
-Sources not settled there, or next to a crowded cell, descend a tree of occupied cells: each
-level keeps only cells that can still hold one of the k nearest, so the rows per source stay
-few however dense or far the targets are.
+Sources and targets are range-partitioned together by (group, Morton code), which cuts a group
+of any size into parts of bounded rows that are compact in space. Inside a part, targets along
+the curve form leaves of a few rows with their boxes, and blocks of sources look only at the
+leaves that can hold one of their k nearest. That settles every source whose ball stays inside
+the region only its own part covers; the others are sent to the parts whose boxes their ball
+touches, and their lists are merged. Copies of a coordinate are one row with a count.
 """
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import Window as W
 
 from ..session import cut_lineage
 
-CROWDED = 512
-DEEPEST = 20
-
-
-def _shape(targets: DataFrame, by: list[str], dims: list[str]) -> tuple[int, list[float], float, float]:
-    """(rows, minima, longest extent, mean spacing) in one pass."""
-    row = targets.agg(
-        F.count(F.lit(1)), F.approx_count_distinct(F.struct(*by)) if by else F.lit(1),
-        *[F.min(d) for d in dims], *[F.max(d) for d in dims],
-    ).first()
-    n, groups = row[0], max(1, row[1])
-    low, high = list(row[2 : 2 + len(dims)]), list(row[2 + len(dims) :])
-    if not n:
-        return 0, [], 0.0, 0.0
-    extents = [h - l for l, h in zip(low, high)]
-    longest = max(extents) or 1.0
-    wide = [e for e in extents if e > longest * 1e-6] or [longest]
-    return n, low, longest, (math.prod(wide) / max(1.0, n / groups)) ** (1 / len(wide))
-
-
-def _first_k(rows: DataFrame, source: list[str], k: int, tie: list[str]) -> DataFrame:
-    """Rows until ``k`` neighbours are counted, nearest first; ``_upto`` is the running count."""
-    if k == 1 and "_items" not in rows.columns:
-        # a plain minimum hashes with map-side combine; which copy was nearest is not asked
-        best = rows.groupBy(*source).agg(F.min("_d2").alias("_d2"))
-        return best.select(
-            *source, *[F.lit(None).cast("double").alias(d) for d in tie], F.lit(1).cast("bigint").alias("_n"), "_d2",
-            F.lit(1).cast("bigint").alias("_upto"),
-        )
-    w = W.partitionBy(*source).orderBy("_d2", *tie)
-    counted = rows.withColumn("_upto", F.sum("_n").over(w.rowsBetween(W.unboundedPreceding, 0)))
-    return counted.filter(F.col("_upto") - F.col("_n") < k)
+PART_ROWS = 40_000
+MOST_PARTS = 500_000
+LEAF = 32
+BLOCK = 32
+
+
+def _spread(value: Column, dims: int) -> Column:
+    """The low bits of ``value`` with ``dims`` - 1 zeros between them (the usual masks of a Morton code)."""
+    steps = {
+        2: ((16, 0x0000FFFF0000FFFF), (8, 0x00FF00FF00FF00FF), (4, 0x0F0F0F0F0F0F0F0F), (2, 0x3333333333333333), (1, 0x5555555555555555)),
+        3: ((32, 0x001F00000000FFFF), (16, 0x001F0000FF0000FF), (8, 0x100F00F00F00F00F), (4, 0x10C30C30C30C30C3), (2, 0x1249249249249249)),
+    }[dims]
+    for shift, mask in steps:
+        value = value.bitwiseOR(F.shiftleft(value, shift)).bitwiseAND(F.lit(mask))
+    return value
+
+
+def morton(columns: list[Column], low: list[float], span: float) -> Column:
+    """Place on the curve of a point in the cube of edge ``span`` at ``low``; two or three dimensions."""
+    bits = 62 // len(columns)
+    code = F.lit(0).cast("bigint")
+    for i, (c, lo) in enumerate(zip(columns, low)):
+        cell = F.greatest(F.lit(0), F.least(F.floor((c - lo) / span * (1 << bits)), F.lit((1 << bits) - 1))).cast("bigint")
+        code = code.bitwiseOR(F.shiftleft(_spread(cell, len(columns)), i))
+    return code
+
+
+def _boxes(points: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First rows and corner points of the boxes of every ``size`` consecutive points."""
+    starts = np.arange(0, len(points), size)
+    return starts, np.minimum.reduceat(points, starts), np.maximum.reduceat(points, starts)
+
+
+def _gap2(low: np.ndarray, high: np.ndarray, lows: np.ndarray, highs: np.ndarray) -> np.ndarray:
+    """Squared distances from one box to several."""
+    out = np.maximum(np.maximum(lows - high, low - highs), 0.0)
+    return (out * out).sum(axis=1)
+
+
+def _squared(sources: np.ndarray, targets: np.ndarray) -> np.ndarray:
+    total = np.zeros((len(sources), len(targets)))
+    for d in range(sources.shape[1]):
+        gap = targets[None, :, d] - sources[:, None, d]
+        total += gap * gap
+    return total
+
+
+def _kth(d2: np.ndarray, n: np.ndarray, k: int) -> np.ndarray:
+    """Per row the least squared distance up to which ``k`` are counted; infinite where there are fewer."""
+    m = min(k, d2.shape[1])
+    first = np.argpartition(d2, m - 1, axis=1)[:, :m] if m < d2.shape[1] else np.tile(np.arange(m), (len(d2), 1))
+    near = np.take_along_axis(d2, first, axis=1)
+    order = np.argsort(near, axis=1, kind="stable")
+    near, counted = np.take_along_axis(near, order, axis=1), np.cumsum(n[np.take_along_axis(first, order, axis=1)], axis=1)
+    full = counted >= k
+    return np.where(full.any(axis=1), near[np.arange(len(d2)), full.argmax(axis=1)], np.inf)
+
+
+def search(sources: np.ndarray, targets: np.ndarray, n: np.ndarray, k: int, limit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(source, target, d2) of all targets up to each source's k-th distance, ties included, and within ``limit``; and that distance.
+
+    Both lie along the curve. A block of sources first meets the leaves nearest to it, which
+    bounds its distances, then every leaf within the bound.
+    """
+    found, reach = [], np.full(len(sources), np.inf)
+    if len(targets) and len(sources):
+        starts, lows, highs = _boxes(targets, LEAF)
+        ends = np.append(starts[1:], len(targets))
+        first = max(1, -(-k // LEAF)) + 1
+        for at, low, high in zip(*_boxes(sources, BLOCK)):
+            block, bound = sources[at : at + BLOCK], limit[at : at + BLOCK]
+            gaps = _gap2(low, high, lows, highs)
+            near = np.argpartition(gaps, first)[:first] if first < len(gaps) else np.arange(len(gaps))
+            rows = np.concatenate([np.arange(starts[x], ends[x]) for x in near])
+            worst = min(_kth(_squared(block, targets[rows]), n[rows], k).max(), bound.max())
+            near = np.flatnonzero(gaps <= worst * (1 + 1e-9) + 1e-300)
+            if not len(near):
+                continue
+            rows = np.concatenate([np.arange(starts[x], ends[x]) for x in near])
+            d2 = _squared(block, targets[rows])
+            kth = _kth(d2, n[rows], k)
+            reach[at : at + BLOCK] = kth
+            i, j = np.nonzero(d2 <= np.minimum(kth, bound)[:, None])
+            found.append((i + at, rows[j], d2[i, j]))
+    if not found:
+        return np.zeros(0, "int64"), np.zeros(0, "int64"), np.zeros(0), reach
+    return *(np.concatenate([f[x] for f in found]) for x in range(3)), reach
+
+
+def _matrix(table: pa.Table, names: list[str]) -> np.ndarray:
+    return np.stack([np.asarray(table.column(c)) for c in names], axis=1) if table.num_rows else np.zeros((0, len(names)))
+
+
+def _pairs(sources: pa.Table, targets: pa.Table, shape, k: int, limit: np.ndarray) -> tuple[pa.Table, np.ndarray, np.ndarray]:
+    """The found rows of a part with the running count ``_upto``, the source each is of, and the k-th distances."""
+    by, dims, s_dims, payload = shape
+    n = np.asarray(targets.column("_n")).astype("int64") if targets.num_rows else np.zeros(0, "int64")
+    i, j, d2, reach = search(_matrix(sources, dims), _matrix(targets, dims), n, k, limit)
+    order = np.lexsort((j, d2, i))
+    i, j, d2 = i[order], j[order], d2[order]
+    total = np.cumsum(n[j])
+    new = np.flatnonzero(np.r_[True, i[1:] != i[:-1]]) if len(i) else np.zeros(0, "int64")
+    before = np.repeat(total[new] - n[j][new], np.diff(np.append(new, len(i))))
+    s, t = sources.take(pa.array(i)), targets.take(pa.array(j))
+    columns = {b: s.column(b) for b in by} | {a: s.column(d) for a, d in zip(s_dims, dims)} | {d: t.column(d) for d in dims}
+    columns |= {"_n": t.column("_n")} | {x: t.column(x) for x in payload}
+    return pa.table(columns | {"_d2": pa.array(d2), "_upto": pa.array(total - before, pa.int64())}), i, reach
+
+
+def _home(shape, k: int, radius2: float, spanning):
+    """Search a part by itself; sources whose ball may leave it are handed on as well, with their bound and place on the curve."""
+    by, dims, s_dims, payload = shape
+
+    def run(part: pa.Table) -> pa.Table:
+        part = part.sort_by([("_code", "ascending")])
+        is_source = np.asarray(part.column("_n").is_null())
+        sources, targets = part.filter(pa.array(is_source)), part.filter(pa.array(~is_source))
+        found, owner, reach = _pairs(sources, targets, shape, k, np.full(sources.num_rows, radius2))
+        group = tuple(part.column(b)[0].as_py() for b in by)
+        others = spanning.value.get(group)
+        extra = {"_kind": pa.array([0] * found.num_rows, pa.int32()), "_to": pa.nulls(found.num_rows, pa.int32())}
+        found = pa.table({c: found.column(c) for c in found.column_names} | extra)
+        if others is None or not sources.num_rows:
+            return found
+        names, lows, highs, counts = others
+        me = part.column("_part")[0].as_py()
+        xyz, out = _matrix(sources, dims), []
+        step = max(1, 1_000_000 // len(names))
+        for at in range(0, len(xyz), step):
+            p = xyz[at : at + step, None, :]
+            near = np.maximum(np.maximum(lows - p, p - highs), 0.0)
+            far = np.maximum(np.abs(p - lows), np.abs(p - highs))
+            near, far = (near * near).sum(axis=2), (far * far).sum(axis=2)
+            # The k-th target is no farther than the far side of the nearest boxes that hold k.
+            order = np.argsort(far, axis=1)
+            held = np.cumsum(counts[order], axis=1) >= k
+            sure = np.where(held.any(axis=1), np.take_along_axis(far, order, 1)[np.arange(len(p)), held.argmax(axis=1)], np.inf)
+            bound = np.minimum(np.minimum(reach[at : at + step], sure * (1 + 1e-9)), radius2)
+            i, j = np.nonzero((near <= bound[:, None] * (1 + 1e-9)) & (names != me)[None, :])
+            out.append((i + at, names[j], bound[i]))
+        i, to, bound = (np.concatenate([o[x] for o in out]) for x in range(3))
+        asked = sources.take(pa.array(i))
+        columns = {b: asked.column(b) for b in by} | {a: asked.column(d) for a, d in zip(s_dims, dims)}
+        columns |= {d: pa.nulls(len(i), pa.float64()) for d in dims} | {"_n": pa.nulls(len(i), pa.int64())}
+        columns |= {x: pa.nulls(len(i), part.schema.field(x).type) for x in payload}
+        columns |= {"_d2": pa.array(bound), "_upto": asked.column("_code"), "_kind": pa.array([2] * len(i), pa.int32()), "_to": pa.array(to, pa.int32())}
+        # What an open source found at home is not final: kind 1, to be merged.
+        waits = np.isin(owner, i).astype("int32")
+        found = found.set_column(found.schema.get_field_index("_kind"), "_kind", pa.array(waits, pa.int32()))
+        return pa.concat_tables([found, pa.table(columns).select(found.column_names)], promote_options="permissive")
+
+    return run
+
+
+def _away(shape, k: int):
+    """Search a part for sources of other parts, each within the bound it brings."""
+    by, dims, s_dims, _ = shape
+
+    def run(asked: pa.Table, part: pa.Table) -> pa.Table:
+        sources = pa.table({b: asked.column(b) for b in by} | {d: asked.column(a) for a, d in zip(s_dims, dims)} | {"_bound": asked.column("_d2"), "_code": asked.column("_code")})
+        sources = sources.sort_by([("_code", "ascending")])
+        return _pairs(sources, part.sort_by([("_code", "ascending")]), shape, k, np.asarray(sources.column("_bound")))[0]
+
+    return run
 
 
 def neighbours(
     sources: DataFrame, targets: DataFrame, by: list[str], dims: list[str], k: int = 1,
     radius: float | None = None, payload: list[str] | None = None,
 ) -> DataFrame:
-    """Nearest target rows per distinct source coordinate.
+    """Nearest target rows per distinct source coordinate, two or three dimensions.
 
     ``targets`` are distinct coordinates with a count ``_n``; result rows carry ``_d2``, ``_n``
-    and ``_upto`` (running count), enough rows to reach ``k`` neighbours.
+    and ``_upto`` (running count): all rows up to the distance at which ``k`` are counted, rows
+    of that same distance included, none beyond ``radius``. Rows with a null coordinate or
+    group take no part.
     """
     payload = payload or []
+    spark = sources.sparkSession
     s_dims = [f"_s_{d}" for d in dims]
-    key = [*by, *s_dims]
-    src = sources.select(*by, *[F.col(d).cast("double").alias(s) for d, s in zip(dims, s_dims)]).distinct()
-    tgt = cut_lineage(targets.select(*by, *[F.col(d).cast("double").alias(d) for d in dims], "_n", *payload))
-    n, low, longest, spacing = _shape(tgt, by, dims)
-    d2 = sum(((F.col(d) - F.col(s)) * (F.col(d) - F.col(s)) for d, s in zip(dims, s_dims)), F.lit(0.0))
-    shown = [*key, *dims, "_n", *payload, "_d2"]
-    if not n:
-        return src.limit(0).select(*key, *[F.lit(0.0).alias(d) for d in dims], F.lit(0).alias("_n"),
-                                   *[F.lit(None).alias(p) for p in payload], F.lit(0.0).alias("_d2"), F.lit(0).alias("_upto"))
-    width = spacing * (4 + k) ** (1 / len(dims)) * 1.2
-    if radius is not None:
-        width = min(width, 2 * radius)
-    reach = width / 2
-    cells = [f"_c_{d}" for d in dims]
-    placed = tgt.select("*", *[F.floor(F.col(d) / width).alias(c) for d, c in zip(dims, cells)])
-    probes = src
-    for s, c in zip(s_dims, cells):
-        ends = F.array_distinct(F.array(F.floor((F.col(s) - reach) / width), F.floor((F.col(s) + reach) / width)))
-        probes = probes.withColumn(c, F.explode(ends))
-    crowded = placed.groupBy(*by, *cells).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > CROWDED)
-    crowded = cut_lineage(crowded.drop("_rows"))
-    deferred = None
-    if not crowded.isEmpty():
-        deferred = probes.join(crowded, [*by, *cells], "left_semi").select(*key).distinct()
-        probes = probes.join(deferred, key, "left_anti")
-    near = probes.join(placed, [*by, *cells]).withColumn("_d2", d2).filter(F.col("_d2") <= reach * reach)
-    first = _first_k(near.select(*shown), key, k, dims)
-    done = first.filter(F.col("_upto") >= k).select(*key).distinct()
-    if radius is not None and reach >= radius:
-        settled = cut_lineage(first)
-        open_sources = deferred
-    else:
-        settled = cut_lineage(first.join(done, key, "left_semi"))
-        open_sources = src.join(settled.select(*key).distinct(), key, "left_anti")
-    if open_sources is None:
-        return settled
-    open_sources = cut_lineage(open_sources)
-    if open_sources.isEmpty():
+    shape = (by, dims, s_dims, payload)
+    kinds = {f.name: f.dataType.simpleString() for f in [*sources.schema.fields, *targets.schema.fields]}
+    known = " and ".join(f"`{c}` is not null" for c in [*by, *dims])
+    coordinates = [F.col(d).cast("double").alias(d) for d in dims]
+    src = sources.select(*by, *coordinates).filter(known).distinct()
+    tgt = targets.select(*by, *coordinates, F.col("_n").cast("bigint").alias("_n"), *payload).filter(known)
+    both = tgt.unionByName(src, allowMissingColumns=True)
+    row = both.agg(F.count(F.lit(1)), *[F.min(d) for d in dims], *[F.max(d) for d in dims]).first()
+    low, high = list(row[1 : 1 + len(dims)]), list(row[1 + len(dims) :])
+    span = max([h - l for l, h in zip(low, high)] if row[0] else [1.0]) or 1.0
+    low = low if row[0] else [0.0] * len(dims)
+    parts = max(1, math.ceil(row[0] / max(PART_ROWS, row[0] / MOST_PARTS)))
+    coded = both.withColumn("_code", morton([F.col(d) for d in dims], low, span))
+    dealt = cut_lineage(coded.repartitionByRange(parts, *by, "_code", *dims).withColumn("_part", F.spark_partition_id()))
+    # Only groups that span parts need boxes: at most two rows a part, and the parts are bounded.
+    held = dealt.filter("_n is not null").groupBy("_part", *by).agg(
+        F.sum("_n").alias("_c"), *[F.min(d).alias(f"_lo_{d}") for d in dims], *[F.max(d).alias(f"_hi_{d}") for d in dims]
+    )
+    met = dealt.groupBy(*by).agg(F.min("_part").alias("_a"), F.max("_part").alias("_b")).filter("_a < _b").select(*by)
+    boxes: dict[tuple, list] = {}
+    for r in held.join(met, by, "left_semi").orderBy("_part").collect() if by else held.orderBy("_part").collect():
+        boxes.setdefault(tuple(r[b] for b in by), []).append(r)
+    packed = {
+        g: (
+            np.array([r["_part"] for r in rows], "int32"), np.array([[r[f"_lo_{d}"] for d in dims] for r in rows]),
+            np.array([[r[f"_hi_{d}"] for d in dims] for r in rows]), np.array([r["_c"] for r in rows], "int64"),
+        )
+        for g, rows in boxes.items()
+    }
+    spanning = spark.sparkContext.broadcast(packed)
+    shown = [f"`{b}` {kinds[b]}" for b in by] + [f"{d} double" for d in [*s_dims, *dims]] + ["_n bigint"]
+    shown = ", ".join([*shown, *[f"`{x}` {kinds[x]}" for x in payload], "_d2 double", "_upto bigint"])
+    radius2 = math.inf if radius is None else float(radius) * float(radius)
+    home = cut_lineage(dealt.groupBy("_part", *by).applyInArrow(_home(shape, k, radius2, spanning), f"{shown}, _kind int, _to int"))
+    names = [*by, *s_dims, *dims, "_n", *payload, "_d2", "_upto"]
+    settled = home.filter("_kind = 0").select(*names)
+    if not packed:
         return settled
-    rest = _descend(open_sources, tgt, by, dims, s_dims, k, radius, low, longest, width)
-    return settled.unionByName(_first_k(rest.withColumn("_d2", d2).select(*shown), key, k, dims))
-
-
-def _descend(src, tgt, by, dims, s_dims, k, radius, low, longest, width) -> DataFrame:
-    """Join open sources with the leaf cells that can hold one of their k nearest."""
-    span = longest * (1 + 1e-9)
-    depth = max(2, min(DEEPEST, 2 * math.ceil(math.log2(span / width) / 2)))  # two levels per step
-    index = [f"_i_{d}" for d in dims]
-
-    def leaf_index(d: str, lo: float, levels: int) -> Column:
-        return F.floor((F.col(d) - lo) / (span / 2**levels))
-
-    while True:
-        leaves = tgt.select("*", *[leaf_index(d, lo, depth).alias(i) for d, lo, i in zip(dims, low, index)])
-        counts = cut_lineage(leaves.groupBy(*by, *index).agg(F.count(F.lit(1)).alias("_rows"), F.sum("_n").alias("_c")))
-        if depth >= DEEPEST or counts.agg(F.max("_rows")).first()[0] <= CROWDED:
-            break
-        depth = min(DEEPEST, depth + 2)
-    open_cells = src.select("*", *[F.lit(0).cast("bigint").alias(i) for i in index])
+    asked = home.filter("_kind = 2").select(F.col("_to").alias("_part"), *by, *s_dims, "_d2", F.col("_upto").alias("_code"))
+    # A part that very many ask is copied, and its askers are dealt to the copies.
+    crowds = asked.groupBy("_part", *by).agg(F.ceil(F.count(F.lit(1)) / (8 * PART_ROWS)).cast("int").alias("_copies"))
+    key = ["_part", *by]
+    asked = asked.join(crowds, key).withColumn("_copy", F.pmod(F.xxhash64(*s_dims), F.col("_copies")).cast("int")).drop("_copies")
+    copied = dealt.filter("_n is not null").join(crowds, key).withColumn("_copy", F.explode(F.sequence(F.lit(0), F.col("_copies") - 1))).drop("_copies")
+    away = asked.groupBy(*key, "_copy").cogroup(copied.groupBy(*key, "_copy")).applyInArrow(_away(shape, k), shown)
+    merged = home.filter("_kind = 1").select(*names).unionByName(away).drop("_upto")
     source = [*by, *s_dims]
-    for level in range(2, depth + 1, 2):
-        size = span / 2**level
-        parents = [f"_p_{d}" for d in dims]
-        level_cells = counts.groupBy(
-            *by, *[F.shiftright(F.col(i), depth - level).alias(i) for i in index]
-        ).agg(F.sum("_c").alias("_c"))
-        children = level_cells.select("*", *[F.shiftright(F.col(i), 2).alias(p) for i, p in zip(index, parents)])
-        down = open_cells.select(*source, *[F.col(i).alias(p) for i, p in zip(index, parents)]).join(children, [*by, *parents])
-        nearest = farthest = F.lit(0.0)
-        for d, s, i, lo in zip(dims, s_dims, index, low):
-            start = F.lit(lo) + F.col(i) * size
-            out = F.greatest(start - F.col(s), F.col(s) - start - size, F.lit(0.0))
-            far = F.greatest(F.abs(F.col(s) - start), F.abs(F.col(s) - start - size))
-            nearest, farthest = nearest + out * out, farthest + far * far
-        down = down.withColumn("_near", nearest).withColumn("_far", farthest)
-        by_far = W.partitionBy(*source).orderBy("_far").rowsBetween(W.unboundedPreceding, 0)
-        down = down.withColumn("_held", F.sum("_c").over(by_far))
-        limit = F.min(F.when(F.col("_held") >= k, F.col("_far"))).over(W.partitionBy(*source))
-        slack = 1e-9 * span * span
-        down = down.withColumn("_limit", limit).filter(F.col("_limit").isNull() | (F.col("_near") <= F.col("_limit") * (1 + 1e-9) + slack))
-        if radius is not None:
-            down = down.filter(F.col("_near") <= radius * radius + slack)
-        open_cells = down.select(*source, *index)
-        if level % 4 == 0:
-            open_cells = cut_lineage(open_cells)
-    return open_cells.join(leaves, [*by, *index]).drop(*index)
+    w = W.partitionBy(*source).orderBy("_d2", *dims)
+    merged = merged.withColumn("_upto", F.sum("_n").over(w.rowsBetween(W.unboundedPreceding, 0)))
+    reach = F.min(F.when(F.col("_upto") >= k, F.col("_d2"))).over(W.partitionBy(*source))
+    merged = merged.withColumn("_reach", reach).filter("_reach is null or _d2 <= _reach")
+    return settled.unionByName(merged.select(*names))
 
 
 def _folded(points: DataFrame, by: list[str], dims: list[str]) -> DataFrame:
@@ -165,7 +269,7 @@ def mean_neighbour_distance(points: DataFrame, by: list[str], k: int = 12, dims:
     """Points with the mean distance to their k nearest others; a copy counts as another at zero."""
     dims = list(dims)
     found = neighbours(points, _folded(points, by, dims), by, dims, k + 1)
-    used = F.least(F.col("_n"), F.lit(k + 1) - (F.col("_upto") - F.col("_n")))
+    used = F.greatest(F.lit(0), F.least(F.col("_n"), F.lit(k + 1) - (F.col("_upto") - F.col("_n"))))
     sums = found.groupBy(*by, *[F.col(f"_s_{d}").alias(d) for d in dims]).agg(
         F.sum(F.sqrt("_d2") * used).alias("_sum"), F.sum(used).alias("_used")
     )

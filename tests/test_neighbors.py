@@ -19,18 +19,18 @@ def cloud(spark, seed: int, n: int) -> pd.DataFrame:
     return pd.DataFrame(xyz, columns=["x", "y", "z"]).assign(g=1, item=range(len(xyz)))
 
 
-@pytest.mark.parametrize("crowded", [5, 512])
-def test_nearest_distance(spark, monkeypatch, crowded):
-    monkeypatch.setattr(neighbors, "CROWDED", crowded)
+@pytest.mark.parametrize("rows", [7, 90, 40_000])
+def test_nearest_distance(spark, monkeypatch, rows):
+    monkeypatch.setattr(neighbors, "PART_ROWS", rows)
     a, b = cloud(spark, 1, 300), cloud(spark, 2, 200)
     got = neighbors.nearest_distance(spark.createDataFrame(a), spark.createDataFrame(b), ["g"]).toPandas().sort_values("item")
     want = np.sqrt(((a[["x", "y", "z"]].to_numpy()[:, None] - b[["x", "y", "z"]].to_numpy()[None]) ** 2).sum(-1)).min(1)
     assert np.allclose(got["distance"], want)
 
 
-@pytest.mark.parametrize("crowded", [5, 512])
-def test_mean_neighbour_distance(spark, monkeypatch, crowded):
-    monkeypatch.setattr(neighbors, "CROWDED", crowded)
+@pytest.mark.parametrize("rows", [20, 40_000])
+def test_mean_neighbour_distance(spark, monkeypatch, rows):
+    monkeypatch.setattr(neighbors, "PART_ROWS", rows)
     a = cloud(spark, 3, 200)
     got = neighbors.mean_neighbour_distance(spark.createDataFrame(a), ["g"], 12).toPandas().sort_values("item")
     d = np.sqrt(((a[["x", "y", "z"]].to_numpy()[:, None] - a[["x", "y", "z"]].to_numpy()[None]) ** 2).sum(-1))
@@ -38,16 +38,50 @@ def test_mean_neighbour_distance(spark, monkeypatch, crowded):
     assert np.allclose(got["mean_distance"], want)
 
 
-def test_nearest_ids_with_copies(spark):
+@pytest.mark.parametrize("rows, radius", [(25, 30.0), (40_000, 30.0), (25, 120.0), (40_000, 1.0)])
+def test_nearest_ids_with_copies(spark, monkeypatch, rows, radius):
+    monkeypatch.setattr(neighbors, "PART_ROWS", rows)
     a = cloud(spark, 4, 80)
-    got = neighbors.nearest_ids(spark.createDataFrame(a), ["g"], "item", 4, 30.0, ("x", "y", "z")).collect()
+    got = neighbors.nearest_ids(spark.createDataFrame(a), ["g"], "item", 4, radius, ("x", "y", "z")).collect()
     xyz = a[["x", "y", "z"]].to_numpy()
     d = np.sqrt(((xyz[:, None] - xyz[None]) ** 2).sum(-1))
     want = set()
     for i in range(len(a)):
-        near = sorted((round(v, 9), j) for j, v in enumerate(d[i]) if v <= 30.0)[:4]
+        near = sorted((round(v, 9), j) for j, v in enumerate(d[i]) if v <= radius)[:4]
         want |= {(i, j) for _, j in near}
     assert {(r["item"], r["neighbour"]) for r in got} == want
+    assert max(r["distance"] for r in got) <= radius
+
+
+@pytest.mark.parametrize("rows", [4, 40_000])
+def test_ties_go_to_the_lower_item(spark, monkeypatch, rows):
+    monkeypatch.setattr(neighbors, "PART_ROWS", rows)
+    points = [(1, 0, 0.0, 0.0), (1, 1, 1.0, 0.0), (1, 2, -1.0, 0.0), (1, 3, 0.0, 1.0), (2, 9, 0.0, 0.0), (2, 4, 0.0, -1.0)]
+    points += [(3, 100 + i * 9 + j, float(i), float(j)) for i in range(9) for j in range(9)]  # a grid, all ties
+    df = spark.createDataFrame(points, "g long, item long, x double, y double")
+    for k in (2, 3, 6):
+        got = {(r["item"], r["neighbour"], r["place"]) for r in neighbors.nearest_ids(df, ["g"], "item", k, 5.0, ("x", "y")).collect()}
+        want = set()
+        for g, i, x, y in points:
+            near = sorted(((x - u) ** 2 + (y - v) ** 2, j) for h, j, u, v in points if h == g)[:k]
+            want |= {(i, j, p) for p, (d, j) in enumerate(near, 1) if d <= 25}
+        assert got == want
+
+
+def test_groups_apart_and_awkward_rows(spark, monkeypatch):
+    monkeypatch.setattr(neighbors, "PART_ROWS", 15)
+    rng = np.random.default_rng(8)
+    a = [(int(g), float(x), float(y)) for g, (x, y) in zip(rng.integers(0, 6, 200), rng.uniform(-50, 50, (200, 2)))] + [(7, 1.0, 1.0), (None, 0.0, 0.0), (1, None, 2.0)]
+    b = [(int(g), float(x), float(y)) for g, (x, y) in zip(rng.integers(0, 5, 150), rng.normal(30, 2, (150, 2)))] * 2
+    kinds = "g long, x double, y double"
+    got = neighbors.nearest_distance(spark.createDataFrame(a, kinds), spark.createDataFrame(b, kinds), ["g"], ("x", "y")).collect()
+    assert len(got) == len(a)
+    for r in got:
+        near = [np.hypot(r["x"] - x, r["y"] - y) for g, x, y in b if None not in (r["g"], r["x"]) and g == r["g"]]
+        assert (r["distance"] is None) == (not near) and (not near or np.isclose(r["distance"], min(near)))
+    nothing = spark.createDataFrame([], kinds)
+    assert neighbors.nearest_distance(nothing, spark.createDataFrame(b, kinds), ["g"], ("x", "y")).count() == 0
+    assert neighbors.nearest_distance(spark.createDataFrame(b, kinds), nothing, ["g"], ("x", "y")).filter("distance is not null").count() == 0
 
 
 def test_thinning_equals_the_sequential_pass(spark):
