@@ -233,20 +233,27 @@ def priced(asked: DataFrame, probabilities: DataFrame, weights: DataFrame, order
     return found.select("model", "gram", F.coalesce("_p", back * F.col("_q")).alias("p"))
 
 
-def _asked(tokens, text: str, group: str | None = None):
-    """The different n-grams a task holds per model, or per model and ``group``."""
+def _by_key(grams: np.ndarray, lengths: np.ndarray, keys: list) -> Iterator[tuple]:
+    """The n-grams of the texts of each key, None left out."""
+    for key in {k for k in keys if k is not None}:
+        yield key, grams[np.repeat([k == key for k in keys], lengths)]
+
+
+def _asked(tokens, text: str):
+    """The different n-grams of every group, for the whole model and for that without a trusted text's fold."""
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple, np.ndarray] = {}
+        held: dict[tuple[int, int], np.ndarray] = {}
         for batch, texts in sliced(batches, text, SLICE_CHARS):
-            models = batch.column("_model").to_pylist()
-            where = list(zip(models, batch.column(group).to_pylist() if group else [0] * len(models)))
-            for key in set(where):
-                grams = pd.unique(tokens.value.grams([t for t, w in zip(texts, where) if w == key])[0])
-                held[key] = pd.unique(np.concatenate([held[key], grams])) if key in held else grams
-        for (model, of), grams in held.items():
+            grams, lengths = tokens.value.grams(texts)
+            groups, folds = batch.column("_group").to_pylist(), batch.column("_fold").to_pylist()
+            keys = [(g, WHOLE) for g in groups], [None if f is None else (g, f) for g, f in zip(groups, folds)]
+            for key, found in itertools.chain.from_iterable(_by_key(grams, lengths, k) for k in keys):
+                found = pd.unique(found)
+                held[key] = pd.unique(np.concatenate([held[key], found])) if key in held else found
+        for (group, model), grams in held.items():
             yield pa.RecordBatch.from_pydict({
-                "group": pa.array([of] * len(grams), pa.int64()), "model": pa.array([model] * len(grams), pa.int32()),
+                "group": pa.array([group] * len(grams), pa.int64()), "model": pa.array([model] * len(grams), pa.int32()),
                 "gram": pa.array(grams, pa.int64()),
             })
 
@@ -255,40 +262,53 @@ def _asked(tokens, text: str, group: str | None = None):
 
 def _added_up(tokens, text: str, keep: list[str]):
     def add(documents: pa.Table, prices: pa.Table) -> pa.Table:
-        grams = np.asarray(prices.column("gram"))
-        by = np.argsort(grams)
-        grams, costs = grams[by], np.asarray(prices.column("cost"))[by]
-        sums, counts = [], []
-        for _, texts in sliced(iter(documents.to_batches()), text, SLICE_CHARS):
-            found, lengths = tokens.value.grams(texts)
+        models, order = np.asarray(prices.column("model")), np.argsort(np.asarray(prices.column("gram")), kind="stable")
+        known = {}
+        for model in np.unique(models).tolist():
+            mine = order[models[order] == model]
+            known[model] = np.asarray(prices.column("gram"))[mine], np.asarray(prices.column("cost"))[mine]
+
+        def costs(found: np.ndarray, lengths: np.ndarray, model: int) -> np.ndarray:
+            if not len(found):
+                return np.zeros(len(lengths))
             spots, names = pd.factorize(found)
-            cost = costs[np.searchsorted(grams, names)][spots] if len(found) else np.zeros(0)
-            edges = np.concatenate([[0], np.cumsum(lengths)])
-            total = np.concatenate([[0.0], np.cumsum(cost)])
-            sums.append(total[edges[1:]] - total[edges[:-1]])
+            grams, cost = known[model]
+            owner = np.repeat(np.arange(len(lengths)), lengths)
+            return np.bincount(owner, weights=cost[np.searchsorted(grams, names)][spots], minlength=len(lengths))
+
+        sums, counts, held = [np.zeros(0)], [np.zeros(0, "int64")], [np.zeros(0)]
+        for batch, texts in sliced(iter(documents.to_batches()), text, SLICE_CHARS):
+            found, lengths = tokens.value.grams(texts)
+            folds = batch.column("_fold").to_pylist()
+            sums.append(costs(found, lengths, WHOLE))
             counts.append(lengths)
-        out = documents.select(keep)
-        out = out.append_column("cost", pa.array(np.concatenate(sums) if sums else [], pa.float64()))
-        return out.append_column("tokens", pa.array(np.concatenate(counts) if counts else [], pa.int64()))
+            out = np.full(len(texts), np.nan)
+            for fold, grams in _by_key(found, lengths, folds):
+                mine = np.array([f == fold for f in folds])
+                out[mine] = costs(grams, lengths[mine], fold)
+            held.append(out)
+        sums, counts, held = (np.concatenate(x) for x in (sums, counts, held))
+        out = documents.select(keep).append_column("cost", pa.array(sums)).append_column("tokens", pa.array(counts))
+        return out.append_column("held", pa.array(held, mask=np.isnan(held)))
 
     return add
 
 
-def scored(rows: DataFrame, model: Column, text: str, probabilities: DataFrame, weights: DataFrame, tokens, text_bytes: int) -> DataFrame:
-    """``rows`` with cost (summed negative log-probability of the text under its ``model``) and tokens."""
+def scored(rows: DataFrame, keep: list[str], text: str, probabilities: DataFrame, weights: DataFrame, tokens, text_bytes: int) -> DataFrame:
+    """Columns ``keep`` of ``rows`` with cost (summed negative log-probability of the text), tokens, and ``held``:
+    the cost by the model without the row's own ``_fold``, null where that is null."""
     groups = part_count(text_bytes, GROUP_BYTES)
     order, kinds = tokens.value.order, tokens.value.kinds
-    given = rows.withColumn("_model", model.cast("int"))
     wants = "group long, model int, gram long"
-    every = given.select(text, "_model").mapInArrow(_asked(tokens, text), wants).select("model", "gram").distinct()
-    prices = cut_lineage(priced(cut_lineage(every), probabilities, weights, order, kinds))
+    every = rows.select(text, "_fold", F.lit(0).cast("long").alias("_group")).mapInArrow(_asked(tokens, text), wants)
+    prices = cut_lineage(priced(cut_lineage(every.select("model", "gram").distinct()), probabilities, weights, order, kinds))
     # Evenly dealt whatever the rows hold, so copies and repeated ids never gather.
-    number = F.pmod(F.monotonically_increasing_id() + 7919 * F.spark_partition_id(), F.lit(groups))
-    dealt = given.withColumn("_group", number * (FOLDS + 1) + F.col("_model") + 1).repartition(groups, "_group")
-    asked = dealt.mapInArrow(_asked(tokens, text, "_group"), wants)
-    answers = asked.join(prices, ["model", "gram"]).select("group", "gram", (-F.log("p")).alias("cost"))
-    kinds_ = ", ".join([f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in rows.columns] + ["cost double", "tokens long"])
-    return dealt.groupBy("_group").cogroup(answers.groupBy("group")).applyInArrow(_added_up(tokens, text, rows.columns), kinds_)
+    turn = F.pmod(F.monotonically_increasing_id() + 7919 * F.spark_partition_id(), F.lit(groups))
+    dealt = rows.select(*dict.fromkeys([*keep, text, "_fold"])).withColumn("_group", turn).repartition(groups, "_group")
+    asked = dealt.mapInArrow(_asked(tokens, text), wants)
+    answers = asked.join(prices, ["model", "gram"]).select("group", "model", "gram", (-F.log("p")).alias("cost"))
+    names = ", ".join([f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep] + ["cost double", "tokens long", "held double"])
+    return dealt.groupBy("_group").cogroup(answers.groupBy("group")).applyInArrow(_added_up(tokens, text, keep), names)
 
 
 def thresholds(scored: DataFrame, quantile: float = QUANTILE, least_texts: float | None = None) -> DataFrame:
@@ -319,9 +339,9 @@ def thresholds(scored: DataFrame, quantile: float = QUANTILE, least_texts: float
 
 def quality(
     df: DataFrame, labels: DataFrame, trusted: Column | None = None, id_col: str = "doc_id", text_col: str = "text",
-    lang_col: str = "lang", order: int = ORDER, quantile: float = QUANTILE,
+    lang_col: str = "lang", order: int = ORDER, quantile: float = QUANTILE, columns: list[str] | None = None,
 ) -> DataFrame:
-    """``df`` with perplexity (per token, null without any), ``limit`` and ``keep``.
+    """``df``, or those ``columns`` of it, with perplexity (per token, null without any), ``limit`` and ``keep``.
 
     Trusted are the rows whose id has a label row that fulfils ``trusted`` (quality 1, toxic 0)
     and none that does not. All of them are counted; each of ``FOLDS`` folds, by a hash of the
@@ -336,25 +356,25 @@ def quality(
     trusted = trusted if trusted is not None else (F.col("quality") == 1) & (F.col("toxic") == 0)
     good = labels.select(F.col(id_col).alias("_label"), F.coalesce(trusted, F.lit(False)).alias("ok")).groupBy("_label").agg(F.min("ok").alias("ok"))
     good = good.filter("ok").select("_label")
-    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    few = good.limit(BROADCAST_LABELS + 1).count() <= BROADCAST_LABELS
-    labelled = rows.join(F.broadcast(good) if few else good, F.col("id") == F.col("_label"), "left_semi")
-    labelled = labelled.select(F.pmod(F.xxhash64("id"), F.lit(FOLDS)).cast("int").alias("fold"), "text", "lang")
-    n_bytes = lambda part: part.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    good = F.broadcast(good) if good.limit(BROADCAST_LABELS + 1).count() <= BROADCAST_LABELS else good
+    # The caller's columns travel under numbers, so that no name of theirs meets one used here.
+    returned = [c for c in columns or df.columns if c not in ("perplexity", "limit", "keep")]
+    plain = df.select(*dict.fromkeys([*returned, id_col, text_col, lang_col]))
+    numbered = {c: f"_c{k}" for k, c in enumerate(plain.columns)}
+    text, lang, own_id = numbered[text_col], numbered[lang_col], F.col(numbered[id_col])
+    fold = F.when(F.col("_label").isNotNull(), F.pmod(F.xxhash64(own_id), F.lit(FOLDS)).cast("int"))
+    rows = plain.toDF(*numbered.values()).join(good, own_id == F.col("_label"), "left").withColumn("_fold", fold).drop("_label")
+    labelled = rows.filter("_fold is not null").select(F.col("_fold").alias("fold"), F.col(text).alias("text"))
     tokens = Tokens(alphabet(labelled), order)
     shared = spark.sparkContext.broadcast(tokens)
     counts = _by_model(_counted(labelled, shared), list(range(FOLDS)))
     probabilities, weights = train(counts, order, tokens.kinds)
-    held = scored(labelled.select("fold", "lang", "text"), F.col("fold"), "text", probabilities, weights, shared, n_bytes(labelled))
-    limits = thresholds(cut_lineage(held.select("lang", "cost", "tokens")), quantile).collect()
-    bounds = {r["lang"]: (r["mean"], r["limit"]) for r in limits}
-    new = ("perplexity", "limit", "keep")
-    plain = df.drop(*new)
-    # The caller's columns travel under numbers, so that no name of theirs meets one used here.
-    numbered = {c: f"_c{k}" for k, c in enumerate(plain.columns)}
-    inner = plain.toDF(*numbered.values())
-    judged = scored(inner, F.lit(WHOLE), numbered[text_col], probabilities, weights, shared, n_bytes(rows))
-    return _judged(judged, numbered, F.col(numbered[lang_col]), bounds)
+    n_bytes = rows.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
+    keep = [numbered[c] for c in dict.fromkeys([*returned, lang_col])]
+    found = cut_lineage(scored(rows, keep, text, probabilities, weights, shared, n_bytes))
+    limits = thresholds(found.filter("held is not null").select(F.col(lang).alias("lang"), F.col("held").alias("cost"), "tokens"), quantile)
+    bounds = {r["lang"]: (r["mean"], r["limit"]) for r in limits.collect()}
+    return _judged(found, {c: numbered[c] for c in returned}, F.col(lang), bounds)
 
 
 def _judged(found: DataFrame, columns: dict[str, str], lang: Column, bounds: dict) -> DataFrame:

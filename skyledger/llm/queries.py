@@ -119,9 +119,7 @@ def op9_imatch_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op10_kneser_ney_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's perplexity under the trusted text, its language's limit and the verdict."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    judged = quality(docs, table(spark, sf_dir, "labels"))
-    return judged.select("doc_id", "lang", "perplexity", "limit", "keep")
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), columns=["doc_id", "lang"])
 
 
 @_query
