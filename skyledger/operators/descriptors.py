@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import Window as W
 
 from ..scale import Quantile, grouped
+from ..session import cut_lineage
+from .metric_index import Measure, similar_pairs
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -21,14 +21,6 @@ def normalised(v: Column) -> Column:
     return F.transform(v, lambda e: e / length)
 
 
-def maybe_within(a: Column, b: Column, r: float, size: int) -> Column:
-    """False only for vectors surely farther apart than r, told by their leading dimensions."""
-    total = F.lit(0.0)
-    for i in range(min(16, size)):
-        total = total + (a[i] - b[i]) * (a[i] - b[i])
-    return total <= r * r
-
-
 def mutual_matches(keypoints: DataFrame, pairs: DataFrame, ratio: float = 0.75, least: int = 8) -> DataFrame:
     """Reciprocal nearest descriptors of image pairs that pass the ratio test both ways.
 
@@ -57,36 +49,32 @@ def mutual_matches(keypoints: DataFrame, pairs: DataFrame, ratio: float = 0.75,
     return both.join(enough, ["a", "b"], "left_semi")
 
 
-def loop_closures(frames: DataFrame, seq: str, size: int, top_k: int = 5, threshold: float = 0.85, apart: int = 10, guides: int = 3) -> DataFrame:
+def loop_closures(
+    frames: DataFrame, seq: str, top_k: int = 5, threshold: float = 0.85, apart: int = 10, measure: Measure | None = None
+) -> DataFrame:
     """Top-k similar frames per frame above ``threshold`` and more than ``apart`` positions away.
 
-    Unit vectors more similar than the threshold are nearer than r, and so are their
-    projections on any direction. Frames meet only in grid cells of a few projections that a
-    ball of radius r touches, which loses no pair. Equal vectors are folded to one row that
-    keeps its top_k + 1 lowest positions, all that any list can use.
+    Equal vectors are folded to one row that keeps its top_k + 1 lowest positions, all that any
+    list can use; the different ones are joined over a partition around pivots, which loses no pair.
     """
-    r = math.sqrt(max(0.0, 2.0 - 2.0 * threshold)) * (1 + 1e-9)
-    width = 2.0 * r
     unit = frames.select(seq, "idx", normalised(F.col("d")).alias("d"))
     keyed = unit.withColumn("_h", F.xxhash64("d"))
     low = W.partitionBy(seq, "_h", "d").orderBy("idx")
     few = keyed.withColumn("_r", F.row_number().over(low)).filter(F.col("_r") <= top_k + 1)
     folded = few.groupBy(seq, "_h", "d").agg(F.array_sort(F.collect_list("idx")).alias("ids"))
-    cells = [f"_c{g}" for g in range(guides)]
-    homes = folded.select(seq, F.col("d").alias("_e"), "ids", *[F.floor(F.col("d")[g] / width).alias(c) for g, c in enumerate(cells)])
-    asks = folded.select(seq, "_h", "d")
-    for g, c in enumerate(cells):
-        near = F.array_distinct(F.array(F.floor((F.col("d")[g] - r) / width), F.floor((F.col("d")[g] + r) / width)))
-        asks = asks.withColumn(c, F.explode(near))
-    met = asks.join(homes, [seq, *cells]).filter(maybe_within(F.col("d"), F.col("_e"), r, size))
-    met = met.withColumn("score", dot(F.col("d"), F.col("_e"))).filter(F.col("score") > threshold)
-    each = met.select(seq, "_h", "d", "score", F.explode("ids").alias("other"))
-    place = F.row_number().over(W.partitionBy(seq, "_h", "d").orderBy(F.col("score").desc(), "other"))
-    lists = each.withColumn("_r", place).filter(F.col("_r") <= top_k + 1).groupBy(seq, "_h", "d").agg(
+    folded = cut_lineage(folded.withColumn("id", F.col("ids")[0]))  # a position has one vector, so it names it
+    met = cut_lineage(similar_pairs(folded, [seq], "id", "d", threshold, measure))
+    both = met.unionByName(met.select(seq, F.col("b").alias("a"), F.col("a").alias("b"), "score"))
+    itself = folded.filter(dot(F.col("d"), F.col("d")) > threshold).select(seq, F.col("id").alias("a"), F.col("id").alias("b"), dot(F.col("d"), F.col("d")).alias("score"))
+    both = cut_lineage(both.unionByName(itself))
+    each = both.join(folded.select(seq, F.col("id").alias("b"), "ids"), [seq, "b"]).select(seq, "a", "score", F.explode("ids").alias("other"))
+    place = F.row_number().over(W.partitionBy(seq, "a").orderBy(F.col("score").desc(), "other"))
+    lists = each.withColumn("_r", place).filter(F.col("_r") <= top_k + 1).groupBy(seq, "a").agg(
         F.array_sort(F.collect_list(F.struct("_r", "score", "other"))).alias("_l")
     )
     # the frame itself leaves its list, which then holds the best top_k others
-    mine = keyed.join(lists, [seq, "_h", "d"]).withColumn("_o", F.slice(F.filter("_l", lambda x: x["other"] != F.col("idx")), 1, top_k))
+    named = keyed.select(seq, "idx", "_h", "d").join(folded.select(seq, "_h", "d", F.col("id").alias("a")), [seq, "_h", "d"]).select(seq, "idx", "a")
+    mine = named.join(lists, [seq, "a"]).withColumn("_o", F.slice(F.filter("_l", lambda x: x["other"] != F.col("idx")), 1, top_k))
     pairs = mine.select(seq, "idx", F.explode("_o").alias("_x")).select(
         seq, F.least("idx", F.col("_x.other")).alias("i"), F.greatest("idx", F.col("_x.other")).alias("j"), F.col("_x.score").alias("score")
     )

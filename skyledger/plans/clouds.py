@@ -92,7 +92,27 @@ def reconstruction_score(spark, sf_dir):
     return r(out, "accuracy completeness overall precision recall fscore")
 
 
-@query("neighbour_outliers", "J8 G22")
+# Thirteen least squares per distinct place, the place itself among them: grid cells around it, or all points where they are too few.
+@query("neighbour_outliers", "J8 G22", with_views("points", f"""WITH {_CLOUD},
+    u AS (SELECT DISTINCT scan_id, x, y, z, CAST(floor(x / 8) AS BIGINT) AS cx, CAST(floor(y / 8) AS BIGINT) AS cy FROM c),
+    t AS (SELECT scan_id, x AS tx, y AS ty, z AS tz, CAST(floor(x / 8) AS BIGINT) + i AS cx, CAST(floor(y / 8) AS BIGINT) + j AS cy
+        FROM c, (VALUES (-1), (0), (1)) a(i), (VALUES (-1), (0), (1)) b(j)),
+    nn AS (SELECT scan_id, x, y, z, min((tx - x) * (tx - x) + (ty - y) * (ty - y) + (tz - z) * (tz - z), 13) AS l
+        FROM u JOIN t USING (scan_id, cx, cy) GROUP BY ALL),
+    far AS (SELECT a.scan_id, a.x, a.y, a.z, min((b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y) + (b.z - a.z) * (b.z - a.z), 13) AS l
+        FROM nn a JOIN c b USING (scan_id) WHERE len(a.l) < 13 OR a.l[13] > 64 GROUP BY ALL),
+    ls AS (SELECT * FROM nn WHERE len(l) = 13 AND l[13] <= 64 UNION ALL SELECT * FROM far),
+    m AS (SELECT c.scan_id, point_id, c.x, c.y, c.z, CASE WHEN len(l) > 1 THEN list_sum(list_transform(l, lambda e: sqrt(e))) / (len(l) - 1) END AS mean_distance
+        FROM c JOIN ls USING (scan_id, x, y, z)),
+    q AS (SELECT scan_id, count(*) AS n, quantile_cont(mean_distance, 0.5) AS med, quantile_cont(mean_distance, 0.995) AS far FROM m GROUP BY scan_id),
+    s AS (SELECT scan_id, any_value(n) AS n, any_value(med) AS med, any_value(far) AS far, 1.4826e0 * quantile_cont(abs(mean_distance - med), 0.5) AS sigma
+        FROM m JOIN q USING (scan_id) GROUP BY scan_id),
+    li AS (SELECT *, CASE WHEN sigma <= 2.220446049250313e-16 THEN far ELSE med + 4.0e0 * sigma END AS lim FROM s),
+    k AS (SELECT scan_id, any_value(n) AS n, any_value(far) AS far, any_value(lim) AS lim, count(*) FILTER (mean_distance <= lim) AS kept
+        FROM m JOIN li USING (scan_id) GROUP BY scan_id),
+    fl AS (SELECT scan_id, CASE WHEN n < 32 THEN NULL WHEN kept < greatest(32, floor(0.5e0 * n)) THEN far ELSE lim END AS limit_m FROM k)
+    SELECT scan_id, point_id, x, y, z, round(mean_distance, 6) AS mean_distance, round(limit_m, 6) AS limit_m, limit_m IS NULL OR mean_distance <= limit_m AS keep
+    FROM m JOIN fl USING (scan_id)"""))
 def neighbour_outliers(spark, sf_dir):
     out = scoring.outlier_limits(clouds(spark, sf_dir), ["scan_id"])
     return r(out.select("scan_id", "point_id", "x", "y", "z", "mean_distance", "limit_m", "keep"), "mean_distance limit_m")

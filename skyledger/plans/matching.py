@@ -32,7 +32,7 @@ def visits(spark, sf_dir):
     rk AS (SELECT *, row_number() OVER (PARTITION BY seq_id, q ORDER BY s DESC, o) AS k FROM sm)
     SELECT seq_id, least(q, o) AS i, greatest(q, o) AS j, round(max(s), 6) AS score FROM rk WHERE k <= 5 AND abs(q - o) > 10 GROUP BY ALL""")
 def loop_closure_search(spark, sf_dir):
-    return r(descriptors.loop_closures(visits(spark, sf_dir), "seq_id", 64, 5, 0.9), "score")
+    return r(descriptors.loop_closures(visits(spark, sf_dir), "seq_id", 5, 0.9), "score")
 
 
 @query("mutual_descriptor_matches", "J11", f"""WITH {_VISITS},
