@@ -43,7 +43,7 @@ PRIOR_TOKENS = 60
 FOLDS = 2
 QUANTILE = 0.995
 HELD_TOKENS = 1 << 21
-GROUP_BYTES = 16 << 20
+GROUP_BYTES = 32 << 20
 SLICE_CHARS = 1 << 20
 BROADCAST_LABELS = 4_000_000
 
@@ -240,41 +240,34 @@ def _by_key(grams: np.ndarray, lengths: np.ndarray, keys: list) -> Iterator[tupl
 
 
 def _asked(tokens, text: str):
-    """The different n-grams of every group, for the whole model and for that without a trusted text's fold."""
+    """The different n-grams of every group."""
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[int, int], np.ndarray] = {}
+        held: dict[int, np.ndarray] = {}
         for batch, texts in sliced(batches, text, SLICE_CHARS):
             grams, lengths = tokens.value.grams(texts)
-            groups, folds = batch.column("_group").to_pylist(), batch.column("_fold").to_pylist()
-            keys = [(g, WHOLE) for g in groups], [None if f is None else (g, f) for g, f in zip(groups, folds)]
-            for key, found in itertools.chain.from_iterable(_by_key(grams, lengths, k) for k in keys):
+            for group, found in _by_key(grams, lengths, batch.column("_group").to_pylist()):
                 found = pd.unique(found)
-                held[key] = pd.unique(np.concatenate([held[key], found])) if key in held else found
-        for (group, model), grams in held.items():
-            yield pa.RecordBatch.from_pydict({
-                "group": pa.array([group] * len(grams), pa.int64()), "model": pa.array([model] * len(grams), pa.int32()),
-                "gram": pa.array(grams, pa.int64()),
-            })
+                held[group] = pd.unique(np.concatenate([held[group], found])) if group in held else found
+        for group, grams in held.items():
+            yield pa.RecordBatch.from_pydict({"group": pa.array([group] * len(grams), pa.int64()), "gram": pa.array(grams, pa.int64())})
 
     return ask
 
 
 def _added_up(tokens, text: str, keep: list[str]):
     def add(documents: pa.Table, prices: pa.Table) -> pa.Table:
-        models, order = np.asarray(prices.column("model")), np.argsort(np.asarray(prices.column("gram")), kind="stable")
-        known = {}
-        for model in np.unique(models).tolist():
-            mine = order[models[order] == model]
-            known[model] = np.asarray(prices.column("gram"))[mine], np.asarray(prices.column("cost"))[mine]
+        known = np.asarray(prices.column("gram"))
+        by = np.argsort(known)
+        known = known[by]
+        price = {m: np.asarray(prices.column(_price(m)))[by] for m in (WHOLE, *range(FOLDS))}
 
         def costs(found: np.ndarray, lengths: np.ndarray, model: int) -> np.ndarray:
             if not len(found):
                 return np.zeros(len(lengths))
             spots, names = pd.factorize(found)
-            grams, cost = known[model]
             owner = np.repeat(np.arange(len(lengths)), lengths)
-            return np.bincount(owner, weights=cost[np.searchsorted(grams, names)][spots], minlength=len(lengths))
+            return np.bincount(owner, weights=price[model][np.searchsorted(known, names)][spots], minlength=len(lengths))
 
         sums, counts, held = [np.zeros(0)], [np.zeros(0, "int64")], [np.zeros(0)]
         for batch, texts in sliced(iter(documents.to_batches()), text, SLICE_CHARS):
@@ -294,19 +287,24 @@ def _added_up(tokens, text: str, keep: list[str]):
     return add
 
 
+def _price(model: int) -> str:
+    return f"cost{model - WHOLE}"
+
+
 def scored(rows: DataFrame, keep: list[str], text: str, probabilities: DataFrame, weights: DataFrame, tokens, text_bytes: int) -> DataFrame:
     """Columns ``keep`` of ``rows`` with cost (summed negative log-probability of the text), tokens, and ``held``:
     the cost by the model without the row's own ``_fold``, null where that is null."""
     groups = part_count(text_bytes, GROUP_BYTES)
     order, kinds = tokens.value.order, tokens.value.kinds
-    wants = "group long, model int, gram long"
-    every = rows.select(text, "_fold", F.lit(0).cast("long").alias("_group")).mapInArrow(_asked(tokens, text), wants)
-    prices = cut_lineage(priced(cut_lineage(every.select("model", "gram").distinct()), probabilities, weights, order, kinds))
+    models = [WHOLE, *range(FOLDS)]
+    every = rows.select(text, F.lit(0).cast("long").alias("_group")).mapInArrow(_asked(tokens, text), "group long, gram long")
+    every = cut_lineage(every.select("gram").distinct().select(F.explode(F.array(*map(F.lit, models))).alias("model"), "gram"))
+    found = priced(every, probabilities, weights, order, kinds)
+    prices = cut_lineage(found.groupBy("gram").agg(*[F.max(F.when(F.col("model") == m, -F.log("p"))).alias(_price(m)) for m in models]))
     # Evenly dealt whatever the rows hold, so copies and repeated ids never gather.
     turn = F.pmod(F.monotonically_increasing_id() + 7919 * F.spark_partition_id(), F.lit(groups))
     dealt = rows.select(*dict.fromkeys([*keep, text, "_fold"])).withColumn("_group", turn).repartition(groups, "_group")
-    asked = dealt.mapInArrow(_asked(tokens, text), wants)
-    answers = asked.join(prices, ["model", "gram"]).select("group", "model", "gram", (-F.log("p")).alias("cost"))
+    answers = dealt.mapInArrow(_asked(tokens, text), "group long, gram long").join(prices, "gram")
     names = ", ".join([f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep] + ["cost double", "tokens long", "held double"])
     return dealt.groupBy("_group").cogroup(answers.groupBy("group")).applyInArrow(_added_up(tokens, text, keep), names)
 
