@@ -185,25 +185,70 @@ def raster_extent(cells: DataFrame, by: list[str]) -> DataFrame:
     return cells.groupBy(*by).agg(*[f(c).alias(f"_{f.__name__}_{c}") for c in ("col", "row") for f in (F.min, F.max)])
 
 
-def ring_cells(
-    outlines: DataFrame, res: float, x0: float = 0.0, y0: float = 0.0, cells: DataFrame | None = None, by: list[str] | None = None
-) -> DataFrame:
-    """Grid cells whose centre lies inside each outline; with ``cells``, only those within their raster."""
+def ring_cells(outlines: DataFrame, res: float, x0: float = 0.0, y0: float = 0.0) -> DataFrame:
+    """Grid cells whose centre lies inside each outline, one by one."""
 
-    def span(axis: str, origin: float, name: str) -> Column:
+    def span(axis: str, origin: float) -> Column:
         values = F.transform("ring", lambda p: p[axis])
-        lo, hi = F.floor((F.array_min(values) - origin) / res), F.floor((F.array_max(values) - origin) / res)
-        if cells is not None:
-            lo, hi = F.greatest(lo, f"_min_{name}"), F.least(hi, f"_max_{name}")
-        return F.explode(F.when(lo <= hi, F.sequence(lo, hi)))
-
-    if cells is not None:
-        outlines = outlines.join(raster_extent(cells, by), by)
-    grid = outlines.withColumn("_edges", ring_edges()).withColumn("col", span("x", x0, "col")).withColumn("row", span("y", y0, "row")).drop("ring")
+        return F.explode(F.sequence(F.floor((F.array_min(values) - origin) / res), F.floor((F.array_max(values) - origin) / res)))
+
+    grid = outlines.withColumn("_edges", ring_edges()).withColumn("col", span("x", x0)).withColumn("row", span("y", y0)).drop("ring")
     grid = grid.withColumn("cx", x0 + (F.col("col") + 0.5) * res).withColumn("cy", y0 + (F.col("row") + 0.5) * res)
     return grid.filter(inside_ring(F.col("cx"), F.col("cy"), F.col("_edges"))).drop("_edges")
 
 
+TILE = 64
+
+
+def ring_spans(outlines: DataFrame, cells: DataFrame, by: list[str], key: str, res: float, x0: float = 0.0, y0: float = 0.0) -> DataFrame:
+    """Runs of columns (by, key, row, lo, hi) whose cell centres lie inside each outline, within its raster's extent.
+
+    The edges that cross a row's centre line, in order, pair up into runs: by the even-odd rule a
+    centre is inside from an odd crossing, included, to the next one, left out.
+    """
+    values = F.transform("ring", lambda p: p["y"])
+    first = F.greatest(F.floor((F.array_min(values) - y0) / res), "_min_row")
+    last = F.least(F.floor((F.array_max(values) - y0) / res), "_max_row")
+    lines = outlines.join(raster_extent(cells, by), by).select(
+        *by, key, ring_edges().alias("_edges"), "_min_col", "_max_col", F.explode(F.when(first <= last, F.sequence(first, last))).alias("row")
+    )
+    y = y0 + (F.col("row") + 0.5) * res
+    cut = F.filter("_edges", lambda e: (e["a"]["y"] > y) != (e["b"]["y"] > y))
+    at = F.array_sort(F.transform(cut, lambda e: (e["b"]["x"] - e["a"]["x"]) * (y - e["a"]["y"]) / (e["b"]["y"] - e["a"]["y"]) + e["a"]["x"]))
+    runs = lines.withColumn("_at", at).filter(F.size("_at") > 0).select(
+        *by, key, "row", "_min_col", "_max_col", "_at", F.explode(F.sequence(F.lit(0), F.size("_at") - 2, F.lit(2))).alias("_k")
+    )
+    begin, end = F.get("_at", F.col("_k")), F.get("_at", F.col("_k") + 1)
+
+    def from_(x: Column) -> Column:
+        """The first column whose centre is not before x, by the very expression that gives centres."""
+        near = F.ceil((x - x0) / res - 0.5)
+        centre = lambda c: x0 + (c + 0.5) * res
+        return F.when(centre(near - 1) >= x, near - 1).when(centre(near) >= x, near).otherwise(near + 1)
+
+    runs = runs.withColumn("lo", F.greatest(from_(begin), "_min_col")).withColumn("hi", F.least(from_(end) - 1, "_max_col"))
+    return runs.filter("lo <= hi").select(*by, key, "row", "lo", "hi")
+
+
+def span_totals(spans: DataFrame, cells: DataFrame, by: list[str], values: list[str]) -> DataFrame:
+    """Runs cut at tiles of ``TILE`` columns, each with ``n`` columns and, of its cells in the raster, ``found``: col and ``values``.
+
+    A tile of a row travels as one row with its cells, so a run costs a lookup per tile it touches.
+    """
+    tile = F.floor(F.col("col") / TILE)
+    rows = cells.groupBy(*by, "row", tile.alias("tile")).agg(F.collect_list(F.struct("col", *values)).alias("_cells"))  # at most TILE
+    pieces = spans.withColumn("tile", F.explode(F.sequence(F.floor(F.col("lo") / TILE), F.floor(F.col("hi") / TILE))))
+    pieces = pieces.withColumn("lo", F.greatest("lo", F.col("tile") * TILE)).withColumn("hi", F.least("hi", F.col("tile") * TILE + TILE - 1))
+    met = pieces.join(rows, [*by, "row", "tile"], "left").withColumn("n", F.col("hi") - F.col("lo") + 1)
+    inside = F.filter("_cells", lambda c: (c["col"] >= F.col("lo")) & (c["col"] <= F.col("hi")))
+    return met.withColumn("found", F.coalesce(inside, F.array())).drop("_cells", "tile")
+
+
+def _added(value) -> Column:
+    """The sum of ``value`` over the cells of a piece."""
+    return F.aggregate("found", F.lit(0.0), lambda total, c: total + value(c))
+
+
 def sample(places: DataFrame, cells: DataFrame, by: list[str], ids: list[str], res: float, x0: float = 0.0, y0: float = 0.0) -> DataFrame:
     """Bilinear height at (x, y) from up to four cells; missing cells give up their weight."""
     fx, fy = (F.col("x") - x0) / res - 0.5, (F.col("y") - y0) / res - 0.5
@@ -241,16 +286,18 @@ def _slopes(cells: DataFrame, by: list[str], res: float) -> DataFrame:
 
 
 def area_statistics(outlines: DataFrame, cells: DataFrame, by: list[str], key: str, res: float) -> DataFrame:
-    inside = ring_cells(outlines, res, cells=cells, by=by).select(*by, key, "col", "row")
-    h = F.col("z")
     rough = res * res * F.sqrt(1 + F.col("gx") * F.col("gx") + F.col("gy") * F.col("gy"))
-    got = inside.join(_slopes(cells, by, res), [*by, "col", "row"], "left").groupBy(key).agg(
-        F.count(F.lit(1)).alias("_total"), F.count(h).alias("_valid"), F.sum(F.when(h.isNotNull(), rough)).alias("_s"),
-        F.min(h).alias("z_min"), F.max(h).alias("z_max"), F.avg(h).alias("z_mean"),
+    field = _slopes(cells, by, res).select(*by, "col", "row", "z", rough.alias("rough"))
+    pieces = span_totals(ring_spans(outlines, cells, by, key, res), field, by, ["z", "rough"])
+    heights = F.transform("found", lambda c: c["z"])
+    got = pieces.groupBy(key).agg(
+        F.sum("n").alias("_total"), F.sum(F.size("found")).alias("_valid"), F.sum(_added(lambda c: c["rough"])).alias("_s"),
+        F.min(F.array_min(heights)).alias("z_min"), F.max(F.array_max(heights)).alias("z_max"), F.sum(_added(lambda c: c["z"])).alias("_z"),
     )
     base = outlines.select(key, ring_area().alias("planar"), ring_perimeter().alias("perimeter"))
+    some = F.when(F.col("_valid") > 0, F.col("_valid"))
     return base.join(got, key, "left").select(
-        key, "planar", "perimeter", (F.col("_s") * F.col("_total") / F.col("_valid")).alias("surface"), "z_min", "z_max", "z_mean",
+        key, "planar", "perimeter", (F.col("_s") * F.col("_total") / some).alias("surface"), "z_min", "z_max", (F.col("_z") / some).alias("z_mean"),
         F.coalesce(F.col("_valid") / F.col("_total"), F.lit(0.0)).alias("coverage"),
     )
 
@@ -287,13 +334,14 @@ def cut_fill(outlines: DataFrame, cells: DataFrame, by: list[str], key: str, res
     planes = fit_planes(boundary_samples(outlines, cells, by, key, res), key)
     if base == "lowest":
         planes = planes.withColumn("a", F.lit(0.0)).withColumn("b", F.lit(0.0)).withColumn("c", F.col("lowest"))
-    inside = ring_cells(outlines, res, cells=cells, by=by).select(*by, key, "col", "row", "cx", "cy")
+    pieces = span_totals(ring_spans(outlines, cells, by, key, res), cells, by, ["z"])
     # an outline without boundary data measures from zero
-    joined = inside.join(cells.select(*by, "col", "row", "z"), [*by, "col", "row"], "left").join(planes, key, "left").fillna(0.0, ["a", "b", "c"])
-    d = F.col("z") - (F.col("a") * F.col("cx") + F.col("b") * F.col("cy") + F.col("c"))
+    joined = pieces.join(planes, key, "left").fillna(0.0, ["a", "b", "c"])
+    level = F.col("b") * ((F.col("row") + 0.5) * res) + F.col("c")
+    above = lambda c: c["z"] - (F.col("a") * ((c["col"] + 0.5) * res) + level)
     out = joined.groupBy(key).agg(
-        F.coalesce(F.sum(F.when(d > 0, d)), F.lit(0.0)).alias("_fill"), F.coalesce(F.sum(F.when(d <= 0, -d)), F.lit(0.0)).alias("_cut"),
-        (F.count("z") / F.count(F.lit(1))).alias("coverage"), F.max("edge_samples").alias("edge_samples"),
+        F.sum(_added(lambda c: F.greatest(above(c), F.lit(0.0)))).alias("_fill"), F.sum(_added(lambda c: F.greatest(-above(c), F.lit(0.0)))).alias("_cut"),
+        (F.sum(F.size("found")) / F.sum("n")).alias("coverage"), F.max("edge_samples").alias("edge_samples"),
     )
     area = res * res
     return out.select(key, (F.col("_fill") * area).alias("fill"), (F.col("_cut") * area).alias("cut"),
