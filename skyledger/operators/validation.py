@@ -154,48 +154,67 @@ def gps_report(residuals: DataFrame, key: str) -> DataFrame:
 
 # Advice for each failed capture gate.
 ADVICE = {
+    "readable_ok": "Repair or extract again the frames that cannot be read.",
     "blur_ok": "Use a faster shutter, slower flight, and calmer conditions.",
     "exposure_ok": "Avoid clipped shadows/highlights and keep exposure consistent.",
     "overlap_ok": "Increase overlap or sampling rate; target about 80% forward and 70% side overlap.",
     "parallax_ok": "Reduce redundant frames or increase the geometry baseline between anchors.",
     "telemetry_ok": "Repair telemetry timing/position outliers or use RTK/PPK before reconstruction.",
+    "stabilisation_ok": "Disable digital stabilization so that the camera model stays fixed.",
     "shutter_ok": "Reduce flight speed/yaw rate or use a global-shutter camera.",
 }
 
 
-def capture_gates(frames: DataFrame, telemetry: DataFrame, key: str, readout_ms: float = 0.0) -> DataFrame:
-    """Share of blurred, clipped, weakly linked and near-duplicate frames, gated with telemetry."""
+def capture_gates(frames: DataFrame, telemetry: DataFrame, key: str, calibrations: DataFrame | None = None) -> DataFrame:
+    """Share of blurred, clipped, weakly linked and near-duplicate frames, gated with telemetry and calibration.
+
+    ``readable`` of a frame is fail-closed: null is unreadable. Unreadable frames fail their clip
+    and have no part in blur and exposure. ``calibrations`` (key, digital_stabilization, readout_ms)
+    has at most one row a clip; a clip without one passes both of its gates, one whose
+    stabilisation is unknown does not.
+    """
+    readable = gates.surely(F.col("readable"))
+    seen = frames.withColumn("_seen", readable)
     hot = is_hot(frames, [key])
-    median = grouped(frames, [key], [F.min_by("frame_id", F.struct("time_s", "frame_id")).alias("_first")],
-                     [Quantile("sharpness_median", F.col("sharpness"), 0.5)], hot=hot)
+    median = grouped(seen, [key], [F.min_by("frame_id", F.struct("time_s", "frame_id")).alias("_first")],
+                     [Quantile("sharpness_median", F.when(F.col("_seen"), F.col("sharpness")), 0.5)], hot=hot)
     linked = F.col("frame_id") != F.col("_first")  # the first frame has no pair before it
 
     def share(condition: Column, over: Column) -> Column:
         return F.coalesce(F.avg(F.when(over, F.when(condition, 1.0).otherwise(0.0))), F.lit(0.0))
 
-    every = F.lit(True)
-    shares = frames.join(median, key).groupBy(key).agg(
-        F.count(F.lit(1)).alias("frames"), F.first("sharpness_median").alias("sharpness_median"),
-        share(F.col("sharpness") < F.greatest(F.lit(25.0), 0.25 * F.col("sharpness_median")), every).alias("blurred_fraction"),
-        share((F.col("clipped_dark") > 0.2) | (F.col("clipped_bright") > 0.2), every).alias("poor_exposure_fraction"),
+    shares = seen.join(median, key).groupBy(key).agg(
+        F.count(F.lit(1)).alias("frames"), F.count_if(~F.col("_seen")).alias("unreadable_frames"),
+        F.coalesce(F.first("sharpness_median"), F.lit(0.0)).alias("sharpness_median"),
+        share(F.col("sharpness") < F.greatest(F.lit(25.0), 0.25 * F.col("sharpness_median")), F.col("_seen")).alias("blurred_fraction"),
+        share((F.col("clipped_dark") > 0.2) | (F.col("clipped_bright") > 0.2), F.col("_seen")).alias("poor_exposure_fraction"),
         share(F.col("tracked_fraction") < 0.35, linked).alias("low_overlap_fraction"),
         share(F.col("parallax_px") < 0.5, linked).alias("near_duplicate_fraction"),
     )
     out = shares.join(
         telemetry.select(key, "duplicate_or_reversed_timestamps", "telemetry_gap_count", "probable_position_jumps", "speed_mps_p95"), key
     )
+    if calibrations is None:
+        out = out.withColumn("_calibrated", F.lit(False)).withColumn("_stable", F.lit(None).cast("boolean")).withColumn("_readout", F.lit(0.0))
+    else:
+        told = calibrations.select(
+            key, F.lit(True).alias("_calibrated"), F.col("digital_stabilization").alias("_stable"), F.col("readout_ms").alias("_readout")
+        )
+        out = out.join(told, key, "left")
     rules = {
+        "readable_ok": F.col("unreadable_frames") == 0,
         "blur_ok": F.col("blurred_fraction") <= 0.10,
         "exposure_ok": F.col("poor_exposure_fraction") <= 0.10,
         "overlap_ok": F.col("low_overlap_fraction") <= 0.10,
         "parallax_ok": F.col("near_duplicate_fraction") <= 0.25,
         "timestamps_ok": F.col("duplicate_or_reversed_timestamps") == 0,
         "telemetry_ok": (F.col("telemetry_gap_count") == 0) & (F.col("probable_position_jumps") == 0),
-        "shutter_ok": ~((F.lit(readout_ms) > 10) & (F.coalesce("speed_mps_p95", F.lit(0.0)) > 8)),
+        "stabilisation_ok": ~gates.surely(F.col("_calibrated")) | gates.surely(~F.col("_stable")),
+        "shutter_ok": ~((F.coalesce("_readout", F.lit(0.0)) > 10) & (F.coalesce("speed_mps_p95", F.lit(0.0)) > 8)),
     }
     advice = F.array_join(F.array_compact(F.array(*[F.when(~gates.surely(rules[g]), F.lit(t)) for g, t in ADVICE.items()])), " ")
     return out.select(
-        key, "frames", "sharpness_median", "blurred_fraction", "poor_exposure_fraction", "low_overlap_fraction",
+        key, "frames", "unreadable_frames", "sharpness_median", "blurred_fraction", "poor_exposure_fraction", "low_overlap_fraction",
         "near_duplicate_fraction", *[c.alias(n) for n, c in rules.items()],
         gates.all_known_true(list(rules.values())).alias("ready"), advice.alias("recommendations"),
     )

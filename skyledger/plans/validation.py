@@ -162,27 +162,35 @@ _CAP = "sharpness_median blurred_fraction poor_exposure_fraction low_overlap_fra
         count(*) FILTER (median_sample_gap_s > 0 AND gap > greatest(2.0e0, 5 * median_sample_gap_s)) AS telemetry_gap_count,
         count(*) FILTER (speed > position_jump_speed_threshold_mps AND dist > position_jump_distance_threshold_m) AS probable_position_jumps
         FROM sp JOIN th USING (flight_id) GROUP BY sp.flight_id) USING (flight_id)),
-    fm AS (SELECT *, quantile_cont(sharpness, 0.5) OVER (PARTITION BY flight_id) AS med,
-        frame_id <> first(frame_id) OVER (PARTITION BY flight_id ORDER BY time_s, frame_id) AS linked FROM frames),
-    sh AS (SELECT flight_id, count(*) AS frames, any_value(med) AS sharpness_median,
-        avg(CASE WHEN sharpness < greatest(25.0e0, 0.25e0 * med) THEN 1.0e0 ELSE 0.0e0 END) AS blurred_fraction,
-        avg(CASE WHEN (frame_id % 31) / 100.0e0 > 0.2e0 OR (frame_id % 29) / 100.0e0 > 0.2e0 THEN 1.0e0 ELSE 0.0e0 END) AS poor_exposure_fraction,
+    rd AS (SELECT *, coalesce(CASE WHEN frame_id % 401 = 7 THEN NULL ELSE frame_id % 211 <> 3 END, false) AS seen FROM frames),
+    md AS (SELECT flight_id, quantile_cont(sharpness, 0.5) FILTER (seen) AS med, arg_min(frame_id, (time_s, frame_id)) AS first_id FROM rd GROUP BY flight_id),
+    fm AS (SELECT rd.*, med, frame_id <> first_id AS linked FROM rd JOIN md USING (flight_id)),
+    cal AS (SELECT DISTINCT flight_id, CASE WHEN flight_id % 11 = 5 THEN NULL ELSE flight_id % 4 = 1 END AS steady,
+        CASE WHEN flight_id % 7 = 2 THEN NULL WHEN flight_id % 3 = 0 THEN 18.0e0 ELSE 4.0e0 END AS readout FROM telemetry WHERE flight_id % 5 <> 0),
+    sh AS (SELECT flight_id, count(*) AS frames, count(*) FILTER (NOT seen) AS unreadable_frames, coalesce(any_value(med), 0) AS sharpness_median,
+        coalesce(avg(CASE WHEN sharpness < greatest(25.0e0, 0.25e0 * med) THEN 1.0e0 ELSE 0.0e0 END) FILTER (seen), 0) AS blurred_fraction,
+        coalesce(avg(CASE WHEN (frame_id % 31) / 100.0e0 > 0.2e0 OR (frame_id % 29) / 100.0e0 > 0.2e0 THEN 1.0e0 ELSE 0.0e0 END) FILTER (seen), 0) AS poor_exposure_fraction,
         coalesce(avg(CASE WHEN tracked_fraction < 0.35e0 THEN 1.0e0 ELSE 0.0e0 END) FILTER (linked), 0) AS low_overlap_fraction,
         coalesce(avg(CASE WHEN parallax_px < 0.5e0 THEN 1.0e0 ELSE 0.0e0 END) FILTER (linked), 0) AS near_duplicate_fraction
         FROM fm GROUP BY flight_id),
-    gt AS (SELECT sh.*, blurred_fraction <= 0.1e0 AS blur_ok, poor_exposure_fraction <= 0.1e0 AS exposure_ok,
+    gt AS (SELECT sh.*, unreadable_frames = 0 AS readable_ok, cal.flight_id IS NULL OR coalesce(NOT steady, false) AS stabilisation_ok, blurred_fraction <= 0.1e0 AS blur_ok, poor_exposure_fraction <= 0.1e0 AS exposure_ok,
         low_overlap_fraction <= 0.1e0 AS overlap_ok, near_duplicate_fraction <= 0.25e0 AS parallax_ok,
         duplicate_or_reversed_timestamps = 0 AS timestamps_ok, telemetry_gap_count = 0 AND probable_position_jumps = 0 AS telemetry_ok,
-        NOT coalesce(speed_mps_p95, 0) > 8 AS shutter_ok FROM sh JOIN tq USING (flight_id))
-    SELECT flight_id, frames, {q.rounded(_CAP)}, blur_ok, exposure_ok, overlap_ok, parallax_ok, timestamps_ok, telemetry_ok, shutter_ok,
-        blur_ok AND exposure_ok AND overlap_ok AND parallax_ok AND timestamps_ok AND telemetry_ok AND shutter_ok AS ready,
+        NOT (coalesce(readout, 0) > 10 AND coalesce(speed_mps_p95, 0) > 8) AS shutter_ok FROM sh JOIN tq USING (flight_id) LEFT JOIN cal USING (flight_id))
+    SELECT flight_id, frames, unreadable_frames, {q.rounded(_CAP)}, readable_ok, blur_ok, exposure_ok, overlap_ok, parallax_ok, timestamps_ok, telemetry_ok,
+        stabilisation_ok, shutter_ok, readable_ok AND stabilisation_ok AND blur_ok AND exposure_ok AND overlap_ok AND parallax_ok AND timestamps_ok AND telemetry_ok AND shutter_ok AS ready,
         concat_ws(' ', """ + ", ".join(f"CASE WHEN NOT {g} THEN '{t}' END" for g, t in ops.ADVICE.items()) + """) AS recommendations FROM gt"""))
 def capture_gates(spark, sf_dir):
     report, _ = tel.quality(view(spark, sf_dir, "telemetry"), "flight_id", "time_s_raw", ["sample_id"])
     frames = view(spark, sf_dir, "frames").withColumn("clipped_dark", F.col("frame_id") % 31 / 100.0).withColumn(
         "clipped_bright", F.col("frame_id") % 29 / 100.0
+    ).withColumn("readable", F.when(F.col("frame_id") % 401 == 7, F.lit(None)).otherwise(F.col("frame_id") % 211 != 3))
+    clip = F.col("flight_id")
+    calibrations = view(spark, sf_dir, "telemetry").select("flight_id").distinct().filter("flight_id % 5 <> 0").select(
+        "flight_id", F.when(clip % 11 == 5, F.lit(None)).otherwise(clip % 4 == 1).alias("digital_stabilization"),
+        F.when(clip % 7 == 2, F.lit(None)).when(clip % 3 == 0, 18.0).otherwise(4.0).alias("readout_ms"),
     )
-    return r(ops.capture_gates(frames, report, "flight_id", readout_ms=18.0), _CAP)
+    return r(ops.capture_gates(frames, report, "flight_id", calibrations), _CAP)
 
 
 @query("frame_funnel", "G28", with_views("telemetry frames", """
