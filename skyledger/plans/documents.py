@@ -231,19 +231,15 @@ def dataset_job(spark, sf_dir):
     return r(jobs.evaluate(spark, sf_dir, "checkpoint_runs", "accuracy"), "rmse_3d_m")
 
 
-def _scene_metrics(pdf):
-    if int(pdf["scene"].iloc[0]) % 9 == 0:
-        raise ValueError("scene has no poses")
-    return {"depth_mean": pdf["depth"].mean(), "pixels": float(len(pdf))}
-
-
 @query("scene_parallel_metrics", "X4", with_views("pixels", """
     WITH g AS (SELECT seq_id, frame_id AS scene, avg(depth) AS d, count(*) AS n FROM pixels GROUP BY seq_id, frame_id)
     SELECT seq_id, scene, metric, round(v, 6) AS value, CAST(NULL AS STRING) AS error FROM g, LATERAL (VALUES ('depth_mean', d), ('pixels', CAST(n AS DOUBLE))) m(metric, v) WHERE scene % 9 <> 0
     UNION ALL SELECT seq_id, scene, NULL, NULL, 'ValueError: scene has no poses' FROM g WHERE scene % 9 = 0"""))
 def scene_parallel_metrics(spark, sf_dir):
     rows = view(spark, sf_dir, "pixels").select("seq_id", F.col("frame_id").alias("scene"), "depth")
-    return r(jobs.per_scene(rows, ["seq_id", "scene"], _scene_metrics), "value")
+    metrics = {"depth_mean": F.avg("depth"), "pixels": F.count(F.lit(1))}
+    errors = {"ValueError: scene has no poses": F.max("scene") % 9 == 0}
+    return r(jobs.per_scene(rows, ["seq_id", "scene"], metrics, errors), "value")
 
 
 @query("enu_grid_references", "P6 P5")

@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 Loader = Callable[[SparkSession, str], DataFrame]
 Job = Callable[[DataFrame], DataFrame]
@@ -26,20 +25,17 @@ def evaluate(spark: SparkSession, location: str, name: str, job: str) -> DataFra
     return jobs[job](loader(spark, location))
 
 
-def per_scene(rows: DataFrame, keys: list[str], work: Callable[[pd.DataFrame], dict[str, float]]) -> DataFrame:
-    """Metric rows of a per-scene function; a failing scene gives one row with its error.
+def per_scene(rows: DataFrame, keys: list[str], metrics: dict[str, Column], errors: dict[str, Column] | None = None) -> DataFrame:
+    """One row per scene and metric; a scene to which one of the ``errors`` applies gives one row with the first such text.
 
-    For scenes that are small by nature. Anything that grows belongs in a DataFrame job.
+    Metrics are aggregates over a scene's rows, errors are conditions over aggregates, so scenes of
+    any size combine on the map side and a failing one does not stop the others. A null
+    condition counts as a failure.
     """
-    types = dict(rows.dtypes)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        head = {k: pdf[k].iloc[0] for k in keys}
-        try:
-            found = [{**head, "metric": m, "value": float(v), "error": None} for m, v in sorted(work(pdf).items())]
-        except Exception as problem:  # the scene is reported, the others go on
-            found = [{**head, "metric": None, "value": None, "error": f"{type(problem).__name__}: {problem}"}]
-        return pd.DataFrame(found, columns=[*keys, "metric", "value", "error"])
-
-    schema = ", ".join(f"{k} {types[k]}" for k in keys) + ", metric string, value double, error string"
-    return rows.groupBy(*keys).applyInPandas(run, schema)
+    failed = F.lit(None).cast("string")
+    for text, condition in reversed((errors or {}).items()):
+        failed = F.when(F.coalesce(condition, F.lit(True)), F.lit(text)).otherwise(failed)
+    wide = rows.groupBy(*keys).agg(*[m.cast("double").alias(f"_m{i}") for i, m in enumerate(metrics.values())], failed.alias("error"))
+    good = F.array(*[F.struct(F.lit(n).alias("metric"), F.col(f"_m{i}").alias("value")) for i, n in enumerate(metrics)])
+    bad = F.array(F.struct(F.lit(None).cast("string").alias("metric"), F.lit(None).cast("double").alias("value")))
+    return wide.select(*keys, F.inline(F.when(F.col("error").isNull(), good).otherwise(bad)), "error")
