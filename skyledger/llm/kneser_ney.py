@@ -45,6 +45,7 @@ QUANTILE = 0.995
 HELD_TOKENS = 1 << 21
 GROUP_BYTES = 32 << 20
 SLICE_CHARS = 1 << 20
+BATCH_ROWS = 256
 BROADCAST_LABELS = 4_000_000
 
 #: The model of all folds; model k is without fold k.
@@ -270,7 +271,7 @@ def _added_up(tokens, text: str, keep: list[str]):
             return np.bincount(owner, weights=price[model][np.searchsorted(known, names)][spots], minlength=len(lengths))
 
         sums, counts, held = [np.zeros(0)], [np.zeros(0, "int64")], [np.zeros(0)]
-        for batch, texts in sliced(iter(documents.to_batches()), text, SLICE_CHARS):
+        for batch, texts in sliced(iter(documents.to_batches(max_chunksize=BATCH_ROWS)), text, SLICE_CHARS):
             found, lengths = tokens.value.grams(texts)
             folds = batch.column("_fold").to_pylist()
             sums.append(costs(found, lengths, WHOLE))
@@ -281,6 +282,8 @@ def _added_up(tokens, text: str, keep: list[str]):
                 out[mine] = costs(grams, lengths[mine], fold)
             held.append(out)
         sums, counts, held = (np.concatenate(x) for x in (sums, counts, held))
+        del prices, price, known
+        pa.default_memory_pool().release_unused()  # a worker lives on with the next operator
         out = documents.select(keep).append_column("cost", pa.array(sums)).append_column("tokens", pa.array(counts))
         return out.append_column("held", pa.array(held, mask=np.isnan(held)))
 
