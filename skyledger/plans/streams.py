@@ -23,16 +23,16 @@ def _stream(spark, sf_dir, name):
 
 _W = """
     vb AS (SELECT sensor_id, ts, ax * ax + ay * ay + az * az AS q FROM vibration),
-    wn AS (SELECT sensor_id, time_bucket(INTERVAL '6 hours', ts, TIMESTAMP '2024-01-01') AS window_start, count(*) AS samples, sqrt(avg(q)) AS rms, max(sqrt(q)) AS peak FROM vb GROUP BY ALL),
-    cl AS (SELECT * FROM wn WHERE window_start + INTERVAL '6 hours' <= (SELECT max(ts) - INTERVAL '1 hour' FROM vibration))"""
+    wn AS (SELECT sensor_id, time_bucket(INTERVAL '6 hours', ts, TIMESTAMP '2024-01-01') AS window_start, count(*) AS samples, sqrt(avg(q)) AS rms, max(sqrt(q)) AS peak FROM vb GROUP BY ALL)"""
 
 
 def _windows(spark, sf_dir):
     feed = jobs.timed(_stream(spark, sf_dir, "vibration"), "ts", "1 hour")
-    return jobs.drain(jobs.vibration_windows(feed, "6 hours"), "vibration")
+    # Windows still open when the source ends come out as they then stand.
+    return jobs.drain_updates(jobs.vibration_windows(feed, "6 hours"), "vibration", ["sensor_id", "window_start"])
 
 
-@query("vibration_windows_stream", "T1", with_views("vibration", f"WITH {_W} SELECT sensor_id, strftime(window_start, '%Y-%m-%d %H:%M:%S') AS window_start, samples, round(rms, 6) AS rms, round(peak, 6) AS peak FROM cl"))
+@query("vibration_windows_stream", "T1", with_views("vibration", f"WITH {_W} SELECT sensor_id, strftime(window_start, '%Y-%m-%d %H:%M:%S') AS window_start, samples, round(rms, 6) AS rms, round(peak, 6) AS peak FROM wn"))
 def vibration_windows_stream(spark, sf_dir):
     out = _windows(spark, sf_dir).select("sensor_id", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "samples", "rms", "peak")
     return r(out, "rms peak")
@@ -46,7 +46,7 @@ def vibration_sample_blocks(spark, sf_dir):
 
 
 _ALARMS = """
-    lv AS (SELECT sensor_id, window_start, rms >= 0.1e0 AS hi, rms < 0.09e0 AS lo FROM cl),
+    lv AS (SELECT sensor_id, window_start, rms >= 0.1e0 AS hi, rms < 0.09e0 AS lo FROM wn),
     tr AS (SELECT *, CASE WHEN hi AND lag(hi) OVER w AND lag(hi, 2) OVER w THEN 1 WHEN lo AND lag(lo) OVER w AND lag(lo, 2) OVER w THEN -1 END AS kind FROM lv WINDOW w AS (PARTITION BY sensor_id ORDER BY window_start)),
     kd AS (SELECT *, lag(kind) OVER (PARTITION BY sensor_id ORDER BY window_start) AS before FROM tr WHERE kind IS NOT NULL)
     SELECT sensor_id, strftime(window_start, '%Y-%m-%d %H:%M:%S') AS window_start, CASE kind WHEN 1 THEN 'raised' ELSE 'cleared' END AS event FROM kd WHERE kind <> coalesce(before, -1)"""
@@ -61,7 +61,7 @@ def vibration_alarms_stream(spark, sf_dir):
     return found.select("sensor_id", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "event")
 
 
-@query("vibration_alarms", "T2", with_views("vibration", f"WITH {_W.replace('FROM wn WHERE window_start', 'FROM wn WHERE true OR window_start')}, {_ALARMS}"))
+@query("vibration_alarms", "T2", with_views("vibration", f"WITH {_W}, {_ALARMS}"))
 def vibration_alarms(spark, sf_dir):
     samples = view(spark, sf_dir, "vibration").withColumn("ts", F.col("ts").cast("timestamp"))
     found = jobs.alarms(jobs.vibration_windows(samples, "6 hours"))
@@ -91,11 +91,10 @@ def sensor_calibration(spark, sf_dir):
     WITH vb AS (SELECT sensor_id, ts, ax * ax + ay * ay + az * az AS q FROM vibration),
     ex AS (SELECT sensor_id, q, time_bucket(INTERVAL '6 hours', ts, TIMESTAMP '2024-01-01') - s * INTERVAL '6 hours' AS window_start FROM vb, range(2) t(s)),
     wn AS (SELECT sensor_id, window_start, count(*) AS samples, sqrt(avg(q)) AS rms FROM ex GROUP BY ALL)
-    SELECT sensor_id, strftime(window_start, '%Y-%m-%d %H:%M:%S') AS window_start, samples, round(rms, 6) AS rms FROM wn
-    WHERE window_start + INTERVAL '12 hours' <= (SELECT max(ts) - INTERVAL '1 hour' FROM vibration)"""))
+    SELECT sensor_id, strftime(window_start, '%Y-%m-%d %H:%M:%S') AS window_start, samples, round(rms, 6) AS rms FROM wn"""))
 def sliding_windows_stream(spark, sf_dir):
     feed = jobs.timed(_stream(spark, sf_dir, "vibration"), "ts", "1 hour")
-    out = jobs.drain(jobs.vibration_windows(feed, "12 hours", "6 hours"), "sliding")
+    out = jobs.drain_updates(jobs.vibration_windows(feed, "12 hours", "6 hours"), "sliding", ["sensor_id", "window_start"])
     return r(out.select("sensor_id", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "samples", "rms"), "rms")
 
 
@@ -103,16 +102,13 @@ def sliding_windows_stream(spark, sf_dir):
     WITH v AS (SELECT *, lag(is_recording) OVER w AS pv, lag(time_s) OVER w AS pt FROM telemetry WINDOW w AS (PARTITION BY flight_id ORDER BY time_s, sample_id)),
     i AS (SELECT *, sum(CASE WHEN is_recording AND (pv IS NULL OR NOT pv OR time_s - pt > 40) THEN 1 ELSE 0 END) OVER (PARTITION BY flight_id ORDER BY time_s, sample_id) AS island FROM v)
     SELECT flight_id, round(min(time_s), 6) AS start_s, round(max(time_s), 6) AS end_s, CAST(count(*) AS INT) AS rows FROM i WHERE is_recording GROUP BY flight_id, island
-    HAVING count(*) >= 3 AND max(time_s) + 41 < (SELECT max(time_s) - 60 FROM telemetry)"""))
+    HAVING count(*) >= 3"""))
 def recording_sessions_stream(spark, sf_dir):
     feed = _stream(spark, sf_dir, "telemetry").select(
         "flight_id", "sample_id", F.timestamp_millis((F.col("time_s") * 1000).cast("bigint")).alias("ts"), F.col("time_s").alias("at_s"), F.col("is_recording").alias("valid")
-    ).withWatermark("ts", "1 minute")
-    out = jobs.drain(jobs.session_stream(feed, 40.0), "sessions")
-    # sessions the watermark has not surely passed are left out on both sides
-    last = view(spark, sf_dir, "telemetry").agg(F.max("time_s")).first()[0]
-    closed = out.filter(F.col("end_s") + 41 < last - 60)
-    return r(closed, "start_s end_s")
+    )
+    out = jobs.drain_to_end(feed, "ts", "1 minute", lambda rows: jobs.session_stream(rows, 40.0), "sessions")
+    return r(out, "start_s end_s")
 
 
 @query("live_telemetry_defects_stream", "T6 P2", with_views("telemetry", """
@@ -139,7 +135,7 @@ def monitor_stages_stream(spark, sf_dir):
 
     samples = _stream(spark, sf_dir, "monitor").select("sample_id", "host_id", at("at_s").alias("ts"), "utilization_gpu_percent")
     stages = _stream(spark, sf_dir, "stages").select("stage_id", "host_id", at("start_s").alias("start_ts"), at("end_s").alias("end_ts"))
-    joined = jobs.drain(jobs.stage_samples(samples, stages, "5 minutes"), "stages")
+    joined = jobs.drain(jobs.stage_samples(samples, stages, "5 minutes", "60 seconds"), "stages")
     out = joined.groupBy("stage_id").agg(F.count(F.lit(1)).alias("samples"), F.avg(F.col("utilization_gpu_percent").try_cast("double")).alias("utilization_mean"))
     return r(out, "utilization_mean")
 

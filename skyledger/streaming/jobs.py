@@ -230,6 +230,30 @@ class SessionProcessor(StatefulProcessor):
         pass
 
 
+def drain_to_end(feed: DataFrame, clock: str, delay: str, job, name: str) -> DataFrame:
+    """Run ``job`` over a bounded ``feed`` and let its end close what is still open.
+
+    ``feed`` is without a watermark; ``clock`` is its event time. When the source is drained the same
+    query goes on from its checkpoint with one marker row, null but for a time far beyond the last,
+    which moves the watermark past every timer and window. ``job`` ignores rows with null keys.
+    """
+    spark = feed.sparkSession
+    path, log, marks = folder(spark, name), folder(spark, f"{name}-log"), folder(spark, f"{name}-end")
+    empty = spark.createDataFrame([], feed.schema)
+    empty.write.parquet(marks)
+    ended = feed.unionByName(file_stream(spark, empty, marks)).withWatermark(clock, delay)
+    out = job(ended)
+
+    def run() -> None:
+        _finish(spark, out.writeStream.format("parquet").option("path", path).option("checkpointLocation", log).outputMode("append"))
+
+    run()
+    blank = [F.timestamp_seconds(F.lit(1 << 33)).alias(clock) if f.name == clock else F.lit(None).cast(f.dataType).alias(f.name) for f in feed.schema.fields]
+    spark.range(1).select(*blank).write.mode("append").parquet(marks)
+    run()
+    return spark.read.schema(out.schema).parquet(path)
+
+
 def session_stream(rows: DataFrame, gap_s: float = 2.0) -> DataFrame:
     """``rows``: flight_id, sample_id, ts (watermarked), at_s, valid."""
     return rows.groupBy("flight_id").transformWithStateInPandas(
@@ -281,16 +305,17 @@ def defects(steps: DataFrame) -> DataFrame:
     return steps.filter("p_t is not null").select("flight_id", "sample_id", F.explode(names).alias("defect"))
 
 
-def stage_samples(samples: DataFrame, stages: DataFrame, delay: str) -> DataFrame:
-    """Stream-stream interval join of stages of any length.
+def stage_samples(samples: DataFrame, stages: DataFrame, delay: str, longest: str) -> DataFrame:
+    """Stream-stream interval join of samples and the stages that ran, each reported at its end.
 
-    A stage leaves the state once the samples' watermark has passed its end. A sample stays,
-    as a stage that is reported when it ends may have begun at any time before.
+    Both states are bounded: a stage leaves once the samples' watermark has passed its end, a
+    sample once the stages' watermark is ``longest`` beyond it, as no stage that long ago can still
+    end. Of a stage longer than that the samples of its last ``longest`` are joined.
     """
     s = samples.withWatermark("ts", delay)
     g = stages.select(F.col("host_id").alias("_host"), "stage_id", "start_ts", "end_ts").withWatermark("end_ts", delay)
     within = (F.col("host_id") == F.col("_host")) & (F.col("ts") >= F.col("start_ts")) & (F.col("ts") <= F.col("end_ts"))
-    return s.join(g, within).select("stage_id", "sample_id", "utilization_gpu_percent")
+    return s.join(g, within & (F.col("end_ts") <= F.col("ts") + F.expr(f"INTERVAL {longest}"))).select("stage_id", "sample_id", "utilization_gpu_percent")
 
 
 def first_runs(requests: DataFrame, delay: str) -> DataFrame:
