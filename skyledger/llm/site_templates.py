@@ -79,6 +79,13 @@ class Page(HTMLParser):
         while self._open:
             self._end()
 
+    def parse_marked_section(self, i, report=1):
+        """``<![`` with a name the standard parser does not know is a comment up to the next ``>``."""
+        try:
+            return super().parse_marked_section(i, report)
+        except AssertionError:
+            return self.parse_bogus_comment(i)
+
     def _break(self) -> None:
         if self.events and self.events[-1] is not None:
             self.events.append(None)

@@ -56,6 +56,16 @@ def test_template_shares_respect_paragraphs():
     assert p.main_text({}) == "said everywhere call to action own"
 
 
+def test_odd_marked_sections_do_not_stop_a_page():
+    for odd in ("<![x[ b ]]>", "<![", "<![ ]>", "<![CDATA[ b ]]>", "<![if !IE]>", "<![endif]>", "<![é[", "<!x>", "<!-", "<?php a ?>", "</ x>"):
+        for html in (f"<p>a</p>{odd}", f"{odd}<p>a</p>", f"<p>a</p>{odd}<p>c</p>"):
+            assert "a" in Page(html).main_text({}) or odd in ("<![", "<![é[", "<!-")
+    assert Page("<p>a</p><![x[ b ]]>c").main_text({}) == "a c"
+    rng = random.Random(2)
+    for _ in range(3000):
+        Page("".join(rng.choice(["<", "!", "[", "]", ">", "-", "p", "/", "x ", "=", "'", "&", "#", ";", "CDATA", "<div>"]) for _ in range(30)))
+
+
 def brute_model(lists, order, kinds):
     """Interpolated modified Kneser-Ney straight from its definition, over lists of tokens."""
     top = Counter()
