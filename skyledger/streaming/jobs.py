@@ -25,16 +25,20 @@ def folder(spark: SparkSession, name: str) -> str:
 
 
 def _finish(spark: SparkSession, writer) -> None:
-    """Run a stream to the end of its source. A local run opens one state store per core, not 200."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    before = spark.conf.get("spark.sql.shuffle.partitions")
+    """Run a stream to the end of its source; the caller's settings are as before when it is done.
+
+    A local run opens one state store per core, not 200.
+    """
+    provider, parts = "spark.sql.streaming.stateStore.providerClass", "spark.sql.shuffle.partitions"
+    before = {name: spark.conf.get(name) for name in (provider, parts)}
+    spark.conf.set(provider, ROCKSDB)
     if spark.sparkContext.master.startswith("local"):
-        spark.conf.set("spark.sql.shuffle.partitions", str(min(int(before), spark.sparkContext.defaultParallelism)))
+        spark.conf.set(parts, str(min(int(before[parts]), spark.sparkContext.defaultParallelism)))
     try:
-        running = writer.trigger(availableNow=True).start()
-        running.awaitTermination()
+        writer.trigger(availableNow=True).start().awaitTermination()
     finally:
-        spark.conf.set("spark.sql.shuffle.partitions", before)
+        for name, value in before.items():
+            spark.conf.set(name, value)
 
 
 def drain(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
