@@ -9,35 +9,47 @@ from ..session import cut_lineage
 from .neighbors import nearest_distance
 
 
+#: A node of more links than this and a ten-thousandth of all is hot; at most 20,000 nodes can be.
+HOT_LINKS = 100_000
+
+
+def _with_least(links: DataFrame, by: list[str], n_links: int) -> DataFrame:
+    """Links (u, v) with ``m``, the least neighbour of u. Hot nodes are few enough to be broadcast, so their links stay in place."""
+    key = [*by, "u"]
+    least = cut_lineage(links.groupBy(*key).agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("_links")))
+    bar = max(HOT_LINKS, n_links // 10_000)
+    hot = least.filter(F.col("_links") > bar).drop("_links")
+    if hot.isEmpty():
+        return links.join(least.drop("_links"), key)
+    others = links.join(F.broadcast(hot.select(*key)), key, "left_anti").join(least.filter(F.col("_links") <= bar).drop("_links"), key)
+    return links.join(F.broadcast(hot), key).unionByName(others)
+
+
 def components(nodes: DataFrame, edges: DataFrame, by: list[str], node: str) -> DataFrame:
     """Each node with the smallest node of its component as ``label``.
 
-    ``edges`` has columns a and b. Each round offers the least label seen through any
-    neighbour to the node and to the node's current label, and shortcuts labels of labels,
-    so rounds grow with the logarithm of the longest chain. Every step is a join or a
-    map-side combined minimum.
+    ``edges`` has columns a and b. Large-star and small-star rounds alternate: the larger
+    neighbours of a node are linked to the least of its neighbourhood, then the smaller ones and
+    the node itself to the least of them, until every component is a star around its least node.
+    Every step is a map-side combined minimum and a join in which no hot node gathers its links.
     """
-    both = cut_lineage(edges.select(*by, F.col("a").alias(node), F.col("b").alias("_other")).unionByName(
-        edges.select(*by, F.col("b").alias(node), F.col("a").alias("_other"))
-    ).distinct())
-    labels = cut_lineage(nodes.select(*by, node).distinct().withColumn("label", F.col(node)))
+    low, high = F.least("a", "b"), F.greatest("a", "b")
+    links = edges.select(*by, high.alias("u"), low.alias("v")).filter("u <> v").distinct()
+    before = None
     while True:
-        above = labels.select(*by, F.col(node).alias("label"), F.col("label").alias("_top"))
-        known = labels.join(above, [*by, "label"])
-        near = both.join(known.select(*by, F.col(node).alias("_other"), "_top"), [*by, "_other"])
-        least = near.groupBy(*by, node).agg(F.min("_top").alias("_near"))
-        offers = known.join(least, [*by, node], "left").select(*by, F.explode(F.array(
-            F.struct(F.col(node).alias("n"), F.least("_top", F.coalesce("_near", "_top")).alias("v")),
-            F.struct(F.col("label").alias("n"), F.coalesce("_near", "_top").alias("v")),
-        )).alias("_o"))
-        lowered = offers.groupBy(*by, F.col("_o.n").alias(node)).agg(F.min("_o.v").alias("_new"))
-        fresh = cut_lineage(labels.join(lowered, [*by, node]).select(
-            *by, node, F.col("label").alias("_old"), F.least("label", "_new").alias("label")
-        ))
-        settled = fresh.filter("_old <> label").isEmpty()
-        labels = fresh.drop("_old")
-        if settled:
-            return labels
+        links = cut_lineage(links)
+        state = tuple(links.agg(F.count(F.lit(1)), F.sum(F.xxhash64(*by, "u", "v").cast("decimal(38,0)"))).first())
+        if state == before or not state[0]:
+            break
+        before = state
+        both = links.unionByName(links.select(*by, F.col("v").alias("u"), F.col("u").alias("v")))
+        large = _with_least(both, by, 2 * state[0]).filter("v > u").select(*by, F.col("v").alias("u"), F.least("u", "m").alias("v"))
+        large = cut_lineage(large.filter("u <> v").distinct())
+        small = _with_least(large, by, state[0])
+        own = small.select(*by, "u", F.col("m").alias("v"))
+        links = own.unionByName(small.select(*by, F.col("v").alias("u"), F.col("m").alias("v"))).filter("u <> v").distinct()
+    tops = links.select(*by, F.col("u").alias(node), F.col("v").alias("_top"))
+    return nodes.select(*by, node).distinct().join(tops, [*by, node], "left").select(*by, node, F.coalesce("_top", node).alias("label"))
 
 
 def face_edges(faces: DataFrame, by: list[str]) -> DataFrame:

@@ -125,6 +125,24 @@ def live_telemetry_defects_stream(spark, sf_dir):
     return jobs.drain(jobs.defects(jobs.step_stream(feed)), "defects")
 
 
+_SILENT = with_views("telemetry", """
+    WITH n AS (SELECT flight_id, sample_id, time_s AS at_s, lead(time_s) OVER (PARTITION BY flight_id ORDER BY time_s, sample_id) AS nxt FROM telemetry)
+    SELECT flight_id, sample_id, round(at_s, 6) AS at_s, round(at_s + 5.0e0, 6) AS silent_from_s FROM n WHERE nxt IS NULL OR nxt - at_s > 5""")
+
+
+@query("telemetry_silence_stream", "T6", _SILENT)
+def telemetry_silence_stream(spark, sf_dir):
+    feed = _stream(spark, sf_dir, "telemetry").select(
+        "flight_id", "sample_id", F.timestamp_millis((F.col("time_s") * 1000).cast("bigint")).alias("ts"), F.col("time_s").alias("at_s")
+    )
+    return r(jobs.drain_to_end(feed, "ts", "1 minute", jobs.silence_stream, "silence"), "at_s silent_from_s")
+
+
+@query("telemetry_silence", "T6", _SILENT)
+def telemetry_silence(spark, sf_dir):
+    return r(jobs.silences(view(spark, sf_dir, "telemetry").withColumn("at_s", F.col("time_s"))), "at_s silent_from_s")
+
+
 @query("monitor_stages_stream", "T7 J4", with_views("monitor stages", """
     SELECT s.stage_id, count(*) AS samples, round(avg(TRY_CAST(utilization_gpu_percent AS DOUBLE)), 6) AS utilization_mean
     FROM stages s JOIN monitor m ON m.host_id = s.host_id AND m.at_s BETWEEN s.start_s AND s.end_s GROUP BY s.stage_id"""))

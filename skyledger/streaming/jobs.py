@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions.geo import haversine
-from ..scale import lag, last_known, ordered, rank
+from ..scale import lag, last_known, lead, ordered, rank
 from ..session import shared_folder
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -309,6 +309,70 @@ def defects(steps: DataFrame) -> DataFrame:
     return steps.filter("p_t is not null").select("flight_id", "sample_id", F.explode(names).alias("defect"))
 
 
+SILENCE = "flight_id bigint, sample_id bigint, at_s double, silent_from_s double"
+
+
+class SilenceProcessor(StatefulProcessor):
+    """An alarm when a flight sends nothing for longer than ``limit_s``, by an event-time timer and not by the next sample."""
+
+    def __init__(self, limit_s: float = 5.0):
+        self.limit_s = limit_s
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("last", "sample_id bigint, at_s double")
+
+    def _frame(self, key, ids, times) -> pd.DataFrame:
+        times = pd.Series(times, dtype="float64")
+        return pd.DataFrame({"flight_id": key[0], "sample_id": pd.Series(ids, dtype="int64"), "at_s": times, "silent_from_s": times + self.limit_s})
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        last = self.state.get() if self.state.exists() else None
+        for part in rows:
+            part = part.dropna(subset=["sample_id", "at_s"]).sort_values(["at_s", "sample_id"], ignore_index=True)
+            ids, times = part["sample_id"].tolist(), part["at_s"].tolist()
+            if last is not None:
+                ids, times = [last[0], *ids], [last[1], *times]
+            if not times:
+                continue
+            line = pd.DataFrame({"id": ids, "t": times})
+            quiet = line[line["t"].shift(-1) - line["t"] > self.limit_s]
+            yield self._frame(key, quiet["id"].tolist(), quiet["t"].tolist())
+            latest = line["t"].idxmax() if line["t"].iloc[-1] < line["t"].max() else len(line) - 1
+            last = (int(line["id"].iloc[latest]), float(line["t"].iloc[latest]))
+        if last is not None:
+            self.state.update(last)
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(int((last[1] + self.limit_s) * 1000) + 1)
+        yield self._frame(key, [], [])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.state.exists():
+            sample, at = self.state.get()
+            self.state.clear()  # the next sample begins anew, so a silence is told once
+            yield self._frame(key, [sample], [at])
+        else:
+            yield self._frame(key, [], [])
+
+    def close(self) -> None:
+        pass
+
+
+def silence_stream(samples: DataFrame, limit_s: float = 5.0) -> DataFrame:
+    """``samples``: flight_id, sample_id, ts (watermarked), at_s. One row per silence, of the sample before it."""
+    return samples.groupBy("flight_id").transformWithStateInPandas(
+        statefulProcessor=SilenceProcessor(limit_s), outputStructType=SILENCE, outputMode="Append", timeMode="EventTime"
+    )
+
+
+def silences(samples: DataFrame, limit_s: float = 5.0) -> DataFrame:
+    """Table twin of ``silence_stream`` for a source that has ended: the last sample of a flight is followed by silence."""
+    nxt = ordered(samples, ["flight_id"], ["at_s", "sample_id"], {"_next": lead(F.col("at_s"))})
+    quiet = nxt.filter(F.col("_next").isNull() | (F.col("_next") - F.col("at_s") > limit_s))
+    return quiet.select("flight_id", "sample_id", "at_s", (F.col("at_s") + limit_s).alias("silent_from_s"))
+
+
 def stage_samples(samples: DataFrame, stages: DataFrame, delay: str, longest: str) -> DataFrame:
     """Stream-stream interval join of samples and the stages that ran, each reported at its end.
 

@@ -139,3 +139,27 @@ def test_surface_score_with_missing_half(spark):
     points = spark.createDataFrame([(1, c, x, 0.0, 0.0) for c, x in rows], "g int, cloud string, x double, y double, z double")
     got = scoring.threshold_scores(scoring.both_ways(points, ["g"]), ["g"], [0.1]).first()
     assert (got.precision, got.recall, round(got.f1, 9)) == (1.0, 0.5, round(2 / 3, 9))
+
+
+@pytest.mark.parametrize("hot", [3, 100_000])
+def test_giant_component(spark, monkeypatch, hot):
+    monkeypatch.setattr(graphs, "HOT_LINKS", hot)
+    rng = np.random.default_rng(4)
+    star = [(1, 5_000, int(k)) for k in range(900)]  # nine tenths of the nodes hang on one
+    chain = [(1, k, k + 1) for k in range(6_000, 6_040)] + [(1, 5_000, 6_000)]
+    small = [(1, int(a), int(b)) for a, b in rng.integers(7_000, 7_100, (60, 2))] + [(2, 1, 2), (2, 2, 2), (2, 5, 4)]
+    rows = star + chain + small + star[:20]
+    nodes = {(g, x) for g, a, b in rows for x in (a, b)} | {(3, 9)}
+    top = {x: x for x in nodes}
+
+    def find(x):
+        while top[x] != x:
+            x = top[x]
+        return x
+
+    for g, a, b in rows:
+        x, y = sorted((find((g, a)), find((g, b))))
+        top[y] = x
+    edges = spark.createDataFrame(rows, "g long, a long, b long").repartition(4)
+    got = graphs.components(spark.createDataFrame(sorted(nodes), "g long, n long"), edges, ["g"], "n").collect()
+    assert {(r["g"], r["n"]): (r["g"], r["label"]) for r in got} == {x: find(x) for x in nodes} and len(got) == len(nodes)

@@ -21,6 +21,32 @@ def test_last_sessions_come_out(spark, tmp_path):
     assert {tuple(r) for r in got} == {(1, 0.0, 4.0, 5), (1, 100.0, 103.0, 4), (3, 200.0, 203.0, 4), (3, 205.0, 207.0, 3)}
 
 
+def test_silence_is_told_without_a_following_sample(spark, tmp_path):
+    path, log, out = (str(tmp_path / n) for n in ("rows", "log", "out"))
+    kinds = "flight_id long, sample_id long, at_s double"
+
+    def add(rows):
+        table = spark.createDataFrame(rows, kinds).coalesce(1)
+        table.withColumn("ts", F.timestamp_millis((F.col("at_s") * 1000).cast("bigint"))).write.mode("append").parquet(path)
+
+    add([(1, k, 100.0 + k) for k in range(4)] + [(2, 20, 100.0), (2, 21, 109.0)])
+    like = spark.read.parquet(path)
+
+    def run():
+        feed = jobs.file_stream(spark, like, path).withWatermark("ts", "2 seconds")
+        jobs._finish(spark, jobs.silence_stream(feed).writeStream.format("parquet").option("path", out).option("checkpointLocation", log))
+        return {(r["flight_id"], r["sample_id"]) for r in spark.read.schema(jobs.SILENCE).parquet(out).collect()}
+
+    assert run() >= {(2, 20)}
+    add([(3, 30, 150.0)])  # flight 1 is silent, and only others send
+    assert run() == {(1, 3), (2, 20), (2, 21)}
+    add([(1, 4, 160.0), (1, 5, 161.0)])
+    add([(3, 31, 200.0)])
+    assert run() >= {(1, 3), (1, 5), (2, 20), (2, 21), (3, 30)}
+    twin = jobs.silences(spark.read.parquet(path))
+    assert {(r["flight_id"], r["sample_id"]) for r in twin.collect()} == {(1, 3), (1, 5), (2, 20), (2, 21), (3, 30), (3, 31)}
+
+
 def test_samples_leave_the_join_state(spark, tmp_path):
     def at(s):
         return F.timestamp_millis((F.lit(s) * 1000).cast("bigint") + F.lit(86_400_000))
