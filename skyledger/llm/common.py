@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import math
 import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -45,3 +46,22 @@ def sliced(batches: Iterator[pa.RecordBatch], text: str, max_chars: int = 2 << 2
             if held >= max_chars or i + 1 == len(texts):
                 yield batch.slice(start, i + 1 - start), texts[start : i + 1]
                 start, held = i + 1, 0
+
+
+def give_back() -> None:
+    """Return freed memory to the system: a worker lives on, and the next operator needs the room."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # only this C library keeps what was freed
+
+
+def tidy(task: Callable) -> Callable:
+    """``task``, which maps Arrow batches, and then ``give_back``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from task(batches)
+        give_back()
+
+    return run

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import cut_lineage
-from .common import part_count, sliced
+from .common import give_back, part_count, sliced, tidy
 
 ORDER = 4
 BITS = 15
@@ -152,7 +152,7 @@ def _counts(tokens):
 
 def _counted(texts: DataFrame, tokens) -> DataFrame:
     """(fold, gram, n) of ``texts`` (fold, text)."""
-    counts = texts.select("fold", "text").mapInArrow(_counts(tokens), "fold int, gram long, n long")
+    counts = texts.select("fold", "text").mapInArrow(tidy(_counts(tokens)), "fold int, gram long, n long")
     return cut_lineage(counts.groupBy("fold", "gram").agg(F.sum("n").alias("n")))
 
 
@@ -283,7 +283,7 @@ def _added_up(tokens, text: str, keep: list[str]):
             held.append(out)
         sums, counts, held = (np.concatenate(x) for x in (sums, counts, held))
         del prices, price, known
-        pa.default_memory_pool().release_unused()  # a worker lives on with the next operator
+        give_back()
         out = documents.select(keep).append_column("cost", pa.array(sums)).append_column("tokens", pa.array(counts))
         return out.append_column("held", pa.array(held, mask=np.isnan(held)))
 
@@ -300,14 +300,14 @@ def scored(rows: DataFrame, keep: list[str], text: str, probabilities: DataFrame
     groups = part_count(text_bytes, GROUP_BYTES)
     order, kinds = tokens.value.order, tokens.value.kinds
     models = [WHOLE, *range(FOLDS)]
-    every = rows.select(text, F.lit(0).cast("long").alias("_group")).mapInArrow(_asked(tokens, text), "group long, gram long")
+    every = rows.select(text, F.lit(0).cast("long").alias("_group")).mapInArrow(tidy(_asked(tokens, text)), "group long, gram long")
     every = cut_lineage(every.select("gram").distinct().select(F.explode(F.array(*map(F.lit, models))).alias("model"), "gram"))
     found = priced(every, probabilities, weights, order, kinds)
     prices = cut_lineage(found.groupBy("gram").agg(*[F.max(F.when(F.col("model") == m, -F.log("p"))).alias(_price(m)) for m in models]))
     # Evenly dealt whatever the rows hold, so copies and repeated ids never gather.
     turn = F.pmod(F.monotonically_increasing_id() + 7919 * F.spark_partition_id(), F.lit(groups))
     dealt = rows.select(*dict.fromkeys([*keep, text, "_fold"])).withColumn("_group", turn).repartition(groups, "_group")
-    answers = dealt.mapInArrow(_asked(tokens, text), "group long, gram long").join(prices, "gram")
+    answers = dealt.mapInArrow(tidy(_asked(tokens, text)), "group long, gram long").join(prices, "gram")
     names = ", ".join([f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep] + ["cost double", "tokens long", "held double"])
     return dealt.groupBy("_group").cogroup(answers.groupBy("group")).applyInArrow(_added_up(tokens, text, keep), names)
 
