@@ -103,11 +103,12 @@ def _segments(digest: str):
     return segments
 
 
-def _sampled(rows: DataFrame) -> DataFrame:
-    """The windows that train the dictionary: of the documents of least hash, so it follows no order of the table."""
+def _sampled(rows: DataFrame, n_rows: int) -> DataFrame:
+    """The windows that train the dictionary: of the documents whose hash lets through about ``SAMPLE_DOCS``; equal rows are one."""
     drawn = F.xxhash64("id", "text")
-    start = F.pmod(F.shiftrightunsigned(drawn, 16), F.greatest(F.lit(1), F.length("text") - SAMPLE_CHARS + 1)).cast("int")
-    return rows.select(drawn.alias("drawn"), F.substring("text", start + 1, F.lit(SAMPLE_CHARS)).alias("window")).orderBy("drawn").limit(SAMPLE_DOCS)
+    chosen = rows.withColumn("drawn", drawn).filter(F.pmod("drawn", F.lit(1 << 40)) * float(n_rows) < float(SAMPLE_DOCS << 40))
+    start = F.pmod(F.shiftrightunsigned("drawn", 42), F.greatest(F.lit(1), F.length("text") - SAMPLE_CHARS + 1)).cast("int")
+    return chosen.select("drawn", F.substring("text", start + 1, F.lit(SAMPLE_CHARS)).alias("window")).groupBy("drawn").agg(F.first("window").alias("window"))
 
 
 def write_store(
@@ -118,18 +119,19 @@ def write_store(
     Ids are written ascending, null ids first; repeated ids follow one another in order of
     length, then content. A null text is empty and holds the end id alone; an empty table
     gives a store without segments. ``width`` is the bytes of an id (2 up to 65,536 ids).
-    The dictionary is trained on the ``SAMPLE_DOCS`` documents of least hash in the whole table, at a
+    The dictionary is trained on about ``SAMPLE_DOCS`` documents that a hash draws from the whole table, at a
     window of ``SAMPLE_CHARS`` characters whose place the hash gives too; every document is encoded
     and written whole.
     """
     spark = df.sparkSession
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    parts = part_count(rows.count(), BUCKET_DOCS)
+    n_rows = rows.count()
+    parts = part_count(n_rows, BUCKET_DOCS)
     bounds = []
     if parts > 1:
         steps = [i / parts for i in range(1, parts)]
         bounds = rows.agg(F.percentile_approx("id", steps, max(10_000, 20 * parts))).first()[0] or []
-    sample_texts = [r["window"] for r in _sampled(rows).collect()]
+    sample_texts = [r["window"] for r in _sampled(rows, n_rows).orderBy("drawn").collect()]
     content = train_dictionary(byte_encoder(path, width).encode(sample_texts))
     digest = hashlib.sha256(content).hexdigest()
     frames = rows.mapInArrow(_encode(path, end_id, width, content, bounds), "bucket int, id long, n long, frame binary")
