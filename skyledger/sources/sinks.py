@@ -9,17 +9,41 @@ from ..scale import ordered, rank
 BLOCK_ENTRIES = 100_000
 
 
+def fixed_decimals(v: Column, digits: int) -> Column:
+    """``printf`` of a double: its binary value is rounded, an exact half to the even digit.
+
+    ``format_string`` alone rounds the shortest decimal text of a double half up, so that 0.845, which is
+    a little less than that, would become 0.85. ``digits`` is at most 10: then the product with the power of
+    ten and the product's rounding error are both exact.
+    """
+    if digits > 10:
+        raise ValueError("at most 10 decimals")
+    scale = F.lit(float(10**digits))
+    size = F.abs(v)
+    product = size * scale
+    wide = size * 134217729.0  # 2^27 + 1 splits a double into two halves
+    high = wide - (wide - size)
+    error = (high * scale - product) + (size - high) * scale
+    whole = F.floor(product).cast("double")
+    beyond = (product - whole - 0.5) + error
+    up = (beyond > 0) | ((beyond == 0) & (whole % 2 == 1))
+    rounded = F.when(up, whole + 1).otherwise(whole) / scale
+    near = F.when(v < 0, -rounded).otherwise(rounded)
+    # From 2^52 on a product has no half, and a text of more than 15 digits is no double's own.
+    return F.format_string(f"%.{digits}f", F.when(product < 1e15, near).otherwise(v))
+
+
 def plain_number(v: Column, digits: int) -> Column:
     """Fixed decimals without trailing zeros."""
-    return F.regexp_replace(F.format_string(f"%.{digits}f", v), r"\.?0+$", "")
+    return F.regexp_replace(fixed_decimals(v, digits), r"\.?0+$", "")
 
 
 def reference_line(name: Column, lat: Column, lon: Column, alt: Column) -> Column:
-    return F.format_string("%s %.10f %.10f %.3f", name, lat, lon, alt)
+    return F.format_string("%s %s %s %s", name, fixed_decimals(lat, 10), fixed_decimals(lon, 10), fixed_decimals(alt, 3))
 
 
 def pose_line(values: list[Column], digits: int = 6) -> Column:
-    return F.concat_ws(" ", *[F.format_string(f"%.{digits}f", v) for v in values])
+    return F.concat_ws(" ", *[fixed_decimals(v, digits) for v in values])
 
 
 def write_ordered(df: DataFrame, path: str, order: list[str], kind: str = "csv", parts: int | None = None) -> None:
