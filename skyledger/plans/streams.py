@@ -21,6 +21,11 @@ def _stream(spark, sf_dir, name):
     return spark.sql(VIEWS[name].replace(f"FROM {base}", f"FROM _stream_{base}"))
 
 
+def _clock(name):
+    """Seconds from 0 as event times, all after the first watermark."""
+    return F.timestamp_millis(((F.col(name) + jobs.DAY_S) * 1000).cast("bigint"))
+
+
 _W = """
     vb AS (SELECT sensor_id, ts, ax * ax + ay * ay + az * az AS q FROM vibration),
     wn AS (SELECT sensor_id, time_bucket(INTERVAL '6 hours', ts, TIMESTAMP '2024-01-01') AS window_start, count(*) AS samples, sqrt(avg(q)) AS rms, max(sqrt(q)) AS peak FROM vb GROUP BY ALL)"""
@@ -105,9 +110,9 @@ def sliding_windows_stream(spark, sf_dir):
     HAVING count(*) >= 3"""))
 def recording_sessions_stream(spark, sf_dir):
     feed = _stream(spark, sf_dir, "telemetry").select(
-        "flight_id", "sample_id", F.timestamp_millis((F.col("time_s") * 1000).cast("bigint")).alias("ts"), F.col("time_s").alias("at_s"), F.col("is_recording").alias("valid")
+        "flight_id", "sample_id", _clock("time_s").alias("ts"), F.col("time_s").alias("at_s"), F.col("is_recording").alias("valid")
     )
-    out = jobs.drain_to_end(feed, "ts", "1 minute", lambda rows: jobs.session_stream(rows, 40.0), "sessions")
+    out = jobs.drain_to_end(feed, "ts", "1 minute", lambda rows: jobs.session_stream(rows, 40.0, jobs.DAY_S), "sessions")
     return r(out, "start_s end_s")
 
 
@@ -133,9 +138,9 @@ _SILENT = with_views("telemetry", """
 @query("telemetry_silence_stream", "T6", _SILENT)
 def telemetry_silence_stream(spark, sf_dir):
     feed = _stream(spark, sf_dir, "telemetry").select(
-        "flight_id", "sample_id", F.timestamp_millis((F.col("time_s") * 1000).cast("bigint")).alias("ts"), F.col("time_s").alias("at_s")
+        "flight_id", "sample_id", _clock("time_s").alias("ts"), F.col("time_s").alias("at_s")
     )
-    return r(jobs.drain_to_end(feed, "ts", "1 minute", jobs.silence_stream, "silence"), "at_s silent_from_s")
+    return r(jobs.drain_to_end(feed, "ts", "1 minute", lambda rows: jobs.silence_stream(rows, ahead_s=jobs.DAY_S), "silence"), "at_s silent_from_s")
 
 
 @query("telemetry_silence", "T6", _SILENT)
@@ -147,12 +152,8 @@ def telemetry_silence(spark, sf_dir):
     SELECT s.stage_id, count(*) AS samples, round(avg(TRY_CAST(utilization_gpu_percent AS DOUBLE)), 6) AS utilization_mean
     FROM stages s JOIN monitor m ON m.host_id = s.host_id AND m.at_s BETWEEN s.start_s AND s.end_s GROUP BY s.stage_id"""))
 def monitor_stages_stream(spark, sf_dir):
-    def at(c):
-        # a day after the epoch, where the first watermark starts
-        return F.timestamp_millis((F.col(c) * 1000).cast("bigint") + 86400000)
-
-    samples = _stream(spark, sf_dir, "monitor").select("sample_id", "host_id", at("at_s").alias("ts"), "utilization_gpu_percent")
-    stages = _stream(spark, sf_dir, "stages").select("stage_id", "host_id", at("start_s").alias("start_ts"), at("end_s").alias("end_ts"))
+    samples = _stream(spark, sf_dir, "monitor").select("sample_id", "host_id", _clock("at_s").alias("ts"), "utilization_gpu_percent")
+    stages = _stream(spark, sf_dir, "stages").select("stage_id", "host_id", _clock("start_s").alias("start_ts"), _clock("end_s").alias("end_ts"))
     joined = jobs.drain(jobs.stage_samples(samples, stages, "5 minutes", "60 seconds"), "stages")
     out = joined.groupBy("stage_id").agg(F.count(F.lit(1)).alias("samples"), F.avg(F.col("utilization_gpu_percent").try_cast("double")).alias("utilization_mean"))
     return r(out, "utilization_mean")

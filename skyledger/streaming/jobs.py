@@ -17,6 +17,8 @@ from ..functions.geo import haversine
 from ..scale import lag, last_known, lead, ordered, rank
 from ..session import shared_folder
 
+# The first watermark is the epoch, and a row that is not after it counts as late. Clocks that start at 0 are put a day on.
+DAY_S = 86_400.0
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -193,8 +195,8 @@ def calibration(samples: DataFrame, still: int = 600, base: int = 1000) -> DataF
 class SessionProcessor(StatefulProcessor):
     """Recording sessions: closed by an invalid row, a gap, or the watermark passing the gap."""
 
-    def __init__(self, gap_s: float = 2.0, least: int = 3):
-        self.gap_s, self.least = gap_s, least
+    def __init__(self, gap_s: float = 2.0, least: int = 3, ahead_s: float = 0.0):
+        self.gap_s, self.least, self.ahead_s = gap_s, least, ahead_s
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -220,7 +222,7 @@ class SessionProcessor(StatefulProcessor):
             self.handle.deleteTimer(timer)
         if kept:
             self.state.update(kept)
-            self.handle.registerTimer(int((kept[1] + self.gap_s) * 1000) + 1)
+            self.handle.registerTimer(int((kept[1] + self.gap_s + self.ahead_s) * 1000) + 1)
         elif self.state.exists():
             self.state.clear()
         yield self._frame(out)
@@ -258,10 +260,10 @@ def drain_to_end(feed: DataFrame, clock: str, delay: str, job, name: str) -> Dat
     return spark.read.schema(out.schema).parquet(path)
 
 
-def session_stream(rows: DataFrame, gap_s: float = 2.0) -> DataFrame:
-    """``rows``: flight_id, sample_id, ts (watermarked), at_s, valid."""
+def session_stream(rows: DataFrame, gap_s: float = 2.0, ahead_s: float = 0.0) -> DataFrame:
+    """``rows``: flight_id, sample_id, ts (watermarked, ``ahead_s`` later than at_s), at_s, valid."""
     return rows.groupBy("flight_id").transformWithStateInPandas(
-        statefulProcessor=SessionProcessor(gap_s), outputStructType="flight_id bigint, start_s double, end_s double, rows int",
+        statefulProcessor=SessionProcessor(gap_s, ahead_s=ahead_s), outputStructType="flight_id bigint, start_s double, end_s double, rows int",
         outputMode="Append", timeMode="EventTime",
     )
 
@@ -315,8 +317,8 @@ SILENCE = "flight_id bigint, sample_id bigint, at_s double, silent_from_s double
 class SilenceProcessor(StatefulProcessor):
     """An alarm when a flight sends nothing for longer than ``limit_s``, by an event-time timer and not by the next sample."""
 
-    def __init__(self, limit_s: float = 5.0):
-        self.limit_s = limit_s
+    def __init__(self, limit_s: float = 5.0, ahead_s: float = 0.0):
+        self.limit_s, self.ahead_s = limit_s, ahead_s
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -328,13 +330,12 @@ class SilenceProcessor(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         last = self.state.get() if self.state.exists() else None
-        for part in rows:
-            part = part.dropna(subset=["sample_id", "at_s"]).sort_values(["at_s", "sample_id"], ignore_index=True)
-            ids, times = part["sample_id"].tolist(), part["at_s"].tolist()
-            if last is not None:
-                ids, times = [last[0], *ids], [last[1], *times]
-            if not times:
-                continue
+        # A key's rows come in several parts, in no order: only all of them give the next sample of each.
+        part = pd.concat([p[["sample_id", "at_s"]] for p in rows]).dropna().sort_values(["at_s", "sample_id"])
+        ids, times = part["sample_id"].tolist(), part["at_s"].tolist()
+        if last is not None:
+            ids, times = [last[0], *ids], [last[1], *times]
+        if times:
             line = pd.DataFrame({"id": ids, "t": times})
             quiet = line[line["t"].shift(-1) - line["t"] > self.limit_s]
             yield self._frame(key, quiet["id"].tolist(), quiet["t"].tolist())
@@ -344,7 +345,7 @@ class SilenceProcessor(StatefulProcessor):
             self.state.update(last)
             for timer in list(self.handle.listTimers()):
                 self.handle.deleteTimer(timer)
-            self.handle.registerTimer(int((last[1] + self.limit_s) * 1000) + 1)
+            self.handle.registerTimer(int((last[1] + self.limit_s + self.ahead_s) * 1000) + 1)
         yield self._frame(key, [], [])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
@@ -359,10 +360,10 @@ class SilenceProcessor(StatefulProcessor):
         pass
 
 
-def silence_stream(samples: DataFrame, limit_s: float = 5.0) -> DataFrame:
-    """``samples``: flight_id, sample_id, ts (watermarked), at_s. One row per silence, of the sample before it."""
+def silence_stream(samples: DataFrame, limit_s: float = 5.0, ahead_s: float = 0.0) -> DataFrame:
+    """``samples``: flight_id, sample_id, ts (watermarked, ``ahead_s`` later than at_s), at_s. One row per silence, of the sample before it."""
     return samples.groupBy("flight_id").transformWithStateInPandas(
-        statefulProcessor=SilenceProcessor(limit_s), outputStructType=SILENCE, outputMode="Append", timeMode="EventTime"
+        statefulProcessor=SilenceProcessor(limit_s, ahead_s), outputStructType=SILENCE, outputMode="Append", timeMode="EventTime"
     )
 
 
