@@ -250,20 +250,25 @@ def _added(value) -> Column:
 
 
 def sample(places: DataFrame, cells: DataFrame, by: list[str], ids: list[str], res: float, x0: float = 0.0, y0: float = 0.0) -> DataFrame:
-    """Bilinear height at (x, y) from up to four cells; missing cells give up their weight."""
+    """Bilinear height at (x, y) from up to four cells; missing cells give up their weight.
+
+    Each cell goes to the four places that read it, so a place is one row with all its heights and
+    every point of ``places`` is joined once, as it is.
+    """
     fx, fy = (F.col("x") - x0) / res - 0.5, (F.col("y") - y0) / res - 0.5
-    c, r = F.floor(fx), F.floor(fy)
-    tx, ty = fx - c, fy - r
-    corners = F.array(*[
-        F.struct((c + i).alias("col"), (r + j).alias("row"), ((tx if i else 1 - tx) * (ty if j else 1 - ty)).alias("w"))
-        for i in (0, 1) for j in (0, 1)
-    ])
-    asked = places.select(*by, *ids, F.explode(corners).alias("_k")).select(*by, *ids, "_k.*")
-    got = asked.join(cells.select(*by, "col", "row", "z"), [*by, "col", "row"]).groupBy(*by, *ids).agg(
-        F.sum(F.col("w") * F.col("z")).alias("_s"), F.sum("w").alias("_w")
+    spots = [(i, j) for i in (0, 1) for j in (0, 1)]
+    moves = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in spots]))
+    sent = cells.select(*by, "col", "row", "z", moves.alias("_m"))
+    corners = sent.groupBy(*by, (F.col("col") - F.col("_m.i")).alias("_c"), (F.col("row") - F.col("_m.j")).alias("_r")).agg(
+        *[F.max(F.when((F.col("_m.i") == i) & (F.col("_m.j") == j), F.col("z"))).alias(f"_z{i}{j}") for i, j in spots]
     )
-    height = F.when(F.col("_w") > 1e-6, F.col("_s") / F.col("_w"))
-    return places.join(got.select(*by, *ids, height.alias("h")), [*by, *ids], "left")
+    met = places.withColumn("_c", F.floor(fx)).withColumn("_r", F.floor(fy)).join(corners, [*by, "_c", "_r"], "left")
+    tx, ty = fx - F.col("_c"), fy - F.col("_r")
+    total = weight = F.lit(0.0)
+    for i, j in spots:
+        z, w = F.col(f"_z{i}{j}"), (tx if i else 1 - tx) * (ty if j else 1 - ty)
+        total, weight = total + F.when(z.isNotNull(), w * z).otherwise(0.0), weight + F.when(z.isNotNull(), w).otherwise(0.0)
+    return met.select(*[F.col(c) for c in places.columns], F.when(weight > 1e-6, total / weight).alias("h"))
 
 
 def _slopes(cells: DataFrame, by: list[str], res: float) -> DataFrame:
