@@ -170,54 +170,22 @@ def path_length(ring: Column = None, horizontal: bool = True) -> Column:
     return _sum(path_legs(ring), _flat if horizontal else _solid)
 
 
-def inside_ring(x: Column, y: Column, edges: Column) -> Column:
-    """Even-odd rule over an outline's edges, built once per outline by ``ring_edges``."""
-
-    def crosses(e):
-        a, b = e["a"], e["b"]
-        return ((a["y"] > y) != (b["y"] > y)) & (x < (b["x"] - a["x"]) * (y - a["y"]) / (b["y"] - a["y"]) + a["x"])
-
-    return F.size(F.filter(edges, crosses)) % 2 == 1
-
-
 def raster_extent(cells: DataFrame, by: list[str]) -> DataFrame:
     """First and last column and row of each raster."""
     return cells.groupBy(*by).agg(*[f(c).alias(f"_{f.__name__}_{c}") for c in ("col", "row") for f in (F.min, F.max)])
 
 
-def ring_cells(outlines: DataFrame, res: float, x0: float = 0.0, y0: float = 0.0) -> DataFrame:
-    """Grid cells whose centre lies inside each outline, one by one."""
-
-    def span(axis: str, origin: float) -> Column:
-        values = F.transform("ring", lambda p: p[axis])
-        return F.explode(F.sequence(F.floor((F.array_min(values) - origin) / res), F.floor((F.array_max(values) - origin) / res)))
-
-    grid = outlines.withColumn("_edges", ring_edges()).withColumn("col", span("x", x0)).withColumn("row", span("y", y0)).drop("ring")
-    grid = grid.withColumn("cx", x0 + (F.col("col") + 0.5) * res).withColumn("cy", y0 + (F.col("row") + 0.5) * res)
-    return grid.filter(inside_ring(F.col("cx"), F.col("cy"), F.col("_edges"))).drop("_edges")
-
-
-TILE = 64
-
-
-def ring_spans(outlines: DataFrame, cells: DataFrame, by: list[str], key: str, res: float, x0: float = 0.0, y0: float = 0.0) -> DataFrame:
-    """Runs of columns (by, key, row, lo, hi) whose cell centres lie inside each outline, within its raster's extent.
+def _row_runs(lines: DataFrame, res: float, x0: float, y0: float) -> DataFrame:
+    """Outline rows (``_edges``, ``row``) cut into runs ``_lo`` to ``_hi`` of columns whose cell centres lie inside.
 
     The edges that cross a row's centre line, in order, pair up into runs: by the even-odd rule a
     centre is inside from an odd crossing, included, to the next one, left out.
     """
-    values = F.transform("ring", lambda p: p["y"])
-    first = F.greatest(F.floor((F.array_min(values) - y0) / res), "_min_row")
-    last = F.least(F.floor((F.array_max(values) - y0) / res), "_max_row")
-    lines = outlines.join(raster_extent(cells, by), by).select(
-        *by, key, ring_edges().alias("_edges"), "_min_col", "_max_col", F.explode(F.when(first <= last, F.sequence(first, last))).alias("row")
-    )
     y = y0 + (F.col("row") + 0.5) * res
     cut = F.filter("_edges", lambda e: (e["a"]["y"] > y) != (e["b"]["y"] > y))
     at = F.array_sort(F.transform(cut, lambda e: (e["b"]["x"] - e["a"]["x"]) * (y - e["a"]["y"]) / (e["b"]["y"] - e["a"]["y"]) + e["a"]["x"]))
-    runs = lines.withColumn("_at", at).filter(F.size("_at") > 0).select(
-        *by, key, "row", "_min_col", "_max_col", "_at", F.explode(F.sequence(F.lit(0), F.size("_at") - 2, F.lit(2))).alias("_k")
-    )
+    runs = lines.withColumn("_at", at).drop("_edges").filter(F.size("_at") > 0)
+    runs = runs.withColumn("_k", F.explode(F.sequence(F.lit(0), F.size("_at") - 2, F.lit(2))))
     begin, end = F.get("_at", F.col("_k")), F.get("_at", F.col("_k") + 1)
 
     def from_(x: Column) -> Column:
@@ -226,7 +194,34 @@ def ring_spans(outlines: DataFrame, cells: DataFrame, by: list[str], key: str, r
         centre = lambda c: x0 + (c + 0.5) * res
         return F.when(centre(near - 1) >= x, near - 1).when(centre(near) >= x, near).otherwise(near + 1)
 
-    runs = runs.withColumn("lo", F.greatest(from_(begin), "_min_col")).withColumn("hi", F.least(from_(end) - 1, "_max_col"))
+    return runs.withColumn("_lo", from_(begin)).withColumn("_hi", from_(end) - 1).drop("_at", "_k").filter("_lo <= _hi")
+
+
+def _row_range(y0: float, res: float) -> tuple[Column, Column]:
+    """First and last row that an outline touches."""
+    values = F.transform("ring", lambda p: p["y"])
+    return F.floor((F.array_min(values) - y0) / res), F.floor((F.array_max(values) - y0) / res)
+
+
+def ring_cells(outlines: DataFrame, res: float, x0: float = 0.0, y0: float = 0.0) -> DataFrame:
+    """Grid cells whose centre lies inside each outline, one by one: its runs of columns written out."""
+    first, last = _row_range(y0, res)
+    lines = outlines.withColumn("_edges", ring_edges()).withColumn("row", F.explode(F.sequence(first, last))).drop("ring")
+    cells = _row_runs(lines, res, x0, y0).withColumn("col", F.explode(F.sequence("_lo", "_hi"))).drop("_lo", "_hi")
+    return cells.withColumn("cx", x0 + (F.col("col") + 0.5) * res).withColumn("cy", y0 + (F.col("row") + 0.5) * res)
+
+
+TILE = 64
+
+
+def ring_spans(outlines: DataFrame, cells: DataFrame, by: list[str], key: str, res: float, x0: float = 0.0, y0: float = 0.0) -> DataFrame:
+    """Runs of columns (by, key, row, lo, hi) whose cell centres lie inside each outline, within its raster's extent."""
+    first, last = _row_range(y0, res)
+    first, last = F.greatest(first, "_min_row"), F.least(last, "_max_row")
+    lines = outlines.join(raster_extent(cells, by), by).select(
+        *by, key, ring_edges().alias("_edges"), "_min_col", "_max_col", F.explode(F.when(first <= last, F.sequence(first, last))).alias("row")
+    )
+    runs = _row_runs(lines, res, x0, y0).withColumn("lo", F.greatest("_lo", "_min_col")).withColumn("hi", F.least("_hi", "_max_col"))
     return runs.filter("lo <= hi").select(*by, key, "row", "lo", "hi")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import coverage, depth, descriptors, graphs, neighbors
 from ..operators import windows as win
+from ..session import cut_lineage
 from .camera import CX, CY, FX, FY, posed_pixels
 from .registry import query
 from .telemetry import _ASOF, frame_positions, r
@@ -229,7 +230,7 @@ def _seen(spark, sf_dir):
     gn AS (SELECT site, id, count(*) AS gain FROM sn GROUP BY site, id)
     SELECT site, arg_min(id, (-gain, id)) AS view_id, max(gain) AS gain FROM gn GROUP BY site""")
 def coverage_first_pick(spark, sf_dir):
-    seen = _seen(spark, sf_dir)
+    seen = cut_lineage(_seen(spark, sf_dir))  # read twice below
     return coverage.best_view(seen, coverage.coverage_needs(seen, ["site"], 6), ["site"])
 
 
