@@ -381,9 +381,15 @@ def stage_samples(samples: DataFrame, stages: DataFrame, delay: str, longest: st
     sample once the stages' watermark is ``longest`` beyond it, as no stage that long ago can still
     end. Of a stage longer than that the samples of its last ``longest`` are joined.
     """
-    s = samples.withWatermark("ts", delay)
+    # Both sides carry the slice of time they lie in, so that a sample meets the stages of its slice alone. A stage is
+    # in every slice of its last ``longest`` (two, at most), a sample in one: no pair comes twice.
+    width = F.expr(f"unix_micros(timestamp_seconds(0) + INTERVAL {longest})")
+    slice_of = lambda t: F.floor(F.unix_micros(t) / width)
+    s = samples.withWatermark("ts", delay).withColumn("_slice", slice_of(F.col("ts")))
     g = stages.select(F.col("host_id").alias("_host"), "stage_id", "start_ts", "end_ts").withWatermark("end_ts", delay)
-    within = (F.col("host_id") == F.col("_host")) & (F.col("ts") >= F.col("start_ts")) & (F.col("ts") <= F.col("end_ts"))
+    since = F.greatest("start_ts", F.col("end_ts") - F.expr(f"INTERVAL {longest}"))
+    g = g.filter("start_ts <= end_ts").withColumn("_at", F.explode(F.sequence(slice_of(since), slice_of(F.col("end_ts")))))
+    within = (F.col("host_id") == F.col("_host")) & (F.col("_slice") == F.col("_at")) & (F.col("ts") >= F.col("start_ts")) & (F.col("ts") <= F.col("end_ts"))
     return s.join(g, within & (F.col("end_ts") <= F.col("ts") + F.expr(f"INTERVAL {longest}"))).select("stage_id", "sample_id", "utilization_gpu_percent")
 
 
