@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql import Window as W
 
-from .common import part_count, sliced
+from .common import part_count, sliced, text_batches, tidy
 from .pieces import byte_encoder
 
 DICT_BYTES = 64 << 10
@@ -134,9 +134,10 @@ def write_store(
     sample_texts = [r["window"] for r in _sampled(rows, n_rows).orderBy("drawn").collect()]
     content = train_dictionary(byte_encoder(path, width).encode(sample_texts))
     digest = hashlib.sha256(content).hexdigest()
-    frames = rows.mapInArrow(_encode(path, end_id, width, content, bounds), "bucket int, id long, n long, frame binary")
+    frames = rows.mapInArrow(tidy(_encode(path, end_id, width, content, bounds)), "bucket int, id long, n long, frame binary")
     ordered = frames.repartition(2 * parts, "bucket").sortWithinPartitions("bucket", "id", "n", "frame")
-    ordered.mapInArrow(_segments(digest), SEGMENT).write.parquet(f"{folder}/segments")
+    with text_batches(spark):
+        ordered.mapInArrow(tidy(_segments(digest)), SEGMENT).write.parquet(f"{folder}/segments")
     head = spark.createDataFrame([(digest, bytearray(content), width, end_id)], "sha256 string, content binary, width int, end_id int")
     head.coalesce(1).write.parquet(f"{folder}/dictionary")
     # One row per bucket, so the running sum is over a short table.
@@ -185,7 +186,7 @@ def read_store(spark: SparkSession, folder: str, digest: bool = False) -> DataFr
     # One short row per bucket; the payloads stay where they are unless that table is large.
     last = "ids_crc32 long" if digest else "ids binary"
     return segments.join(spark.read.parquet(f"{folder}/starts"), "bucket").mapInArrow(
-        _decode(content, width, digest), f"id long, start long, n_tokens long, {last}"
+        tidy(_decode(content, width, digest)), f"id long, start long, n_tokens long, {last}"
     )
 
 
