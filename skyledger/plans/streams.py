@@ -11,6 +11,9 @@ from .telemetry import r
 from .views import view, with_views
 
 
+CHUNK_POINTS = 1_000_000
+
+
 def _stream(spark, sf_dir, name):
     """A survey view over a stream of its base table's files."""
     from .views import VIEWS, source
@@ -190,6 +193,8 @@ def retained_tasks(spark, sf_dir):
 def incremental_raster_stream(spark, sf_dir):
     path = scratch(spark, "chunks")
     points = view(spark, sf_dir, "points")
-    points.repartition(3, "point_id").write.parquet(path)
-    feed = jobs.file_stream(spark, points, path, files_per_batch=1)
+    # Three batches of files whose size does not grow with the table.
+    files = max(1, -(-points.count() // (3 * CHUNK_POINTS)))
+    points.repartition(3 * files, "point_id").write.parquet(path)
+    feed = jobs.file_stream(spark, points, path, files_per_batch=files)
     return r(jobs.drain_updates(jobs.raster_stream(feed, "scan_id", 2.0), "raster", ["scan_id", "col", "row"]), "z")
