@@ -14,7 +14,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 from pyspark.sql import Window as W
 
 from ..session import cut_lineage
@@ -22,28 +22,32 @@ from ..session import cut_lineage
 PART_ROWS = 40_000
 MOST_PARTS = 500_000
 LEAF = 32
-BLOCK = 32
+BLOCK = 64
+#: Sources that look up the boxes of other parts together.
+ASKERS = 256
 
 
-def _spread(value: Column, dims: int) -> Column:
-    """The low bits of ``value`` with ``dims`` - 1 zeros between them (the usual masks of a Morton code)."""
+def with_morton(df: DataFrame, dims: list[str], low: list[float], span: float, name: str) -> DataFrame:
+    """Add the place on the curve of each point in the cube of edge ``span`` at ``low``; two or three dimensions.
+
+    Zeros come between the bits of a coordinate by the usual masks. Each step is a projection of
+    its own: nested, every step would name the one before twice, and the text of the last would
+    hold the coordinate 32 times over.
+    """
     steps = {
         2: ((16, 0x0000FFFF0000FFFF), (8, 0x00FF00FF00FF00FF), (4, 0x0F0F0F0F0F0F0F0F), (2, 0x3333333333333333), (1, 0x5555555555555555)),
         3: ((32, 0x001F00000000FFFF), (16, 0x001F0000FF0000FF), (8, 0x100F00F00F00F00F), (4, 0x10C30C30C30C30C3), (2, 0x1249249249249249)),
-    }[dims]
+    }[len(dims)]
+    cells = 1 << 62 // len(dims)
+    bits = [f"_m_{d}" for d in dims]
+    place = [F.floor((F.col(d) - lo) / span * cells) for d, lo in zip(dims, low)]
+    out = df.select("*", *[F.greatest(F.lit(0), F.least(p, F.lit(cells - 1))).cast("bigint").alias(m) for p, m in zip(place, bits)])
     for shift, mask in steps:
-        value = value.bitwiseOR(F.shiftleft(value, shift)).bitwiseAND(F.lit(mask))
-    return value
-
-
-def morton(columns: list[Column], low: list[float], span: float) -> Column:
-    """Place on the curve of a point in the cube of edge ``span`` at ``low``; two or three dimensions."""
-    bits = 62 // len(columns)
-    code = F.lit(0).cast("bigint")
-    for i, (c, lo) in enumerate(zip(columns, low)):
-        cell = F.greatest(F.lit(0), F.least(F.floor((c - lo) / span * (1 << bits)), F.lit((1 << bits) - 1))).cast("bigint")
-        code = code.bitwiseOR(F.shiftleft(_spread(cell, len(columns)), i))
-    return code
+        out = out.select(*df.columns, *[F.col(m).bitwiseOR(F.shiftleft(m, shift)).bitwiseAND(F.lit(mask)).alias(m) for m in bits])
+    code = F.col(bits[0])
+    for i, m in enumerate(bits[1:], 1):
+        code = code.bitwiseOR(F.shiftleft(m, i))
+    return out.select(*df.columns, code.alias(name))
 
 
 def _boxes(points: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -58,6 +62,20 @@ def _gap2(low: np.ndarray, high: np.ndarray, lows: np.ndarray, highs: np.ndarray
     return (out * out).sum(axis=1)
 
 
+def _far2(low: np.ndarray, high: np.ndarray, lows: np.ndarray, highs: np.ndarray) -> np.ndarray:
+    """Squared distances no point of one box exceeds to any point of several."""
+    out = np.maximum(np.abs(high - lows), np.abs(highs - low))
+    return (out * out).sum(axis=1)
+
+
+def _sure(far: np.ndarray, counts: np.ndarray, k: int) -> np.ndarray:
+    """Per row a squared distance within which ``k`` are counted: the far side of the nearest boxes that hold them."""
+    order = np.argsort(far, axis=1)
+    held = np.cumsum(counts[order], axis=1) >= k
+    at = held.argmax(axis=1)
+    return np.where(held.any(axis=1), np.take_along_axis(far, order, 1)[np.arange(len(far)), at] * (1 + 1e-9), np.inf)
+
+
 def _squared(sources: np.ndarray, targets: np.ndarray) -> np.ndarray:
     total = np.zeros((len(sources), len(targets)))
     for d in range(sources.shape[1]):
@@ -68,6 +86,8 @@ def _squared(sources: np.ndarray, targets: np.ndarray) -> np.ndarray:
 
 def _kth(d2: np.ndarray, n: np.ndarray, k: int) -> np.ndarray:
     """Per row the least squared distance up to which ``k`` are counted; infinite where there are fewer."""
+    if k == 1:
+        return d2.min(axis=1)
     m = min(k, d2.shape[1])
     first = np.argpartition(d2, m - 1, axis=1)[:, :m] if m < d2.shape[1] else np.tile(np.arange(m), (len(d2), 1))
     near = np.take_along_axis(d2, first, axis=1)
@@ -77,32 +97,48 @@ def _kth(d2: np.ndarray, n: np.ndarray, k: int) -> np.ndarray:
     return np.where(full.any(axis=1), near[np.arange(len(d2)), full.argmax(axis=1)], np.inf)
 
 
+def _leaves(points: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Order of the points, first rows in it and corner points of leaves of at most ``size``, got by halving along the longest edge."""
+    n = len(points)
+    levels, order = max(0, math.ceil(math.log2(n / size))), np.arange(n)
+    for level in range(levels + 1):
+        starts, placed = np.arange(1 << level) * n >> level, points[order]
+        lows, highs = np.minimum.reduceat(placed, starts), np.maximum.reduceat(placed, starts)
+        if level < levels:
+            node = np.repeat(np.arange(1 << level), np.diff(np.append(starts, n)))
+            order = order[np.lexsort((placed[np.arange(n), (highs - lows).argmax(axis=1)[node]], node))]
+    return order, starts, lows, highs
+
+
 def search(sources: np.ndarray, targets: np.ndarray, n: np.ndarray, k: int, limit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(source, target, d2) of all targets up to each source's k-th distance, ties included, and within ``limit``; and that distance.
 
-    Both lie along the curve. A block of sources first meets the leaves nearest to it, which
-    bounds its distances, then every leaf within the bound.
+    A block of sources first meets the leaves nearest to it, which bounds its distances, then
+    every leaf within the bound.
     """
     found, reach = [], np.full(len(sources), np.inf)
     if len(targets) and len(sources):
-        starts, lows, highs = _boxes(targets, LEAF)
-        ends = np.append(starts[1:], len(targets))
+        t_order, starts, lows, highs = _leaves(targets, LEAF)
+        targets, n = targets[t_order], n[t_order]
+        sizes = np.diff(np.append(starts, len(targets)))
+        s_order, s_starts, s_lows, s_highs = _leaves(sources, BLOCK)
         first = max(1, -(-k // LEAF)) + 1
-        for at, low, high in zip(*_boxes(sources, BLOCK)):
-            block, bound = sources[at : at + BLOCK], limit[at : at + BLOCK]
+        for mine, low, high in zip(np.split(s_order, s_starts[1:]), s_lows, s_highs):
+            block, bound = sources[mine], limit[mine]
             gaps = _gap2(low, high, lows, highs)
-            near = np.argpartition(gaps, first)[:first] if first < len(gaps) else np.arange(len(gaps))
-            rows = np.concatenate([np.arange(starts[x], ends[x]) for x in near])
+            near = np.zeros(len(gaps), bool)
+            near[np.argpartition(gaps, first)[:first] if first < len(gaps) else slice(None)] = True
+            rows = np.flatnonzero(np.repeat(near, sizes))
             worst = min(_kth(_squared(block, targets[rows]), n[rows], k).max(), bound.max())
-            near = np.flatnonzero(gaps <= worst * (1 + 1e-9) + 1e-300)
-            if not len(near):
+            near = gaps <= worst * (1 + 1e-9) + 1e-300
+            rows = np.flatnonzero(np.repeat(near, sizes))
+            if not len(rows):
                 continue
-            rows = np.concatenate([np.arange(starts[x], ends[x]) for x in near])
             d2 = _squared(block, targets[rows])
             kth = _kth(d2, n[rows], k)
-            reach[at : at + BLOCK] = kth
+            reach[mine] = kth
             i, j = np.nonzero(d2 <= np.minimum(kth, bound)[:, None])
-            found.append((i + at, rows[j], d2[i, j]))
+            found.append((mine[i], t_order[rows[j]], d2[i, j]))
     if not found:
         return np.zeros(0, "int64"), np.zeros(0, "int64"), np.zeros(0), reach
     return *(np.concatenate([f[x] for f in found]) for x in range(3)), reach
@@ -145,20 +181,29 @@ def _home(shape, k: int, radius2: float, spanning):
             return found
         names, lows, highs, counts = others
         me = part.column("_part")[0].as_py()
-        xyz, out = _matrix(sources, dims), []
-        step = max(1, 1_000_000 // len(names))
-        for at in range(0, len(xyz), step):
-            p = xyz[at : at + step, None, :]
-            near = np.maximum(np.maximum(lows - p, p - highs), 0.0)
-            far = np.maximum(np.abs(p - lows), np.abs(p - highs))
-            near, far = (near * near).sum(axis=2), (far * far).sum(axis=2)
-            # The k-th target is no farther than the far side of the nearest boxes that hold k.
-            order = np.argsort(far, axis=1)
-            held = np.cumsum(counts[order], axis=1) >= k
-            sure = np.where(held.any(axis=1), np.take_along_axis(far, order, 1)[np.arange(len(p)), held.argmax(axis=1)], np.inf)
-            bound = np.minimum(np.minimum(reach[at : at + step], sure * (1 + 1e-9)), radius2)
-            i, j = np.nonzero((near <= bound[:, None] * (1 + 1e-9)) & (names != me)[None, :])
-            out.append((i + at, names[j], bound[i]))
+        xyz, out = _matrix(sources, dims), [(np.zeros(0, "int64"), np.zeros(0, "int32"), np.zeros(0))]
+        for at, low, high in zip(*_boxes(xyz, ASKERS)):
+            # A block of sources first drops the boxes that none of its balls can touch.
+            own, worst = reach[at : at + ASKERS], radius2
+            if np.isinf(own).any():
+                worst = min(worst, _sure(_far2(low, high, lows, highs)[None, :], counts, k)[0])
+            else:
+                worst = min(worst, own.max())
+            near = np.flatnonzero(_gap2(low, high, lows, highs) <= worst * (1 + 1e-8))
+            if not (names[near] != me).any():
+                continue
+            open_ended = np.isinf(own).any()
+            step = max(1, 1_000_000 // len(near))
+            for start in range(0, len(own), step):
+                p = xyz[at : at + ASKERS][start : start + step, None, :]
+                gap = np.maximum(np.maximum(lows[near] - p, p - highs[near]), 0.0)
+                gap = (gap * gap).sum(axis=2)
+                bound = np.minimum(own[start : start + step], radius2)
+                if open_ended:
+                    far = np.maximum(np.abs(p - lows[near]), np.abs(p - highs[near]))
+                    bound = np.minimum(bound, _sure((far * far).sum(axis=2), counts[near], k))
+                i, j = np.nonzero((gap <= bound[:, None] * (1 + 1e-9)) & (names[near] != me)[None, :])
+                out.append((i + at + start, names[near[j]], bound[i]))
         i, to, bound = (np.concatenate([o[x] for o in out]) for x in range(3))
         asked = sources.take(pa.array(i))
         columns = {b: asked.column(b) for b in by} | {a: asked.column(d) for a, d in zip(s_dims, dims)}
@@ -205,13 +250,14 @@ def neighbours(
     coordinates = [F.col(d).cast("double").alias(d) for d in dims]
     src = sources.select(*by, *coordinates).filter(known).distinct()
     tgt = targets.select(*by, *coordinates, F.col("_n").cast("bigint").alias("_n"), *payload).filter(known)
-    both = tgt.unionByName(src, allowMissingColumns=True)
+    # Written once: counted, sampled and dealt below, while the rows may come from a long plan.
+    both = cut_lineage(tgt.unionByName(src, allowMissingColumns=True))
     row = both.agg(F.count(F.lit(1)), *[F.min(d) for d in dims], *[F.max(d) for d in dims]).first()
     low, high = list(row[1 : 1 + len(dims)]), list(row[1 + len(dims) :])
     span = max([h - l for l, h in zip(low, high)] if row[0] else [1.0]) or 1.0
     low = low if row[0] else [0.0] * len(dims)
     parts = max(1, math.ceil(row[0] / max(PART_ROWS, row[0] / MOST_PARTS)))
-    coded = both.withColumn("_code", morton([F.col(d) for d in dims], low, span))
+    coded = with_morton(both, dims, low, span, "_code")
     dealt = cut_lineage(coded.repartitionByRange(parts, *by, "_code", *dims).withColumn("_part", F.spark_partition_id()))
     # Only groups that span parts need boxes: at most two rows a part, and the parts are bounded.
     held = dealt.filter("_n is not null").groupBy("_part", *by).agg(
@@ -262,7 +308,7 @@ def nearest_distance(source: DataFrame, target: DataFrame, by: list[str], dims:
     dims = list(dims)
     found = neighbours(source, _folded(target, by, dims), by, dims, 1)
     best = found.groupBy(*by, *[F.col(f"_s_{d}").alias(d) for d in dims]).agg(F.sqrt(F.min("_d2")).alias("distance"))
-    return source.join(best, [*by, *dims], "left")
+    return source.join(best.hint("merge"), [*by, *dims], "left")  # as many rows as sources, so never broadcast
 
 
 def mean_neighbour_distance(points: DataFrame, by: list[str], k: int = 12, dims: tuple[str, ...] = ("x", "y", "z")) -> DataFrame:
@@ -275,7 +321,7 @@ def mean_neighbour_distance(points: DataFrame, by: list[str], k: int = 12, dims:
     )
     # the nearest of all is the point itself, at zero, and is left out by rank
     mean = F.when(F.col("_used") > 1, F.col("_sum") / (F.col("_used") - 1))
-    return points.join(sums.select(*by, *dims, mean.alias("mean_distance")), [*by, *dims])
+    return points.join(sums.select(*by, *dims, mean.alias("mean_distance")).hint("merge"), [*by, *dims])
 
 
 def nearest_ids(points: DataFrame, by: list[str], item: str, k: int, radius: float, dims: tuple[str, ...]) -> DataFrame:
@@ -293,7 +339,7 @@ def nearest_ids(points: DataFrame, by: list[str], item: str, k: int, radius: flo
     place = F.row_number().over(W.partitionBy(*by, *[f"_s_{d}" for d in dims]).orderBy("_d2", "neighbour"))
     each = each.withColumn("place", place).filter(F.col("place") <= k)
     renamed = each.select(*by, *[F.col(f"_s_{d}").alias(d) for d in dims], "neighbour", F.sqrt("_d2").alias("distance"), "place")
-    return cast.join(renamed, [*by, *dims]).select(*by, item, "neighbour", "distance", "place")
+    return cast.join(renamed.hint("merge"), [*by, *dims]).select(*by, item, "neighbour", "distance", "place")
 
 
 def thin_by_radius(points: DataFrame, by: list[str], item: str, radius: float, seed: int = 42, dims: tuple[str, ...] = ("x", "y", "z")) -> DataFrame:
