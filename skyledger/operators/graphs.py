@@ -68,11 +68,15 @@ def face_adjacency(faces: DataFrame, by: list[str]) -> DataFrame:
 
 
 def longest_edges(faces: DataFrame, vertices: DataFrame, by: list[str]) -> DataFrame:
-    """Faces with their corner points, longest edge and centroid."""
+    """Faces with their corner points, longest edge and centroid.
+
+    Vertices are about as many as faces and compress well, which makes them look small enough
+    to broadcast; the hint keeps their joins shuffled.
+    """
     out = faces
     for corner in ("a", "b", "c"):
         v = vertices.select(*by, F.col("vertex_id").alias(corner), F.struct("x", "y", "z").alias(f"_{corner}"))
-        out = out.join(v, [*by, corner])
+        out = out.join(v.hint("merge"), [*by, corner])
 
     def length(p: str, q: str):
         d = [F.col(f"_{p}")[k] - F.col(f"_{q}")[k] for k in "xyz"]
@@ -101,7 +105,7 @@ def supported(measured: DataFrame, support: DataFrame, limits: DataFrame, by: li
     """Faces whose centroid lies within the limit of a support point."""
     near = nearest_distance(measured, support, by).join(limits.select(*by, "limit_m"), by)
     flagged = near.withColumn("_ok", F.coalesce(F.col("distance") <= F.col("limit_m"), F.lit(False)))
-    return keep_unless_all(flagged.drop("limit_m", "distance"), by, "_ok")
+    return keep_unless_all(cut_lineage(flagged.drop("limit_m", "distance")), by, "_ok")  # read twice there
 
 
 def drop_fragments(faces: DataFrame, by: list[str]) -> DataFrame:

@@ -201,7 +201,7 @@ def mesh_edge_limits(spark, sf_dir):
 
 def _plausible(spark, sf_dir):
     faces, vertices = mesh(spark, sf_dir)
-    measured = graphs.longest_edges(faces, vertices, ["mesh_id"])
+    measured = cut_lineage(graphs.longest_edges(faces, vertices, ["mesh_id"]))  # read for the limits and for the faces
     limits = graphs.edge_limits(measured, ["mesh_id"])
     flagged = measured.join(limits.select("mesh_id", "limit_m"), "mesh_id").withColumn("_ok", F.col("longest_m") <= F.col("limit_m")).drop("limit_m")
     return graphs.keep_unless_all(flagged, ["mesh_id"], "_ok"), vertices, limits
