@@ -164,7 +164,23 @@ def _pairs(sources: pa.Table, targets: pa.Table, shape, k: int, limit: np.ndarra
     return pa.table(columns | {"_d2": pa.array(d2), "_upto": pa.array(total - before, pa.int64())}), i, reach
 
 
-def _home(shape, k: int, radius2: float, spanning):
+def _sums(found: pa.Table, owner: np.ndarray, k: int, dims: list[str]) -> pa.Table:
+    """Settled sources (kind 0) as one row each: ``_d2`` the sum of its k least distances, ``_n`` how many there are, ``_upto`` null."""
+    final = np.asarray(found.column("_kind")) == 0
+    rows, owner = found.filter(pa.array(final)), owner[final]
+    if not rows.num_rows:
+        return found
+    n = np.asarray(rows.column("_n")).astype("int64")
+    used = np.clip(k - (np.asarray(rows.column("_upto")) - n), 0, n)
+    first = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
+    sums = {"_d2": pa.array(np.add.reduceat(np.sqrt(np.asarray(rows.column("_d2"))) * used, first)), "_n": pa.array(np.add.reduceat(used, first))}
+    sums |= {d: pa.nulls(len(first), pa.float64()) for d in dims} | {"_upto": pa.nulls(len(first), pa.int64())}
+    one = rows.take(pa.array(first))
+    one = pa.table({c: sums.get(c, one.column(c)) for c in one.column_names})
+    return pa.concat_tables([one, found.filter(pa.array(~final))], promote_options="permissive")
+
+
+def _home(shape, k: int, radius2: float, spanning, sums: bool):
     """Search a part by itself; sources whose ball may leave it are handed on as well, with their bound and place on the curve."""
     by, dims, s_dims, payload = shape
 
@@ -178,7 +194,7 @@ def _home(shape, k: int, radius2: float, spanning):
         extra = {"_kind": pa.array([0] * found.num_rows, pa.int32()), "_to": pa.nulls(found.num_rows, pa.int32())}
         found = pa.table({c: found.column(c) for c in found.column_names} | extra)
         if others is None or not sources.num_rows:
-            return found
+            return _sums(found, owner, k, dims) if sums else found
         names, lows, highs, counts = others
         me = part.column("_part")[0].as_py()
         xyz, out = _matrix(sources, dims), [(np.zeros(0, "int64"), np.zeros(0, "int32"), np.zeros(0))]
@@ -213,6 +229,7 @@ def _home(shape, k: int, radius2: float, spanning):
         # What an open source found at home is not final: kind 1, to be merged.
         waits = np.isin(owner, i).astype("int32")
         found = found.set_column(found.schema.get_field_index("_kind"), "_kind", pa.array(waits, pa.int32()))
+        found = _sums(found, owner, k, dims) if sums else found
         return pa.concat_tables([found, pa.table(columns).select(found.column_names)], promote_options="permissive")
 
     return run
@@ -232,14 +249,15 @@ def _away(shape, k: int):
 
 def neighbours(
     sources: DataFrame, targets: DataFrame, by: list[str], dims: list[str], k: int = 1,
-    radius: float | None = None, payload: list[str] | None = None,
+    radius: float | None = None, payload: list[str] | None = None, sums: bool = False,
 ) -> DataFrame:
     """Nearest target rows per distinct source coordinate, two or three dimensions.
 
     ``targets`` are distinct coordinates with a count ``_n``; result rows carry ``_d2``, ``_n``
     and ``_upto`` (running count): all rows up to the distance at which ``k`` are counted, rows
     of that same distance included, none beyond ``radius``. Rows with a null coordinate or
-    group take no part.
+    group take no part. With ``sums`` a source that its own part settles is one row, of the sum
+    of its k distances in ``_d2`` and their number in ``_n``, marked by a null ``_upto``.
     """
     payload = payload or []
     spark = sources.sparkSession
@@ -278,7 +296,7 @@ def neighbours(
     shown = [f"`{b}` {kinds[b]}" for b in by] + [f"{d} double" for d in [*s_dims, *dims]] + ["_n bigint"]
     shown = ", ".join([*shown, *[f"`{x}` {kinds[x]}" for x in payload], "_d2 double", "_upto bigint"])
     radius2 = math.inf if radius is None else float(radius) * float(radius)
-    home = cut_lineage(dealt.groupBy("_part", *by).applyInArrow(_home(shape, k, radius2, spanning), f"{shown}, _kind int, _to int"))
+    home = cut_lineage(dealt.groupBy("_part", *by).applyInArrow(_home(shape, k, radius2, spanning, sums), f"{shown}, _kind int, _to int"))
     names = [*by, *s_dims, *dims, "_n", *payload, "_d2", "_upto"]
     settled = home.filter("_kind = 0").select(*names)
     if not packed:
@@ -314,10 +332,12 @@ def nearest_distance(source: DataFrame, target: DataFrame, by: list[str], dims:
 def mean_neighbour_distance(points: DataFrame, by: list[str], k: int = 12, dims: tuple[str, ...] = ("x", "y", "z")) -> DataFrame:
     """Points with the mean distance to their k nearest others; a copy counts as another at zero."""
     dims = list(dims)
-    found = neighbours(points, _folded(points, by, dims), by, dims, k + 1)
+    found = neighbours(points, _folded(points, by, dims), by, dims, k + 1, sums=True)
+    summed = F.col("_upto").isNull()
     used = F.greatest(F.lit(0), F.least(F.col("_n"), F.lit(k + 1) - (F.col("_upto") - F.col("_n"))))
     sums = found.groupBy(*by, *[F.col(f"_s_{d}").alias(d) for d in dims]).agg(
-        F.sum(F.sqrt("_d2") * used).alias("_sum"), F.sum(used).alias("_used")
+        F.sum(F.when(summed, F.col("_d2")).otherwise(F.sqrt("_d2") * used)).alias("_sum"),
+        F.sum(F.when(summed, F.col("_n")).otherwise(used)).alias("_used"),
     )
     # the nearest of all is the point itself, at zero, and is left out by rank
     mean = F.when(F.col("_used") > 1, F.col("_sum") / (F.col("_used") - 1))
