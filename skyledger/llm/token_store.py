@@ -32,6 +32,7 @@ BUCKET_DOCS = 8_192
 SAMPLE_CHARS = 4_096
 SEGMENT_BYTES = 2 << 20
 SEGMENT_DOCS = 4_096
+SLICE_CHARS = 4 << 20
 LEVEL = 1
 
 
@@ -54,7 +55,7 @@ def _encode(path: str, end_id: int, width: int, content: bytes, bounds: list):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = byte_encoder(path, width)
         packer = zstandard.ZstdCompressor(level=LEVEL, dict_data=_shared(content))
-        for batch, texts in sliced(batches, "text"):
+        for batch, texts in sliced(batches, "text", SLICE_CHARS):
             ids = batch.column("id")
             packed = [e + end for e in encoder.encode(texts)]
             spots = np.searchsorted(edges, np.asarray(ids.fill_null(np.iinfo("int64").min)), side="right")
@@ -132,7 +133,8 @@ def write_store(
         steps = [i / parts for i in range(1, parts)]
         bounds = rows.agg(F.percentile_approx("id", steps, max(10_000, 20 * parts))).first()[0] or []
     sample_texts = [r["window"] for r in _sampled(rows, n_rows).orderBy("drawn").collect()]
-    content = train_dictionary(byte_encoder(path, width).encode(sample_texts))
+    encoder, step = byte_encoder(path, width), SLICE_CHARS // SAMPLE_CHARS
+    content = train_dictionary([e for i in range(0, len(sample_texts), step) for e in encoder.encode(sample_texts[i : i + step])])
     digest = hashlib.sha256(content).hexdigest()
     frames = rows.mapInArrow(tidy(_encode(path, end_id, width, content, bounds)), "bucket int, id long, n long, frame binary")
     ordered = frames.repartition(2 * parts, "bucket").sortWithinPartitions("bucket", "id", "n", "frame")
