@@ -157,15 +157,20 @@ def consistent_points(world: DataFrame, views: DataFrame, fx: float, fy: float,
     ).filter("pz > 0")
     c, r = F.floor("pu"), F.floor("pv")
     tx, ty = F.col("pu") - c, F.col("pv") - r
-    corners = F.array(*[
-        F.struct((c + i).alias("u"), (r + j).alias("v"), ((tx if i else 1 - tx) * (ty if j else 1 - ty)).alias("w")) for i in (0, 1) for j in (0, 1)
+    asked = seen.select("frame_id", "pixel", "source_id", "x", "y", "z", c.alias("u"), r.alias("v"), tx.alias("_tx"), ty.alias("_ty"))
+    asked = asked.filter(F.col("u").between(-1, size - 1) & F.col("v").between(-1, size - 1))
+    # Every source point is told to the four squares it is a corner of, so a pixel asks for one square instead of four points.
+    at = [(i, j) for i in (0, 1) for j in (0, 1)]
+    held = world.filter(F.col("u").between(0, size - 1) & F.col("v").between(0, size - 1))
+    told = held.select(F.col("frame_id").alias("source_id"), "x", "y", "z", F.explode(F.array(*[
+        F.struct((F.col("u") - i).alias("u"), (F.col("v") - j).alias("v"), F.lit(2 * i + j).alias("k")) for i, j in at
+    ])).alias("_s")).select("source_id", "_s.*", "x", "y", "z")
+    squares = told.groupBy("source_id", "u", "v").agg(*[
+        F.sum(F.when(F.col("k") == 2 * i + j, F.col(a))).alias(f"_{a}{i}{j}") for i, j in at for a in "xyz"
     ])
-    asked = seen.select("*", F.explode(corners).alias("_k")).select("frame_id", "pixel", "source_id", "x", "y", "z", "_k.*")
-    asked = asked.filter(F.col("u").between(0, size - 1) & F.col("v").between(0, size - 1))
-    source = world.select(F.col("frame_id").alias("source_id"), "u", "v", *[F.col(a).alias(f"_{a}") for a in "xyz"])
-    got = asked.join(source, ["source_id", "u", "v"]).groupBy("frame_id", "pixel", "source_id", "x", "y", "z").agg(
-        *[F.sum(F.col("w") * F.col(f"_{a}")).alias(f"s{a}") for a in "xyz"]
-    )
+    w = {(i, j): (F.col("_tx") if i else 1 - F.col("_tx")) * (F.col("_ty") if j else 1 - F.col("_ty")) for i, j in at}
+    mixed = lambda a: sum((F.coalesce(w[k] * F.col(f"_{a}{k[0]}{k[1]}"), F.lit(0.0)) for k in at), F.lit(0.0))
+    got = asked.join(squares, ["source_id", "u", "v"]).select("frame_id", "pixel", "source_id", "x", "y", "z", *[mixed(a).alias(f"s{a}") for a in "xyz"])
     d = [F.col(f"s{a}") - F.col(a) for a in "xyz"]
     agree = got.filter(F.sqrt(d[0] * d[0] + d[1] * d[1] + d[2] * d[2]) < limit)
     out = agree.groupBy("frame_id", "pixel", "x", "y", "z").agg(F.count(F.lit(1)).alias("views"), *[F.sum(f"s{a}").alias(f"_{a}") for a in "xyz"])
