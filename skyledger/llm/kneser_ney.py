@@ -43,7 +43,8 @@ PRIOR_TOKENS = 60
 FOLDS = 2
 QUANTILE = 0.995
 HELD_TOKENS = 1 << 21
-GROUP_BYTES = 32 << 20
+#: Below a power of two, as the buffers that hand a group over double in size.
+GROUP_BYTES = 24 << 20
 SLICE_CHARS = 1 << 20
 BATCH_ROWS = 256
 BROADCAST_LABELS = 4_000_000
@@ -84,7 +85,7 @@ def _character_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
 
 def alphabet(texts: DataFrame) -> np.ndarray:
     """The code points that have tokens of their own, by number; at most 2 to the power of ``BITS``, less two."""
-    counts = texts.select("text").mapInArrow(_character_counts, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    counts = texts.select("text").mapInArrow(tidy(_character_counts), "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
     rows = counts.orderBy(F.desc("n"), "code").limit((1 << BITS) - FIRST_TOKEN).collect()
     return np.array([r["code"] for r in rows], "int64")
 
