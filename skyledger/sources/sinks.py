@@ -10,11 +10,12 @@ BLOCK_ENTRIES = 100_000
 
 
 def fixed_decimals(v: Column, digits: int) -> Column:
-    """``printf`` of a double: its binary value is rounded, an exact half to the even digit.
+    """``printf`` of a double: its binary value is rounded, an exact half to the even digit; null stays null.
 
     ``format_string`` alone rounds the shortest decimal text of a double half up, so that 0.845, which is
     a little less than that, would become 0.85. ``digits`` is at most 10: then the product with the power of
-    ten and the product's rounding error are both exact.
+    ten and the product's rounding error are both exact. A negative zero keeps its sign, as any number does
+    that rounds to zero from below.
     """
     if digits > 10:
         raise ValueError("at most 10 decimals")
@@ -28,9 +29,11 @@ def fixed_decimals(v: Column, digits: int) -> Column:
     beyond = (product - whole - 0.5) + error
     up = (beyond > 0) | ((beyond == 0) & (whole % 2 == 1))
     rounded = F.when(up, whole + 1).otherwise(whole) / scale
-    near = F.when(v < 0, -rounded).otherwise(rounded)
+    near = F.signum(v) * rounded  # no comparison tells a negative zero, its signum is one
     # From 2^52 on a product has no half, and a text of more than 15 digits is no double's own.
-    return F.format_string(f"%.{digits}f", F.when(product < 1e15, near).otherwise(v))
+    text = F.format_string(f"%.{digits}f", F.when(product < 1e15, near).otherwise(v))
+    text = F.when(F.isnan(v), "nan").when(size == float("inf"), F.when(v < 0, "-inf").otherwise("inf")).otherwise(text)
+    return F.when(v.isNotNull(), text)
 
 
 def plain_number(v: Column, digits: int) -> Column:
@@ -43,7 +46,9 @@ def reference_line(name: Column, lat: Column, lon: Column, alt: Column) -> Colum
 
 
 def pose_line(values: list[Column], digits: int = 6) -> Column:
-    return F.concat_ws(" ", *[fixed_decimals(v, digits) for v in values])
+    """The numbers with blanks between; null if one is missing."""
+    texts = [fixed_decimals(v, digits) for v in values]
+    return F.concat(texts[0], *[F.concat(F.lit(" "), t) for t in texts[1:]])
 
 
 def write_ordered(df: DataFrame, path: str, order: list[str], kind: str = "csv", parts: int | None = None) -> None:
@@ -64,17 +69,23 @@ def markdown_row(columns: list[Column]) -> Column:
 
 
 def _position(p: Column, separator: str) -> Column:
-    return F.concat_ws(separator, plain_number(p["lon"], 8), plain_number(p["lat"], 8), plain_number(p["height"], 2))
+    between = F.lit(separator)
+    return F.concat(plain_number(p["lon"], 8), between, plain_number(p["lat"], 8), between, plain_number(p["height"], 2))
+
+
+def _listed(places: Column, separator: str) -> Column:
+    """The places that are known; null if none is, as string aggregation gives."""
+    return F.nullif(F.array_join(places, separator), F.lit(""))
 
 
 def geojson_feature(kind: Column, name: Column, result: Column, ring: Column) -> Column:
     """One Feature text; outlines are closed, routes are lines, single points are points."""
     places = F.transform(ring, lambda p: F.concat(F.lit("["), _position(p, ","), F.lit("]")))
-    closed = F.array_join(F.concat(places, F.array(places[0])), ",")
+    closed = _listed(F.concat(places, F.array(places[0])), ",")
     shape = (
         F.when(kind == "point", F.concat(F.lit('{"type":"Point","coordinates":'), places[0], F.lit("}")))
         .when(kind.isin("area", "volume"), F.concat(F.lit('{"type":"Polygon","coordinates":[['), closed, F.lit("]]}")))
-        .otherwise(F.concat(F.lit('{"type":"LineString","coordinates":['), F.array_join(places, ","), F.lit("]}")))
+        .otherwise(F.concat(F.lit('{"type":"LineString","coordinates":['), _listed(places, ","), F.lit("]}")))
     )
     properties = F.to_json(F.struct(name.alias("name"), kind.alias("tool"), result.alias("result")))
     return F.concat(F.lit('{"type":"Feature","properties":'), properties, F.lit(',"geometry":'), shape, F.lit("}"))
@@ -86,12 +97,12 @@ def kml_placemark(kind: Column, name: Column, ring: Column) -> Column:
     for raw, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#39;")):
         escaped = F.replace(escaped, F.lit(raw), F.lit(entity))
     places = F.transform(ring, lambda p: _position(p, ","))
-    closed = F.array_join(F.concat(places, F.array(places[0])), " ")
+    closed = _listed(F.concat(places, F.array(places[0])), " ")
     shape = (
         F.when(kind == "point", F.concat(F.lit("<Point><coordinates>"), places[0], F.lit("</coordinates></Point>")))
         .when(kind.isin("area", "volume"), F.concat(
             F.lit("<Polygon><outerBoundaryIs><LinearRing><coordinates>"), closed, F.lit("</coordinates></LinearRing></outerBoundaryIs></Polygon>")))
-        .otherwise(F.concat(F.lit("<LineString><tessellate>1</tessellate><coordinates>"), F.array_join(places, " "), F.lit("</coordinates></LineString>")))
+        .otherwise(F.concat(F.lit("<LineString><tessellate>1</tessellate><coordinates>"), _listed(places, " "), F.lit("</coordinates></LineString>")))
     )
     return F.concat(F.lit("<Placemark><name>"), escaped, F.lit("</name>"), shape, F.lit("</Placemark>"))
 
