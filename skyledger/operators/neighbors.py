@@ -6,11 +6,13 @@ the curve form leaves of a few rows with their boxes, and blocks of sources look
 leaves that can hold one of their k nearest. That settles every source whose ball stays inside
 the region only its own part covers; the others are sent to the parts whose boxes their ball
 touches, and their lists are merged. Copies of a coordinate are one row with a count.
+Where distances alone are asked, a source is one row of them from the first search on.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +25,8 @@ PART_ROWS = 40_000
 MOST_PARTS = 500_000
 LEAF = 32
 BLOCK = 64
+#: A part is told by the boxes of so many stretches of the curve; one box of a bent stretch covers much that is not its own.
+STRETCHES = 16
 #: Sources that look up the boxes of other parts together.
 ASKERS = 256
 
@@ -164,23 +168,50 @@ def _pairs(sources: pa.Table, targets: pa.Table, shape, k: int, limit: np.ndarra
     return pa.table(columns | {"_d2": pa.array(d2), "_upto": pa.array(total - before, pa.int64())}), i, reach
 
 
-def _sums(found: pa.Table, owner: np.ndarray, k: int, dims: list[str]) -> pa.Table:
-    """Settled sources (kind 0) as one row each: ``_d2`` the sum of its k least distances, ``_n`` how many there are, ``_upto`` null."""
-    final = np.asarray(found.column("_kind")) == 0
-    rows, owner = found.filter(pa.array(final)), owner[final]
-    if not rows.num_rows:
-        return found
-    n = np.asarray(rows.column("_n")).astype("int64")
-    used = np.clip(k - (np.asarray(rows.column("_upto")) - n), 0, n)
-    first = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
-    sums = {"_d2": pa.array(np.add.reduceat(np.sqrt(np.asarray(rows.column("_d2"))) * used, first)), "_n": pa.array(np.add.reduceat(used, first))}
-    sums |= {d: pa.nulls(len(first), pa.float64()) for d in dims} | {"_upto": pa.nulls(len(first), pa.int64())}
-    one = rows.take(pa.array(first))
-    one = pa.table({c: sums.get(c, one.column(c)) for c in one.column_names})
-    return pa.concat_tables([one, found.filter(pa.array(~final))], promote_options="permissive")
-
-
-def _home(shape, k: int, radius2: float, spanning, sums: bool):
+def _least(sources: np.ndarray, targets: np.ndarray, n: np.ndarray, k: int, limit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Sources that have targets within ``limit``, their k least squared distances one after another (copies repeated), how many each has; all k-th distances."""
+    i, j, d2, reach = search(sources, targets, n, k, limit)
+    order = np.lexsort((d2, i))
+    i, d2, copies = i[order], d2[order], n[j[order]]
+    if not len(i):
+        return i, d2, copies, reach
+    new = np.flatnonzero(np.r_[True, i[1:] != i[:-1]])
+    total = np.cumsum(copies) - copies
+    used = np.clip(k - (total - np.repeat(total[new], np.diff(np.append(new, len(i))))), 0, copies)
+    return i[new], np.repeat(d2, used), np.add.reduceat(used, new), reach
+
+
+def _asks(xyz: np.ndarray, reach: np.ndarray, radius2: float, others, me: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(source, part, bound) of the sources whose ball touches a box of another part; a block of sources first drops the boxes none of its balls touch."""
+    names, lows, highs, counts = others
+    out = [(np.zeros(0, "int64"), np.zeros(0, "int32"), np.zeros(0))]
+    for at, low, high in zip(*_boxes(xyz, ASKERS)):
+        own, worst = reach[at : at + ASKERS], radius2
+        if np.isinf(own).any():
+            worst = min(worst, _sure(_far2(low, high, lows, highs)[None, :], counts, k)[0])
+        else:
+            worst = min(worst, own.max())
+        near = np.flatnonzero(_gap2(low, high, lows, highs) <= worst * (1 + 1e-8))
+        if not (names[near] != me).any():
+            continue
+        open_ended = np.isinf(own).any()
+        step = max(1, 1_000_000 // len(near))
+        for start in range(0, len(own), step):
+            p = xyz[at : at + ASKERS][start : start + step, None, :]
+            gap = np.maximum(np.maximum(lows[near] - p, p - highs[near]), 0.0)
+            gap = (gap * gap).sum(axis=2)
+            bound = np.minimum(own[start : start + step], radius2)
+            if open_ended:
+                far = np.maximum(np.abs(p - lows[near]), np.abs(p - highs[near]))
+                bound = np.minimum(bound, _sure((far * far).sum(axis=2), counts[near], k))
+            i, j = np.nonzero((gap <= bound[:, None] * (1 + 1e-9)) & (names[near] != me)[None, :])
+            # a part is asked once, however many of its boxes a ball touches
+            i, to = np.unique(np.stack([i, names[near[j]]]), axis=1)
+            out.append((i + at + start, to.astype("int32"), bound[i]))
+    return tuple(np.concatenate([o[x] for o in out]) for x in range(3))
+
+
+def _home(shape, k: int, radius2: float, spanning):
     """Search a part by itself; sources whose ball may leave it are handed on as well, with their bound and place on the curve."""
     by, dims, s_dims, payload = shape
 
@@ -189,38 +220,12 @@ def _home(shape, k: int, radius2: float, spanning, sums: bool):
         is_source = np.asarray(part.column("_n").is_null())
         sources, targets = part.filter(pa.array(is_source)), part.filter(pa.array(~is_source))
         found, owner, reach = _pairs(sources, targets, shape, k, np.full(sources.num_rows, radius2))
-        group = tuple(part.column(b)[0].as_py() for b in by)
-        others = spanning.value.get(group)
+        others = spanning.value.get(tuple(part.column(b)[0].as_py() for b in by))
         extra = {"_kind": pa.array([0] * found.num_rows, pa.int32()), "_to": pa.nulls(found.num_rows, pa.int32())}
         found = pa.table({c: found.column(c) for c in found.column_names} | extra)
         if others is None or not sources.num_rows:
-            return _sums(found, owner, k, dims) if sums else found
-        names, lows, highs, counts = others
-        me = part.column("_part")[0].as_py()
-        xyz, out = _matrix(sources, dims), [(np.zeros(0, "int64"), np.zeros(0, "int32"), np.zeros(0))]
-        for at, low, high in zip(*_boxes(xyz, ASKERS)):
-            # A block of sources first drops the boxes that none of its balls can touch.
-            own, worst = reach[at : at + ASKERS], radius2
-            if np.isinf(own).any():
-                worst = min(worst, _sure(_far2(low, high, lows, highs)[None, :], counts, k)[0])
-            else:
-                worst = min(worst, own.max())
-            near = np.flatnonzero(_gap2(low, high, lows, highs) <= worst * (1 + 1e-8))
-            if not (names[near] != me).any():
-                continue
-            open_ended = np.isinf(own).any()
-            step = max(1, 1_000_000 // len(near))
-            for start in range(0, len(own), step):
-                p = xyz[at : at + ASKERS][start : start + step, None, :]
-                gap = np.maximum(np.maximum(lows[near] - p, p - highs[near]), 0.0)
-                gap = (gap * gap).sum(axis=2)
-                bound = np.minimum(own[start : start + step], radius2)
-                if open_ended:
-                    far = np.maximum(np.abs(p - lows[near]), np.abs(p - highs[near]))
-                    bound = np.minimum(bound, _sure((far * far).sum(axis=2), counts[near], k))
-                i, j = np.nonzero((gap <= bound[:, None] * (1 + 1e-9)) & (names[near] != me)[None, :])
-                out.append((i + at + start, names[near[j]], bound[i]))
-        i, to, bound = (np.concatenate([o[x] for o in out]) for x in range(3))
+            return found
+        i, to, bound = _asks(_matrix(sources, dims), reach, radius2, others, part.column("_part")[0].as_py(), k)
         asked = sources.take(pa.array(i))
         columns = {b: asked.column(b) for b in by} | {a: asked.column(d) for a, d in zip(s_dims, dims)}
         columns |= {d: pa.nulls(len(i), pa.float64()) for d in dims} | {"_n": pa.nulls(len(i), pa.int64())}
@@ -229,12 +234,82 @@ def _home(shape, k: int, radius2: float, spanning, sums: bool):
         # What an open source found at home is not final: kind 1, to be merged.
         waits = np.isin(owner, i).astype("int32")
         found = found.set_column(found.schema.get_field_index("_kind"), "_kind", pa.array(waits, pa.int32()))
-        found = _sums(found, owner, k, dims) if sums else found
         return pa.concat_tables([found, pa.table(columns).select(found.column_names)], promote_options="permissive")
 
     return run
 
 
+def _lists(values: np.ndarray, held: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(held)], pa.int32()), pa.array(values))
+
+
+def _home_sums(shape, k: int, spanning, alike: bool):
+    """As ``_home``, of distances alone: a settled source with its sum (kind 0), an open one with its list (kind 1), the parts it asks (kind 2)."""
+    by, dims, s_dims, _ = shape
+
+    def run(part: pa.Table) -> pa.Table:
+        part = part.sort_by([("_code", "ascending")])
+        is_source = np.asarray(part.column("_n").is_null())
+        targets = part.filter(pa.array(~is_source))
+        sources = part if alike else part.filter(pa.array(is_source))
+        xyz, n = _matrix(sources, dims), np.asarray(targets.column("_n")).astype("int64")
+        owner, near, held, reach = _least(xyz, _matrix(targets, dims), n, k, np.full(len(xyz), np.inf))
+        others = spanning.value.get(tuple(part.column(b)[0].as_py() for b in by))
+        i, to, bound = np.zeros(0, "int64"), np.zeros(0, "int32"), np.zeros(0)
+        if others is not None and len(xyz):
+            i, to, bound = _asks(xyz, reach, math.inf, others, part.column("_part")[0].as_py(), k)
+        waits = np.isin(owner, i)
+        sums = np.add.reduceat(np.sqrt(near), np.cumsum(held) - held) if len(owner) else np.zeros(0)
+
+        def rows(kind: int, at: np.ndarray, **columns: pa.Array) -> pa.Table:
+            taken = sources.take(pa.array(at))
+            blank = {"_d2": pa.float64(), "_n": pa.int64(), "_near": pa.list_(pa.float64()), "_code": pa.int64(), "_to": pa.int32()}
+            named = {b: taken.column(b) for b in by} | {a: taken.column(d) for a, d in zip(s_dims, dims)}
+            named |= {c: columns.get(c, pa.nulls(len(at), t)) for c, t in blank.items()}
+            named["_code"] = taken.column("_code") if kind == 2 else named["_code"]
+            return pa.table(named | {"_kind": pa.array([kind] * len(at), pa.int32())})
+
+        return pa.concat_tables([
+            rows(0, owner[~waits], _d2=pa.array(sums[~waits]), _n=pa.array(held[~waits], pa.int64())),
+            rows(1, owner[waits], _near=_lists(near[np.repeat(waits, held)], held[waits])),
+            rows(2, i, _d2=pa.array(bound), _to=pa.array(to, pa.int32())),
+        ])
+
+    return run
+
+
+def _away_sums(shape, k: int):
+    """The lists that a part has for sources of other parts, each within the bound it brings."""
+    by, dims, s_dims, _ = shape
+
+    def run(asked: pa.Table, part: pa.Table) -> pa.Table:
+        asked = asked.sort_by([("_code", "ascending")])
+        n = np.asarray(part.column("_n")).astype("int64")
+        owner, near, held, _ = _least(_matrix(asked, s_dims), _matrix(part, dims), n, k, np.asarray(asked.column("_d2")))
+        asked = asked.take(pa.array(owner))
+        return pa.table({c: asked.column(c) for c in [*by, *s_dims]} | {"_near": _lists(near, held)})
+
+    return run
+
+
+def _stretches(by: list[str], dims: list[str], size: int):
+    """The boxes of every ``size`` consecutive targets of a part and group."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = batch.to_pandas()
+            if not len(rows):
+                continue
+            groups = rows.groupby(["_part", *by, np.arange(len(rows)) // size], sort=False)
+            low, high = groups[dims].min(), groups[dims].max()
+            out = low.index.to_frame(index=False)[["_part", *by]].assign(_c=groups["_n"].sum().to_numpy("int64"))
+            for d in dims:
+                out[f"_lo_{d}"], out[f"_hi_{d}"] = low[d].to_numpy(), high[d].to_numpy()
+            yield pa.RecordBatch.from_pandas(out, preserve_index=False)
+
+    return run
+
+
 def _away(shape, k: int):
     """Search a part for sources of other parts, each within the bound it brings."""
     by, dims, s_dims, _ = shape
@@ -248,7 +323,7 @@ def _away(shape, k: int):
 
 
 def neighbours(
-    sources: DataFrame, targets: DataFrame, by: list[str], dims: list[str], k: int = 1,
+    sources: DataFrame | None, targets: DataFrame, by: list[str], dims: list[str], k: int = 1,
     radius: float | None = None, payload: list[str] | None = None, sums: bool = False,
 ) -> DataFrame:
     """Nearest target rows per distinct source coordinate, two or three dimensions.
@@ -256,31 +331,36 @@ def neighbours(
     ``targets`` are distinct coordinates with a count ``_n``; result rows carry ``_d2``, ``_n``
     and ``_upto`` (running count): all rows up to the distance at which ``k`` are counted, rows
     of that same distance included, none beyond ``radius``. Rows with a null coordinate or
-    group take no part. With ``sums`` a source that its own part settles is one row, of the sum
-    of its k distances in ``_d2`` and their number in ``_n``, marked by a null ``_upto``.
+    group take no part. With ``sums`` (any distance, no payload) a source is one row, of the sum
+    of its k distances in ``_d2`` and their number in ``_n``; ``_upto`` is null. There the targets
+    are the sources as well, if none are given.
     """
     payload = payload or []
-    spark = sources.sparkSession
+    spark = targets.sparkSession
     s_dims = [f"_s_{d}" for d in dims]
     shape = (by, dims, s_dims, payload)
-    kinds = {f.name: f.dataType.simpleString() for f in [*sources.schema.fields, *targets.schema.fields]}
+    kinds = {f.name: f.dataType.simpleString() for f in [*(sources or targets).schema.fields, *targets.schema.fields]}
     known = " and ".join(f"`{c}` is not null" for c in [*by, *dims])
     coordinates = [F.col(d).cast("double").alias(d) for d in dims]
-    src = sources.select(*by, *coordinates).filter(known).distinct()
     tgt = targets.select(*by, *coordinates, F.col("_n").cast("bigint").alias("_n"), *payload).filter(known)
     # Written once: counted, sampled and dealt below, while the rows may come from a long plan.
-    both = cut_lineage(tgt.unionByName(src, allowMissingColumns=True))
+    both = tgt
+    if sources is not None:
+        both = tgt.unionByName(sources.select(*by, *coordinates).filter(known).distinct(), allowMissingColumns=True)
+    both = cut_lineage(both)
     row = both.agg(F.count(F.lit(1)), *[F.min(d) for d in dims], *[F.max(d) for d in dims]).first()
     low, high = list(row[1 : 1 + len(dims)]), list(row[1 + len(dims) :])
     span = max([h - l for l, h in zip(low, high)] if row[0] else [1.0]) or 1.0
     low = low if row[0] else [0.0] * len(dims)
     parts = max(1, math.ceil(row[0] / max(PART_ROWS, row[0] / MOST_PARTS)))
     coded = with_morton(both, dims, low, span, "_code")
-    dealt = cut_lineage(coded.repartitionByRange(parts, *by, "_code", *dims).withColumn("_part", F.spark_partition_id()))
-    # Only groups that span parts need boxes: at most two rows a part, and the parts are bounded.
-    held = dealt.filter("_n is not null").groupBy("_part", *by).agg(
-        F.sum("_n").alias("_c"), *[F.min(d).alias(f"_lo_{d}") for d in dims], *[F.max(d).alias(f"_hi_{d}") for d in dims]
-    )
+    # Sorted, so that rows that are read together are a stretch of the curve.
+    dealt = coded.repartitionByRange(parts, *by, "_code", *dims).withColumn("_part", F.spark_partition_id())
+    dealt = cut_lineage(dealt.sortWithinPartitions(*by, "_code"))
+    # Only groups that span parts need boxes: a bounded number a part, and the parts are bounded.
+    stretch = max(1, math.ceil(max(PART_ROWS, row[0] * STRETCHES / MOST_PARTS) / STRETCHES))
+    limits = ", ".join(["_part int", *[f"`{b}` {kinds[b]}" for b in by], "_c bigint", *[f"_lo_{d} double, _hi_{d} double" for d in dims]])
+    held = dealt.filter("_n is not null").select("_part", *by, *dims, "_n").mapInArrow(_stretches(by, dims, stretch), limits)
     met = dealt.groupBy(*by).agg(F.min("_part").alias("_a"), F.max("_part").alias("_b")).filter("_a < _b").select(*by)
     boxes: dict[tuple, list] = {}
     for r in held.join(met, by, "left_semi").orderBy("_part").collect() if by else held.orderBy("_part").collect():
@@ -296,18 +376,26 @@ def neighbours(
     shown = [f"`{b}` {kinds[b]}" for b in by] + [f"{d} double" for d in [*s_dims, *dims]] + ["_n bigint"]
     shown = ", ".join([*shown, *[f"`{x}` {kinds[x]}" for x in payload], "_d2 double", "_upto bigint"])
     radius2 = math.inf if radius is None else float(radius) * float(radius)
-    home = cut_lineage(dealt.groupBy("_part", *by).applyInArrow(_home(shape, k, radius2, spanning, sums), f"{shown}, _kind int, _to int"))
+    parted = dealt.groupBy("_part", *by)
+    if sums:
+        given = ", ".join([f"`{b}` {kinds[b]}" for b in by] + [f"{d} double" for d in s_dims])
+        home = cut_lineage(parted.applyInArrow(
+            _home_sums(shape, k, spanning, sources is None), f"{given}, _d2 double, _n bigint, _near array<double>, _code bigint, _to int, _kind int"
+        ))
+        settled = home.filter("_kind = 0").select(*by, *s_dims, "_d2", "_n")
+        if packed:
+            away = _dealt_asks(home, dealt, by, s_dims).applyInArrow(_away_sums(shape, k), f"{given}, _near array<double>")
+            lists = home.filter("_kind = 1").select(*by, *s_dims, "_near").unionByName(away)
+            merged = lists.groupBy(*by, *s_dims).agg(F.slice(F.array_sort(F.flatten(F.collect_list("_near"))), 1, k).alias("_near"))
+            total = F.aggregate("_near", F.lit(0.0), lambda done, d2: done + F.sqrt(d2))
+            settled = settled.unionByName(merged.select(*by, *s_dims, total.alias("_d2"), F.size("_near").cast("bigint").alias("_n")))
+        return settled.withColumn("_upto", F.lit(None).cast("bigint"))
+    home = cut_lineage(parted.applyInArrow(_home(shape, k, radius2, spanning), f"{shown}, _kind int, _to int"))
     names = [*by, *s_dims, *dims, "_n", *payload, "_d2", "_upto"]
     settled = home.filter("_kind = 0").select(*names)
     if not packed:
         return settled
-    asked = home.filter("_kind = 2").select(F.col("_to").alias("_part"), *by, *s_dims, "_d2", F.col("_upto").alias("_code"))
-    # A part that very many ask is copied, and its askers are dealt to the copies.
-    crowds = asked.groupBy("_part", *by).agg(F.ceil(F.count(F.lit(1)) / (8 * PART_ROWS)).cast("int").alias("_copies"))
-    key = ["_part", *by]
-    asked = asked.join(crowds, key).withColumn("_copy", F.pmod(F.xxhash64(*s_dims), F.col("_copies")).cast("int")).drop("_copies")
-    copied = dealt.filter("_n is not null").join(crowds, key).withColumn("_copy", F.explode(F.sequence(F.lit(0), F.col("_copies") - 1))).drop("_copies")
-    away = asked.groupBy(*key, "_copy").cogroup(copied.groupBy(*key, "_copy")).applyInArrow(_away(shape, k), shown)
+    away = _dealt_asks(home.withColumnRenamed("_upto", "_code"), dealt, by, s_dims).applyInArrow(_away(shape, k), shown)
     merged = home.filter("_kind = 1").select(*names).unionByName(away).drop("_upto")
     source = [*by, *s_dims]
     w = W.partitionBy(*source).orderBy("_d2", *dims)
@@ -317,6 +405,16 @@ def neighbours(
     return settled.unionByName(merged.select(*names))
 
 
+def _dealt_asks(home: DataFrame, dealt: DataFrame, by: list[str], s_dims: list[str]):
+    """Askers and the targets of the parts they ask; a part that very many ask is copied, and its askers are dealt to the copies."""
+    key = ["_part", *by]
+    asked = home.filter("_kind = 2").select(F.col("_to").alias("_part"), *by, *s_dims, "_d2", "_code")
+    crowds = asked.groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / (8 * PART_ROWS)).cast("int").alias("_copies"))
+    asked = asked.join(crowds, key).withColumn("_copy", F.pmod(F.xxhash64(*s_dims), F.col("_copies")).cast("int")).drop("_copies")
+    copied = dealt.filter("_n is not null").join(crowds, key).withColumn("_copy", F.explode(F.sequence(F.lit(0), F.col("_copies") - 1))).drop("_copies")
+    return asked.groupBy(*key, "_copy").cogroup(copied.groupBy(*key, "_copy"))
+
+
 def _folded(points: DataFrame, by: list[str], dims: list[str]) -> DataFrame:
     return points.groupBy(*by, *[F.col(d).cast("double").alias(d) for d in dims]).agg(F.count(F.lit(1)).alias("_n"))
 
@@ -324,24 +422,19 @@ def _folded(points: DataFrame, by: list[str], dims: list[str]) -> DataFrame:
 def nearest_distance(source: DataFrame, target: DataFrame, by: list[str], dims: tuple[str, ...] = ("x", "y", "z")) -> DataFrame:
     """Source rows with the distance to the nearest target of the same group (null if none)."""
     dims = list(dims)
-    found = neighbours(source, _folded(target, by, dims), by, dims, 1)
-    best = found.groupBy(*by, *[F.col(f"_s_{d}").alias(d) for d in dims]).agg(F.sqrt(F.min("_d2")).alias("distance"))
+    found = neighbours(source, _folded(target, by, dims), by, dims, 1, sums=True)
+    best = found.select(*by, *[F.col(f"_s_{d}").alias(d) for d in dims], F.col("_d2").alias("distance"))
     return source.join(best.hint("merge"), [*by, *dims], "left")  # as many rows as sources, so never broadcast
 
 
 def mean_neighbour_distance(points: DataFrame, by: list[str], k: int = 12, dims: tuple[str, ...] = ("x", "y", "z")) -> DataFrame:
     """Points with the mean distance to their k nearest others; a copy counts as another at zero."""
     dims = list(dims)
-    found = neighbours(points, _folded(points, by, dims), by, dims, k + 1, sums=True)
-    summed = F.col("_upto").isNull()
-    used = F.greatest(F.lit(0), F.least(F.col("_n"), F.lit(k + 1) - (F.col("_upto") - F.col("_n"))))
-    sums = found.groupBy(*by, *[F.col(f"_s_{d}").alias(d) for d in dims]).agg(
-        F.sum(F.when(summed, F.col("_d2")).otherwise(F.sqrt("_d2") * used)).alias("_sum"),
-        F.sum(F.when(summed, F.col("_n")).otherwise(used)).alias("_used"),
-    )
+    sums = neighbours(None, _folded(points, by, dims), by, dims, k + 1, sums=True)
     # the nearest of all is the point itself, at zero, and is left out by rank
-    mean = F.when(F.col("_used") > 1, F.col("_sum") / (F.col("_used") - 1))
-    return points.join(sums.select(*by, *dims, mean.alias("mean_distance")).hint("merge"), [*by, *dims])
+    mean = F.when(F.col("_n") > 1, F.col("_d2") / (F.col("_n") - 1))
+    sums = sums.select(*by, *[F.col(f"_s_{d}").alias(d) for d in dims], mean.alias("mean_distance"))
+    return points.join(sums.hint("merge"), [*by, *dims])
 
 
 def nearest_ids(points: DataFrame, by: list[str], item: str, k: int, radius: float, dims: tuple[str, ...]) -> DataFrame:

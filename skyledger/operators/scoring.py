@@ -10,12 +10,12 @@ from .neighbors import mean_neighbour_distance, nearest_distance
 
 
 def both_ways(points: DataFrame, by: list[str], a: str = "reconstruction", b: str = "reference") -> DataFrame:
-    """Nearest distances in both directions, tagged ``forward`` and ``reverse``, in one join."""
-    pair = points.filter(F.col("cloud").isin(a, b))
+    """Nearest distances in both directions, tagged ``forward`` and ``reverse``, in one join; nothing else of a point travels."""
+    pair = points.filter(F.col("cloud").isin(a, b)).select(*by, "cloud", "x", "y", "z")
     forward = F.col("cloud") == a
-    sources = pair.withColumn("direction", F.when(forward, "forward").otherwise("reverse"))
-    targets = pair.withColumn("direction", F.when(forward, "reverse").otherwise("forward"))
-    return cut_lineage(nearest_distance(sources, targets, [*by, "direction"]))
+    sources = pair.withColumn("direction", F.when(forward, "forward").otherwise("reverse")).drop("cloud")
+    targets = pair.withColumn("direction", F.when(forward, "reverse").otherwise("forward")).drop("cloud")
+    return cut_lineage(nearest_distance(sources, targets, [*by, "direction"]).select(*by, "direction", "distance"))
 
 
 def distance_summary(distances: DataFrame, keys: list[str]) -> DataFrame:

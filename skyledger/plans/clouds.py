@@ -114,7 +114,8 @@ def reconstruction_score(spark, sf_dir):
     SELECT scan_id, point_id, x, y, z, round(mean_distance, 6) AS mean_distance, round(limit_m, 6) AS limit_m, limit_m IS NULL OR mean_distance <= limit_m AS keep
     FROM m JOIN fl USING (scan_id)"""))
 def neighbour_outliers(spark, sf_dir):
-    out = scoring.outlier_limits(clouds(spark, sf_dir), ["scan_id"])
+    # the cloud and the confidence are not asked, so they do not travel
+    out = scoring.outlier_limits(clouds(spark, sf_dir).drop("cloud", "conf"), ["scan_id"])
     return r(out.select("scan_id", "point_id", "x", "y", "z", "mean_distance", "limit_m", "keep"), "mean_distance limit_m")
 
 
